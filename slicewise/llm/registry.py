@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, near, pii, quality, rules, shards
+from . import bpe, decontaminate, near, pii, quality, repeats, rules, shards
 from .common import table
 
 
@@ -43,5 +43,9 @@ def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.near_duplicates(table(spark, sf_dir, "documents"), width=4)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_classifier, op2_decontamination, op3_byte_bpe, op6_quality_rules, op7_sharding, op8_pii, op9_minhash_dedup)}
+def op10_repeated_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.digest(repeats.repeats(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_classifier, op2_decontamination, op3_byte_bpe, op6_quality_rules, op7_sharding, op8_pii, op9_minhash_dedup, op10_repeated_spans)}
 ORACLES: dict[str, str] = {"op2_decontamination": decontaminate.ORACLE}
