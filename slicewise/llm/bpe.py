@@ -168,8 +168,8 @@ def decode(encoded: DataFrame, path: str, pattern: str, *, ids: str = "ids") ->
     return encoded.select(*kept).mapInArrow(run, schema)
 
 
-def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256): texts are encoded and their ids decoded in one pass, so that ids stay in Python."""
+def round_trip(docs: DataFrame, path: str, pattern: str, *, with_ids: bool = False) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256, with_ids: ids too): texts are encoded and their ids decoded in one pass."""
 
     def make():
         c = codec(path, pattern)
@@ -182,8 +182,10 @@ def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
                 "n_tokens": [len(x) for x in ids],
                 "ids_sha256": [hashlib.sha256(b" ".join(map(names.__getitem__, x))).hexdigest() for x in ids],
                 "decoded_sha256": [hashlib.sha256(c.decode(x)).hexdigest() for x in ids],
+                "ids": ids,
             }
 
         return run
 
-    return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), as_bytes()), make, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
+    return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), as_bytes()), make, schema)

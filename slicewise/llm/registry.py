@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, lattice, near, pii, quality, repeats, rules, shards
+from . import bpe, decontaminate, lattice, near, pii, quality, repeats, rules, shards, template
 from .common import table
 
 
@@ -31,6 +31,10 @@ def op4_lattice_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice.score(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op5_html_template(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return template.extract(table(spark, sf_dir, "pages"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = rules.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
@@ -53,5 +57,5 @@ def op10_repeated_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.digest(repeats.repeats(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_classifier, op2_decontamination, op3_byte_bpe, op4_lattice_score, op6_quality_rules, op7_sharding, op8_pii, op9_minhash_dedup, op10_repeated_spans)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_classifier, op2_decontamination, op3_byte_bpe, op4_lattice_score, op5_html_template, op6_quality_rules, op7_sharding, op8_pii, op9_minhash_dedup, op10_repeated_spans)}
 ORACLES: dict[str, str] = {"op2_decontamination": decontaminate.ORACLE}
