@@ -1,7 +1,8 @@
 """Quality classifier: hierarchical empirical Bayes over documents, paths and hosts.
 
-Evidence of a document: a logistic regression on its words and on binned shape statistics, fitted on at most `sample` labelled
-rows (those of smallest hash of doc_id); a document is bad if its quality is 0 or it is toxic. Evidence of sites: grouped
+Evidence of a document: two logistic regressions on its telling words and binned shape statistics, one for low quality and one
+for toxicity, fitted on at most `sample` labelled rows (those of smallest hash of doc_id); a document is bad if it is either. A
+word is telling if its rate among such rows is too far from the global one for chance. Evidence of sites: grouped
 aggregation sums the evidence of all documents by path and by host. A path's rate of bad documents is shrunk toward its host's
 and a host's toward the global rate; how strongly is estimated from the spread of the rates (method of moments). A document's
 odds are then multiplied by its path's posterior odds over the global odds.
@@ -22,9 +23,12 @@ from pyspark.sql import functions as F
 from .common import map_batches, short_batches, stored
 
 #: At most so many labelled rows fit the classifier, and so many words are its features; a word needs so many of these rows.
-SAMPLE, WORDS, SUPPORT = 20_000, 8_000, 8
-#: Shape statistics and the number of quantile bins of each.
-SHAPES, BINS = 8, 8
+SAMPLE, WORDS, SUPPORT = 20_000, 8_000, 5
+#: How many standard deviations off the global rate a word must be.
+TELLING = 5.0
+#: Shape statistics, and the quantiles that part each into bins, finer toward both ends.
+SHAPES, CUTS = 10, (0.02, 0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.98)
+BINS = len(CUTS) + 1
 PLAIN = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 
@@ -42,60 +46,80 @@ def look(text: bytes) -> tuple[set[bytes], list[float]]:
         text.count(b"!") / n,
         (size - len(text.translate(None, b"0123456789"))) / size,
         len(set(tokens)) / n,
+        text.count(b"|") / n,
+        sum(map(bytes.__eq__, tokens, tokens[1:])) / n,
         len(set(map(hash, zip(tokens, tokens[1:], tokens[2:], strict=False)))) / n,
     ]
 
 
+class Head:
+    """One regression: weights of words and of bins."""
+
+    def __init__(self, words: dict[bytes, float], bins: np.ndarray, bias: float):
+        self.words, self.bins, self.bias = words, bins, bias
+
+    def logit(self, words: set[bytes], places: list[int]) -> float:
+        return self.bias + sum(map(self.words.__getitem__, self.words.keys() & words)) + sum(float(self.bins[k, p]) for k, p in enumerate(places))
+
+
 class Model:
-    def __init__(self, words: dict[bytes, float], edges: np.ndarray, bins: np.ndarray, bias: float, prior: float):
-        self.words, self.edges, self.bins, self.bias, self.prior = words, edges, bins, bias, prior
+    """The heads together: a document is bad if any of them says so."""
+
+    def __init__(self, edges: np.ndarray, heads: list[Head]):
+        self.edges, self.heads = edges, heads
 
     def logit(self, text: bytes) -> float:
         words, shape = look(text)
-        get = self.words.get
-        return self.bias + sum(get(w) for w in words if w in self.words) + sum(float(self.bins[k, np.searchsorted(self.edges[k], v, side="right")]) for k, v in enumerate(shape))
+        places = [int(np.searchsorted(self.edges[k], v, side="right")) for k, v in enumerate(shape)]
+        good = sum(-np.logaddexp(0, h.logit(words, places)) for h in self.heads)  # log of the product of 1 - p
+        good = min(good, -1e-12)
+        return float(np.log(-np.expm1(good)) - good) if self.heads else 0.0
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int) -> Model:
-    known = labels.where(F.col("quality").isNotNull()).select("doc_id", ((F.col("quality") == 0) | (F.coalesce(F.col("toxic"), F.lit(0)) == 1)).alias("bad"))
+    known = labels.where(F.col("quality").isNotNull()).select("doc_id", (F.col("quality") == 0).alias("low"), (F.coalesce(F.col("toxic"), F.lit(0)) == 1).alias("toxic"))
     chosen = F.broadcast(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample))  # `sample` rows at most
 
     def make():
         def run(batch: pa.RecordBatch) -> dict:
-            seen = [look(t) for t in batch.column(1).to_pylist()]
-            return {"bad": batch.column(0), "words": [sorted(w) for w, _ in seen], "shape": [s for _, s in seen]}
+            seen = [look(t) for t in batch.column(2).to_pylist()]
+            return {"low": batch.column(0), "toxic": batch.column(1), "words": [sorted(w) for w, _ in seen], "shape": [s for _, s in seen]}
 
         return run
 
-    rows = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text")).join(chosen, "doc_id").select("bad", "text")
-    seen = stored(map_batches(rows, make, "bad boolean, words array<binary>, shape array<double>"))
-    rates = seen.select("bad", F.explode("words").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("bad").cast("long")).alias("k")).where(F.col("n") >= SUPPORT)
-    total, bad = seen.agg(F.count(F.lit(1)), F.sum(F.col("bad").cast("double"))).first()
-    none = Model({}, np.zeros((SHAPES, BINS - 1)), np.zeros((SHAPES, BINS)), 0.0, 0.5)
-    if not total or not 0 < bad < total:
-        return none
-    prior = bad / total
-    telling = F.abs(F.col("k") - F.col("n") * prior) / F.sqrt(F.col("n") * prior * (1 - prior))
-    words = [bytes(r.w) for r in rates.orderBy(telling.desc(), "w").limit(WORDS).collect()]
-    place = {w: k for k, w in enumerate(words)}
+    rows = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text")).join(chosen, "doc_id").select("low", "toxic", "text")
+    seen = stored(map_batches(rows, make, "low boolean, toxic boolean, words array<binary>, shape array<double>"))
+    counts = seen.select("low", "toxic", F.explode("words").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"), *(F.sum(F.col(k).cast("long")).alias(k) for k in ("low", "toxic"))).where(F.col("n") >= SUPPORT)
+    total, low, toxic = seen.agg(F.count(F.lit(1)), F.sum(F.col("low").cast("double")), F.sum(F.col("toxic").cast("double"))).first()
+    rates = {k: s / total for k, s in (("low", low), ("toxic", toxic)) if total and 0 < s < total}
+    if not rates:
+        return Model(np.zeros((SHAPES, BINS - 1)), [])
+    off = {k: F.abs(F.col(k) - F.col("n") * r) / F.sqrt(F.col("n") * r * (1 - r)) for k, r in rates.items()}
+    words = {k: [bytes(r.w) for r in counts.where(x >= TELLING).orderBy(x.desc(), "w").limit(WORDS).collect()] for k, x in off.items()}
+    place = {w: k for k, w in enumerate(sorted({w for ws in words.values() for w in ws}))}
 
     def narrow():
         def run(batch: pa.RecordBatch) -> dict:
-            return {"bad": batch["bad"], "shape": batch["shape"], "ids": [[place[w] for w in ws if w in place] for ws in batch["words"].to_pylist()]}
+            return {"low": batch["low"], "toxic": batch["toxic"], "shape": batch["shape"], "ids": [[place[w] for w in ws if w in place] for ws in batch["words"].to_pylist()]}
 
         return run
 
-    data = map_batches(seen, narrow, "bad boolean, shape array<double>, ids array<int>").collect()  # `sample` short rows at most
-    y = np.array([r.bad for r in data], float)
+    data = map_batches(seen, narrow, "low boolean, toxic boolean, shape array<double>, ids array<int>").collect()  # `sample` short rows at most
     shape = np.array([r["shape"] for r in data])
-    edges = np.quantile(shape, np.linspace(0, 1, BINS + 1)[1:-1], axis=0).T
-    binned = np.stack([np.searchsorted(edges[k], shape[:, k], side="right") + len(words) + k * BINS for k in range(SHAPES)], 1)
-    ids = [np.concatenate([np.array(r.ids, np.int64), b]) for r, b in zip(data, binned, strict=True)]
-    w, bias = regress(ids, y, len(words) + SHAPES * BINS)
-    return Model(dict(zip(words, w[: len(words)].tolist(), strict=True)), edges, w[len(words) :].reshape(SHAPES, BINS), bias, prior)
+    edges = np.quantile(shape, CUTS, axis=0).T
+    bins = np.stack([np.searchsorted(edges[k], shape[:, k], side="right") + k * BINS for k in range(SHAPES)], 1)
+    ids = [r.ids for r in data]
+    return Model(edges, [fit_head(ids, bins, np.array([r[k] for r in data], float), words[k], place) for k in rates])
+
+
+def fit_head(ids: list[list[int]], bins: np.ndarray, y: np.ndarray, words: list[bytes], place: dict[bytes, int]) -> Head:
+    own = {place[w]: k for k, w in enumerate(words)}
+    rows = [np.array([*(own[i] for i in some if i in own), *(b + len(words))], np.int64) for some, b in zip(ids, bins, strict=True)]
+    w, bias = regress(rows, y, len(words) + SHAPES * BINS)
+    return Head(dict(zip(words, w[: len(words)].tolist(), strict=True)), w[len(words) :].reshape(SHAPES, BINS), bias)
 
 
-def regress(rows: list[np.ndarray], y: np.ndarray, n: int, *, ridge: float = 2.0, steps: int = 300) -> tuple[np.ndarray, float]:
+def regress(rows: list[np.ndarray], y: np.ndarray, n: int, *, ridge: float = 0.3, steps: int = 800) -> tuple[np.ndarray, float]:
     """Logistic regression on sets of features, by accelerated gradient steps with a step size for each feature."""
     flat, of = np.concatenate(rows), np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     width = max(len(r) for r in rows) ** 0.5
