@@ -69,6 +69,13 @@ def pa_schema(spark: SparkSession, ddl: str) -> pa.Schema:
     return to_arrow_schema(StructType.fromDDL(ddl))
 
 
+def aside(df: DataFrame, names: list[str]) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """df with columns of these names out of the way, and a function that takes a result back to df's own columns."""
+    moved = {c: f"__own_{c}" for c in df.columns if c in names}
+    back = lambda out: out.select(*(F.col(moved.get(c, c)).alias(c) for c in df.columns))
+    return df.withColumnsRenamed(moved), back
+
+
 def as_bytes(name: str = "text") -> F.Column:
     """The text's UTF-8 bytes; null counts as empty."""
     return F.coalesce(F.col(name), F.lit("")).cast("binary").alias(name)

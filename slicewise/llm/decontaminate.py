@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_batches, short_batches
+from .common import aside, map_batches, short_batches
 
 #: Fixed by the word definition [^\x00-\x2F\x3A-\x60\x7B-\x7F]+ of lower-cased text: all other bytes become spaces.
 WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -125,6 +125,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, te
         wins.unpersist()
 
 
+def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+    """The rows of docs without a window of the benchmark, with their own columns."""
+    free, back = aside(docs, ["n_words", "n_hit", "item_ids", "hits", "contaminated"])
+    return back(decontaminate(free, benchmark, **options).where(~F.col("contaminated")))
+
+
 def mark(docs: DataFrame, index: dict[bytes, list], text: str, keep_text: bool) -> DataFrame:
     """One pass with one block's index; hits add to those of earlier blocks."""
     names = [c for c in docs.columns if keep_text or c != text]

@@ -229,9 +229,9 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, coord
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs without all but one document of each component; rows with null doc_id stay."""
-    kept = near_duplicates(docs, **options).where(F.col("kept") & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("_id")).agg(F.count(F.lit(1)).alias("_n"))
+    kept = near_duplicates(docs, **options).where(F.col("kept") & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("__kept_id")).agg(F.count(F.lit(1)).alias("__n"))
     kept = stored(kept)
-    named = docs.join(kept, docs["doc_id"] == kept["_id"], "left_semi")
-    if kept.where("_n > 1").limit(1).count():
+    named = docs.join(kept, docs["doc_id"] == kept["__kept_id"], "left_semi")
+    if kept.where("__n > 1").limit(1).count():
         named = named.dropDuplicates(["doc_id"])
     return named.unionByName(docs.where(F.col("doc_id").isNull()))

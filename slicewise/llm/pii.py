@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import short_batches
+from .common import aside, short_batches
 
 #: The order of kinds in lists of spans.
 KINDS = ["email", "ip", "card", "phone", "secret", "identity"]
@@ -275,7 +275,8 @@ def hidden(text: str, spans: list[Span]) -> str:
 
 def redacted(docs: DataFrame, *, text: str = "text", **options) -> DataFrame:
     """docs with personal data replaced; n_chars, if there, follows the text."""
-    out = find(docs, learn(docs, text=text, **options), text=text, redact=True).drop("strict_spans", "spans")
+    free, back = aside(docs, ["strict_spans", "spans"])
+    out = back(find(free, learn(docs, text=text, **options), text=text, redact=True))
     return out.withColumn("n_chars", F.when(F.col(text).isNull(), F.col("n_chars")).otherwise(F.length(text)).cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 

@@ -180,5 +180,5 @@ def classify(docs: DataFrame, labels: DataFrame, *, host: Column | None = None,
 
 def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """The rows of docs that the classifier keeps, with their columns."""
-    good = classify(docs, labels, **options).where("kept").select(F.col("doc_id").alias("_id"), F.col("row_hash").alias("_hash")).distinct()
-    return docs.join(good, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash")), "left_semi")
+    good = classify(docs, labels, **options).where("kept").select(F.col("doc_id").alias("__kept_id"), F.col("row_hash").alias("__kept_hash")).distinct()
+    return docs.join(good, F.col("doc_id").eqNullSafe(F.col("__kept_id")) & (F.xxhash64("text") == F.col("__kept_hash")), "left_semi")
