@@ -8,7 +8,9 @@ tell which suffix of each class of equals comes first in corpus order, and the t
 * parse: for each trigger, blocks of documents send their phrase's digest and first place, grouped by the trigger's hash. A
   trigger with one phrase in the whole corpus needs nothing; equal phrases are all repeats but for the first;
 * dictionary: where a trigger stands in different phrases (at the ends of a repeated passage), the phrases' suffixes are
-  classed by their first `length` bytes, and all but the first of each class repeat.
+  classed by their first `length` bytes, and all but the first of each class repeat. Phrases of one trigger that stand in one
+  block only are classed there; else the phrases meet in their trigger's group, and if a trigger has more than `MANY` phrases
+  each suffix goes to a group of its own class instead.
 
 A block sends each trigger and each suffix class once, whatever the number of copies in it, so a group has at most one entry
 for each block and no copy is compared with another. What comes back to a block are its repeats. Blocks are stored compressed
@@ -38,11 +40,13 @@ LAST = np.iinfo(np.int64).max
 ONE, LOW = np.uint64(1), np.uint64(0xFFFFFFFF)
 P, Q = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 BYTE = mix(np.arange(1, 257, dtype=np.uint64) * P)
-SENT = "bucket int, block long, keys binary, digests binary, ids binary, starts binary, ords binary"
-BACK = "block long, level int, whole binary, mixed binary"
+SENT = "bucket int, block long, keys binary, digests binary, ids binary, starts binary, ords binary, counts binary, phrases binary"
+BACK = "block long, level int, whole binary, mixed binary, hot binary"
+#: Phrases of a trigger that meet in one group; of more, the suffixes are dealt out.
+MANY = 20_000
 
 
-def blocks_of(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
+def blocks_of(docs: DataFrame, text: str, doc_id: str, block_bytes: int) -> DataFrame:
     """(block, ids, ends, data): documents of about BLOCK_BYTES together, by doc_id; data is compressed."""
     schema = "block long, ids binary, ends binary, nulls binary, data binary"
     fields = pa_schema(docs.sparkSession, schema)
@@ -60,7 +64,7 @@ def blocks_of(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
         rows, size, number = [], 0, 0
         for batch in batches:
             for r in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if rows and size + len(r[1]) > BLOCK_BYTES:
+                if rows and size + len(r[1]) > block_bytes:
                     yield pack(number, rows)
                     rows, size, number = [], 0, number + 1
                 rows.append(r)
@@ -75,26 +79,26 @@ def blocks_of(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
 class Block:
     """A block's documents, its phrases and which of them are the first of their kind in it."""
 
-    def __init__(self, row: dict, length: int):
+    def __init__(self, row: dict, length: int, stretch: int):
         self.ids, self.ends = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["ends"], np.int64)
         self.nulls = np.frombuffer(row["nulls"], np.uint8)
         self.data = np.frombuffer(zstandard.ZstdDecompressor().decompress(row["data"]), np.uint8)
         self.begins = np.concatenate([[0], self.ends[:-1]]).astype(np.int64)
-        self.length = length
+        self.length, self.stretch = length, stretch
         self.parse()
 
     def hashed(self) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
         """Stretch by stretch: the first start, hashes of WIDTH and of 64 bytes, and whether `length` bytes from a start are in one document."""
         n = len(self.data)
-        for at in range(0, max(n - self.length + 1, 0), STRETCH):
-            x = BYTE[self.data[at : at + STRETCH + self.length - 1]]
+        for at in range(0, max(n - self.length + 1, 0), self.stretch):
+            x = BYTE[self.data[at : at + self.stretch + self.length - 1]]
             width = 1
             while width < 64:
                 if width == WIDTH:
                     short = x
                 x = mix(x[:-width] * P + x[width:] * Q + np.uint64(width))
                 width *= 2
-            starts = np.arange(at, min(at + STRETCH, n - self.length + 1))
+            starts = np.arange(at, min(at + self.stretch, n - self.length + 1))
             doc = np.searchsorted(self.ends, starts, side="right")
             yield at, short, x, starts + self.length <= self.ends[doc]
 
@@ -132,6 +136,9 @@ class Block:
         self.is_first[order] = new  # the first in this block of its trigger and digest
         self.lead[order] = new_key  # stands for its trigger
         self.mixed[order] = several[group] if n else False  # its trigger stands in different phrases of this block
+        self.phrases, self.trigger = np.zeros(n, np.int32), np.zeros(n, np.int64)
+        self.phrases[order] = np.bincount(group, weights=new, minlength=1)[group].astype(np.int32) if n else 0  # different phrases of its trigger
+        self.trigger[order] = order[np.flatnonzero(new_key)][group] if n else 0  # the one that stands for its trigger
 
     def windows(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Of the chosen phrases' strings: starts, two hashes, and whether each is the first of its kind in this block."""
@@ -143,8 +150,9 @@ class Block:
         for at, _, long, inside in self.hashed():
             s = np.flatnonzero(inside & want[at : at + len(inside)])
             out[0].append(at + s)
-            out[1].append(mix(long[s] * P + long[s + self.length - 64]))
-            out[2].append(mix(long[s] * Q ^ mix(long[s + self.length - 64] * P + ONE)))
+            a, b = ends_hash(long, s, self.length)
+            out[1].append(a)
+            out[2].append(b)
         starts, a, b = (np.concatenate(x) if x else np.empty(0, k) for x, k in zip(out, (np.int64, np.uint64, np.uint64), strict=True))
         order = np.lexsort((starts, b, a))
         first = np.zeros(len(starts), bool)
@@ -157,57 +165,100 @@ class Block:
         return self.ids[doc], starts - self.begins[doc]
 
 
-def sent(block: int, buckets: int, key: np.ndarray, digest: np.ndarray, ids: np.ndarray, starts: np.ndarray, ords: np.ndarray) -> dict:
+def sent(block: int, buckets: int, key: np.ndarray, digest: np.ndarray, ids: np.ndarray, starts: np.ndarray, ords: np.ndarray, counts: np.ndarray, phrases: list[bytes] | None = None) -> dict:
     """Rows of SENT: the entries by bucket, in corpus order inside each."""
     bucket = (key % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
     cuts = np.flatnonzero(np.r_[True, np.diff(bucket[order]) > 0]) if len(order) else np.empty(0, np.int64)
     parts = np.split(order, cuts[1:]) if len(order) else []
     blob = lambda x, kind: [x[p].astype(kind).tobytes() for p in parts]
-    return {"bucket": [int(bucket[p[0]]) for p in parts], "block": [block] * len(parts), "keys": blob(key, np.uint64), "digests": blob(digest, np.uint64), "ids": blob(ids, np.int64), "starts": blob(starts, np.int64), "ords": blob(ords, np.int32)}
+    return {
+        "bucket": [int(bucket[p[0]]) for p in parts], "block": [block] * len(parts), "keys": blob(key, np.uint64), "digests": blob(digest, np.uint64), "ids": blob(ids, np.int64),
+        "starts": blob(starts, np.int64), "ords": blob(ords, np.int32), "counts": blob(counts, np.int32), "phrases": [b"".join(phrases[i] for i in p) if phrases else None for p in parts],
+    }
 
 
 def table_of(columns: dict, fields: pa.Schema) -> pa.Table:
     return pa.table({f.name: pa.array(columns[f.name], f.type) for f in fields})
 
 
-def compared(level: int):
-    """Of a bucket's entries: which repeat an earlier one with the same key and digest (whole), and which share their key with
-    a different digest (mixed; at the second level each key and digest is a class of its own)."""
-
-    def run(key: tuple, group: pa.Table, fields: pa.Schema) -> pa.Table:
-        blocks = group["block"].to_numpy()
-        parts = {c: [np.frombuffer(x, t) for x in group[c].to_pylist()] for c, t in (("keys", np.uint64), ("digests", np.uint64), ("ids", np.int64), ("starts", np.int64), ("ords", np.int32))}
-        block = np.repeat(blocks, [len(x) for x in parts["keys"]])
-        keys, digests, ids, starts, ords = (np.concatenate(parts[c]) for c in ("keys", "digests", "ids", "starts", "ords"))
-        order = np.lexsort((block, starts, ids, digests, keys)) if level == 2 else np.lexsort((block, starts, ids, keys))
-        k, d = keys[order], digests[order]
-        new = np.r_[True, (k[1:] != k[:-1]) | ((d[1:] != d[:-1]) if level == 2 else False)]
-        group_of = np.cumsum(new) - 1
-        if level == 1:
-            start = np.flatnonzero(new)
-            differ = np.bincount(group_of, weights=(d != d[start][group_of]) | (d == 0)) > 0
-            alone = np.bincount(group_of) == 1
-            mixed = differ[group_of] & ~alone[group_of] & (d != 0)  # a digest of 0: the block knows that it is mixed
-            whole = ~differ[group_of] & ~new
-        else:
-            whole, mixed = ~new, np.zeros(len(k), bool)
-        of, ords = block[order], ords[order]
-        out = {"block": [], "level": [], "whole": [], "mixed": []}
-        for b in np.unique(of[whole | mixed]):
-            own = of == b
-            out["block"].append(int(b))
-            out["level"].append(level)
-            out["whole"].append(ords[own & whole].tobytes())
-            out["mixed"].append(ords[own & mixed].tobytes())
-        return table_of(out, fields)
-
-    return run
-
-
-def answers(entries: DataFrame, level: int) -> DataFrame:
-    fields, run = pa_schema(entries.sparkSession, BACK), compared(level)
-    return entries.groupBy("bucket").applyInArrow(lambda key, group: run(key, group, fields), BACK)
+def entries_of(group: pa.Table) -> dict[str, np.ndarray]:
+    parts = {c: [np.frombuffer(x, t) for x in group[c].to_pylist()] for c, t in (("keys", np.uint64), ("digests", np.uint64), ("ids", np.int64), ("starts", np.int64), ("ords", np.int32), ("counts", np.int32))}
+    return {"block": np.repeat(group["block"].to_numpy(), [len(x) for x in parts["keys"]]), **{c: np.concatenate(x) for c, x in parts.items()}}
+
+
+def replies(level: int, of: np.ndarray, fields: pa.Schema, **ords: np.ndarray) -> pa.Table:
+    """Rows of BACK: for each block, what it is told; ords: (whether it is told so, what) for each column."""
+    any_ = np.logical_or.reduce([told for told, _ in ords.values()])
+    out = {f.name: [] for f in fields}
+    for b in np.unique(of[any_]):
+        own = of == b
+        out["block"].append(int(b))
+        out["level"].append(level)
+        for c in ("whole", "mixed", "hot"):
+            told, what = ords.get(c, (np.zeros(len(of), bool), np.zeros(len(of), np.int32)))
+            out[c].append(what[own & told].astype(np.int32).tobytes())
+    return table_of(out, fields)
+
+
+def by_trigger(group: pa.Table, fields: pa.Schema, most: int) -> pa.Table:
+    """Level 1: entries that repeat an earlier phrase (whole); those whose trigger stands in different phrases of several blocks (mixed, or hot if these are many)."""
+    e = entries_of(group)
+    order = np.lexsort((e["block"], e["starts"], e["ids"], e["keys"]))
+    k, d, n = e["keys"][order], e["digests"][order], e["counts"][order]
+    new = np.r_[True, k[1:] != k[:-1]]
+    of = np.cumsum(new) - 1
+    differ = np.bincount(of, weights=(d != d[np.flatnonzero(new)][of]) | (n > 1)) > 0
+    alone = np.bincount(of) == 1
+    several = (differ & ~alone)[of]
+    hot = several & (np.bincount(of, weights=n) > most)[of]
+    ords = e["ords"][order]
+    return replies(1, e["block"][order], fields, whole=(~differ[of] & ~new, ords), mixed=(several & ~hot, ords), hot=(hot, ords))
+
+
+def by_class(group: pa.Table, fields: pa.Schema) -> pa.Table:
+    """Level 2: places of strings that repeat an earlier one, from strings' hashes and, where phrases are given, from theirs."""
+    e = entries_of(group)
+    has = np.repeat([x is not None for x in group["phrases"].to_pylist()], [len(x) // 8 for x in group["keys"].to_pylist()])
+    columns = {c: [e[c][~has]] for c in ("block", "keys", "digests", "ids", "starts", "ords")}
+    if has.any():
+        data = np.frombuffer(b"".join(x for x in group["phrases"].to_pylist() if x is not None), np.uint8)
+        size = e["counts"][has].astype(np.int64)  # here: bytes of the phrase
+        first = np.cumsum(size) - size
+        length = int(e["digests"][has][0])  # here: bytes of a string
+        many = size - length + 1
+        which = np.repeat(np.arange(len(size)), many)
+        offset = np.arange(len(which)) - np.repeat(np.cumsum(many) - many, many)
+        long = hash_of(data, 64)
+        at = first[which] + offset
+        a, b = ends_hash(long, at, length)
+        for c, x in (("block", e["block"][has][which]), ("keys", a), ("digests", b), ("ids", e["ids"][has][which]), ("starts", e["starts"][has][which] + offset), ("ords", e["ords"][has][which] + offset)):
+            columns[c].append(x)
+    c = {k: np.concatenate(v) for k, v in columns.items()}
+    order = np.lexsort((c["block"], c["starts"], c["ids"], c["digests"], c["keys"]))
+    k, d = c["keys"][order], c["digests"][order]
+    again = ~np.r_[True, (k[1:] != k[:-1]) | (d[1:] != d[:-1])]
+    return replies(2, c["block"][order], fields, whole=(again, c["ords"][order]))
+
+
+def hash_of(data: np.ndarray, width: int) -> np.ndarray:
+    """At each place, the hash of `width` bytes from it (a power of two)."""
+    x, w = BYTE[data], 1
+    while w < width:
+        x = mix(x[:-w] * P + x[w:] * Q + np.uint64(w))
+        w *= 2
+    return x
+
+
+def ends_hash(long: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of the strings at these places, from those of 64 bytes at their ends."""
+    one, two = long[at], long[at + length - 64]
+    return mix(one * P + two), mix(one * Q ^ mix(two * P + ONE))
+
+
+def answers(entries: DataFrame, level: int, many: int) -> DataFrame:
+    fields = pa_schema(entries.sparkSession, BACK)
+    return entries.groupBy("bucket").applyInArrow(lambda key, group: by_trigger(group, fields, many) if level == 1 else by_class(group, fields), BACK)
 
 
 def ords_of(back: pa.Table, level: int, column: str) -> np.ndarray:
@@ -215,12 +266,12 @@ def ords_of(back: pa.Table, level: int, column: str) -> np.ndarray:
     return np.concatenate(some) if some else np.empty(0, np.int32)
 
 
-def repeats(docs: DataFrame, *, length: int = 100, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def repeats(docs: DataFrame, *, length: int = 100, text: str = "text", doc_id: str = "doc_id", block_bytes: int = BLOCK_BYTES, stretch: int = STRETCH, many: int = MANY) -> DataFrame:
     """(doc_id, n_bytes, n_removed, spans, kept), a row for each row of docs: the merged byte ranges that repeat, and the other bytes."""
     if length < 64:
         raise ValueError("length must be at least 64")
     spark = docs.sparkSession
-    blocks = stored(blocks_of(docs, text, doc_id))
+    blocks = stored(blocks_of(docs, text, doc_id, block_bytes))
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     buckets = max(32, -(-size // GROUP_BYTES))
     fields = pa_schema(spark, SENT)
@@ -228,30 +279,40 @@ def repeats(docs: DataFrame, *, length: int = 100, text: str = "text", doc_id: s
     def phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                b = Block(row, length)
+                b = Block(row, length, stretch)
                 lead = np.flatnonzero(b.lead)
-                digest = np.where(b.mixed[lead], np.uint64(0), b.digest[lead] | ONE)
-                out = table_of(sent(row["block"], buckets, b.key[lead], digest, *b.place(b.first[lead]), lead), fields)
+                out = table_of(sent(row["block"], buckets, b.key[lead], b.digest[lead], *b.place(b.first[lead]), lead, b.phrases[lead]), fields)
                 yield from out.to_batches()
 
-    one = stored(answers(blocks.mapInArrow(phrases, SENT), 1))
+    one = stored(answers(blocks.mapInArrow(phrases, SENT), 1, many))
+
+    def of_triggers(b: Block, lead: np.ndarray) -> np.ndarray:
+        """The phrases, once for each digest, of the triggers that these stand for."""
+        told = np.zeros(len(b.key), bool)
+        told[lead] = True
+        return np.flatnonzero(told[b.trigger] & b.is_first)
 
     def chosen(b: Block, back: pa.Table) -> np.ndarray:
-        """The phrases whose strings are told apart one by one: those of mixed triggers, once for each digest."""
-        mixed = b.mixed.copy()
-        mixed[ords_of(back, 1, "mixed")] = True
-        return np.flatnonzero(mixed & b.is_first)
+        """The phrases whose strings are told apart one by one."""
+        told = of_triggers(b, np.concatenate([ords_of(back, 1, "mixed"), ords_of(back, 1, "hot")]))
+        return np.union1d(told, np.flatnonzero(b.mixed & b.is_first))
 
     def suffixes(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        rows = left.to_pylist()
-        if not rows:
-            return table_of({f.name: [] for f in fields}, fields)
-        b = Block(rows[0], length)
-        starts, x, y, first = b.windows(chosen(b, right))
-        starts, x, y = starts[first], x[first], y[first]
-        return table_of(sent(rows[0]["block"], buckets, x, y, *b.place(starts), starts), fields)
-
-    two = stored(answers(blocks.groupBy("block").cogroup(one.groupBy("block")).applyInArrow(suffixes, SENT), 2))
+        rows, parts = left.to_pylist(), []
+        if rows and right.num_rows:
+            b = Block(rows[0], length, stretch)
+            own = of_triggers(b, ords_of(right, 1, "mixed"))
+            if len(own):
+                ends = b.last[own] + length
+                data = [b.data[s:e].tobytes() for s, e in zip(b.first[own], ends, strict=True)]
+                parts.append(sent(rows[0]["block"], buckets, b.key[own], np.full(len(own), length, np.uint64), *b.place(b.first[own]), b.first[own], ends - b.first[own], data))
+            if len(own := of_triggers(b, ords_of(right, 1, "hot"))):
+                starts, x, y, first = b.windows(own)
+                starts, x, y = starts[first], x[first], y[first]
+                parts.append(sent(rows[0]["block"], buckets, x, y, *b.place(starts), starts, np.ones(len(starts), np.int32)))
+        return pa.concat_tables([table_of(x, fields) for x in parts] or [table_of({f.name: [] for f in fields}, fields)])
+
+    two = stored(answers(blocks.groupBy("block").cogroup(one.groupBy("block")).applyInArrow(suffixes, SENT), 2, many))
     schema = "doc_id long, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary"
     result = pa_schema(spark, schema)
 
@@ -259,7 +320,7 @@ def repeats(docs: DataFrame, *, length: int = 100, text: str = "text", doc_id: s
         rows = left.to_pylist()
         if not rows:
             return table_of({f.name: [] for f in result}, result)
-        b = Block(rows[0], length)
+        b = Block(rows[0], length, stretch)
         whole = ~b.is_first
         whole[ords_of(right, 1, "whole")] = True
         edge = np.zeros(len(b.data) + 1, np.int32)
