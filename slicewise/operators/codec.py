@@ -70,13 +70,13 @@ def slices_of(frames: DataFrame) -> DataFrame:
 
 def predicted(slices: DataFrame) -> DataFrame:
     """slices with residual in place of samples, and the residual's histogram."""
-    schema = plus(slices.schema, "residual binary, counts array<bigint>", without=("samples",))
+    schema = plus(slices.schema, "residual binary, counts map<int,bigint>", without=("samples",))
     names = [f.name for f in schema]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             res = [kernels.residuals(p, np.frombuffer(x, np.uint8), w) for p, x, w in zip(*(batch[c].to_pylist() for c in ("predictor", "samples", "pw")), strict=True)]
-            made = {"residual": pa.array([r.tobytes() for r in res], pa.binary()), "counts": pa.array([np.bincount(r, minlength=256) for r in res], pa.list_(pa.int64()))}
+            made = {"residual": pa.array([r.tobytes() for r in res], pa.binary()), "counts": pa.array([list(zip(*map(np.ndarray.tolist, np.unique(r, return_counts=True)), strict=True)) for r in res], pa.map_(pa.int32(), pa.int64()))}
             yield pa.RecordBatch.from_arrays([made[c] if c in made else batch[c] for c in names], names=names)
 
     return slices.mapInArrow(run, schema)
@@ -85,7 +85,7 @@ def predicted(slices: DataFrame) -> DataFrame:
 def descriptors(slices: DataFrame) -> DataFrame:
     """(key, plane_idx, descriptor) from the slices' histograms: added up by symbol, then code lengths of 256 counts."""
     plane = [*KEY, "plane_idx"]
-    counts = slices.select(*plane, F.posexplode("counts").alias("sym", "n")).where("n > 0").groupBy(*plane, "sym").agg(F.sum("n").alias("n"))
+    counts = slices.select(*plane, F.explode("counts").alias("sym", "n")).groupBy(*plane, "sym").agg(F.sum("n").alias("n"))
     whole = slices.select(*plane).distinct().join(counts.groupBy(*plane).agg(F.map_from_entries(F.collect_list(F.struct("sym", "n"))).alias("n")), plane, "left")
     rows = whole.select(*plane, F.transform(F.sequence(F.lit(0), F.lit(255)), lambda s: F.coalesce(F.try_element_at("n", s), F.lit(0))).alias("counts"))
     schema = plus(rows.schema, "descriptor binary", without=("counts",))

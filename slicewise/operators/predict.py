@@ -21,19 +21,29 @@ def med(a: Column, b: Column, c: Column) -> Column:
     return median3(a, b, (a + b - c).bitwiseAND(F.lit(255)))
 
 
-def residual(pixels: DataFrame, predictor: str, width: int, key: list[str]) -> DataFrame:
-    """pixels with residual, for one of none, left, gradient, median."""
+def guesses(width: int, key: list[str]) -> dict[str, Column]:
+    """What each predictor expects, all over one window."""
     w = Window.partitionBy(*key).orderBy("i")
     a, b, d = F.lag("v", 1).over(w), F.lag("v", width).over(w), F.lag("v", width + 1).over(w)
     r, c = F.floor(F.col("i") / width), F.col("i") % width
     left = F.coalesce(a, F.lit(FIRST))
-    guess = {
+    return {
         "none": F.lit(0),
         "left": left,
         "gradient": F.when(r == 0, left).when(c == 0, b).otherwise((a + b - d).bitwiseAND(F.lit(255))),
         "median": F.when(r == 0, left).when((c == 0) & (r == 1), b).otherwise(med(a, b, d)),
-    }[predictor]
-    return pixels.withColumn("residual", (F.col("v") - guess).bitwiseAND(F.lit(255)).cast("int"))
+    }
+
+
+def residual(pixels: DataFrame, predictor: str, width: int, key: list[str]) -> DataFrame:
+    """pixels with residual, for one of none, left, gradient, median."""
+    return pixels.withColumn("residual", (F.col("v") - guesses(width, key)[predictor]).bitwiseAND(F.lit(255)).cast("int"))
+
+
+def residuals_of_all(pixels: DataFrame, width: int, key: list[str]) -> DataFrame:
+    """A row for each pixel and predictor, with residual: one sort serves all predictors."""
+    every = [F.struct(F.lit(p).alias("predictor"), (F.col("v") - g).bitwiseAND(F.lit(255)).cast("int").alias("residual")) for p, g in guesses(width, key).items()]
+    return pixels.withColumn("_all", F.array(*every)).select(*pixels.columns, F.inline("_all"))
 
 
 def inverse(residuals: DataFrame, predictor: str, width: int, key: list[str]) -> DataFrame:

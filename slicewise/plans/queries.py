@@ -61,11 +61,7 @@ def residual_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 def plane_counts(spark: SparkSession, sf_dir: str, key: list[str]) -> DataFrame:
     """Residual counts of the first rows as one slice, for all predictors."""
     first = P.in_slices(P.planes_of(P.lineitem_pixels(spark, sf_dir)), W, 1).where(F.col("r") < entropy.SAMPLE_ROWS)
-    parts = [entropy.histogram(predict.residual(first, p, W, SLICE), key).withColumn("predictor", F.lit(p)) for p in S.PREDICTORS]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return entropy.histogram(predict.residuals_of_all(first, W, SLICE), ["predictor", *key])
 
 
 def entropy_by_predictor(spark: SparkSession, sf_dir: str) -> DataFrame:
