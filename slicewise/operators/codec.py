@@ -48,7 +48,7 @@ def rgb(frames: DataFrame, inverse: bool) -> DataFrame:
         for batch in batches:
             out = []
             for fourcc, planes in zip(batch["fourcc"].to_pylist(), batch["planes"].to_pylist(), strict=True):
-                if planes and len(planes) >= 3 and fourcc in ("ULRG", "ULRA"):
+                if planes and len(planes) >= 3 and fourcc in ("ULRG", "ULRA") and len({len(p or b"") for p in planes[:3]}) == 1 and None not in planes[:3]:
                     g, b, r = (np.frombuffer(p, np.uint8) for p in planes[:3])
                     shift = np.uint8(kernels.FIRST)
                     planes[1:3] = [(x + g - shift if inverse else x - g + shift).tobytes() for x in (b, r)]
@@ -58,77 +58,76 @@ def rgb(frames: DataFrame, inverse: bool) -> DataFrame:
     return frames.mapInArrow(run, frames.schema)
 
 
+PARAMETERS = ["fourcc", "width", "height", "num_slices"]
+
+
 def slices_of(frames: DataFrame) -> DataFrame:
-    """One row for each slice of each plane: (key, fourcc, predictor, plane_idx, slice_idx, pw, ph, rows, samples)."""
-    planes = frames.select(*KEY, "fourcc", "predictor", "num_slices", "width", "height", F.posexplode("planes").alias("plane_idx", "plane"))
+    """One row for each slice of each plane; a frame with an error stays as one row without samples."""
+    planes = frames.select(*KEY, *PARAMETERS, "predictor", "error", F.posexplode_outer(F.when(F.col("error").isNull(), F.col("planes"))).alias("plane_idx", "plane"))
     planes = planes.withColumn("pw", S.plane_width(F.col("fourcc"), F.col("plane_idx"), F.col("width"))).withColumn("ph", S.plane_height(F.col("fourcc"), F.col("plane_idx"), F.col("height")))
-    cut = planes.withColumn("slice_idx", F.explode(F.sequence(F.lit(0), F.col("num_slices") - 1)))
+    cut = planes.withColumn("slice_idx", F.explode(F.sequence(F.lit(0), F.when(F.col("error").isNull(), F.col("num_slices") - 1).otherwise(F.lit(0)))))
     start, end = S.row_start(F.col("ph"), F.col("slice_idx"), F.col("num_slices")), S.row_start(F.col("ph"), F.col("slice_idx") + 1, F.col("num_slices"))
-    samples = F.substring("plane", start * F.col("pw") + 1, (end - start) * F.col("pw"))
-    return cut.select(*KEY, "fourcc", "predictor", "plane_idx", "slice_idx", "pw", "ph", (end - start).alias("rows"), samples.alias("samples"))
+    samples = F.when(F.col("plane").isNotNull(), F.substring("plane", start * F.col("pw") + 1, (end - start) * F.col("pw")))
+    return cut.select(*KEY, *PARAMETERS, "predictor", "error", "plane_idx", "slice_idx", "pw", samples.alias("samples"))
 
 
 def predicted(slices: DataFrame) -> DataFrame:
     """slices with residual in place of samples, and the residual's histogram."""
-    schema = plus(slices.schema, "residual binary, counts map<int,bigint>", without=("samples",))
+    schema = plus(slices.schema, "residual binary, counts map<int,bigint>", without=("samples", "pw"))
     names = [f.name for f in schema]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            res = [kernels.residuals(p, np.frombuffer(x, np.uint8), w) for p, x, w in zip(*(batch[c].to_pylist() for c in ("predictor", "samples", "pw")), strict=True)]
-            made = {"residual": pa.array([r.tobytes() for r in res], pa.binary()), "counts": pa.array([list(zip(*map(np.ndarray.tolist, np.unique(r, return_counts=True)), strict=True)) for r in res], pa.map_(pa.int32(), pa.int64()))}
+            res = [None if x is None else kernels.residuals(p, np.frombuffer(x, np.uint8), w) for p, x, w in zip(*(batch[c].to_pylist() for c in ("predictor", "samples", "pw")), strict=True)]
+            counts = [None if r is None else list(zip(*map(np.ndarray.tolist, np.unique(r, return_counts=True)), strict=True)) for r in res]
+            made = {"residual": pa.array([None if r is None else r.tobytes() for r in res], pa.binary()), "counts": pa.array(counts, pa.map_(pa.int32(), pa.int64()))}
             yield pa.RecordBatch.from_arrays([made[c] if c in made else batch[c] for c in names], names=names)
 
     return slices.mapInArrow(run, schema)
 
 
-def descriptors(slices: DataFrame) -> DataFrame:
-    """(key, plane_idx, descriptor) from the slices' histograms: added up by symbol, then code lengths of 256 counts."""
-    plane = [*KEY, "plane_idx"]
-    counts = slices.select(*plane, F.explode("counts").alias("sym", "n")).groupBy(*plane, "sym").agg(F.sum("n").alias("n"))
-    whole = slices.select(*plane).distinct().join(counts.groupBy(*plane).agg(F.map_from_entries(F.collect_list(F.struct("sym", "n"))).alias("n")), plane, "left")
-    rows = whole.select(*plane, F.transform(F.sequence(F.lit(0), F.lit(255)), lambda s: F.coalesce(F.try_element_at("n", s), F.lit(0))).alias("counts"))
-    schema = plus(rows.schema, "descriptor binary", without=("counts",))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            d = [kernels.code_lengths(np.array(c, np.int64)).tobytes() for c in batch["counts"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(batch[c] for c in plane), pa.array(d, pa.binary())], names=[*plane, "descriptor"])
-
-    return rows.mapInArrow(run, schema)
-
-
-def packed(slices: DataFrame) -> DataFrame:
-    """slices with bytes, their residuals in their plane's code."""
-    schema = plus(slices.select(*KEY, "plane_idx", "slice_idx", "predictor", "descriptor").schema, "bytes binary")
+def packed(planes: DataFrame) -> DataFrame:
+    """planes with descriptor and data, from each plane's slices: their histograms add up to the plane's code, which packs them."""
+    schema = plus(planes.schema, "descriptor binary, data array<binary>", without=("slices",))
     names = [f.name for f in schema]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data = [kernels.packed_bits(np.frombuffer(r, np.uint8), np.frombuffer(d, np.uint8)) for r, d in zip(batch["residual"].to_pylist(), batch["descriptor"].to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(data, pa.binary()) if c == "bytes" else batch[c] for c in names], names=names)
+            descriptors, data = [], []
+            for slices in batch["slices"].to_pylist():
+                n = np.zeros(256, np.int64)
+                for s in slices:
+                    for x in s["counts"] or ():
+                        n[x["key"]] += x["value"]
+                d = kernels.code_lengths(n)
+                descriptors.append(d.tobytes())
+                data.append([kernels.packed_bits(np.frombuffer(s["residual"] or b"", np.uint8), d) for s in slices])
+            made = {"descriptor": pa.array(descriptors, pa.binary()), "data": pa.array(data, pa.list_(pa.binary()))}
+            yield pa.RecordBatch.from_arrays([made[c] if c in made else batch[c] for c in names], names=names)
 
-    return slices.mapInArrow(run, schema)
+    return planes.mapInArrow(run, schema)
 
 
-def assembled(slices: DataFrame) -> DataFrame:
-    """(key, chunk) from packed slices: planes are descriptor, end offsets, data; a frame ends with its predictor."""
-    plane = slices.groupBy(*KEY, "plane_idx").agg(F.first("descriptor").alias("d"), F.first("predictor").alias("predictor"), F.sort_array(F.collect_list(F.struct("slice_idx", "bytes"))).alias("s"))  # 256 slices at most
-    data = F.transform("s", lambda s: s["bytes"])
-    ends = F.transform("s", lambda _, k: F.aggregate(F.slice(data, F.lit(1), k + 1), F.lit(0).cast("bigint"), lambda n, x: n + F.octet_length(x)))
-    plane = plane.select(*KEY, "plane_idx", "predictor", F.concat("d", joined(F.transform(ends, S.dword)), joined(data)).alias("blob"))
-    frame = plane.groupBy(*KEY).agg(F.first("predictor").alias("predictor"), F.sort_array(F.collect_list(F.struct("plane_idx", "blob"))).alias("p"))  # four planes at most
-    return frame.select(*KEY, F.concat(joined(F.transform("p", lambda p: p["blob"])), S.dword(S.frame_info_of(F.col("predictor")))).alias("chunk"))
+def assembled(planes: DataFrame) -> DataFrame:
+    """Frames from packed planes, by expressions: a plane is descriptor, end offsets, data; a frame ends with its predictor."""
+    ends = F.transform("data", lambda _, k: F.aggregate(F.slice("data", F.lit(1), k + 1), F.lit(0).cast("bigint"), lambda n, x: n + F.octet_length(x)))
+    blob = F.concat("descriptor", joined(F.transform(ends, S.dword)), joined(F.col("data")))
+    head = [*KEY, *PARAMETERS, "predictor"]
+    frame = planes.groupBy(*head).agg(F.first("error").alias("error"), F.sort_array(F.collect_list(F.struct("plane_idx", blob.alias("blob")))).alias("p"))  # four planes at most
+    chunk = F.concat(joined(F.transform("p", lambda p: p["blob"])), S.dword(S.frame_info_of(F.col("predictor"))))
+    return frame.select(*KEY, *PARAMETERS, F.when(F.col("error").isNull(), chunk).alias("chunk"), "error")
 
 
 def encode(frames: DataFrame) -> DataFrame:
-    """(stream_id, frame_no, chunk, error) from frames(stream_id, frame_no, fourcc, width, height, predictor 0..3, num_slices, planes ARRAY<BINARY>)."""
-    checked = frames.withColumn("error", S.input_error(*(F.col(c) for c in ("fourcc", "width", "height", "num_slices", "planes"))))
-    good = rgb(checked.where(F.col("error").isNull()).drop("error"), inverse=False)
-    cut = predicted(slices_of(good))
-    whole = cut.join(descriptors(cut), [*KEY, "plane_idx"])
-    done = assembled(packed(whole)).withColumn("error", E.none())
-    return done.unionByName(checked.where(F.col("error").isNotNull()).select(*KEY, F.lit(None).cast("binary").alias("chunk"), "error"))
+    """(stream_id, frame_no, the stream's parameters, chunk, error) from frames(stream_id, frame_no, fourcc, width, height, predictor 0..3, num_slices, planes ARRAY<BINARY>).
+
+    Two shuffles: residuals meet by plane, packed planes by frame.
+    """
+    checked = frames.select(*KEY, *PARAMETERS, "predictor", "planes").withColumn("error", S.input_error(*(F.col(c) for c in ("fourcc", "width", "height", "num_slices", "planes"))))
+    cut = predicted(slices_of(rgb(checked, inverse=False)))
+    one = F.sort_array(F.collect_list(F.struct("slice_idx", "residual", F.map_entries("counts").alias("counts"))))  # 256 slices at most
+    planes = cut.groupBy(*KEY, *PARAMETERS, "predictor", "plane_idx").agg(F.first("error").alias("error"), one.alias("slices"))
+    return assembled(packed(planes))
 
 
 def walk(chunk: bytes, fourcc: str, width: int, height: int, num_slices: int, codes: bool = True) -> tuple[list[dict], int]:
@@ -185,6 +184,8 @@ def parsed(packets: DataFrame, codes: bool = True) -> DataFrame:
             layout, info, errors = [], [], []
             for row in zip(*(batch[c].to_pylist() for c in ("chunk", "fourcc", "width", "height", "num_slices")), strict=True):
                 try:
+                    if row[0] is None or row[1] not in S.LAYOUTS or None in row:
+                        raise kernels.CodecError("InvalidInput")
                     planes, word = walk(*row, codes)
                     errors.append(None)
                 except kernels.CodecError as e:
@@ -197,14 +198,16 @@ def parsed(packets: DataFrame, codes: bool = True) -> DataFrame:
     return packets.mapInArrow(run, schema)
 
 
-def configured(packets: DataFrame, config: DataFrame) -> DataFrame:
-    """packets joined to their stream's parameters (fourcc, width, height, num_slices)."""
-    return packets.join(config.select("stream_id", "fourcc", "width", "height", "num_slices"), "stream_id", "left")
+def configured(packets: DataFrame, config: DataFrame | None) -> DataFrame:
+    """packets joined to their stream's parameters (fourcc, width, height, num_slices); without config they carry them."""
+    if config is None:
+        return packets
+    return packets.drop(*PARAMETERS).join(config.select("stream_id", "fourcc", "width", "height", "num_slices"), "stream_id", "left")
 
 
 def decoded_slices(slices: DataFrame, strict: bool) -> DataFrame:
     """slices with samples or error. Slices of one shape in a batch go through the median's inverse together."""
-    schema = plus(slices.schema, f"samples binary, error {E.ERROR}", without=("bytes", "descriptor"))
+    schema = plus(slices.schema, f"samples binary, error {E.ERROR}", without=("bytes", "descriptor", "pw", "rows"))
     names = [f.name for f in schema]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,6 +216,8 @@ def decoded_slices(slices: DataFrame, strict: bool) -> DataFrame:
             errors: list[dict | None] = [None] * batch.num_rows
             alike: dict[tuple, list] = defaultdict(list)
             for k, (data, d, rows, width, p, plane, s) in enumerate(zip(*(batch[c].to_pylist() for c in ("bytes", "descriptor", "rows", "pw", "predictor", "plane_idx", "slice_idx")), strict=True)):
+                if data is None:
+                    continue
                 try:
                     n = rows * width
                     res, used = kernels.unpacked_bits(data, n, np.frombuffer(d, np.uint8)) if n else (np.empty(0, np.uint8), 0)
@@ -230,24 +235,24 @@ def decoded_slices(slices: DataFrame, strict: bool) -> DataFrame:
     return slices.mapInArrow(run, schema)
 
 
-def decode(packets: DataFrame, config: DataFrame, strict: bool = False) -> DataFrame:
+def decode(packets: DataFrame, config: DataFrame | None = None, strict: bool = False) -> DataFrame:
     """(stream_id, frame_no, pts, fourcc, width, height, predictor, frame_info, planes, error) from packets(stream_id, frame_no, pts, chunk).
 
-    strict: bits after a slice's last code must be zero. A packet whose stream has no parameters gets an InvalidInput error.
+    config has a stream's fourcc, width, height and num_slices, unless packets carry them. strict: bits after a slice's last
+    code must be zero. A packet whose stream has no parameters gets an InvalidInput error. One shuffle: samples meet by frame.
     """
     ready = configured(packets, config)
-    lost = ready.where(F.col("fourcc").isNull())
-    read = parsed(ready.where(F.col("fourcc").isNotNull()))
+    read = parsed(ready.select(*KEY, "pts", *PARAMETERS, "chunk")).withColumnRenamed("error", "broken")
     head = [*KEY, "pts", "fourcc", "width", "height", "frame_info"]
-    planes = read.where(F.col("error").isNull()).select(*head, "chunk", F.explode("layout").alias("p"))
-    slices = planes.select(*head, "chunk", "p.plane_idx", F.col("p.width").alias("pw"), "p.descriptor", F.explode("p.slices").alias("s"))
-    slices = slices.select(*head, "plane_idx", "pw", "descriptor", "s.slice_idx", (F.col("s.row_end") - F.col("s.row_start")).alias("rows"), S.predictor_of(F.col("frame_info")).alias("predictor"), F.substring("chunk", F.col("s.start").cast("int") + 1, (F.col("s.end") - F.col("s.start")).cast("int")).alias("bytes"))
+    planes = read.select(*head, "chunk", "broken", F.explode_outer("layout").alias("p"))
+    slices = planes.select(*head, "chunk", "broken", "p.plane_idx", F.col("p.width").alias("pw"), "p.descriptor", F.explode_outer("p.slices").alias("s"))
+    data = F.substring("chunk", F.col("s.start").cast("int") + 1, (F.col("s.end") - F.col("s.start")).cast("int"))
+    slices = slices.select(*head, "broken", "plane_idx", "pw", "descriptor", "s.slice_idx", (F.col("s.row_end") - F.col("s.row_start")).alias("rows"), S.predictor_of(F.col("frame_info")).alias("predictor"), data.alias("bytes"))
     done = decoded_slices(slices, strict)
-    first = F.min_by("error", F.when(F.col("error").isNotNull(), F.struct("plane_idx", "slice_idx")))
-    frames = done.groupBy(*head, "predictor").agg(first.alias("error"), F.sort_array(F.collect_list(F.struct("plane_idx", "slice_idx", "samples"))).alias("s"))  # 1024 slices at most
+    first = F.coalesce(F.first("broken"), F.min_by("error", F.when(F.col("error").isNotNull(), F.struct("plane_idx", "slice_idx"))))
+    samples = F.sort_array(F.collect_list(F.struct("plane_idx", "slice_idx", "samples")))  # 1024 slices at most
+    frames = done.groupBy(*head, "predictor").agg(first.alias("error"), samples.alias("s"))
     plane = lambda k: joined(F.transform(F.filter("s", lambda x: x["plane_idx"] == k), lambda x: x["samples"]))
-    frames = frames.withColumn("planes", F.when(F.col("error").isNull(), F.transform(F.sequence(F.lit(0), S.plane_count(F.col("fourcc")) - 1), plane)))
-    out = ["stream_id", "frame_no", "pts", "fourcc", "width", "height", "predictor", "frame_info", "planes", "error"]
-    bad = read.where(F.col("error").isNotNull()).withColumn("predictor", F.lit(None).cast("int")).withColumn("planes", F.lit(None).cast("array<binary>"))
-    lost = lost.select(*KEY, "pts", "fourcc", "width", "height", F.lit(None).cast("int").alias("predictor"), F.lit(None).cast("bigint").alias("frame_info"), F.lit(None).cast("array<binary>").alias("planes"), E.error("InvalidInput").alias("error"))
-    return rgb(frames.select(*out), inverse=True).unionByName(bad.select(*out)).unionByName(lost.select(*out))
+    whole = F.when(F.col("error").isNull(), F.transform(F.sequence(F.lit(0), S.plane_count(F.col("fourcc")) - 1), plane))
+    out = frames.withColumn("planes", whole).select("stream_id", "frame_no", "pts", "fourcc", "width", "height", "predictor", "frame_info", "planes", "error")
+    return rgb(out, inverse=True)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import formats as S
-from .codec import KEY, configured, parsed
+from .codec import KEY, PARAMETERS, configured, parsed
 
 #: The numerator of a Kraft sum stops here.
 MOST = 2**128 - 1
@@ -18,9 +18,10 @@ def peek_frame_info(chunk: Column) -> Column:
     return F.when(F.octet_length(chunk) >= 4, S.u32le(chunk, F.octet_length(chunk) - 4))
 
 
-def frame_layout(packets: DataFrame, config: DataFrame) -> DataFrame:
-    """packets' keys with layout, frame_info, predictor and error; codebooks are not built."""
-    return parsed(configured(packets, config), codes=False).select(*KEY, "num_slices", "layout", "frame_info", S.predictor_of(F.col("frame_info")).alias("predictor"), "error")
+def frame_layout(packets: DataFrame, config: DataFrame | None = None) -> DataFrame:
+    """packets' keys with the payload's length, layout, frame_info, predictor and error; codebooks are not built."""
+    read = parsed(configured(packets, config).select(*KEY, *PARAMETERS, "chunk"), codes=False)
+    return read.select(*KEY, "num_slices", F.octet_length("chunk").cast("bigint").alias("length"), "layout", "frame_info", S.predictor_of(F.col("frame_info")).alias("predictor"), "error")
 
 
 def slice_layout(frames: DataFrame) -> DataFrame:
@@ -67,16 +68,17 @@ def plane_layout(frames: DataFrame) -> DataFrame:
     """A row for each plane: sizes and the descriptor's statistics."""
     size = F.aggregate("p.slices", F.lit(0).cast("bigint"), lambda n, s: n + s["end"] - s["start"])
     pixels = F.aggregate("p.slices", F.lit(0).cast("bigint"), lambda n, s: n + (s["row_end"] - s["row_start"]).cast("bigint") * F.col("p.width"))
-    planes = frames.select(*KEY, "num_slices", F.explode("layout").alias("p")).select(*KEY, "num_slices", "p.plane_idx", "p.label", F.col("p.width").alias("pw"), F.col("p.height").alias("ph"), size.alias("slice_data_total"), pixels.alias("total_pixels"))
-    tiers = descriptor_lengths(frames).groupBy(*KEY, "plane_idx", "code_len").agg(F.count(F.lit(1)).cast("int").alias("n"))
-    count = lambda test: F.coalesce(F.sum(F.when(test, F.col("n"))), F.lit(0)).cast("int")
-    active = (F.col("code_len") > 0) & (F.col("code_len") < 255)
-    stats = tiers.groupBy(*KEY, "plane_idx").agg(
-        count(F.col("code_len") == 0).alias("zero_count"), count(F.col("code_len") == 255).alias("absent_count"), count(active).alias("active_symbol_count"),
-        F.min(F.when(active, F.col("code_len"))).alias("min_code_length"), F.max(F.when(active, F.col("code_len"))).alias("max_code_length"),
-        F.sort_array(F.collect_list(F.when(active, F.struct(F.col("code_len").alias("code_length"), F.col("n").alias("count"))))).alias("code_length_histogram"),
-    )
-    out = planes.join(stats, [*KEY, "plane_idx"])
+    planes = frames.select(*KEY, "num_slices", "length", F.explode("layout").alias("p")).select(*KEY, "num_slices", "length", "p.plane_idx", "p.label", F.col("p.width").alias("pw"), F.col("p.height").alias("ph"), size.alias("slice_data_total"), pixels.alias("total_pixels"), "p.descriptor")
+    lengths = F.transform(F.sequence(F.lit(1), F.lit(256)), lambda k: F.conv(F.hex(F.substring("descriptor", k, F.lit(1))), 16, 10).cast("int"))
+    planes = planes.withColumn("lengths", F.array_sort(lengths))
+    active = F.filter("lengths", lambda n: (n > 0) & (n < 255))
+    planes = planes.withColumn("active", active)
+    count = lambda value: F.size(F.filter("lengths", lambda n: n == value))
+    tier = lambda n: F.struct(n.alias("code_length"), F.size(F.filter("active", lambda m: m == n)).alias("count"))
+    out = planes.withColumns({
+        "zero_count": count(0), "absent_count": count(255), "active_symbol_count": F.size("active"), "min_code_length": F.array_min("active"), "max_code_length": F.array_max("active"),
+        "code_length_histogram": F.transform(F.array_distinct("active"), tier),
+    }).drop("lengths", "active", "descriptor")
     single = (F.col("zero_count") == 1) & (F.col("active_symbol_count") == 0)
     out = out.withColumn("is_single_symbol", single).withColumn("total_size", F.lit(256).cast("bigint") + 4 * F.col("num_slices") + F.col("slice_data_total"))
     out = out.withColumn("unused_symbol_count", F.lit(256) - F.col("active_symbol_count") - F.when(single, F.lit(1)).otherwise(F.lit(0)))
@@ -85,4 +87,4 @@ def plane_layout(frames: DataFrame) -> DataFrame:
 
 def frame_totals(planes: DataFrame) -> DataFrame:
     """A row for each frame: the planes' sums."""
-    return planes.groupBy(*KEY).agg(F.sum("slice_data_total").alias("total_slice_data_bytes"), (F.sum("total_size") + 4).alias("total_size"), F.sum("total_pixels").alias("total_pixels"), F.every("is_kraft_complete").alias("all_planes_kraft_complete"))
+    return planes.groupBy(*KEY).agg(F.first("length").alias("length"), F.sum("slice_data_total").alias("total_slice_data_bytes"), (F.sum("total_size") + 4).alias("total_size"), F.sum("total_pixels").alias("total_pixels"), F.every("is_kraft_complete").alias("all_planes_kraft_complete"))

@@ -191,26 +191,14 @@ def li_frames(spark: SparkSession, sf_dir: str, fourcc: str, predictor: int) ->
     return P.frames(px, "li", fourcc, predictor, P.SLICES, columns[:3] + (["a"] if fourcc == "ULRA" else []), W)
 
 
-def config_of(frames: DataFrame) -> DataFrame:
-    """One row for each stream and slice count; streams of frames that differ in size are split by frame."""
-    return frames.select("stream_id", "fourcc", "width", "height", "num_slices").distinct()
-
-
-def by_shape(frames: DataFrame) -> DataFrame:
-    """frames whose stream_id also names their shape, so that a stream has one configuration."""
-    return frames.withColumn("stream_id", F.concat_ws("-", "stream_id", "height", "num_slices"))
-
-
-def coded(frames: DataFrame) -> tuple[DataFrame, DataFrame]:
-    frames = by_shape(frames)
-    packets = codec.encode(frames).select("stream_id", "frame_no", F.col("frame_no").alias("pts"), "chunk")
-    return packets, config_of(frames)
+def coded(frames: DataFrame) -> DataFrame:
+    """Packets that carry their stream's parameters."""
+    return codec.encode(frames).withColumn("pts", F.col("frame_no"))
 
 
 def roundtrip_query(fourcc: str, predictor: str) -> Callable[[SparkSession, str], DataFrame]:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        packets, config = coded(li_frames(spark, sf_dir, fourcc, S.PREDICTORS.index(predictor)))
-        return P.pixels_of(codec.decode(packets, config, strict=True), W)
+        return P.pixels_of(codec.decode(coded(li_frames(spark, sf_dir, fourcc, S.PREDICTORS.index(predictor))), strict=True), W)
 
     return query
 
@@ -219,8 +207,7 @@ def embeddings_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors as frames of three equal planes, with the predictor that suits each frame."""
     px = P.embedding_pixels(spark, sf_dir).withColumns({"v1": F.col("v"), "v2": F.col("v")})
     frames = codec.with_predictor(P.frames(px, "emb", "ULY4", 0, P.SLICES, ["v", "v1", "v2"], 64))
-    packets, config = coded(frames)
-    return P.pixels_of(codec.decode(packets, config), 64)
+    return P.pixels_of(codec.decode(coded(frames)), 64)
 
 
 EMB = f"""e0 AS (SELECT vec_id // {P.EMB_ROWS} AS frame_no, vec_id, embedding FROM embeddings), e1 AS (SELECT frame_no, embedding, CAST(row_number() OVER (PARTITION BY frame_no ORDER BY vec_id) - 1 AS INT) AS r FROM e0),
@@ -229,20 +216,18 @@ e2 AS (SELECT frame_no, r, CAST(unnest(range(len(embedding))) AS INT) AS c, unne
 
 def layout_identities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the decode-free layout says of each frame: pixels, sizes against the payload's length, complete codes."""
-    packets, config = coded(li_frames(spark, sf_dir, "ULRG", 2))
-    frames = layout.frame_layout(packets, config)
-    totals = layout.frame_totals(layout.plane_layout(frames)).join(packets.select("stream_id", "frame_no", F.octet_length("chunk").alias("length")), ["stream_id", "frame_no"])
+    frames = layout.frame_layout(coded(li_frames(spark, sf_dir, "ULRG", 2)))
+    totals = layout.frame_totals(layout.plane_layout(frames))
     return totals.select("frame_no", F.col("total_pixels").cast("bigint").alias("total_pixels"), (F.col("total_size") == F.col("length")).alias("size_is_length"), F.col("all_planes_kraft_complete").alias("complete"))
 
 
 def slice_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
-    packets, config = coded(li_frames(spark, sf_dir, "ULY4", 1))
-    return layout.slice_layout(layout.frame_layout(packets, config)).select("frame_no", "plane_idx", "slice_idx", "row_start", "row_end", "pixel_count")
+    return layout.slice_layout(layout.frame_layout(coded(li_frames(spark, sf_dir, "ULY4", 1)))).select("frame_no", "plane_idx", "slice_idx", "row_start", "row_end", "pixel_count")
 
 
 def malformed_taxonomy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Payloads damaged in one way each, by frame number, and what decoding says."""
-    packets, config = coded(li_frames(spark, sf_dir, "ULY4", 1))
+    packets = coded(li_frames(spark, sf_dir, "ULY4", 1))
     k, x = F.col("frame_no") % 6, F.col("chunk")
     bad = (
         F.when(k == 0, F.substring(x, 1, 3))
@@ -252,7 +237,7 @@ def malformed_taxonomy(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(k == 4, F.concat(F.substring(x, F.lit(1), F.octet_length(x) - 4), F.lit(b"\0" * 8), F.substring(x, -4, 4)))
         .otherwise(x)
     )
-    out = codec.decode(packets.withColumn("chunk", bad), config)
+    out = codec.decode(packets.withColumn("chunk", bad))
     return out.select("frame_no", F.col("error.variant").alias("variant"), E.category(F.col("error.variant")).alias("category"), E.message(F.col("error")).isNotNull().alias("has_message"))
 
 
@@ -267,12 +252,9 @@ def stream_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
     folder = f"{root}/{uuid.uuid4().hex}"
-    frames = by_shape(li_frames(spark, sf_dir, "ULRG", 3))
-    encoded_packets(frames).withColumn("pts", F.col("frame_no")).write.parquet(f"{folder}/in")
-    config = config_of(frames)
-    config.write.parquet(f"{folder}/config")
+    encoded_packets(li_frames(spark, sf_dir, "ULRG", 3)).withColumn("pts", F.col("frame_no")).write.parquet(f"{folder}/in")
     source = spark.readStream.schema(spark.read.parquet(f"{folder}/in").schema).parquet(f"{folder}/in")
-    run_stream(source, lambda batch: codec.decode(batch.select("stream_id", "frame_no", "pts", "chunk"), batch.sparkSession.read.parquet(f"{folder}/config")), f"{folder}/out", f"{folder}/check").awaitTermination()
+    run_stream(source, codec.decode, f"{folder}/out", f"{folder}/check").awaitTermination()
     return P.pixels_of(spark.read.parquet(f"{folder}/out"), W)
 
 

@@ -19,7 +19,7 @@ CODEC = {"id": "slicewise", "decode": True, "encode": True, "lossless": True, "i
 
 def encoded_packets(frames: DataFrame) -> DataFrame:
     """Packets of encoded frames: every one is a key frame, and time stamps are not carried."""
-    return codec.encode(frames).select("stream_id", "frame_no", F.lit(None).cast("bigint").alias("pts"), F.lit(True).alias("keyframe"), "chunk", "error")
+    return codec.encode(frames).withColumn("pts", F.lit(None).cast("bigint")).withColumn("keyframe", F.lit(True))
 
 
 def run_stream(source: DataFrame, transform: Callable[[DataFrame], DataFrame], folder: str, checkpoint: str):
