@@ -105,6 +105,13 @@ def huffman_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entropy.canonical_codes(entropy.code_lengths(code_counts(spark, sf_dir), ["frame_no", "plane_idx"]), ["frame_no", "plane_idx"])
 
 
+def huffman_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bits that each plane's residuals take in its code."""
+    key = ["frame_no", "plane_idx"]
+    counts = code_counts(spark, sf_dir)
+    return counts.join(entropy.code_lengths(counts, key), [*key, "sym"]).groupBy(*key).agg(F.sum(F.col("n") * F.col("code_len")).alias("bits"))
+
+
 def kraft_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every plane's code is complete: its numerator is two to the longest length."""
     k = entropy.kraft(entropy.code_lengths(code_counts(spark, sf_dir), ["frame_no", "plane_idx"]), ["frame_no", "plane_idx"])
@@ -263,7 +270,7 @@ ALPHA_SQL = f"WITH {LI} SELECT frame_no, plane_idx, r, c, v FROM pl UNION ALL SE
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     **{f"residual_{p}": residual_query(p) for p in S.PREDICTORS},
     **{f"inverse_{p}": inverse_query(p) for p in ("none", "left", "gradient")},
-    **{f.__name__: f for f in (residual_histogram, entropy_by_predictor, choose_predictor, rgb_forward, rgb_inverse, slice_partition, huffman_codes, kraft_check, canonical_order, format_geometry, config_errors, extradata_fields, frame_info_predictor, sample_geometry)},
+    **{f.__name__: f for f in (residual_histogram, entropy_by_predictor, choose_predictor, rgb_forward, rgb_inverse, slice_partition, huffman_codes, huffman_cost, kraft_check, canonical_order, format_geometry, config_errors, extradata_fields, frame_info_predictor, sample_geometry)},
     **{f"roundtrip_{f.lower()}_{p}": roundtrip_query(f, p) for f, p in [("ULY4", "none"), ("ULY4", "left"), ("ULY4", "gradient"), ("ULY4", "median"), ("ULRG", "left"), ("ULRG", "gradient"), ("ULRG", "median"), ("ULRA", "median")]},
     **{f.__name__: f for f in (embeddings_roundtrip, layout_identities, slice_layout, malformed_taxonomy, stride_repack, stream_roundtrip)},
 }
@@ -278,6 +285,8 @@ t AS (SELECT *, CASE WHEN "left" + 1e-6 < b1 THEN 'left' ELSE n1 END AS n2, CASE
     "rgb_forward": f"WITH {LI} SELECT frame_no, r, c, g, (b - g + 128) & 255 AS b, (x - g + 128) & 255 AS x FROM px",
     "rgb_inverse": f"WITH {LI} SELECT frame_no, r, c, g, b, x FROM px",
     "slice_partition": f"WITH {LI}, f AS (SELECT DISTINCT frame_no, h FROM px), s AS (SELECT frame_no, h, unnest(range({P.SLICES})) AS s FROM f), p AS (SELECT frame_no, unnest([0, 1, 2]) AS plane_idx, CAST(s AS INT) AS slice_idx, CAST(h * s // {P.SLICES} AS INT) AS row_start, CAST(h * (s + 1) // {P.SLICES} AS INT) AS row_end FROM s) SELECT *, CAST((row_end - row_start) * {W} AS BIGINT) AS pixel_count FROM p WHERE row_end > row_start",
+    "huffman_cost": f"""WITH RECURSIVE {CODE_COUNTS}, t AS (SELECT frame_no, plane_idx, list_sort(list(n)) AS w, CAST(0 AS BIGINT) AS bits FROM hist GROUP BY ALL UNION ALL
+SELECT frame_no, plane_idx, list_sort(list_append(w[3:], w[1] + w[2])), CAST(bits + w[1] + w[2] AS BIGINT) FROM t WHERE len(w) > 1) SELECT frame_no, plane_idx, bits FROM t WHERE len(w) = 1""",
     "kraft_check": f"WITH {CODE_COUNTS} SELECT frame_no, plane_idx, true AS complete FROM hist GROUP BY ALL HAVING count(*) > 1",
     "canonical_order": f"""WITH {CODE_COUNTS}, k AS (SELECT *, row_number() OVER (PARTITION BY frame_no, plane_idx ORDER BY n DESC, sym) AS k, least(12, count(*) OVER (PARTITION BY frame_no, plane_idx)) AS m FROM hist), l AS (SELECT frame_no, plane_idx, sym, CAST(least(k, m - 1) AS INT) AS code_len, m - 1 AS mx FROM k WHERE k <= m AND m >= 2)
 SELECT frame_no, plane_idx, sym, code_len, CAST(coalesce(sum(1 << (mx - code_len)) OVER (PARTITION BY frame_no, plane_idx ORDER BY code_len DESC, sym DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) >> (mx - code_len) AS code FROM l""",
