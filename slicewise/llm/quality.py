@@ -29,6 +29,8 @@ TELLING = 5.0
 #: Shape statistics, and the quantiles that part each into bins, finer toward both ends.
 SHAPES, CUTS = 10, (0.02, 0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.98)
 BINS = len(CUTS) + 1
+#: Parts of a path when its documents meet its rate.
+SALTS = 16
 PLAIN = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 
@@ -174,7 +176,10 @@ def classify(docs: DataFrame, labels: DataFrame, *, host: Column | None = None,
     hosts = hosts.select("host", ((F.col("s") + of_host * rate) / (F.col("n") + of_host)).alias("host_rate"))
     paths = paths.join(hosts, "host").select("host", "path", "host_rate", ((F.col("s") + of_path * F.col("host_rate")) / (F.col("n") + of_path)).alias("path_rate"))
     z = F.col("z") + logit(F.col("path_rate")) - F.lit(float(np.log(rate / (1 - rate))))
-    out = scored.join(paths, ["host", "path"]).withColumn("p_bad", 1 / (1 + F.exp(-z)))
+    # a path may hold a third of all documents: it is dealt over salts
+    paths = paths.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    scored = scored.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    out = scored.join(paths, ["host", "path", "salt"]).withColumn("p_bad", 1 / (1 + F.exp(-z)))
     return out.select("doc_id", "row_hash", "p_document", "host_rate", "path_rate", "p_bad", (F.col("p_bad") < threshold).alias("kept"))
 
 
