@@ -40,6 +40,7 @@ LAST = np.iinfo(np.int64).max
 ONE, LOW = np.uint64(1), np.uint64(0xFFFFFFFF)
 P, Q = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 BYTE = mix(np.arange(1, 257, dtype=np.uint64) * P)
+FACTORS = mix(np.arange(1001, 1012, dtype=np.uint64) * Q) | ONE
 SENT = "bucket int, block long, keys binary, digests binary, ids binary, starts binary, ords binary, counts binary, phrases binary"
 BACK = "block long, level int, whole binary, mixed binary, hot binary"
 #: Phrases of a trigger that meet in one group; of more, the suffixes are dealt out.
@@ -87,76 +88,58 @@ class Block:
         self.length, self.stretch = length, stretch
         self.parse()
 
-    def hashed(self) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-        """Stretch by stretch: the first start, hashes of WIDTH and of 64 bytes, and whether `length` bytes from a start are in one document."""
-        n = len(self.data)
-        for at in range(0, max(n - self.length + 1, 0), self.stretch):
-            x = BYTE[self.data[at : at + self.stretch + self.length - 1]]
-            width = 1
-            while width < 64:
-                if width == WIDTH:
-                    short = x
-                x = mix(x[:-width] * P + x[width:] * Q + np.uint64(width))
-                width *= 2
-            starts = np.arange(at, min(at + self.stretch, n - self.length + 1))
-            doc = np.searchsorted(self.ends, starts, side="right")
-            yield at, short, x, starts + self.length <= self.ends[doc]
-
     def parse(self) -> None:
-        found = [[] for _ in range(5)]
-        for at, short, long, inside in self.hashed():
-            starts = np.flatnonzero(inside)
-            if not len(starts):
+        """Finds the phrases, stretch by stretch: no two documents share one, as the last starts of each have no string."""
+        found = [[] for _ in range(4)]
+        n, length = len(self.data), self.length
+        inside = np.zeros(n + 1, bool)  # a string starts here and ends in the same document
+        for s, e in zip(self.begins, self.ends, strict=True):
+            inside[s : max(s, e - length + 1)] = True
+        for at in range(0, max(n - length + 1, 0), self.stretch):
+            own = inside[at : min(at + self.stretch, n - length + 1)]
+            if not own.any():
                 continue
+            short, long = hash_of(self.data[at : at + len(own) + length - 1], WIDTH, 64)
             least = (short & ~LOW) | np.arange(len(short), dtype=np.uint64)
-            reach, span = 1, self.length - WIDTH + 1
+            reach, span = 1, length - WIDTH + 1
             while 2 * reach <= span:
                 least = np.minimum(least[:-reach], least[reach:])
                 reach *= 2
             least = np.minimum(least[: len(least) - (span - reach)], least[span - reach :])
-            trigger = (least[starts] & LOW).astype(np.int64)
-            doc = np.searchsorted(self.ends, at + starts, side="right")
-            new = np.flatnonzero(np.r_[True, (trigger[1:] != trigger[:-1]) | (doc[1:] != doc[:-1]) | (starts[1:] != starts[:-1] + 1)])
-            last = np.r_[new[1:], len(starts)] - 1
-            s, e, t = starts[new], starts[last], trigger[new]
-            size = e - s + self.length
+            turn = np.r_[True, (least[1:] != least[:-1]) | ~own[:-1]]
+            s = np.flatnonzero(own & turn)
+            e = np.flatnonzero(own & np.r_[turn[1:] | ~own[1:], True])
+            t = (least[s] & LOW).astype(np.int64)
+            size = e - s + length
             digest = mix(long[s] * P + mix(long[s + (size - 64) // 2] * Q + mix(long[s + size - 64] + (size.astype(np.uint64) << np.uint64(32)) + (t - s).astype(np.uint64))))
-            for k, v in enumerate((at + s, at + e, mix(short[t]), digest, doc[new])):
+            for k, v in enumerate((at + s, at + e, mix(short[t]), digest)):
                 found[k].append(v)
-        kinds = (np.int64, np.int64, np.uint64, np.uint64, np.int64)
-        self.first, self.last, self.key, self.digest, self.doc = (np.concatenate(f) if f else np.empty(0, k) for f, k in zip(found, kinds, strict=True))
+        kinds = (np.int64, np.int64, np.uint64, np.uint64)
+        self.first, self.last, self.key, self.digest = (np.concatenate(f) if f else np.empty(0, k) for f, k in zip(found, kinds, strict=True))
         n = len(self.key)
-        order = np.lexsort((np.arange(n), self.digest, self.key))
-        key, digest = self.key[order], self.digest[order]
-        new_key = np.r_[True, key[1:] != key[:-1]][:n]
-        new = new_key | np.r_[True, digest[1:] != digest[:-1]][:n]
+        self.is_first, self.lead, self.mixed = np.ones(n, bool), np.ones(n, bool), np.zeros(n, bool)
+        self.phrases, self.trigger = np.ones(n, np.int32), np.arange(n)
+        some = repeated(self.key)  # the others are alone with their trigger
+        some = some[np.lexsort((some, self.digest[some], self.key[some]))]
+        key, digest = self.key[some], self.digest[some]
+        new_key = np.r_[True, key[1:] != key[:-1]][: len(some)]
+        new = new_key | np.r_[True, digest[1:] != digest[:-1]][: len(some)]
         group = np.cumsum(new_key) - 1
-        several = np.bincount(group, weights=new, minlength=1) > 1
-        self.is_first, self.mixed, self.lead = np.zeros(n, bool), np.zeros(n, bool), np.zeros(n, bool)
-        self.is_first[order] = new  # the first in this block of its trigger and digest
-        self.lead[order] = new_key  # stands for its trigger
-        self.mixed[order] = several[group] if n else False  # its trigger stands in different phrases of this block
-        self.phrases, self.trigger = np.zeros(n, np.int32), np.zeros(n, np.int64)
-        self.phrases[order] = np.bincount(group, weights=new, minlength=1)[group].astype(np.int32) if n else 0  # different phrases of its trigger
-        self.trigger[order] = order[np.flatnonzero(new_key)][group] if n else 0  # the one that stands for its trigger
+        different = np.bincount(group, weights=new, minlength=1).astype(np.int32)
+        self.is_first[some], self.lead[some] = new, new_key  # first in this block of its trigger and digest; stands for its trigger
+        if len(some):
+            self.phrases[some] = different[group]  # different phrases of its trigger
+            self.mixed[some] = different[group] > 1
+            self.trigger[some] = some[np.flatnonzero(new_key)][group]  # the one that stands for its trigger
 
     def windows(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Of the chosen phrases' strings: starts, two hashes, and whether each is the first of its kind in this block."""
-        want = np.zeros(len(self.data) + 1, np.int8)
-        np.add.at(want, self.first[chosen], 1)
-        np.add.at(want, self.last[chosen] + 1, -1)
-        want = np.cumsum(want, dtype=np.int8)[:-1] > 0
-        out = [[], [], []]
-        for at, _, long, inside in self.hashed():
-            s = np.flatnonzero(inside & want[at : at + len(inside)])
-            out[0].append(at + s)
-            a, b = ends_hash(long, s, self.length)
-            out[1].append(a)
-            out[2].append(b)
-        starts, a, b = (np.concatenate(x) if x else np.empty(0, k) for x, k in zip(out, (np.int64, np.uint64, np.uint64), strict=True))
-        order = np.lexsort((starts, b, a))
-        first = np.zeros(len(starts), bool)
-        first[order] = np.r_[True, (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])][: len(starts)]
+        starts, (a, b) = strings(self.data, self.first[chosen], self.last[chosen] - self.first[chosen] + self.length, self.length)
+        starts = starts + self.first[chosen][np.repeat(np.arange(len(chosen)), self.last[chosen] - self.first[chosen] + 1)] if len(chosen) else starts
+        first = np.ones(len(starts), bool)
+        some = repeated(a)
+        some = some[np.lexsort((starts[some], b[some], a[some]))]
+        first[some] = np.r_[True, (a[some][1:] != a[some][:-1]) | (b[some][1:] != b[some][:-1])][: len(some)]
         return starts, a, b, first
 
     def place(self, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -224,36 +207,49 @@ def by_class(group: pa.Table, fields: pa.Schema) -> pa.Table:
     if has.any():
         data = np.frombuffer(b"".join(x for x in group["phrases"].to_pylist() if x is not None), np.uint8)
         size = e["counts"][has].astype(np.int64)  # here: bytes of the phrase
-        first = np.cumsum(size) - size
         length = int(e["digests"][has][0])  # here: bytes of a string
-        many = size - length + 1
-        which = np.repeat(np.arange(len(size)), many)
-        offset = np.arange(len(which)) - np.repeat(np.cumsum(many) - many, many)
-        long = hash_of(data, 64)
-        at = first[which] + offset
-        a, b = ends_hash(long, at, length)
+        offset, (a, b) = strings(data, np.cumsum(size) - size, size, length)
+        which = np.repeat(np.arange(len(size)), size - length + 1)
         for c, x in (("block", e["block"][has][which]), ("keys", a), ("digests", b), ("ids", e["ids"][has][which]), ("starts", e["starts"][has][which] + offset), ("ords", e["ords"][has][which] + offset)):
             columns[c].append(x)
     c = {k: np.concatenate(v) for k, v in columns.items()}
+    some = repeated(c["keys"])
+    c = {k: v[some] for k, v in c.items()}
     order = np.lexsort((c["block"], c["starts"], c["ids"], c["digests"], c["keys"]))
     k, d = c["keys"][order], c["digests"][order]
-    again = ~np.r_[True, (k[1:] != k[:-1]) | (d[1:] != d[:-1])]
+    again = ~np.r_[True, (k[1:] != k[:-1]) | (d[1:] != d[:-1])][: len(order)]
     return replies(2, c["block"][order], fields, whole=(again, c["ords"][order]))
 
 
-def hash_of(data: np.ndarray, width: int) -> np.ndarray:
-    """At each place, the hash of `width` bytes from it (a power of two)."""
-    x, w = BYTE[data], 1
-    while w < width:
-        x = mix(x[:-w] * P + x[w:] * Q + np.uint64(w))
-        w *= 2
-    return x
+def repeated(keys: np.ndarray) -> np.ndarray:
+    """The places, in order, of keys that come more than once."""
+    order = np.argsort(keys)
+    k = keys[order]
+    like = np.r_[False, k[1:] == k[:-1], False] if len(k) else np.zeros(1, bool)
+    return np.sort(order[like[:-1] | like[1:]]) if len(k) else order
 
 
-def ends_hash(long: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two hashes of the strings at these places, from those of 64 bytes at their ends."""
+def strings(data: np.ndarray, first: np.ndarray, size: np.ndarray, length: int) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray]]:
+    """For each string of `length` bytes in the phrases that start at `first`: its place in its phrase, and two hashes of it."""
+    begin = np.cumsum(size) - size
+    long = hash_of(data[np.arange(int(size.sum())) + np.repeat(first - begin, size)], 64)[0] if len(size) else np.empty(0, np.uint64)
+    many = size - length + 1
+    offset = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
+    at = np.repeat(begin, many) + offset
     one, two = long[at], long[at + length - 64]
-    return mix(one * P + two), mix(one * Q ^ mix(two * P + ONE))
+    return offset, (mix(one * P + two), mix(one * Q ^ mix(two * P + ONE)))
+
+
+def hash_of(data: np.ndarray, *widths: int) -> list[np.ndarray]:
+    """At each place, the hash of so many bytes from it (powers of two, ascending): a sum of random numbers for the bytes, each
+    times a product of odd factors that its place in the string picks."""
+    x, w, out = BYTE[data], 1, []
+    for width in widths:
+        while w < width:
+            x = x[:-w] * FACTORS[w.bit_length()] + x[w:] if len(x) > w else x[:0]
+            w *= 2
+        out.append(x)
+    return out
 
 
 def answers(entries: DataFrame, level: int, many: int) -> DataFrame:
