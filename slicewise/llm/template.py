@@ -8,8 +8,7 @@ else those with a substantial share of running text. Menus, headers, footers, si
 styles and comments are left out, as their elements say or because the template has their text on the host's other pages.
 
 Occurrence vectors are never built: their fingerprint is an exclusive or over the pages, which Spark sums up partially on each
-executor, so a host of any size is counted without gathering its pages. Templates are as small as a page's skeleton and are
-joined to the pages by host.
+executor, so a host of any size is counted without gathering its pages. Templates are as small as a page's skeleton.
 
 Defined cases: null html gives an empty text; a null or odd url is a host of its own kind (empty name); a host with fewer than
 `LEAST` distinct pages has no template and its pages are judged by their elements; repeated pages get the same text.
@@ -26,13 +25,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches
+from .common import map_batches, stored
 
 #: Distinct pages that a class must stand on, share of the host's distinct pages, and tokens in a class.
 LEAST, SHARE, CLASS = 3, 0.6, 2
 #: Inside an article, template text goes only where so many distinct pages of the host have it, and while it is less than this share of the article.
 SURE_PAGES, SURE_SHARE, MOST_INSIDE = 8, 0.9, 0.3
 
+#: Tokens of templates (8 bytes each) that may be sent to every task; parts of a host beyond that.
+SENT_TOKENS, SALTS = 2_000_000, 16
+
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template iframe svg textarea select title head object canvas".split())
 BLOCK = frozenset(
@@ -234,7 +236,17 @@ def templates(pages: DataFrame) -> DataFrame:
     )
 
 
-def extract(pages: DataFrame) -> DataFrame:
+def with_template(pages: DataFrame, known: DataFrame, most: int) -> DataFrame:
+    """pages with their host's template. Templates of at most `most` tokens in all are sent to every task, so that pages stay
+    where they are; more of them meet the pages by host and salt, so that a large host is dealt over many tasks."""
+    tokens = known.agg(F.sum(F.size("tags") + F.size("texts") + F.size("sure"))).first()[0] or 0
+    if tokens <= most:
+        return pages.join(F.broadcast(known), "host", "left")
+    known = known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return pages.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int")).join(known, ["host", "salt"], "left")
+
+
+def extract(pages: DataFrame, *, most_sent: int = SENT_TOKENS) -> DataFrame:
     """(page_id, url, text, n_chars), a row for each row of pages."""
 
     def make():
@@ -245,5 +257,5 @@ def extract(pages: DataFrame) -> DataFrame:
 
         return run
 
-    rows = pages.select("page_id", "url", "html").withColumn("host", host_of(F.col("url"))).join(templates(pages), "host", "left")
+    rows = with_template(pages.select("page_id", "url", "html").withColumn("host", host_of(F.col("url"))), stored(templates(pages)), most_sent)
     return map_batches(rows.select("page_id", "url", "html", "tags", "texts", "sure"), make, "page_id long, url string, text string, n_chars long")

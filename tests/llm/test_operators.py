@@ -209,11 +209,12 @@ def test_pages(results):
     assert all(r.n_chars == len(r.text) for r in results(5))
 
 
-def test_template_text_goes(spark):
+@pytest.mark.parametrize("most_sent", [0, 10**6])
+def test_template_text_goes(spark, most_sent):
     from slicewise.llm import template
 
     rows = [(k, f"http://t.example/{k}", f"<body><div>Subscribe to our paper today</div><div><p>{prose(40, 300 + k)}</p></div><div>All rights and wrongs</div></body>") for k in range(12)]
-    got = {r.page_id: r.text for r in template.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    got = {r.page_id: r.text for r in template.extract(spark.createDataFrame(rows, "page_id long, url string, html string"), most_sent=most_sent).collect()}
     assert got == {k: prose(40, 300 + k) for k in range(12)}
 
 
