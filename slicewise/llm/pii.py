@@ -1,14 +1,17 @@
 """Personal data: candidate generators and gradient boosted trees.
 
 High-recall generators propose spans, which may overlap: e-mail addresses (also spelled out), IP addresses, card and phone
-numbers with loose punctuation, identity numbers and secrets. Spans that obey a kind's strict form are always taken. The other
-candidates are judged by boosted trees on their format (lengths, digit groups, checksums, entropy) and context (words and
-characters beside them). The trees learn from at most `sample` candidates of the corpus, whose teacher is the strict form or,
-for secrets, the assignment beside them; a third of these set, for each kind, the lowest threshold on the calibrated
-probability that gives the asked precision. Candidates above it are added where no taken span lies over them.
-
-Defined cases: null text is empty; without candidates of both sorts nothing is added; rows that repeat get the same spans; an
-empty table gives no rows. Spans count code points, their end is exclusive.
+numbers with loose punctuation, identity numbers and secrets. Spans that obey a kind's strict form are always taken, and so are
+candidates beside words that name their kind (an assignment for secrets). The others are judged by boosted trees on their
+format (lengths, digit groups, checksums, entropy) and the characters beside them; the naming words are kept from the trees.
+These learn from at most `sample` candidates of the corpus: the naming words, the strict form and checksums teach, candidates
+that none of these decides are left out, and each strict span is written in other ways that teach too (an e-mail spelled out, a
+phone number without its country, a card with other punctuation, digits as an identity number, and wrong ones of each). A third
+set, for each kind, the lowest threshold on the calibrated probability that gives the asked precision. Candidates above it are
+added where no taken span lies over them; a secret may hold smaller ones (a run of its digits can be a card number).
+
+Defined cases: null text is empty; without candidates of both sorts the trees add nothing; rows that repeat get the same spans;
+an empty table gives no rows. Spans count code points, their end is exclusive.
 """
 
 from __future__ import annotations
@@ -17,6 +20,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -38,12 +42,27 @@ IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]+){3}")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 # Loose forms.
-SPELLED = re.compile(r"[\s\[(]+(?:at|AT|@)[\s\])]+[A-Za-z0-9-]{1,64}[\s\[(]*(?:dot|DOT|\.)[\s\])]*(?:com|net|org|edu|gov|info|io)\b")
+SPELLED = re.compile(
+    r"(?i)(?<=[A-Za-z0-9._%+-])[\s\[(]++(?:at|@)[\s\])]++(?:(?:[a-z0-9-]{1,63}+(?:[\s\[(]++dot[\s\])]++|[\s\[(]*+\.[\s\])]*+))+|[a-z0-9-]{1,60}?dot[\s\])]*+)(?:com|net|org|edu|gov|info|io|eu|uk|de|fr|es|it|nl|ch|at|us|ca|au|co|ai|dev|app)\b"
+)
 DIGIT = re.compile("[0-9]")
 NUMBERS = re.compile(r"(?<![0-9A-Za-z])[+(]?[0-9][0-9 ().-]{5,30}[0-9](?![0-9A-Za-z])")
-SECRET = re.compile(r"(?<![A-Za-z0-9_+/-])(?=[A-Za-z_+/-]{0,40}[0-9])[A-Za-z0-9_+/-]{16,128}={0,2}(?![A-Za-z0-9_+/=-])")
+SECRET = re.compile(r"(?<![A-Za-z0-9_+/-])(?=[A-Za-z_+/-]*+[0-9])[A-Za-z0-9_+/-]{16,}+={0,2}+(?![A-Za-z0-9_+/=-])")
 ASSIGNED = re.compile(r"(?i)(?:token|key|secret|passw(?:or)?d|credential)s?[\"']?\s*[=:]\s*[\"']?$")
-SPOKEN = re.compile(r"(?i)\b(?:tel|phone|call|mail|contact|card|visa|ip|host|ssn|passport|fax|mobile)\b\W*$")
+NAMED = {
+    kind: re.compile(rf"(?i)\b(?:{words})\b(?:\W+(?:no|nr|num|number|address|is|was|me|us|at|on|to|under))*\W*$")
+    for kind, words in {
+        "email": "e-?mail|mail|contact|write|reach",
+        "phone": "tel|telephone|phone|call|fax|mobile|cell|whatsapp",
+        "identity": "ssn|social security|passport|identity|tax id|tin",
+    }.items()
+}
+#: Characters before a candidate in which such words are looked for.
+BESIDE = 40
+#: Forms that tell what a number may be.
+IDENTITY = re.compile(r"(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}")
+NATIONAL = re.compile(r"(?!(?:19|20)[0-9]{2}[ .-][01]?[0-9][ .-][0-3]?[0-9]\b)\(?[0-9]{2,4}\)?(?:[ .-]{1,2}[0-9]{2,4}){2,4}")
+COUNTRY = re.compile(r"\+[0-9]{1,3}(?:[ .-]+|(?=\())")
 
 Span = tuple[int, int, str]
 
@@ -98,18 +117,16 @@ def ordered(spans: list[Span]) -> list[Span]:
 def proposed(text: str) -> list[Span]:
     """Candidates of loose form."""
     out = []
-    if "dot" in text or "DOT" in text or "@" in text:
-        for m in SPELLED.finditer(text):
-            start = m.start()
-            while start > max(0, m.start() - 64) and text[start - 1] in LOCAL:
-                start -= 1
-            if start < m.start():
-                out.append((start, m.end(), "email"))
+    for m in SPELLED.finditer(text):
+        start = m.start()
+        while start > max(0, m.start() - 64) and text[start - 1] in LOCAL:
+            start -= 1
+        out.append((start, m.end(), "email"))
     if not DIGIT.search(text):
         return out
     for m in NUMBERS.finditer(text):
         d, s = sum(c.isdigit() for c in m[0]), m[0]
-        kind = "ip" if s.count(".") == 3 and not re.search("[ ()-]", s) else "card" if d >= 13 else "identity" if re.fullmatch(r"\d{3}-\d{2}-\d{4}", s) else "phone" if d >= 9 else ""
+        kind = "ip" if s.count(".") == 3 and d <= 12 and not re.search("[ ()-]", s) else "card" if d >= 13 else "identity" if re.fullmatch(r"\d{3}-\d{2}-\d{4}", s) else "phone" if d >= 9 else ""
         if kind:
             out.append((m.start(), m.end(), kind))
     out += [(m.start(), m.end(), "secret") for m in SECRET.finditer(text)]
@@ -118,7 +135,7 @@ def proposed(text: str) -> list[Span]:
 
 def describe(text: str, span: Span) -> list[float]:
     """Format and context of a candidate."""
-    s, left, right = text[span[0] : span[1]], text[max(0, span[0] - 24) : span[0]], text[span[1] : span[1] + 2]
+    s, left, right = text[span[0] : span[1]], text[max(0, span[0] - 1) : span[0]], text[span[1] : span[1] + 1]
     digits = [c for c in s if c.isdigit()]
     groups = [len(x) for x in re.findall("[0-9]+", s)] or [0]
     letters = sum(c.isalpha() for c in s)
@@ -128,15 +145,55 @@ def describe(text: str, span: Span) -> list[float]:
         len(s), len(digits), letters, len(digits) / max(len(s), 1), len(groups), max(groups), min(groups), entropy, len(counts) / max(len(s), 1),
         float(luhn("".join(digits))) if digits and all("0" <= c <= "9" for c in digits) else 0.0,
         float(max((int(x[:6]) for x in re.findall("[0-9]+", s)), default=0)), s.count("."), s.count("-") + s.count(" "), float("+" in s), float("@" in s), float("(" in s),
-        float(all(c in "0123456789abcdef" for c in s)), float(bool(ASSIGNED.search(left))), float(bool(SPOKEN.search(left))),
-        float(left[-1:].isalnum()), float(right[:1].isalnum()), float(left[-1:] in "\"'"), KINDS.index(span[2]),
+        float(all(c in "0123456789abcdef" for c in s)), float(bool(IDENTITY.fullmatch(s))), float(bool(NATIONAL.fullmatch(s))), float("[" in s), float("dot" in s.lower()),
+        float(left.isalnum()), float(right.isalnum()), groups[0], groups[-1], KINDS.index(span[2]),
     ]
 
 
-def teacher(text: str, span: Span, taken: list[Span]) -> bool:
+def named(text: str, span: Span) -> bool:
+    """Whether the words before a candidate say what it is."""
+    left = text[max(0, span[0] - BESIDE) : span[0]]
     if span[2] == "secret":
-        return bool(ASSIGNED.search(text[max(0, span[0] - 24) : span[0]]))
-    return any(k == span[2] and s < span[1] and e > span[0] for s, e, k in taken)
+        return bool(ASSIGNED.search(left[-24:]))
+    return span[2] in NAMED and bool(NAMED[span[2]].search(left))
+
+
+def teacher(text: str, span: Span, taken: list[Span]) -> bool | None:
+    """Whether a candidate is of its kind; None where neither words, form nor checksum decide."""
+    s, e, kind = span
+    if named(text, span) or any(k == kind and a < e and b > s for a, b, k in taken):
+        return True
+    if kind == "card":
+        d = re.sub("[^0-9]", "", text[s:e])
+        return 14 <= len(d) <= 19 and luhn(d)
+    if kind == "email" or kind == "phone" and NATIONAL.fullmatch(text[s:e]) or kind == "identity" and IDENTITY.fullmatch(text[s:e]):
+        return None
+    return False
+
+
+def rewritten(text: str, span: Span) -> Iterator[tuple[str, Span, bool]]:
+    """Other ways to write a strict span, right and wrong ones: (text, candidate, whether it is of its kind)."""
+    s, e, kind = span
+    left, own, right = text[max(0, s - BESIDE) : s], text[s:e], text[e : e + 1]
+    d = re.sub("[^0-9]", "", own)
+    made: list[tuple[str, str, bool]] = []
+    if kind == "email":
+        local, domain = own.rsplit("@", 1)
+        at, dot = [(" at ", " dot "), (" [at] ", " [dot] "), (" (at) ", ".")][crc32(own.encode()) % 3]
+        made = [(local + at + domain.replace(".", dot), "email", True), ((re.findall("[A-Za-z]+", left) or ["look"])[-1] + " at " + domain, "email", False)]
+    elif kind == "card":
+        other = d[:-1] + str((int(d[-1]) + 1 + int(d[0]) % 9) % 10)
+        made = [(".".join(x[k : k + 4] for k in range(0, len(x), 4)), "card", x == d) for x in (d, other)]
+    elif kind == "phone":
+        if m := COUNTRY.match(own):
+            national = own[m.end() :]
+            if sum(c.isdigit() for c in national) >= 9 and NATIONAL.fullmatch(national):
+                made.append((national, "phone", True))
+        made += [(f"{d[-9:-4]}-{d[-4:]}", "phone", False), (d[-10:], "phone", False), (f"20{d[-2:]}-0{int(d[-3]) % 9 + 1}-1{d[-4]} {d[-6:-4]}", "phone", False)]
+        good = f"{int(d[-9]) % 5 + 1}{d[-8:-6]}-{int(d[-6]) % 9 + 1}{d[-5]}-{d[-4:-1]}{int(d[-1]) % 9 + 1}"
+        made += [(good, "identity", True), (f"{['000', '666', '9' + good[1:3]][int(d[-1]) % 3]}{good[3:]}", "identity", False)]
+    for x, k, y in made:
+        yield left + x + right, (len(left), len(left) + len(x), k), y
 
 
 class Trees:
@@ -208,12 +265,13 @@ def learn(docs: DataFrame, *, text: str = "text", sample: int = SAMPLE) -> Trees
         for batch in batches:
             x, y, of = [], [], []
             for t in batch.column(0).to_pylist():
-                if t and (found := proposed(t)):
-                    taken = strict(t)
-                    for s in found:
-                        x.append(describe(t, s))
-                        y.append(teacher(t, s, taken))
-                        of.append(t[s[0] : s[1]])
+                taken = strict(t) if t else []
+                known = [(t, s, teacher(t, s, taken)) for s in proposed(t)] if t else []
+                for at, s, good in (*known, *(r for s in taken for r in rewritten(t, s))):
+                    if good is not None:
+                        x.append(describe(at, s))
+                        y.append(good)
+                        of.append(at[s[0] : s[1]])
             if x:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), pa.array(y), pa.array(of)], names=["x", "y", "of"])
 
@@ -230,11 +288,12 @@ def spans_of(text: str, trees: Trees | None) -> tuple[list[Span], list[Span]]:
     """(strict spans, all spans)."""
     taken = strict(text)
     every = list(taken)
-    if trees and (found := proposed(text)):
-        p = trees.probability(np.array([describe(text, s) for s in found], float))
-        for k in np.argsort(-p, kind="stable"):
+    if found := proposed(text):
+        sure = np.array([named(text, s) for s in found])
+        p = trees.probability(np.array([describe(text, s) for s in found], float)) if trees else np.zeros(len(found))
+        for k in np.lexsort((-p, ~sure)):
             s, e, kind = found[k]
-            if p[k] >= trees.least.get(KINDS.index(kind), 2.0) and not any(a < e and b > s for a, b, _ in every):
+            if (sure[k] or trees and p[k] >= trees.least.get(KINDS.index(kind), 2.0)) and not any(a < e and b > s and not (kind == "secret" and s <= a and b <= e and b - a < e - s) for a, b, _ in every):
                 every.append(found[k])
     return taken, ordered(every)
 
