@@ -153,24 +153,46 @@ class Lattice:
         text = "".join(chr(int(c) - 1) for c in codes)
         last = [0.0]
         for end in range(1, len(text) + 1):
-            terms = []
-            for size in range(1, min(self.most, end) + 1):
-                k = self.number.get(text[end - size : end])
-                if k is not None:
-                    terms.append(last[-size] + float(self.log_p[k]))
-                elif size == 1:
-                    terms.append(last[-1] + sum(float(self.log_p[self.of_byte[b]]) for b in text[end - 1].encode("utf-8", "surrogatepass")))
-            top = max(terms)
-            last.append(top + float(np.log(sum(np.exp(t - top) for t in terms))))
+            last.append(self.total([last[-size] + p for size, p, _ in self.ending(text, end)]))
             if len(last) > self.most:
                 last.pop(0)
         return last[-1]
 
+    def ending(self, text: str, end: int) -> Iterator[tuple[int, float, list[int]]]:
+        """(length, log probability, piece numbers) of each arc of a word that ends here."""
+        for size in range(1, min(self.most, end) + 1):
+            k = self.number.get(text[end - size : end])
+            if k is not None:
+                yield size, float(self.log_p[k]), [k]
+            elif size == 1:
+                own = [self.of_byte[b] for b in text[end - 1].encode("utf-8", "surrogatepass")]
+                yield size, sum(float(self.log_p[k]) for k in own), own
+
+    @staticmethod
+    def total(terms: list[float]) -> float:
+        top = max(terms)
+        return top + float(np.log(sum(np.exp(t - top) for t in terms)))
+
+    def add_alone(self, codes: np.ndarray, count: float, out: np.ndarray) -> None:
+        """Adds one long word's expected uses to out. Two values are kept for each of its characters; its arcs are found again on the way back."""
+        text = "".join(chr(int(c) - 1) for c in codes)
+        alpha, beta = np.zeros(len(text) + 1), np.full(len(text) + 1, -np.inf)
+        for end in range(1, len(text) + 1):
+            alpha[end] = self.total([float(alpha[end - size]) + p for size, p, _ in self.ending(text, end)])
+        beta[-1] = 0
+        for end in range(len(text), 0, -1):
+            for size, p, own in self.ending(text, end):
+                beta[end - size] = np.logaddexp(beta[end - size], p + beta[end])
+                weight = count * np.exp(alpha[end - size] + p + beta[end] - alpha[-1])
+                for k in own:
+                    out[k] += weight
+
     def expected(self, words: list[bytes], counts: np.ndarray) -> np.ndarray:
-        """Expected uses of each piece in the words, weighted by their counts; long words are left to their bytes' floor."""
+        """Expected uses of each piece in the words, weighted by their counts."""
         out = np.zeros(len(self.log_p))
         for own, codes in self.groups(words):
             if codes.shape[1] > LONG:
+                self.add_alone(codes[0], counts[own[0]], out)
                 continue
             n, length = codes.shape
             alpha, arcs, scores = self.forward(codes)
