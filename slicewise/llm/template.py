@@ -3,9 +3,9 @@
 Tokens of a page are its tags (with their classes) and its text blocks. Over the distinct pages of a host, tokens that share
 their occurrence vector (how often each stands on each page) are an equivalence class. A class is valid if it is large and
 frequent enough and its tokens keep one order; valid classes nest by that order into the host's template. What lies between
-template tokens are the slots. A page's main text is taken from its slots: those of its article element, if it has one, or
-else those with a substantial share of running text. Menus, headers, footers, sidebars, notices, adverts, forms, scripts,
-styles and comments are left out, as their elements say or because the template has their text on the host's other pages.
+template tokens are the slots. A page's main text is all text of its article elements, if it has any, or else all text that
+the template does not explain. Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and comments are left
+out, as their elements say or, outside articles, because the template has their text on the host's other pages.
 
 Occurrence vectors are never built: their fingerprint is an exclusive or over the pages, which Spark sums up partially on each
 executor, so a host of any size is counted without gathering its pages. Templates are as small as a page's skeleton.
@@ -29,9 +29,6 @@ from .common import map_batches, stored
 
 #: Distinct pages that a class must stand on, share of the host's distinct pages, and tokens in a class.
 LEAST, SHARE, CLASS = 3, 0.6, 2
-#: Inside an article, template text goes only where so many distinct pages of the host have it, and while it is less than this share of the article.
-SURE_PAGES, SURE_SHARE, MOST_INSIDE = 8, 0.9, 0.3
-
 #: Tokens of templates (8 bytes each) that may be sent to every task; parts of a host beyond that.
 SENT_TOKENS, SALTS = 2_000_000, 16
 
@@ -169,26 +166,12 @@ def inner_of(stack: list[Element]) -> int:
     return stack[-1].inner if stack else 0
 
 
-def main_text(page: str, tags: frozenset[int] = frozenset(), texts: frozenset[int] = frozenset(), sure: frozenset[int] = frozenset()) -> str:
-    """The main text, given the host's template: its tag tokens, its text blocks, and those of them that are sure."""
+def main_text(page: str, tags: frozenset[int] = frozenset(), texts: frozenset[int] = frozenset()) -> str:
+    """The main text, given the host's template: its tag tokens and its text blocks."""
     pieces, _ = read(page, tags)
     kept = [p for p in pieces if not p.away]
-    sizes = Counter()
-    for p in kept:
-        if p.inner:
-            sizes[p.inner] += len(p.text)
-    if sizes:
-        best = max(sizes, key=lambda k: (sizes[k], -k))
-        own = [p for p in kept if p.inner == best]
-        boiler = [p for p in own if token_id(p.text) in sure]
-        if boiler and sum(len(p.text) for p in boiler) < MOST_INSIDE * sizes[best]:
-            own = [p for p in own if token_id(p.text) not in sure]
-        return "\n\n".join(p.text for p in own)
-    kept = [p for p in kept if token_id(p.text) not in texts]
-    for p in kept:
-        sizes[p.slot] += max(0, len(p.text) - 2 * p.linked)
-    most = max(sizes.values(), default=0)
-    return "\n\n".join(p.text for p in kept if sizes[p.slot] and sizes[p.slot] >= 0.1 * most and 2 * p.linked < len(p.text) + 1)
+    own = [p for p in kept if p.inner] or [p for p in kept if token_id(p.text) not in texts]
+    return "\n\n".join(p.text for p in own)
 
 
 def tokens(pages: DataFrame) -> DataFrame:
@@ -216,7 +199,7 @@ def tokens(pages: DataFrame) -> DataFrame:
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """(host, tags, texts, sure): the tokens of each host's valid classes."""
+    """(host, tags, texts): the tokens of each host's valid classes."""
     seen = tokens(pages)
     vectors = seen.groupBy("host", "token", "is_text").agg(
         F.count(F.lit(1)).alias("on"), F.bit_xor(F.xxhash64("page", "n")).alias("vector"), F.min("place").alias("low"), F.max("place").alias("high")
@@ -230,16 +213,13 @@ def templates(pages: DataFrame) -> DataFrame:
     texts = F.filter("members", lambda m: m["is_text"])
     valid = F.when((F.col("tokens") >= CLASS) & (high == F.sort_array(high)), F.col("members")).otherwise(texts)
     valid = classes.select("host", valid.alias("members")).select("host", F.inline("members"))
-    sure = F.col("is_text") & (F.col("pages") >= SURE_PAGES) & (F.col("on") >= SURE_SHARE * F.col("pages"))
-    return valid.groupBy("host").agg(
-        F.collect_list(F.when(~F.col("is_text"), F.col("token"))).alias("tags"), F.collect_list(F.when(F.col("is_text"), F.col("token"))).alias("texts"), F.collect_list(F.when(sure, F.col("token"))).alias("sure")
-    )
+    return valid.groupBy("host").agg(F.collect_list(F.when(~F.col("is_text"), F.col("token"))).alias("tags"), F.collect_list(F.when(F.col("is_text"), F.col("token"))).alias("texts"))
 
 
 def with_template(pages: DataFrame, known: DataFrame, most: int) -> DataFrame:
     """pages with their host's template. Templates of at most `most` tokens in all are sent to every task, so that pages stay
     where they are; more of them meet the pages by host and salt, so that a large host is dealt over many tasks."""
-    tokens = known.agg(F.sum(F.size("tags") + F.size("texts") + F.size("sure"))).first()[0] or 0
+    tokens = known.agg(F.sum(F.size("tags") + F.size("texts"))).first()[0] or 0
     if tokens <= most:
         return pages.join(F.broadcast(known), "host", "left")
     known = known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
@@ -251,11 +231,11 @@ def extract(pages: DataFrame, *, most_sent: int = SENT_TOKENS) -> DataFrame:
 
     def make():
         def run(batch: pa.RecordBatch) -> dict:
-            ids, urls, bodies, *known = (batch.column(k).to_pylist() for k in range(6))
+            ids, urls, bodies, *known = (batch.column(k).to_pylist() for k in range(5))
             text = [main_text(b or "", *(frozenset(x or ()) for x in t)) for b, t in zip(bodies, zip(*known, strict=True), strict=True)]
             return {"page_id": ids, "url": urls, "text": text, "n_chars": [len(t) for t in text]}
 
         return run
 
     rows = with_template(pages.select("page_id", "url", "html").withColumn("host", host_of(F.col("url"))), stored(templates(pages)), most_sent)
-    return map_batches(rows.select("page_id", "url", "html", "tags", "texts", "sure"), make, "page_id long, url string, text string, n_chars long")
+    return map_batches(rows.select("page_id", "url", "html", "tags", "texts"), make, "page_id long, url string, text string, n_chars long")
