@@ -38,6 +38,11 @@ def known(fourcc: Column) -> Column:
     return F.coalesce(fourcc.isin(*LAYOUTS), F.lit(False))
 
 
+def as_number(fourcc: Column) -> Column:
+    """The first four bytes of a tag as one number, null for none."""
+    return F.conv(F.hex(F.substring(fourcc.cast("binary"), 1, 4)), 16, 10).cast("bigint")
+
+
 def plane_count(fourcc: Column) -> Column:
     return pick(fourcc, {f: len(x[0]) for f, x in LAYOUTS.items()}).cast("int")
 
@@ -76,8 +81,8 @@ def plane_height(fourcc: Column, idx: Column, height: Column) -> Column:
 
 def dims_error(fourcc: Column, width: Column, height: Column) -> Column:
     odd = lambda x: x % 2 == 1
-    bad = (width <= 0) | (height <= 0) | ((fourcc == "ULY0") & (odd(width) | odd(height))) | ((fourcc == "ULY2") & odd(width))
-    return E.first_of((~known(fourcc), E.error("UnknownFourcc")), (bad, E.error("DimensionConstraint")))
+    rule = F.when((width <= 0) | (height <= 0), 1).when((fourcc == "ULY0") & (odd(width) | odd(height)), 2).when((fourcc == "ULY2") & odd(width), 3)
+    return E.first_of((~known(fourcc), E.error("UnknownFourcc", fourcc=as_number(fourcc))), (rule.isNotNull(), E.error("DimensionConstraint", width=width, height=height, rule=rule)))
 
 
 def predictor_of(frame_info: Column) -> Column:
@@ -168,7 +173,7 @@ def input_error(fourcc: Column, width: Column, height: Column, num_slices: Colum
     odd = F.get(F.filter(F.sequence(F.lit(0), count - 1), lambda k: F.octet_length(F.get(planes, k)) != area(k)), F.lit(0))
     rest = E.first_of(
         (got != count, E.error("EncoderPlaneSizeMismatch", plane=got, expected=count, got=got)),
-        (~num_slices.between(1, 256), E.error("InvalidSliceCount")),
+        (~num_slices.between(1, 256), E.error("InvalidSliceCount", num_slices=num_slices)),
         (num_slices > lowest, E.error("SliceCountExceedsPlaneHeight", num_slices=num_slices, min_plane_height=lowest)),
         (odd.isNotNull(), E.error("EncoderPlaneSizeMismatch", plane=odd, expected=area(odd), got=F.octet_length(F.get(planes, odd)))),
     )

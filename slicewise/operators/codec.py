@@ -1,10 +1,10 @@
 """Encoding and decoding of frames as Spark jobs at slice grain.
 
-encode: frames -> planes -> slices (cut from the plane's bytes by expressions) -> residuals with a histogram each -> the
-planes' histograms added up -> code lengths -> slices packed -> planes and frames put together by expressions.
+encode: frames -> planes -> slices (cut from the plane's bytes by expressions) -> residuals -> the plane's histogram, code
+lengths and packed slices -> frames.
 decode: packets -> slices (from the payload's own table) -> residuals and samples -> planes and frames.
 
-A slice is the unit of work; between the stages only histograms, code lengths, packed slices or samples move. Errors are values
+A slice is the unit of work; between the stages only residuals, packed planes or samples move. Errors are values
 beside the result, the one that comes first in plane and slice order, and fail no task.
 """
 
@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import errors as E
@@ -27,11 +27,6 @@ KEY = ["stream_id", "frame_no"]
 ERROR_ARROW = pa.struct([("variant", pa.string()), ("fields", pa.map_(pa.string(), pa.int64()))])
 
 
-def joined(parts: Column) -> Column:
-    """An ARRAY<BINARY> as one BINARY."""
-    return F.aggregate(parts, F.lit(b""), lambda acc, x: F.concat(acc, x))
-
-
 def with_predictor(frames: DataFrame) -> DataFrame:
     """frames whose null predictor_override (if they have the column) is chosen from plane 0."""
     from .entropy import chosen_predictors
@@ -41,18 +36,21 @@ def with_predictor(frames: DataFrame) -> DataFrame:
     return out.withColumn("predictor", F.coalesce("predictor_override", "predictor")) if "predictor_override" in frames.columns else out
 
 
+def rgb_planes(fourcc: str, planes: list | None, inverse: bool) -> list | None:
+    """planes with B and R taken against G, or back, in the RGB layouts; A stays."""
+    if planes and len(planes) >= 3 and fourcc in ("ULRG", "ULRA") and None not in planes[:3] and len({len(p) for p in planes[:3]}) == 1:
+        g, b, r = (np.frombuffer(p, np.uint8) for p in planes[:3])
+        shift = np.uint8(kernels.FIRST)
+        return [planes[0], *((x + g - shift if inverse else x - g + shift).tobytes() for x in (b, r)), *planes[3:]]
+    return planes
+
+
 def rgb(frames: DataFrame, inverse: bool) -> DataFrame:
-    """frames whose B and R planes are taken against G, or back, in the RGB layouts; A stays."""
+    """frames with their planes put through `rgb_planes`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for fourcc, planes in zip(batch["fourcc"].to_pylist(), batch["planes"].to_pylist(), strict=True):
-                if planes and len(planes) >= 3 and fourcc in ("ULRG", "ULRA") and len({len(p or b"") for p in planes[:3]}) == 1 and None not in planes[:3]:
-                    g, b, r = (np.frombuffer(p, np.uint8) for p in planes[:3])
-                    shift = np.uint8(kernels.FIRST)
-                    planes[1:3] = [(x + g - shift if inverse else x - g + shift).tobytes() for x in (b, r)]
-                out.append(planes)
+            out = [rgb_planes(f, p, inverse) for f, p in zip(batch["fourcc"].to_pylist(), batch["planes"].to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.binary())) if c == "planes" else batch[c] for c in batch.schema.names], names=batch.schema.names)
 
     return frames.mapInArrow(run, frames.schema)
@@ -72,49 +70,44 @@ def slices_of(frames: DataFrame) -> DataFrame:
 
 
 def predicted(slices: DataFrame) -> DataFrame:
-    """slices with residual in place of samples, and the residual's histogram."""
-    schema = plus(slices.schema, "residual binary, counts map<int,bigint>", without=("samples", "pw"))
+    """slices with residual in place of samples."""
+    schema = plus(slices.schema, "residual binary", without=("samples", "pw"))
     names = [f.name for f in schema]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            res = [None if x is None else kernels.residuals(p, np.frombuffer(x, np.uint8), w) for p, x, w in zip(*(batch[c].to_pylist() for c in ("predictor", "samples", "pw")), strict=True)]
-            counts = [None if r is None else list(zip(*map(np.ndarray.tolist, np.unique(r, return_counts=True)), strict=True)) for r in res]
-            made = {"residual": pa.array([None if r is None else r.tobytes() for r in res], pa.binary()), "counts": pa.array(counts, pa.map_(pa.int32(), pa.int64()))}
-            yield pa.RecordBatch.from_arrays([made[c] if c in made else batch[c] for c in names], names=names)
+            res = [None if x is None else kernels.residuals(p, np.frombuffer(x, np.uint8), w).tobytes() for p, x, w in zip(*(batch[c].to_pylist() for c in ("predictor", "samples", "pw")), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(res, pa.binary()) if c == "residual" else batch[c] for c in names], names=names)
 
     return slices.mapInArrow(run, schema)
 
 
+def plane_blob(residuals: list[np.ndarray]) -> bytes:
+    """A plane's bytes: descriptor of the code that suits all its slices, their end offsets, their bits."""
+    d = kernels.code_lengths(np.bincount(np.concatenate(residuals), minlength=256))
+    data = list(map(kernels.packer(d), residuals))
+    return b"".join([d.tobytes(), np.cumsum([len(x) for x in data]).astype("<u4").tobytes(), *data])
+
+
 def packed(planes: DataFrame) -> DataFrame:
-    """planes with descriptor and data, from each plane's slices: their histograms add up to the plane's code, which packs them."""
-    schema = plus(planes.schema, "descriptor binary, data array<binary>", without=("slices",))
+    """planes with blob in place of their slices."""
+    schema = plus(planes.schema, "blob binary", without=("slices",))
     names = [f.name for f in schema]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            descriptors, data = [], []
-            for slices in batch["slices"].to_pylist():
-                n = np.zeros(256, np.int64)
-                for s in slices:
-                    for x in s["counts"] or ():
-                        n[x["key"]] += x["value"]
-                d = kernels.code_lengths(n)
-                descriptors.append(d.tobytes())
-                data.append([kernels.packed_bits(np.frombuffer(s["residual"] or b"", np.uint8), d) for s in slices])
-            made = {"descriptor": pa.array(descriptors, pa.binary()), "data": pa.array(data, pa.list_(pa.binary()))}
-            yield pa.RecordBatch.from_arrays([made[c] if c in made else batch[c] for c in names], names=names)
+            blobs = [plane_blob([np.frombuffer(s["residual"] or b"", np.uint8) for s in slices]) for slices in batch["slices"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(blobs, pa.binary()) if c == "blob" else batch[c] for c in names], names=names)
 
     return planes.mapInArrow(run, schema)
 
 
 def assembled(planes: DataFrame) -> DataFrame:
-    """Frames from packed planes, by expressions: a plane is descriptor, end offsets, data; a frame ends with its predictor."""
-    ends = F.transform("data", lambda _, k: F.aggregate(F.slice("data", F.lit(1), k + 1), F.lit(0).cast("bigint"), lambda n, x: n + F.octet_length(x)))
-    blob = F.concat("descriptor", joined(F.transform(ends, S.dword)), joined(F.col("data")))
+    """Frames from their planes' bytes: a frame ends with its predictor."""
     head = [*KEY, *PARAMETERS, "predictor"]
-    frame = planes.groupBy(*head).agg(F.first("error").alias("error"), F.sort_array(F.collect_list(F.struct("plane_idx", blob.alias("blob")))).alias("p"))  # four planes at most
-    chunk = F.concat(joined(F.transform("p", lambda p: p["blob"])), S.dword(S.frame_info_of(F.col("predictor"))))
+    frame = planes.groupBy(*head).agg(F.first("error").alias("error"), F.sort_array(F.collect_list(F.struct("plane_idx", "blob"))).alias("p"))  # four planes at most
+    blobs = [F.coalesce(F.get("p", F.lit(k))["blob"], F.lit(b"")) for k in range(4)]
+    chunk = F.concat(*blobs, S.dword(S.frame_info_of(F.col("predictor"))))
     return frame.select(*KEY, *PARAMETERS, F.when(F.col("error").isNull(), chunk).alias("chunk"), "error")
 
 
@@ -125,11 +118,21 @@ def encode(frames: DataFrame) -> DataFrame:
     """
     checked = frames.select(*KEY, *PARAMETERS, "predictor", "planes").withColumn("error", S.input_error(*(F.col(c) for c in ("fourcc", "width", "height", "num_slices", "planes"))))
     cut = predicted(slices_of(rgb(checked, inverse=False)))
-    one = F.sort_array(F.collect_list(F.struct("slice_idx", "residual", F.map_entries("counts").alias("counts"))))  # 256 slices at most
+    one = F.sort_array(F.collect_list(F.struct("slice_idx", "residual")))  # 256 slices at most
     planes = cut.groupBy(*KEY, *PARAMETERS, "predictor", "plane_idx").agg(F.first("error").alias("error"), one.alias("slices"))
     return assembled(packed(planes))
 
 
+def statistics(descriptor: np.ndarray) -> dict:
+    """How many symbols have a code of each length, and what follows from that; min and max are null without a code."""
+    n = np.bincount(descriptor, minlength=256).tolist()
+    tiers = [(k, n[k]) for k in range(1, 255) if n[k]]
+    return {
+        "zero_count": n[0], "absent_count": n[255], "active_symbol_count": sum(c for _, c in tiers), "min_code_length": tiers[0][0] if tiers else None, "max_code_length": tiers[-1][0] if tiers else None,
+        "min_code_length_symbol_count": tiers[0][1] if tiers else 0, "code_length_histogram": [{"code_length": k, "count": c} for k, c in tiers],
+    }
+
+
 def walk(chunk: bytes, fourcc: str, width: int, height: int, num_slices: int, codes: bool = True) -> tuple[list[dict], int]:
     """(planes with their slices' byte ranges, frame_info) of a payload; raises what it fails by first. codes: codebooks are checked too."""
     if len(chunk) < 4:
@@ -160,7 +163,7 @@ def walk(chunk: bytes, fourcc: str, width: int, height: int, num_slices: int, co
             kernels.codebook(descriptor)
         rows = [ph * s // num_slices for s in range(num_slices + 1)]
         slices = [{"slice_idx": s, "start": at + int(a), "end": at + int(b), "row_start": rows[s], "row_end": rows[s + 1]} for s, (a, b) in enumerate(zip([0, *ends[:-1]], ends, strict=True))]
-        planes.append({"plane_idx": p, "label": S.LAYOUTS[fourcc][0][p], "width": pw, "height": ph, "offset": begin, "descriptor": descriptor.tobytes(), "slices": slices})
+        planes.append({"plane_idx": p, "label": S.LAYOUTS[fourcc][0][p], "width": pw, "height": ph, "offset": begin, "end_offsets_start": begin + 256, "slice_data_start": at, "descriptor": descriptor.tobytes(), "slices": slices, **statistics(descriptor)})
         at += int(ends[-1])
     if at != stop:
         raise CodecErrorOf("ChunkTooShort", offset=at, needed=stop - at, have=0)
@@ -169,7 +172,8 @@ def walk(chunk: bytes, fourcc: str, width: int, height: int, num_slices: int, co
 
 CodecErrorOf = kernels.CodecError
 SLICE = "struct<slice_idx:int,start:bigint,end:bigint,row_start:int,row_end:int>"
-PLANE = f"struct<plane_idx:int,label:string,width:int,height:int,offset:bigint,descriptor:binary,slices:array<{SLICE}>>"
+STATISTICS = "zero_count:int,absent_count:int,active_symbol_count:int,min_code_length:int,max_code_length:int,min_code_length_symbol_count:int,code_length_histogram:array<struct<code_length:int,count:int>>"
+PLANE = f"struct<plane_idx:int,label:string,width:int,height:int,offset:bigint,end_offsets_start:bigint,slice_data_start:bigint,descriptor:binary,slices:array<{SLICE}>,{STATISTICS}>"
 
 
 def parsed(packets: DataFrame, codes: bool = True) -> DataFrame:
@@ -198,6 +202,32 @@ def parsed(packets: DataFrame, codes: bool = True) -> DataFrame:
     return packets.mapInArrow(run, schema)
 
 
+def encode_one(fourcc: str, width: int, height: int, predictor: int, num_slices: int, planes: list[bytes]) -> bytes:
+    """The payload of one frame whose input is known to be good."""
+    _, shift, _ = S.LAYOUTS[fourcc]
+    out = []
+    for p, plane in enumerate(rgb_planes(fourcc, list(planes), inverse=False)):
+        pw, ph = (width >> shift[0], height >> shift[1]) if p in (1, 2) else (width, height)
+        rows = [ph * s // num_slices * pw for s in range(num_slices + 1)]
+        x = np.frombuffer(plane, np.uint8)
+        out.append(plane_blob([kernels.residuals(predictor, x[a:b], pw) for a, b in zip(rows, rows[1:], strict=False)]))
+    return b"".join([*out, (predictor << 8).to_bytes(4, "little")])
+
+
+def decode_one(chunk: bytes, fourcc: str, width: int, height: int, num_slices: int) -> tuple[list[bytes], int]:
+    """(planes, predictor) of one payload; raises what it fails by."""
+    layout, info = walk(chunk, fourcc, width, height, num_slices)
+    predictor, planes = info >> 8 & 3, []
+    for p in layout:
+        read, parts = kernels.unpacker(np.frombuffer(p["descriptor"], np.uint8)), []
+        for s in p["slices"]:
+            n = (s["row_end"] - s["row_start"]) * p["width"]
+            if n:
+                parts.append(kernels.restored(predictor, read(chunk[s["start"] : s["end"]], n)[0][None], p["width"]).tobytes())
+        planes.append(b"".join(parts))
+    return rgb_planes(fourcc, planes, inverse=True), predictor
+
+
 def configured(packets: DataFrame, config: DataFrame | None) -> DataFrame:
     """packets joined to their stream's parameters (fourcc, width, height, num_slices); without config they carry them."""
     if config is None:
@@ -215,12 +245,15 @@ def decoded_slices(slices: DataFrame, strict: bool) -> DataFrame:
             samples: list[bytes | None] = [None] * batch.num_rows
             errors: list[dict | None] = [None] * batch.num_rows
             alike: dict[tuple, list] = defaultdict(list)
+            codes: dict[bytes, object] = {}  # slices of a plane share their code
             for k, (data, d, rows, width, p, plane, s) in enumerate(zip(*(batch[c].to_pylist() for c in ("bytes", "descriptor", "rows", "pw", "predictor", "plane_idx", "slice_idx")), strict=True)):
                 if data is None:
                     continue
                 try:
                     n = rows * width
-                    res, used = kernels.unpacked_bits(data, n, np.frombuffer(d, np.uint8)) if n else (np.empty(0, np.uint8), 0)
+                    if d not in codes:
+                        codes[d] = kernels.unpacker(np.frombuffer(d, np.uint8))
+                    res, used = codes[d](data, n) if n else (np.empty(0, np.uint8), 0)
                     if strict and n and (bit := kernels.padding_bit(data, used)) is not None:
                         raise kernels.CodecError("NonZeroPadding", plane=plane, slice=s, bit_position=bit)
                     alike[p, width, n].append((k, res))
@@ -252,7 +285,26 @@ def decode(packets: DataFrame, config: DataFrame | None = None, strict: bool = F
     first = F.coalesce(F.first("broken"), F.min_by("error", F.when(F.col("error").isNotNull(), F.struct("plane_idx", "slice_idx"))))
     samples = F.sort_array(F.collect_list(F.struct("plane_idx", "slice_idx", "samples")))  # 1024 slices at most
     frames = done.groupBy(*head, "predictor").agg(first.alias("error"), samples.alias("s"))
-    plane = lambda k: joined(F.transform(F.filter("s", lambda x: x["plane_idx"] == k), lambda x: x["samples"]))
-    whole = F.when(F.col("error").isNull(), F.transform(F.sequence(F.lit(0), S.plane_count(F.col("fourcc")) - 1), plane))
-    out = frames.withColumn("planes", whole).select("stream_id", "frame_no", "pts", "fourcc", "width", "height", "predictor", "frame_info", "planes", "error")
-    return rgb(out, inverse=True)
+    out = put_together(frames)
+    return out.select("stream_id", "frame_no", "pts", "fourcc", "width", "height", "predictor", "frame_info", "planes", "error")
+
+
+def put_together(frames: DataFrame) -> DataFrame:
+    """frames with planes in place of s, their slices' samples in order; no planes beside an error."""
+    schema = plus(frames.schema, "planes array<binary>", without=("s",))
+    names = [f.name for f in schema]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for fourcc, slices, error in zip(*(batch[c].to_pylist() for c in ("fourcc", "s", "error")), strict=True):
+                if error is not None or fourcc not in S.LAYOUTS:
+                    out.append(None)
+                    continue
+                parts: list[list[bytes]] = [[] for _ in S.LAYOUTS[fourcc][0]]
+                for x in slices:
+                    parts[x["plane_idx"]].append(x["samples"])
+                out.append(rgb_planes(fourcc, [b"".join(x) for x in parts], inverse=True))
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.binary())) if c == "planes" else batch[c] for c in names], names=names)
+
+    return frames.mapInArrow(run, schema)

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 
 FIRST = 128  # what a slice's first sample is predicted from
 MAX_LENGTH = 16  # of a code that is written
 UNUSED = 255  # descriptor byte of a symbol without a code
+TABLE_BITS, CHUNK = 16, 1 << 18  # longest code that is read by a table, bits that are looked at together
+FEW = 24  # slices under which the median's inverse takes them one by one
 
 
 class CodecError(Exception):
@@ -51,7 +55,9 @@ def restored(predictor: int, res: np.ndarray, width: int) -> np.ndarray:
     if predictor == 2:
         grid = res.reshape(len(res), -1, width)
         return (np.cumsum(np.cumsum(grid, axis=2, dtype=np.uint8), axis=1, dtype=np.uint8) + np.uint8(FIRST)).reshape(res.shape)
-    # the median needs the last sample before the next: one step for all slices at a time
+    # the median needs the last sample before the next: one step for all slices at a time, or each slice by itself where they are few
+    if len(res) < FEW:
+        return np.stack([_restored_alone(r.tobytes(), width) for r in res])
     r = np.ascontiguousarray(res.T)
     x = np.empty_like(r)
     x[:width] = np.cumsum(r[:width], axis=0, dtype=np.uint8) + np.uint8(FIRST)
@@ -63,6 +69,21 @@ def restored(predictor: int, res: np.ndarray, width: int) -> np.ndarray:
     return np.ascontiguousarray(x.T)
 
 
+def _restored_alone(res: bytes, width: int) -> np.ndarray:
+    x = bytearray(((np.cumsum(np.frombuffer(res[:width], np.uint8), dtype=np.uint8)) + np.uint8(FIRST)).tobytes())
+    if len(res) > width:
+        a = (res[width] + x[0]) & 255
+        x.append(a)
+        for i in range(width + 1, len(res)):
+            b = x[i - width]
+            g = (a + b - x[i - width - 1]) & 255
+            if a > b:
+                a, b = b, a
+            a = (res[i] + (a if g < a else b if g > b else g)) & 255
+            x.append(a)
+    return np.frombuffer(bytes(x), np.uint8)
+
+
 def code_lengths(counts: np.ndarray) -> np.ndarray:
     """Descriptor for a histogram: optimal code lengths of at most MAX_LENGTH; 0 marks the only symbol, UNUSED an absent one.
 
@@ -74,13 +95,22 @@ def code_lengths(counts: np.ndarray) -> np.ndarray:
     if len(used) < 2:
         out[used] = 0
         return out
-    coins = [(int(counts[s]), 1, k, (s,)) for k, s in enumerate(used)]
-    row = coins
+    coins = counts[used].astype(np.int64)
+    row, levels = coins, []
     for _ in range(MAX_LENGTH - 1):
-        pairs = [(a[0] + b[0], 0, k, a[3] + b[3]) for k, (a, b) in enumerate(zip(row[::2], row[1::2], strict=False))]
-        row = sorted(pairs + coins, key=lambda c: c[:3])
-    spent = np.bincount([s for c in row[: 2 * len(used) - 2] for s in c[3]], minlength=256)
-    out[used] = spent[used]
+        pairs = row[: len(row) // 2 * 2].reshape(-1, 2).sum(1)
+        both = np.concatenate([pairs, coins])
+        order = np.argsort(both, kind="stable")
+        row = both[order]
+        levels.append(order < len(pairs))
+    # a coin that is spent at a level adds one to its symbol's length; a pair is spent as two of the level before
+    spent, take = np.zeros(len(used), np.int64), 2 * len(used) - 2
+    for is_pair in reversed(levels):
+        pairs = int(is_pair[:take].sum())
+        spent[: take - pairs] += 1
+        take = 2 * pairs
+    spent[:take] += 1
+    out[used] = spent
     return out
 
 
@@ -107,46 +137,89 @@ def codebook(descriptor: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return symbols[order], lengths[order], codes, None
 
 
-def packed_bits(res: np.ndarray, descriptor: np.ndarray) -> bytes:
-    """Codes of a slice in 32-bit little-endian words, most significant bit first, zero padded."""
+def packer(descriptor: np.ndarray) -> Callable[[np.ndarray], bytes]:
+    """Packs slices in one code: codes in 32-bit little-endian words, most significant bit first, zero padded."""
     symbols, lengths, codes, only = codebook(descriptor)
-    if only is not None or not len(res) or not len(symbols):
-        return b""
     length, code = np.zeros(256, np.int64), np.zeros(256, np.int64)
     length[symbols], code[symbols] = lengths, codes
-    n = length[res]
-    at = np.cumsum(n) - n
-    bits = np.zeros(-(-int(n.sum()) // 32) * 32, np.uint8)
-    for k in range(int(lengths.max())):  # the k-th bit of every code
-        has = n > k
-        bits[at[has] + k] = code[res[has]] >> (n[has] - 1 - k) & 1
-    return np.packbits(bits).view(">u4").astype("<u4").tobytes()
 
+    def pack(res: np.ndarray) -> bytes:
+        if only is not None or not len(res) or not len(symbols):
+            return b""
+        n, c = length[res], code[res]
+        at = np.cumsum(n) - n
+        bits = np.zeros(-(-int(n.sum()) // 32) * 32, np.uint8)
+        for k in range(int(lengths.max())):  # the k-th bit of every code
+            has = n > k
+            bits[at[has] + k] = c[has] >> (n[has] - 1 - k) & 1
+        return np.packbits(bits).view(">u4").astype("<u4").tobytes()
 
-def unpacked_bits(data: bytes, count: int, descriptor: np.ndarray) -> tuple[np.ndarray, int]:
-    """(residuals, bits used) of a slice of `count` samples; raises what the slice fails by."""
+    return pack
+
+
+def packed_bits(res: np.ndarray, descriptor: np.ndarray) -> bytes:
+    return packer(descriptor)(res)
+
+
+def unpacker(descriptor: np.ndarray) -> Callable[[bytes, int], tuple[np.ndarray, int]]:
+    """Reads slices of one code: (data, samples) to (residuals, bits used); raises what a slice fails by.
+
+    At each bit of a stretch of CHUNK bits a table tells which code starts there and how long it is; the codes that do start
+    are found by stepping from one to the next. Memory is that of a stretch, whatever the slice.
+    """
     symbols, lengths, codes, only = codebook(descriptor)
-    if only is not None:
-        return np.full(count, only, np.uint8), 0
-    if not count:
-        return np.empty(0, np.uint8), 0
-    if not len(symbols):
-        raise CodecError("HuffmanDecodeFailure", bit_position=0)
-    bits = np.unpackbits(np.frombuffer(data, "<u4").astype(">u4").view(np.uint8))
-    total, most = len(bits), int(lengths.max())
-    ahead = np.concatenate([bits, np.zeros(most, np.uint8)])
-    window = np.zeros(total + 1, np.int64)
-    for k in range(most):  # at each bit, the next `most` bits as a number
-        window = window << 1 | ahead[k : total + 1 + k]
-    entry = np.searchsorted(codes << (most - lengths), window, side="right") - 1
-    step, of = lengths[entry].tolist(), symbols[entry].tolist()
-    out, at = bytearray(count), 0
-    for i in range(count):
-        after = at + step[at]
-        if after > total:
-            raise CodecError("SliceTruncated", bit_position=at, expected_pixels=count, decoded=i)
-        out[i], at = of[at], after
-    return np.frombuffer(bytes(out), np.uint8), at
+    most = int(lengths.max()) if len(symbols) else 0
+    if 0 < most <= TABLE_BITS:
+        share = 1 << (most - lengths)
+        lookup = np.repeat(symbols, share).astype(np.uint8), np.repeat(lengths, share).astype(np.uint8)
+    first = codes << (most - lengths) if most else codes
+
+    def entries(window: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if most <= TABLE_BITS:
+            return lookup[0][window], lookup[1][window]
+        k = np.searchsorted(first, window, side="right") - 1
+        return symbols[k].astype(np.uint8), lengths[k].astype(np.uint8)
+
+    def unpack(data: bytes, count: int) -> tuple[np.ndarray, int]:
+        if only is not None:
+            return np.full(count, only, np.uint8), 0
+        if not count:
+            return np.empty(0, np.uint8), 0
+        if not len(symbols):
+            raise CodecError("HuffmanDecodeFailure", bit_position=0)
+        raw = np.concatenate([np.frombuffer(data, "<u4").astype(">u4").view(np.uint8), np.zeros(8, np.uint8)]).astype(np.uint64)
+        total, at, done, out = 8 * (len(raw) - 8), 0, 0, []
+        for begin in range(0, total, CHUNK):
+            own = raw[begin // 8 : (begin + CHUNK) // 8 + 8]
+            ahead = np.zeros(len(own) - 8, np.uint64)
+            for k in range(8):
+                ahead = ahead << np.uint64(8) | own[k : len(own) - 8 + k]
+            window = np.empty(8 * len(ahead), np.int64)
+            for k in range(8):
+                window[k::8] = (ahead << np.uint64(k)) >> np.uint64(64 - most)
+            symbol, step = entries(window)
+            steps, places, here, end = step.tobytes(), [], at - begin, len(window)
+            add = places.append
+            while here < end:
+                add(here)
+                here += steps[here]
+            places = np.array(places[: count - done], np.int64)
+            if len(places):
+                after = begin + int(places[-1]) + int(step[places[-1]])
+                if after > total:  # only the last code of all can reach beyond the data
+                    raise CodecError("SliceTruncated", bit_position=begin + int(places[-1]), expected_pixels=count, decoded=done + len(places) - 1)
+                out.append(symbol[places])
+                done += len(places)
+                at = after
+            if done == count:
+                return np.concatenate(out), at
+        raise CodecError("SliceTruncated", bit_position=at, expected_pixels=count, decoded=done)
+
+    return unpack
+
+
+def unpacked_bits(data: bytes, count: int, descriptor: np.ndarray) -> tuple[np.ndarray, int]:
+    return unpacker(descriptor)(data, count)
 
 
 def padding_bit(data: bytes, used: int) -> int | None:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,6 +12,7 @@ from .codec import KEY, PARAMETERS, configured, parsed
 
 #: The numerator of a Kraft sum stops here.
 MOST = 2**128 - 1
+STATISTICS = ["zero_count", "absent_count", "active_symbol_count", "min_code_length", "max_code_length", "min_code_length_symbol_count", "code_length_histogram"]
 
 
 def peek_frame_info(chunk: Column) -> Column:
@@ -43,12 +45,15 @@ def descriptor_lengths(frames: DataFrame) -> DataFrame:
     )
 
 
-@F.udf(T.StringType())
-def kraft_numerator(histogram: list | None) -> str:
+@F.arrow_udf(T.StringType())
+def kraft_numerator(histogram: pa.Array) -> pa.Array:
     """Sum of count * 2 ** (max - length), as digits; the numbers go beyond any column type."""
-    tiers = [(r["code_length"], r["count"]) for r in histogram or ()]
-    most = max((n for n, _ in tiers), default=0)
-    return str(min(MOST, sum(c << (most - n) for n, c in tiers)))
+
+    def one(tiers: list | None) -> str:
+        most = max((r["code_length"] for r in tiers or ()), default=0)
+        return str(min(MOST, sum(r["count"] << (most - r["code_length"]) for r in tiers or ())))
+
+    return pa.array(map(one, histogram.to_pylist()), pa.string())
 
 
 def is_kraft_complete(histogram: Column, single: Column) -> Column:
@@ -68,17 +73,9 @@ def plane_layout(frames: DataFrame) -> DataFrame:
     """A row for each plane: sizes and the descriptor's statistics."""
     size = F.aggregate("p.slices", F.lit(0).cast("bigint"), lambda n, s: n + s["end"] - s["start"])
     pixels = F.aggregate("p.slices", F.lit(0).cast("bigint"), lambda n, s: n + (s["row_end"] - s["row_start"]).cast("bigint") * F.col("p.width"))
-    planes = frames.select(*KEY, "num_slices", "length", F.explode("layout").alias("p")).select(*KEY, "num_slices", "length", "p.plane_idx", "p.label", F.col("p.width").alias("pw"), F.col("p.height").alias("ph"), size.alias("slice_data_total"), pixels.alias("total_pixels"), "p.descriptor")
-    lengths = F.transform(F.sequence(F.lit(1), F.lit(256)), lambda k: F.conv(F.hex(F.substring("descriptor", k, F.lit(1))), 16, 10).cast("int"))
-    planes = planes.withColumn("lengths", F.array_sort(lengths))
-    active = F.filter("lengths", lambda n: (n > 0) & (n < 255))
-    planes = planes.withColumn("active", active)
-    count = lambda value: F.size(F.filter("lengths", lambda n: n == value))
-    tier = lambda n: F.struct(n.alias("code_length"), F.size(F.filter("active", lambda m: m == n)).alias("count"))
-    out = planes.withColumns({
-        "zero_count": count(0), "absent_count": count(255), "active_symbol_count": F.size("active"), "min_code_length": F.array_min("active"), "max_code_length": F.array_max("active"),
-        "code_length_histogram": F.transform(F.array_distinct("active"), tier),
-    }).drop("lengths", "active", "descriptor")
+    one = frames.select(*KEY, "num_slices", "length", F.explode("layout").alias("p"))
+    starts = [F.col(f"p.{c}") for c in ("end_offsets_start", "slice_data_start")]
+    out = one.select(*KEY, "num_slices", "length", "p.plane_idx", "p.label", F.col("p.width").alias("pw"), F.col("p.height").alias("ph"), F.col("p.offset").alias("descriptor_start"), *starts, size.alias("slice_data_total"), pixels.alias("total_pixels"), *(F.col(f"p.{c}") for c in STATISTICS))
     single = (F.col("zero_count") == 1) & (F.col("active_symbol_count") == 0)
     out = out.withColumn("is_single_symbol", single).withColumn("total_size", F.lit(256).cast("bigint") + 4 * F.col("num_slices") + F.col("slice_data_total"))
     out = out.withColumn("unused_symbol_count", F.lit(256) - F.col("active_symbol_count") - F.when(single, F.lit(1)).otherwise(F.lit(0)))

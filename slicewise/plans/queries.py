@@ -19,8 +19,9 @@ W = P.LI_WIDTH
 
 # ---- SQL that several queries share -------------------------------------------------------------------------------------
 LI = f"""li0 AS (SELECT *, l_orderkey // {P.LI_ORDERS} AS frame_no FROM lineitem),
-li1 AS (SELECT *, row_number() OVER (PARTITION BY frame_no ORDER BY {', '.join(P.LI_ORDER)}) - 1 AS i, count(*) OVER (PARTITION BY frame_no) // {W} AS h FROM li0),
-px AS (SELECT frame_no, CAST(i // {W} AS INT) AS r, CAST(i % {W} AS INT) AS c, CAST(h AS INT) AS h, CAST(floor(l_quantity) AS INT) & 255 AS g, CAST(floor(l_discount * 100 + 0.5) AS INT) & 255 AS b, CAST(floor(l_tax * 100 + 0.5) AS INT) & 255 AS x FROM li1 WHERE i < h * {W}),
+li1 AS (SELECT *, row_number() OVER (PARTITION BY frame_no ORDER BY {', '.join(P.LI_ORDER)}) - 1 AS i, count(*) OVER (PARTITION BY frame_no) AS n, (count(*) OVER (PARTITION BY frame_no) + {W - 1}) // {W} AS h FROM li0),
+px AS (SELECT frame_no, CAST(i // {W} AS INT) AS r, CAST(i % {W} AS INT) AS c, CAST(h AS INT) AS h, CAST(floor(l_quantity) AS INT) & 255 AS g, CAST(floor(l_discount * 100 + 0.5) AS INT) & 255 AS b, CAST(floor(l_tax * 100 + 0.5) AS INT) & 255 AS x FROM li1
+ UNION ALL SELECT frame_no, CAST(i // {W} AS INT), CAST(i % {W} AS INT), CAST(h AS INT), 0, 0, 0 FROM (SELECT frame_no, h, unnest(range(n, h * {W})) AS i FROM (SELECT DISTINCT frame_no, n, h FROM li1))),
 pl AS (SELECT frame_no, 0 AS plane_idx, r, c, h, g AS v FROM px UNION ALL SELECT frame_no, 1, r, c, h, b FROM px UNION ALL SELECT frame_no, 2, r, c, h, x FROM px)"""
 SLICED = f"""{LI}, s0 AS (SELECT *, ({P.SLICES} * (r + 1) - 1) // h AS slice_idx FROM pl),
 sl AS (SELECT *, (r - h * slice_idx // {P.SLICES}) * {W} + c AS i FROM s0)"""
@@ -113,9 +114,15 @@ def huffman_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def kraft_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every plane's code is complete: its numerator is two to the longest length."""
-    k = entropy.kraft(entropy.code_lengths(code_counts(spark, sf_dir), ["frame_no", "plane_idx"]), ["frame_no", "plane_idx"])
-    return k.select("frame_no", "plane_idx", "complete")
+    """Codes of planes, some with their least symbol taken out or given a longer code, against Kraft's equality."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("frame_no", "plane_idx")
+    lengths = entropy.code_lengths(code_counts(spark, sf_dir), ["frame_no", "plane_idx"]).withColumns({"least": F.min("sym").over(w) == F.col("sym"), "many": F.count(F.lit(1)).over(w)}).where("many > 1")
+    lengths = lengths.where(~(F.col("least") & (F.col("frame_no") % 3 == 1)))
+    lengths = lengths.withColumn("code_len", F.when(F.col("least") & (F.col("frame_no") % 3 == 2), F.col("code_len") + 1).otherwise(F.col("code_len")))
+    k = entropy.kraft(lengths, ["frame_no", "plane_idx"])
+    return k.select("frame_no", "plane_idx", "complete", (F.col("numerator") < F.pow(F.lit(2.0), F.col("max_len"))).alias("below"))
 
 
 def canonical_order(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -150,13 +157,14 @@ def format_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def config_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = configs(spark, sf_dir)
-    e = S.dims_error(F.col("fourcc"), F.col("width"), F.col("height"))["variant"]
-    return c.select("o_orderkey", e.alias("variant"), E.category(e).alias("category"), E.is_category(e, "StreamShape").alias("is_stream_shape"))
+    e = S.dims_error(F.col("fourcc"), F.col("width"), F.col("height"))
+    v = e["variant"]
+    return c.select("o_orderkey", v.alias("variant"), E.category(v).alias("category"), E.is_category(v, "StreamShape").alias("is_stream_shape"), E.message(e).alias("message"))
 
 
 def extradata_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Extradata built for each stream and read again, with one field spoilt in some."""
-    c = configs(spark, sf_dir).where(S.known(F.col("fourcc")) & F.col("n").between(1, 256))
+    """Extradata built for each stream (none for a slice count out of range) and read again, with one field spoilt in some."""
+    c = configs(spark, sf_dir).where(S.known(F.col("fourcc")))
     x = S.build_extradata(F.col("fourcc"), F.col("n"))
     spoilt = F.when(F.col("o_orderkey") % 7 == 1, F.substring(x, 1, 12)).when(F.col("o_orderkey") % 7 == 2, F.concat(F.substring(x, 1, 8), S.dword(F.lit(5)), F.substring(x, 13, 4))).when(F.col("o_orderkey") % 7 == 3, F.concat(F.substring(x, 1, 12), S.dword(F.lit(0)))).when(F.col("o_orderkey") % 7 == 4, F.concat(F.substring(x, 1, 12), S.dword(F.lit(0x801)))).otherwise(x)
     c = c.withColumn("x", spoilt)
@@ -245,20 +253,76 @@ def malformed_taxonomy(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(x)
     )
     out = codec.decode(packets.withColumn("chunk", bad))
-    return out.select("frame_no", F.col("error.variant").alias("variant"), E.category(F.col("error.variant")).alias("category"), E.message(F.col("error")).isNotNull().alias("has_message"))
+    return out.select("frame_no", F.col("error.variant").alias("variant"), E.category(F.col("error.variant")).alias("category"), F.when(k != 4, E.message(F.col("error"))).alias("message"))
+
+
+def strided(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines as planes of 12 samples a row, 16 bytes apart."""
+    return li_frames(spark, sf_dir, "ULY4", 1).withColumn("width", F.lit(12)).withColumn("strides", F.array(*[F.lit(W)] * 3))
 
 
 def stride_repack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order lines as rows of stride 16 whose first 12 samples are the plane."""
-    return P.repacked(P.planes_of(P.lineitem_pixels(spark, sf_dir)), 12).select("frame_no", "plane_idx", "r", "c", "v")
+    return P.pixels_of(P.repacked(strided(spark, sf_dir)), 12)
+
+
+def stride_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Planes that cannot be repacked, in one way each by frame number, and what is said of them."""
+    k, p = F.col("frame_no") % 5, F.col("planes")
+    bad = strided(spark, sf_dir).withColumn("strides", F.when(k == 1, F.array(F.lit(W), F.lit(8), F.lit(W))).when(k == 4, F.array(F.lit(12), F.lit(W), F.lit(None).cast("int"))).otherwise(F.col("strides")))
+    cut = F.array(F.get(p, F.lit(0)), F.get(p, F.lit(1)), F.substring(F.get(p, F.lit(2)), F.lit(1), F.octet_length(F.get(p, F.lit(2))) - 1))
+    bad = bad.withColumn("planes", F.when(k == 2, cut).when(k == 3, F.slice(p, 1, 2)).otherwise(p))
+    e = F.col("stride_error")
+    out = P.repacked(bad)
+    return out.select("frame_no", e["variant"].alias("variant"), e["fields"]["plane"].alias("plane"), E.message(e).alias("message"), F.coalesce(F.aggregate("planes", F.lit(0), lambda n, x: n + F.octet_length(x)), F.lit(-1)).alias("bytes"))
+
+
+def binary_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Payloads of planes with the samples 0 and 1 alone, whose every bit is known: they share a code of one bit."""
+    px = P.lineitem_pixels(spark, sf_dir)
+    return coded(P.frames(px.withColumns({c: F.col(c) % 2 for c in "gbx"}), "bits", "ULY4", 0, P.SLICES, ["g", "b", "x"], W))
+
+
+def wire_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return binary_packets(spark, sf_dir).select("frame_no", F.hex("chunk").alias("chunk"))
+
+
+def plane_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each plane of a payload lies and what its descriptor says."""
+    planes = layout.plane_layout(layout.frame_layout(binary_packets(spark, sf_dir)))
+    tiers = F.array_join(F.transform("code_length_histogram", lambda t: F.concat_ws(":", t["code_length"], t["count"])), ",")
+    return planes.select("frame_no", "plane_idx", "descriptor_start", "end_offsets_start", "slice_data_start", "slice_data_total", "zero_count", "absent_count", "active_symbol_count", "unused_symbol_count", F.coalesce("min_code_length", F.lit(0)).alias("min_len"), "min_code_length_symbol_count", tiers.alias("tiers"), "kraft_numerator", "is_kraft_complete")
+
+
+def slice_extents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.slice_layout(layout.frame_layout(binary_packets(spark, sf_dir))).select("frame_no", "plane_idx", "slice_idx", "start", "end", "len", "is_empty", "row_count")
+
+
+def stream_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a decoder makes of each order's stream parameters, with one missing in some."""
+    c, k = configs(spark, sf_dir), F.col("o_orderkey")
+    x = F.when(k % 11 == 10, F.lit(b"")).otherwise(S.build_extradata(F.col("fourcc"), F.col("n")))
+    c = c.select("o_orderkey", F.when(k % 9 != 8, F.col("fourcc")).alias("fourcc"), F.when(k % 10 != 9, F.col("width")).alias("width"), "height", x.alias("extradata"))
+    return S.stream_config(c).select("o_orderkey", "deferred", F.col("error.variant").alias("variant"), "num_slices")
+
+
+def sql_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames encoded and decoded by the functions that are registered for SQL."""
+    from ..streaming.session import register
+
+    register(spark)
+    frames = li_frames(spark, sf_dir, "ULRG", 3)
+    coded_ = frames.selectExpr("*", "encode_frame(fourcc, width, height, predictor, num_slices, planes) AS chunk")
+    return P.pixels_of(coded_.selectExpr("frame_no", "decode_frame(chunk, fourcc, width, height, num_slices).planes AS planes"), W)
 
 
 def stream_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Packets read as a stream and decoded batch by batch."""
     from ..streaming.session import encoded_packets, run_stream
 
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
-    folder = f"{root}/{uuid.uuid4().hex}"
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    folder = f"{root or tempfile.mkdtemp()}/{uuid.uuid4().hex}"
     encoded_packets(li_frames(spark, sf_dir, "ULRG", 3)).withColumn("pts", F.col("frame_no")).write.parquet(f"{folder}/in")
     source = spark.readStream.schema(spark.read.parquet(f"{folder}/in").schema).parquet(f"{folder}/in")
     run_stream(source, codec.decode, f"{folder}/out", f"{folder}/check").awaitTermination()
@@ -272,9 +336,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     **{f"inverse_{p}": inverse_query(p) for p in ("none", "left", "gradient")},
     **{f.__name__: f for f in (residual_histogram, entropy_by_predictor, choose_predictor, rgb_forward, rgb_inverse, slice_partition, huffman_codes, huffman_cost, kraft_check, canonical_order, format_geometry, config_errors, extradata_fields, frame_info_predictor, sample_geometry)},
     **{f"roundtrip_{f.lower()}_{p}": roundtrip_query(f, p) for f, p in [("ULY4", "none"), ("ULY4", "left"), ("ULY4", "gradient"), ("ULY4", "median"), ("ULRG", "left"), ("ULRG", "gradient"), ("ULRG", "median"), ("ULRA", "median")]},
-    **{f.__name__: f for f in (embeddings_roundtrip, layout_identities, slice_layout, malformed_taxonomy, stride_repack, stream_roundtrip)},
+    **{f.__name__: f for f in (embeddings_roundtrip, layout_identities, slice_layout, malformed_taxonomy, stride_repack, stride_errors, wire_bytes, plane_statistics, slice_extents, stream_parameters, sql_roundtrip, stream_roundtrip)},
 }
-HALF = f"CAST({P.SLICES} AS INT)"
+LITTLE = "substr({0}, 7, 2) || substr({0}, 5, 2) || substr({0}, 3, 2) || substr({0}, 1, 2)"
+#: Of two samples the larger has the bit 0; bits fill 32-bit words from the top, words are little-endian; an only sample has no bits.
+BITS = f"""{LI}, b0 AS (SELECT frame_no, plane_idx, r, c, h, v & 1 AS b, least({P.SLICES}, h) AS ns FROM pl), b1 AS (SELECT *, (ns * (r + 1) - 1) // h AS sl FROM b0),
+b2 AS (SELECT *, row_number() OVER (PARTITION BY frame_no, plane_idx, sl ORDER BY r, c) - 1 AS i FROM b1), st AS (SELECT frame_no, plane_idx, min(b) AS lo, max(b) AS hi FROM b0 GROUP BY ALL),
+wd AS (SELECT frame_no, plane_idx, sl, i // 32 AS w, printf('%08X', CAST(sum(CAST(1 - b AS BIGINT) << CAST(31 - i % 32 AS INT)) AS BIGINT)) AS x FROM b2 JOIN st USING (frame_no, plane_idx) WHERE lo <> hi GROUP BY ALL),
+sd AS (SELECT frame_no, plane_idx, sl, string_agg({LITTLE.format('x')}, '' ORDER BY w) AS d, count(*) * 4 AS len FROM wd GROUP BY ALL),
+sa AS (SELECT frame_no, plane_idx, sl, max(h) AS h, max(ns) AS ns FROM b1 GROUP BY ALL),
+se AS (SELECT frame_no, plane_idx, sl, h, ns, coalesce(d, '') AS d, CAST(coalesce(len, 0) AS BIGINT) AS len, CAST(sum(coalesce(len, 0)) OVER (PARTITION BY frame_no, plane_idx ORDER BY sl) AS BIGINT) AS e FROM sa LEFT JOIN sd USING (frame_no, plane_idx, sl)),
+sp AS (SELECT frame_no, plane_idx, max(ns) AS ns, max(e) AS total, string_agg({LITTLE.format("printf('%08X', e)")}, '' ORDER BY sl) AS ends, string_agg(d, '' ORDER BY sl) AS data FROM se GROUP BY ALL),
+pp AS (SELECT *, CASE WHEN lo <> hi THEN '0101' || repeat('FF', 254) WHEN lo = 0 THEN '00' || repeat('FF', 255) ELSE 'FF00' || repeat('FF', 254) END AS ds, CAST(coalesce(sum(256 + 4 * ns + total) OVER (PARTITION BY frame_no ORDER BY plane_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS ofs FROM sp JOIN st USING (frame_no, plane_idx))"""
 ORACLES: dict[str, str] = {
     **{f"residual_{p}": f"WITH {LAGS} SELECT frame_no, plane_idx, CAST(slice_idx AS INT) AS slice_idx, CAST(i AS INT) AS i, (v - ({g})) & 255 AS residual FROM lg" for p, g in GUESS.items()},
     **{f"inverse_{p}": f"WITH {SLICED} SELECT frame_no, plane_idx, CAST(slice_idx AS INT) AS slice_idx, CAST(i AS INT) AS i, v FROM sl" for p in ("none", "left", "gradient")},
@@ -287,23 +360,34 @@ t AS (SELECT *, CASE WHEN "left" + 1e-6 < b1 THEN 'left' ELSE n1 END AS n2, CASE
     "slice_partition": f"WITH {LI}, f AS (SELECT DISTINCT frame_no, h FROM px), s AS (SELECT frame_no, h, unnest(range({P.SLICES})) AS s FROM f), p AS (SELECT frame_no, unnest([0, 1, 2]) AS plane_idx, CAST(s AS INT) AS slice_idx, CAST(h * s // {P.SLICES} AS INT) AS row_start, CAST(h * (s + 1) // {P.SLICES} AS INT) AS row_end FROM s) SELECT *, CAST((row_end - row_start) * {W} AS BIGINT) AS pixel_count FROM p WHERE row_end > row_start",
     "huffman_cost": f"""WITH RECURSIVE {CODE_COUNTS}, t AS (SELECT frame_no, plane_idx, list_sort(list(n)) AS w, CAST(0 AS BIGINT) AS bits FROM hist GROUP BY ALL UNION ALL
 SELECT frame_no, plane_idx, list_sort(list_append(w[3:], w[1] + w[2])), CAST(bits + w[1] + w[2] AS BIGINT) FROM t WHERE len(w) > 1) SELECT frame_no, plane_idx, bits FROM t WHERE len(w) = 1""",
-    "kraft_check": f"WITH {CODE_COUNTS} SELECT frame_no, plane_idx, true AS complete FROM hist GROUP BY ALL HAVING count(*) > 1",
+    "kraft_check": f"WITH {CODE_COUNTS} SELECT frame_no, plane_idx, frame_no % 3 = 0 AS complete, frame_no % 3 <> 0 AS below FROM hist GROUP BY ALL HAVING count(*) > 1",
     "canonical_order": f"""WITH {CODE_COUNTS}, k AS (SELECT *, row_number() OVER (PARTITION BY frame_no, plane_idx ORDER BY n DESC, sym) AS k, least(12, count(*) OVER (PARTITION BY frame_no, plane_idx)) AS m FROM hist), l AS (SELECT frame_no, plane_idx, sym, CAST(least(k, m - 1) AS INT) AS code_len, m - 1 AS mx FROM k WHERE k <= m AND m >= 2)
 SELECT frame_no, plane_idx, sym, code_len, CAST(coalesce(sum(1 << (mx - code_len)) OVER (PARTITION BY frame_no, plane_idx ORDER BY code_len DESC, sym DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) >> (mx - code_len) AS code FROM l""",
     "format_geometry": f"""WITH {CONFIGS}, k AS (SELECT *, unnest(CASE WHEN fourcc = 'ULRA' THEN [0, 1, 2, 3] ELSE [0, 1, 2] END) AS plane_idx FROM cf WHERE fourcc != 'ABCD')
 SELECT o_orderkey, plane_idx, CASE WHEN fourcc IN ('ULRG', 'ULRA') THEN ['G', 'B', 'R', 'A'][plane_idx + 1] ELSE ['Y', 'U', 'V'][plane_idx + 1] END AS label, CASE WHEN fourcc IN ('ULY0', 'ULY2') AND plane_idx > 0 THEN width // 2 ELSE width END AS pw, CASE WHEN fourcc = 'ULY0' AND plane_idx > 0 THEN height // 2 ELSE height END AS ph, fourcc IN ('ULRG', 'ULRA') AS is_rgb, fourcc = 'ULRA' AS has_alpha,
 CASE fourcc WHEN 'ULY0' THEN '59563132' WHEN 'ULY2' THEN '59555932' WHEN 'ULY4' THEN '59563234' WHEN 'ULRG' THEN '00000118' ELSE '00000218' END AS tag FROM k""",
-    "config_errors": f"""WITH {CONFIGS}, v AS (SELECT o_orderkey, CASE WHEN fourcc = 'ABCD' THEN 'UnknownFourcc' WHEN width <= 0 OR height <= 0 OR (fourcc = 'ULY0' AND (width % 2 = 1 OR height % 2 = 1)) OR (fourcc = 'ULY2' AND width % 2 = 1) THEN 'DimensionConstraint' END AS variant FROM cf)
-SELECT o_orderkey, variant, CASE WHEN variant IS NOT NULL THEN 'StreamShape' END AS category, variant IS NOT NULL AS is_stream_shape FROM v""",
-    "extradata_fields": f"""WITH {CONFIGS}, k AS (SELECT *, o_orderkey % 7 AS m, 'F0000001' || CASE fourcc WHEN 'ULY0' THEN '59563132' WHEN 'ULY2' THEN '59555932' WHEN 'ULY4' THEN '59563234' WHEN 'ULRG' THEN '00000118' ELSE '00000218' END AS head FROM cf WHERE fourcc != 'ABCD' AND n BETWEEN 1 AND 256)
-SELECT o_orderkey, CASE m WHEN 1 THEN head || '04000000' WHEN 2 THEN head || '05000000010000' || printf('%02X', n - 1) WHEN 3 THEN head || '0400000000000000' WHEN 4 THEN head || '0400000001080000' ELSE head || '04000000010000' || printf('%02X', n - 1) END AS data,
-CASE m WHEN 1 THEN 'ExtradataTruncated' WHEN 2 THEN 'InvalidFrameInfoSize' WHEN 3 THEN 'HuffmanBitClear' WHEN 4 THEN 'InterlacedNotSupported' END AS variant, CAST(CASE WHEN m IN (1, 2, 3, 4) THEN -1 ELSE 16777456 END AS BIGINT) AS version, CASE WHEN m IN (1, 2, 3, 4) THEN -1 ELSE n END AS num_slices FROM k""",
+    "config_errors": f"""WITH {CONFIGS}, v AS (SELECT o_orderkey, CASE WHEN fourcc = 'ABCD' THEN 'UnknownFourcc' WHEN width <= 0 OR height <= 0 OR (fourcc = 'ULY0' AND (width % 2 = 1 OR height % 2 = 1)) OR (fourcc = 'ULY2' AND width % 2 = 1) THEN 'DimensionConstraint' END AS variant, fourcc, width, height FROM cf)
+SELECT o_orderkey, variant, CASE WHEN variant IS NOT NULL THEN 'StreamShape' END AS category, variant IS NOT NULL AS is_stream_shape,
+CASE variant WHEN 'UnknownFourcc' THEN 'no layout has the FourCC 41424344' WHEN 'DimensionConstraint' THEN 'a size of ' || width || ' x ' || height || ' does not suit the layout: ' || CASE WHEN width <= 0 OR height <= 0 THEN 'both must be positive' WHEN fourcc = 'ULY0' THEN 'both must be even' ELSE 'the width must be even' END END AS message FROM v""",
+    "extradata_fields": f"""WITH {CONFIGS}, k AS (SELECT *, o_orderkey % 7 AS m, 'F0000001' || CASE fourcc WHEN 'ULY0' THEN '59563132' WHEN 'ULY2' THEN '59555932' WHEN 'ULY4' THEN '59563234' WHEN 'ULRG' THEN '00000118' ELSE '00000218' END AS head FROM cf WHERE fourcc != 'ABCD'),
+r AS (SELECT o_orderkey, CASE m WHEN 1 THEN head || '04000000' WHEN 2 THEN head || '05000000010000' || printf('%02X', n - 1) WHEN 3 THEN head || '0400000000000000' WHEN 4 THEN head || '0400000001080000' ELSE head || '04000000010000' || printf('%02X', n - 1) END AS data,
+CASE m WHEN 1 THEN 'ExtradataTruncated' WHEN 2 THEN 'InvalidFrameInfoSize' WHEN 3 THEN 'HuffmanBitClear' WHEN 4 THEN 'InterlacedNotSupported' END AS variant, CAST(CASE WHEN m IN (1, 2, 3, 4) THEN -1 ELSE 16777456 END AS BIGINT) AS version, CASE WHEN m IN (1, 2, 3, 4) THEN -1 ELSE n END AS num_slices, n BETWEEN 1 AND 256 AS good FROM k)
+SELECT o_orderkey, CASE WHEN good THEN data END AS data, CASE WHEN good THEN variant END AS variant, CASE WHEN good THEN version ELSE -1 END AS version, CASE WHEN good THEN num_slices ELSE -1 END AS num_slices FROM r""",
     "frame_info_predictor": "SELECT o_orderkey, CAST(((o_orderkey * 12345 % 4294967296) >> 8) & 3 AS INT) AS predictor, CAST((((o_orderkey * 12345 % 4294967296) >> 8) & 3) << 8 AS BIGINT) AS frame_info FROM orders",
     "sample_geometry": SAMPLE_GEOMETRY,
-    **{q: ALPHA_SQL if "ulra" in q else PLANES_SQL for q in QUERIES if q.startswith("roundtrip_") or q == "stream_roundtrip"},
+    **{q: ALPHA_SQL if "ulra" in q else PLANES_SQL for q in QUERIES if q.startswith("roundtrip_") or q in ("stream_roundtrip", "sql_roundtrip")},
     "embeddings_roundtrip": f"WITH {EMB} SELECT frame_no, k AS plane_idx, r, c, v FROM ep, (SELECT unnest([0, 1, 2]) AS k)",
     "layout_identities": f"WITH {LI} SELECT frame_no, CAST(count(*) * 3 AS BIGINT) AS total_pixels, true AS size_is_length, true AS complete FROM px GROUP BY frame_no",
     "slice_layout": f"WITH {LI}, f AS (SELECT DISTINCT frame_no, h, least({P.SLICES}, h) AS n FROM px), s AS (SELECT frame_no, h, n, unnest(range(n)) AS s FROM f), p AS (SELECT frame_no, unnest([0, 1, 2]) AS plane_idx, CAST(s AS INT) AS slice_idx, CAST(h * s // n AS INT) AS row_start, CAST(h * (s + 1) // n AS INT) AS row_end FROM s) SELECT *, CAST((row_end - row_start) * {W} AS BIGINT) AS pixel_count FROM p",
-    "malformed_taxonomy": f"WITH {LI}, f AS (SELECT DISTINCT frame_no FROM px), v AS (SELECT frame_no, CASE frame_no % 6 WHEN 0 THEN 'MissingFrameInfo' WHEN 1 THEN 'ChunkTooShort' WHEN 2 THEN 'MultipleSingleSymbolSentinels' WHEN 3 THEN 'SliceNotWordAligned' WHEN 4 THEN 'ChunkTooShort' END AS variant FROM f) SELECT frame_no, variant, CASE WHEN variant IS NOT NULL THEN 'MalformedStream' END AS category, variant IS NOT NULL AS has_message FROM v",
+    "malformed_taxonomy": f"WITH {LI}, f AS (SELECT DISTINCT frame_no FROM px), v AS (SELECT frame_no, CASE frame_no % 6 WHEN 0 THEN 'MissingFrameInfo' WHEN 1 THEN 'ChunkTooShort' WHEN 2 THEN 'MultipleSingleSymbolSentinels' WHEN 3 THEN 'SliceNotWordAligned' WHEN 4 THEN 'ChunkTooShort' END AS variant FROM f) SELECT frame_no, variant, CASE WHEN variant IS NOT NULL THEN 'MalformedStream' END AS category, CASE frame_no % 6 WHEN 0 THEN 'the payload is too short for the word that ends it' WHEN 1 THEN 'the payload ends early: 256 bytes are due at 0, 196 are left' WHEN 2 THEN 'more than one symbol claims to be the only one' WHEN 3 THEN 'a slice ends at byte 1, which is not a whole number of 32-bit words' END AS message FROM v",
+    "wire_bytes": f"WITH {BITS} SELECT frame_no, string_agg(ds || ends || data, '' ORDER BY plane_idx) || '00000000' AS chunk FROM pp GROUP BY frame_no",
+    "plane_statistics": f"""WITH {BITS} SELECT frame_no, plane_idx, ofs AS descriptor_start, ofs + 256 AS end_offsets_start, ofs + 256 + 4 * ns AS slice_data_start, total AS slice_data_total, CAST(lo = hi AS INT) AS zero_count, CASE WHEN lo = hi THEN 255 ELSE 254 END AS absent_count,
+CASE WHEN lo = hi THEN 0 ELSE 2 END AS active_symbol_count, CASE WHEN lo = hi THEN 255 ELSE 254 END AS unused_symbol_count, CAST(lo <> hi AS INT) AS min_len, CASE WHEN lo = hi THEN 0 ELSE 2 END AS min_code_length_symbol_count, CASE WHEN lo = hi THEN '' ELSE '1:2' END AS tiers, CASE WHEN lo = hi THEN '0' ELSE '2' END AS kraft_numerator, true AS is_kraft_complete FROM pp""",
+    "slice_extents": f"WITH {BITS} SELECT frame_no, plane_idx, CAST(sl AS INT) AS slice_idx, ofs + 256 + 4 * pp.ns + e - len AS start, ofs + 256 + 4 * pp.ns + e AS \"end\", len, len = 0 AS is_empty, CAST(h * (sl + 1) // se.ns - h * sl // se.ns AS INT) AS row_count FROM se JOIN pp USING (frame_no, plane_idx)",
+    "stride_errors": f"""WITH {LI}, f AS (SELECT frame_no, max(h) AS h, frame_no % 5 AS k FROM px GROUP BY frame_no) SELECT frame_no, CASE k WHEN 1 THEN 'InvalidInput' WHEN 2 THEN 'EncoderPlaneSizeMismatch' WHEN 3 THEN 'EncoderPlaneSizeMismatch' END AS variant, CAST(CASE k WHEN 1 THEN 1 WHEN 2 THEN 2 WHEN 3 THEN 2 END AS BIGINT) AS plane,
+CASE k WHEN 1 THEN 'the input cannot be used: plane 1, plane_width 12, stride 8' WHEN 2 THEN 'plane 2: ' || (h * 16 - 1) || ' given where ' || h * 16 || ' are due' WHEN 3 THEN 'plane 2: 2 given where 3 are due' END AS message, CAST(CASE WHEN k IN (1, 2, 3) THEN -1 ELSE 36 * h END AS INT) AS bytes FROM f""",
+    "stream_parameters": f"""WITH {CONFIGS}, p AS (SELECT o_orderkey, CASE WHEN o_orderkey % 9 != 8 THEN fourcc END AS f, CASE WHEN o_orderkey % 10 != 9 THEN width END AS w, height AS h, n, n BETWEEN 1 AND 256 AND fourcc != 'ABCD' AND o_orderkey % 11 != 10 AS has FROM cf),
+d AS (SELECT *, f IS NULL OR f = 'ABCD' OR w IS NULL OR NOT has AS deferred FROM p), v AS (SELECT *, CASE WHEN NOT deferred AND (w <= 0 OR h <= 0 OR (f = 'ULY0' AND (w % 2 = 1 OR h % 2 = 1)) OR (f = 'ULY2' AND w % 2 = 1)) THEN 'DimensionConstraint' END AS variant FROM d)
+SELECT o_orderkey, deferred, variant, CASE WHEN NOT deferred AND variant IS NULL THEN n END AS num_slices FROM v""",
     "stride_repack": f"WITH {LI} SELECT frame_no, plane_idx, r, c, v FROM pl WHERE c < 12",
 }

@@ -1,7 +1,7 @@
-"""A directory of frame bodies as a data source: stream_id=<id>/<frame_no>.frame, batch and streaming, read and write.
+"""A directory of frame bodies as a data source, batch and streaming: stream_id=<id>/<frame_no>.frame.
 
-Reading goes through Spark's own binary file source, so any file system that Spark reads will do, and a filter on stream_id
-prunes directories. Writing keeps one file per frame through the same file system interface.
+Reading goes through Spark's own binary file source, so any file system that Spark reads will do. stream_id is a partition
+column where a batch is read, so that a filter on it leaves directories out. Packets are written as a Parquet table by stream.
 """
 
 from __future__ import annotations
@@ -15,13 +15,13 @@ SCHEMA = "path string, modificationTime timestamp, length bigint, content binary
 def _packets(files: DataFrame) -> DataFrame:
     part = lambda pattern: F.regexp_extract("path", pattern, 1)
     return files.select(
-        part(r"stream_id=([^/]*)/").alias("stream_id"), part(r"/(\d+)\.frame$").cast("bigint").alias("frame_no"), F.lit(None).cast("bigint").alias("pts"), F.col("content").alias("chunk")
+        (F.col("stream_id").cast("string") if "stream_id" in files.columns else part(r"stream_id=([^/]*)/")).alias("stream_id"), part(r"/(\d+)\.frame$").cast("bigint").alias("frame_no"), F.lit(None).cast("bigint").alias("pts"), F.col("content").alias("chunk")
     )
 
 
 def read_frames(spark: SparkSession, folder: str) -> DataFrame:
     """(stream_id, frame_no, pts, chunk) of all frame bodies in a folder."""
-    return _packets(spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.frame").load(folder))
+    return _packets(spark.read.format("binaryFile").option("pathGlobFilter", "*.frame").load(folder))
 
 
 def stream_frames(spark: SparkSession, folder: str) -> DataFrame:
@@ -29,7 +29,7 @@ def stream_frames(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def write_packets(packets: DataFrame, folder: str) -> None:
-    """Frame bodies as a table by stream, which any reader of Parquet can take back."""
+    """Packets as a Parquet table, a directory for each stream."""
     packets.write.partitionBy("stream_id").mode("overwrite").parquet(folder)
 
 

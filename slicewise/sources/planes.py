@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.schemas import plus
+
 #: Width of a lineitem plane, order keys in a frame, vectors in a frame, slices of a frame.
 LI_WIDTH, LI_ORDERS, EMB_ROWS, SLICES = 16, 64, 64, 4
 #: All columns of lineitem, which order its rows; rows that still tie are equal.
@@ -12,13 +18,15 @@ LI_ORDER = "l_orderkey l_linenumber l_partkey l_suppkey l_quantity l_extendedpri
 
 
 def lineitem_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(frame_no, r, c, h, g, b, x): a frame for LI_ORDERS order keys, its rows in order; a last short row is dropped."""
+    """(frame_no, r, c, h, g, b, x): a frame for LI_ORDERS order keys, its rows in order; zeros fill up a last short row."""
     li = spark.read.parquet(f"{sf_dir}/lineitem.parquet").withColumn("frame_no", F.floor(F.col("l_orderkey") / LI_ORDERS).cast("bigint"))
     w = Window.partitionBy("frame_no")
-    li = li.withColumn("i", F.row_number().over(w.orderBy(*LI_ORDER)) - 1).withColumn("h", F.floor(F.count(F.lit(1)).over(w) / LI_WIDTH).cast("int"))
-    byte = lambda c: F.floor(c).cast("bigint").bitwiseAND(F.lit(255)).cast("int")
-    return li.where(F.col("i") < F.col("h") * LI_WIDTH).select(
-        "frame_no", F.floor(F.col("i") / LI_WIDTH).cast("int").alias("r"), (F.col("i") % LI_WIDTH).cast("int").alias("c"), "h",
+    li = li.withColumn("i", F.row_number().over(w.orderBy(*LI_ORDER)) - 1).withColumn("n", F.count(F.lit(1)).over(w)).withColumn("h", F.ceil(F.col("n") / LI_WIDTH).cast("int"))
+    full = F.when(F.col("i") == F.col("n") - 1, F.sequence(F.col("i"), F.col("h") * LI_WIDTH - 1)).otherwise(F.array("i"))
+    li = li.withColumn("at", F.explode(full))
+    byte = lambda c: F.when(F.col("at") > F.col("i"), F.lit(0)).otherwise(F.floor(c).cast("bigint").bitwiseAND(F.lit(255)).cast("int"))
+    return li.select(
+        "frame_no", F.floor(F.col("at") / LI_WIDTH).cast("int").alias("r"), (F.col("at") % LI_WIDTH).cast("int").alias("c"), "h",
         byte(F.col("l_quantity")).alias("g"), byte(F.col("l_discount") * 100 + 0.5).alias("b"), byte(F.col("l_tax") * 100 + 0.5).alias("x"),
     )
 
@@ -45,27 +53,75 @@ def embedding_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("frame_no", "r", "h", F.posexplode("embedding").alias("c", "x")).select("frame_no", "r", "c", "h", v.alias("v"))
 
 
-def as_bytes(values):
-    """An ARRAY<INT> of 0..255 as BINARY."""
-    return F.unhex(F.array_join(F.transform(values, lambda v: F.lpad(F.hex(v.cast("bigint")), 2, "0")), ""))
-
-
 def frames(pixels: DataFrame, stream: str, fourcc: str, predictor: int, n: int, columns: list[str], width: int) -> DataFrame:
     """Frames of full-size planes; each column of pixel rows is a plane. A frame has as many rows as its pixels say."""
     cells = F.sort_array(F.collect_list(F.struct("r", "c", *columns)))  # one frame's pixels
     one = pixels.groupBy("frame_no", "h").agg(cells.alias("s"))
-    planes = F.array(*(as_bytes(F.transform("s", lambda x: x[c])) for c in columns))
-    return one.select(F.lit(stream).alias("stream_id"), "frame_no", F.lit(fourcc).alias("fourcc"), F.lit(width).alias("width"), F.col("h").alias("height"), F.lit(predictor).alias("predictor"), F.least(F.lit(n), "h").cast("int").alias("num_slices"), planes.alias("planes"))
+    head = one.select(F.lit(stream).alias("stream_id"), "frame_no", F.lit(fourcc).alias("fourcc"), F.lit(width).alias("width"), F.col("h").alias("height"), F.lit(predictor).alias("predictor"), F.least(F.lit(n), "h").cast("int").alias("num_slices"), "s")
+    schema = plus(head.schema, "planes array<binary>", without=("s",))
+    names = [f.name for f in schema]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flat, ends = batch["s"].flatten(), np.diff(batch["s"].offsets.to_numpy()).cumsum()
+            values = [flat.field(c).to_numpy().astype(np.uint8).tobytes() for c in columns]
+            planes = [[x[a:b] for x in values] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(planes, pa.list_(pa.binary())) if c == "planes" else batch[c] for c in names], names=names)
+
+    return head.mapInArrow(run, schema)
 
 
 def pixels_of(decoded: DataFrame, width: int) -> DataFrame:
     """(frame_no, plane_idx, r, c, v) of decoded frames with full-size planes."""
-    p = decoded.select("frame_no", F.posexplode("planes").alias("plane_idx", "plane"))
-    h = p.select("frame_no", "plane_idx", F.hex("plane").alias("x")).select("frame_no", "plane_idx", "x", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("x")), F.lit(2))).alias("k"))
-    i = F.floor((F.col("k") - 1) / 2).cast("int")
-    return h.where(F.length("x") > 0).select("frame_no", "plane_idx", F.floor(i / width).cast("int").alias("r"), (i % width).cast("int").alias("c"), F.conv(F.substring("x", F.col("k"), F.lit(2)), 16, 10).cast("int").alias("v"))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for frame, planes in zip(batch["frame_no"].to_pylist(), batch["planes"].to_pylist(), strict=True):
+                for k, plane in enumerate(planes or ()):
+                    v = np.frombuffer(plane, np.uint8)
+                    at = np.arange(len(v), dtype=np.int32)
+                    columns = (np.full(len(v), frame, np.int64), np.full(len(v), k, np.int32), at // width, at % width, v.astype(np.int32))
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["frame_no", "plane_idx", "r", "c", "v"])
+
+    return decoded.select("frame_no", "planes").mapInArrow(run, "frame_no long, plane_idx int, r int, c int, v int")
+
+
+def repacked(frames: DataFrame) -> DataFrame:
+    """frames(fourcc, width, height, strides ARRAY<INT>, planes) with planes without the padding of their rows, and stride_error.
+
+    A plane's rows lie stride bytes apart, its own width if strides is null. Refused, with the first plane that it is so with:
+    another number of planes than the layout has, a stride below the plane's width, and fewer bytes than rows of that stride take.
+    """
+    from ..functions import errors as E
+    from ..functions import formats as S
 
-def repacked(pixels: DataFrame, width: int) -> DataFrame:
-    """Rows of stride-padded planes without the padding: c beyond the width goes."""
-    return pixels.where(F.col("c") < width)
+    f, w, h = F.col("fourcc"), F.col("width"), F.col("height")
+    at = F.sequence(F.lit(0), S.plane_count(f) - 1)
+    stride = lambda k: F.coalesce(F.get("strides", k), S.plane_width(f, k, w))
+    needed = lambda k: (stride(k) * S.plane_height(f, k, h)).cast("bigint")
+    have = lambda k: F.coalesce(F.octet_length(F.get("planes", k)), F.lit(0))
+    narrow = F.get(F.filter(at, lambda k: stride(k) < S.plane_width(f, k, w)), F.lit(0))
+    short = F.get(F.filter(at, lambda k: have(k) < needed(k)), F.lit(0))
+    bad_stride = E.error("InvalidInput", plane=narrow, stride=stride(narrow), plane_width=S.plane_width(f, narrow, w))
+    too_short = E.error("EncoderPlaneSizeMismatch", plane=short, expected=needed(short), got=have(short))
+    count = F.coalesce(F.size("planes"), F.lit(0))
+    error = E.first_of(
+        (~S.known(f), E.error("UnknownFourcc", fourcc=S.as_number(f))),
+        (count != S.plane_count(f), E.error("EncoderPlaneSizeMismatch", plane=count, expected=S.plane_count(f), got=count)),
+        (narrow.isNotNull() & (short.isNull() | (narrow <= short)), bad_stride),
+        (short.isNotNull(), too_short),
+    )
+    widths = F.when(error.isNull(), F.transform(at, lambda k: F.struct(stride(k).alias("stride"), S.plane_width(f, k, w).alias("pw"), S.plane_height(f, k, h).alias("ph"))))
+    ready = frames.withColumn("stride_error", error).withColumn("_shape", widths)
+    schema = plus(frames.drop("planes").schema, f"planes array<binary>, stride_error {E.ERROR}")
+    names = [x.name for x in schema]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for planes, shape in zip(batch["planes"].to_pylist(), batch["_shape"].to_pylist(), strict=True):
+                tight = lambda p, s: np.frombuffer(p, np.uint8, s["stride"] * s["ph"]).reshape(s["ph"], s["stride"])[:, : s["pw"]].tobytes()
+                out.append(None if shape is None else [tight(p, s) for p, s in zip(planes, shape, strict=True)])
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.binary())) if c == "planes" else batch[c] for c in names], names=names)
+
+    return ready.mapInArrow(run, schema)

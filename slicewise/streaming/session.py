@@ -8,11 +8,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
+from ..functions import errors as E
 from ..functions import formats as S
-from ..operators import codec
+from ..operators import codec, kernels
+from ..sources.planes import repacked
 
 CODEC = {"id": "slicewise", "decode": True, "encode": True, "lossless": True, "intra_only": True, "fourccs": sorted(S.LAYOUTS)}
 
@@ -33,9 +38,84 @@ def run_stream(source: DataFrame, transform: Callable[[DataFrame], DataFrame], f
 
 
 def register(spark: SparkSession) -> dict:
-    """Makes the decode-free peek known to SQL and tells what the codec can do."""
+    """Makes the codec known to SQL, frame by frame, and tells what it can do.
+
+    frame_info_predictor(x), encode_frame(fourcc, width, height, predictor, num_slices, planes), decode_frame(chunk, fourcc,
+    width, height, num_slices), which gives planes, predictor and the variant of its error, and payload_layout of the same.
+    A frame that cannot be encoded, and a payload without a layout, give null.
+    """
     spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION frame_info_predictor(x BIGINT) RETURNS INT RETURN CAST(shiftright(x, 8) & 3 AS INT)")
-    return CODEC
+    for name, (one, ddl) in FUNCTIONS.items():
+        spark.udf.register(name, _by_row(spark, one, ddl))
+    return CODEC | {"functions": ["frame_info_predictor", *FUNCTIONS]}
+
+
+def _by_row(spark: SparkSession, one: Callable, ddl: str):
+    kind = to_arrow_schema(T.StructType.fromDDL(f"x {ddl}")).field("x").type
+
+    def run(*columns: pa.Array) -> pa.Array:
+        return pa.array([one(*row) for row in zip(*(c.to_pylist() for c in columns), strict=True)], kind)
+
+    return F.arrow_udf(run, ddl)
+
+
+def _encoded(fourcc: str, width: int, height: int, predictor: int, num_slices: int, planes: list[bytes]) -> bytes | None:
+    if None in (fourcc, width, height, predictor, num_slices, planes) or None in planes or fourcc not in S.LAYOUTS or not 0 <= predictor <= 3:
+        return None
+    labels, shift, _ = S.LAYOUTS[fourcc]
+    dims = [(width >> shift[0], height >> shift[1]) if p in (1, 2) else (width, height) for p in range(len(labels))]
+    even = width % (1 << shift[0]) == 0 and height % (1 << shift[1]) == 0 and min(width, height) > 0
+    if not even or [len(p) for p in planes] != [w * h for w, h in dims] or not 1 <= num_slices <= min(256, *(h for _, h in dims)):
+        return None
+    return codec.encode_one(fourcc, width, height, predictor, num_slices, planes)
+
+
+def _decoded(*row) -> dict:
+    try:
+        if None in row or row[1] not in S.LAYOUTS:
+            raise kernels.CodecError("InvalidInput")
+        planes, predictor = codec.decode_one(*row)
+        return {"planes": planes, "predictor": predictor, "variant": None}
+    except kernels.CodecError as e:
+        return {"planes": None, "predictor": None, "variant": e.variant}
+
+
+def _layout(*row) -> list[dict] | None:
+    try:
+        return None if None in row or row[1] not in S.LAYOUTS else codec.walk(*row, codes=False)[0]
+    except kernels.CodecError:
+        return None
+
+
+FUNCTIONS = {
+    "encode_frame": (_encoded, "binary"),
+    "decode_frame": (_decoded, "struct<planes:array<binary>,predictor:int,variant:string>"),
+    "payload_layout": (_layout, f"array<{codec.PLANE}>"),
+}
+
+
+def decoder_parameters(params: DataFrame) -> DataFrame | None:
+    """(stream_id, fourcc, width, height, num_slices) of the streams that are complete, or None if none is; raises the message of
+    parameters that contradict each other. params: (stream_id, fourcc, width, height, extradata), or with num_slices as they are."""
+    if "extradata" not in params.columns:
+        return params
+    read = S.stream_config(params)
+    _refuse(read)
+    ready = read.where(~F.col("deferred")).select("stream_id", *codec.PARAMETERS)
+    return ready if ready.limit(1).count() else None
+
+
+def encoder_parameters(params: DataFrame) -> DataFrame:
+    """params(stream_id, tag, pixel_format, width, height, extradata) with fourcc, num_slices and the extradata that a container is to
+    write; raises the message of parameters that cannot be used."""
+    read = S.encoder_config(params)
+    _refuse(read)
+    return read.drop("error")
+
+
+def _refuse(rows: DataFrame, error: str = "error") -> None:
+    if bad := rows.where(F.col(error).isNotNull()).select(E.message(F.col(error))).first():
+        raise ValueError(bad[0])
 
 
 class NeedMore(Exception):
@@ -68,14 +148,15 @@ class Session:
 
 
 class DecoderSession(Session):
-    """Decodes on receive; parameters may come late, but a packet that is taken before they do is lost."""
+    """Decodes on receive; parameters may come late, but a packet that is taken before they do is lost. Parameters that contradict
+    each other are refused when they are given."""
 
     def __init__(self, config: DataFrame | None = None, strict: bool = False) -> None:
         super().__init__()
-        self._config, self._strict = config, strict
+        self._config, self._strict = None if config is None else decoder_parameters(config), strict
 
     def configure(self, config: DataFrame) -> None:
-        self._config = config
+        self._config = decoder_parameters(config)
 
     def send_packet(self, packet: DataFrame) -> None:
         self._send(packet)
@@ -88,11 +169,21 @@ class DecoderSession(Session):
 
 
 class EncoderSession(Session):
-    """Encodes on send. The predictor is pinned, or chosen for each frame from its first plane."""
+    """Encodes on send. The predictor is pinned, or chosen for each frame from its first plane.
 
-    def __init__(self, predictor: int | None = None) -> None:
+    With params (as `encoder_parameters` takes them) frames need only stream_id, frame_no, planes and, where rows are padded,
+    strides; without them they carry their stream's parameters. A frame that cannot be encoded is refused when it is sent.
+    """
+
+    def __init__(self, predictor: int | None = None, params: DataFrame | None = None) -> None:
         super().__init__()
         self._predictor = predictor
+        self._params = None if params is None else encoder_parameters(params)
+
+    @property
+    def output_params(self) -> DataFrame | None:
+        """(stream_id, tag, pixel_format, width, height, extradata) for a container."""
+        return None if self._params is None else self._params.select("stream_id", F.col("fourcc").alias("tag"), "pixel_format", "width", "height", "extradata")
 
     def set_predictor(self, predictor: int | None) -> None:
         self._predictor = predictor
@@ -100,6 +191,12 @@ class EncoderSession(Session):
     def send_frame(self, frames: DataFrame) -> None:
         if self._pending is not None:
             raise RuntimeError("receive must be called before sending again")
+        if self._params is not None:
+            frames = frames.drop(*codec.PARAMETERS).join(self._params.select("stream_id", *codec.PARAMETERS), "stream_id")
+        if "strides" in frames.columns:
+            frames = repacked(frames)
+            _refuse(frames, "stride_error")
+        _refuse(frames.withColumn("error", S.input_error(*(F.col(c) for c in (*codec.PARAMETERS, "planes")))))
         pinned = frames.withColumn("predictor", F.lit(self._predictor).cast("int")) if self._predictor is not None else codec.with_predictor(frames)
         self._send(encoded_packets(pinned))
 

@@ -228,7 +228,10 @@ def test_error_taxonomy(spark):
     got = dict(rows.select("v", E.category(F.col("v"))).collect())
     assert got == E.CATEGORY and len(got) == 20 and set(E.MESSAGE) == set(E.CATEGORY)
     text = spark.range(1).select(E.message(E.error("SliceTruncated", bit_position=F.lit(9), expected_pixels=F.lit(4), decoded=F.lit(2)))).first()[0]
-    assert text == "slice truncated at bit 9 (decoded 2/4 pixels)"
+    assert text == "the bits run out at 9, after 2 of 4 samples"
+    e = S.dims_error(F.lit("ULY0"), F.lit(7), F.lit(8))
+    text = spark.range(1).select(E.message(e), E.message(E.error("UnknownFourcc", fourcc=S.as_number(F.lit("AB")))), E.message(E.error("InvalidInput")), E.message(E.error("InvalidSliceCount"))).first()
+    assert tuple(text) == ("a size of 7 x 8 does not suit the layout: both must be even", "no layout has the FourCC 00004142", "the input cannot be used", "a plane has 1 to 256 slices, not ?")
 
 
 def test_extradata(spark):
@@ -331,7 +334,7 @@ def test_registered_queries_against_sql(spark):
     db = duckdb.connect()
     for t in os.listdir(sf):
         db.execute(f"CREATE VIEW {t.split('.')[0]} AS SELECT * FROM '{sf}/{t}'")
-    for name in ("residual_median", "inverse_gradient", "choose_predictor", "slice_partition", "canonical_order", "extradata_fields", "sample_geometry", "roundtrip_ulrg_median", "layout_identities", "malformed_taxonomy"):
+    for name in ("wire_bytes", "plane_statistics", "slice_extents", "stride_repack", "stride_errors", "stream_parameters", "sql_roundtrip", "kraft_check", "config_errors", "residual_median", "inverse_gradient", "choose_predictor", "slice_partition", "canonical_order", "extradata_fields", "sample_geometry", "roundtrip_ulrg_median", "layout_identities", "malformed_taxonomy"):
         got, want = Q.QUERIES[name](spark, sf), db.execute(Q.ORACLES[name])
         cols = sorted(got.columns)
         order = [[d[0] for d in want.description].index(c) for c in cols]
