@@ -6,12 +6,17 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Rows of an Arrow batch that is sent to Python. Texts may be long, so batches are kept short.
 BATCH_ROWS = 256
+#: Most bits of a filter that is sent to every task, and bits of a page of it (fixed by Spark's bitmap functions).
+FILTER_BITS, PAGE_BITS = 1 << 26, 1 << 15
 #: Lower-cases the bytes of A-Z and leaves every other byte as it is.
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
@@ -21,9 +26,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none."""
+    """The folder that driver and executors share; a temporary one only in local mode, where the session names none."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="spark-shared-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder
@@ -62,11 +69,8 @@ def as_batch(columns: dict, fields: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c := columns[f.name], pa.Array) else pa.array(c, f.type) for f in fields], schema=fields)
 
 
-def pa_schema(spark: SparkSession, ddl: str) -> pa.Schema:
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
-
-    return to_arrow_schema(StructType.fromDDL(ddl))
+def pa_schema(spark: SparkSession, schema: str | T.StructType) -> pa.Schema:
+    return to_arrow_schema(T.StructType.fromDDL(schema) if isinstance(schema, str) else schema)
 
 
 def aside(df: DataFrame, names: list[str]) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
@@ -76,6 +80,42 @@ def aside(df: DataFrame, names: list[str]) -> tuple[DataFrame, Callable[[DataFra
     return df.withColumnsRenamed(moved), back
 
 
+def smallest(df: DataFrame, order: Column, n: int) -> DataFrame:
+    """The n rows of df, which is read twice, of smallest hash `order`. A count of the hashes' leading bits tells where to cut
+    first, so that all tasks together, and not each of them, send about n rows; rows of equal hash stay together at the cut."""
+    head = F.shiftright(order, 52)
+    counts = dict(df.groupBy(head.alias("head")).agg(F.count(F.lit(1))).collect())  # 4096 rows at most
+    seen, cut = 0, -2048
+    for cut in sorted(counts):
+        seen += counts[cut]
+        if seen >= n:
+            break
+    return df.where(head <= cut).orderBy(order, *df.columns).limit(n)
+
+
+def filter_of(keys: DataFrame, key: str) -> np.ndarray:
+    """A bit filter of a column of 64-bit hashes, two bits for each: 16 bits a key or FILTER_BITS, whichever is less. A fuller
+    filter passes more keys that are not in it, never fewer that are."""
+    many = keys.count()
+    bits = min(FILTER_BITS, max(PAGE_BITS, 1 << (16 * many).bit_length()))
+    places = F.array(*(F.shiftrightunsigned(key, by).bitwiseAND(F.lit(bits - 1)) + 1 for by in (0, 32)))
+    pages = keys.select(F.explode(places).alias("k")).groupBy(F.bitmap_bucket_number("k").alias("page")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("k")).alias("bits"))
+    out = np.zeros(bits // 8, np.uint8)
+    for r in pages.collect():  # FILTER_BITS at most
+        out[(r.page - 1) * PAGE_BITS // 8 : r.page * PAGE_BITS // 8] = np.frombuffer(r.bits, np.uint8)
+    return out
+
+
+def passing(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which hashes may be in a filter."""
+    keys, most, out = keys.view(np.uint64), np.uint64(8 * len(bits) - 1), None
+    for by in (0, 32):
+        at = (keys >> np.uint64(by)) & most
+        own = (bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1
+        out = own if out is None else out & own
+    return out.astype(bool)
+
+
 def as_bytes(name: str = "text") -> F.Column:
     """The text's UTF-8 bytes; null counts as empty."""
     return F.coalesce(F.col(name), F.lit("")).cast("binary").alias(name)
