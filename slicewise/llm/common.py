@@ -93,6 +93,51 @@ def smallest(df: DataFrame, order: Column, n: int) -> DataFrame:
     return df.where(head <= cut).orderBy(order, *df.columns).limit(n)
 
 
+def mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def powers(of: int, n: int) -> np.ndarray:
+    """1, of, of ** 2, ... modulo 2 ** 64."""
+    out = np.full(n, of, np.uint64)
+    out[:1] = 1
+    return np.multiply.accumulate(out)
+
+
+#: Bytes whose words are hashed together, an odd factor and a number for each byte.
+STRETCH, FACTOR = 1 << 20, 0xD6E8FEB86659FD93
+BYTES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+UP, DOWN = powers(FACTOR, STRETCH + 1), powers(pow(FACTOR, -1, 1 << 64), STRETCH + 1)
+
+
+def word_hashes(texts: list[bytes], table: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of all words of the texts in a row, how many each text has). table takes what parts words to the space.
+
+    A word's hash is the sum of its bytes' numbers, each times the factor to the power of its place: differences of running sums.
+    """
+    data, at, hashes, starts = b" ".join(texts).translate(table), 0, [], []
+    while at < len(data):
+        end = len(data)
+        if end - at > STRETCH:  # at a space, so that no word is parted
+            cut = data.rfind(b" ", at, at + STRETCH)
+            end = cut if cut > at else cut if (cut := data.find(b" ", at + STRETCH)) >= 0 else end
+        x = np.frombuffer(data, np.uint8, end - at, at)
+        inside = np.concatenate([[False], x != 32, [False]])
+        edge = np.flatnonzero(inside[1:] != inside[:-1])
+        up, down = (UP, DOWN) if len(x) <= STRETCH else (powers(FACTOR, len(x)), powers(pow(FACTOR, -1, 1 << 64), len(x)))
+        total = np.concatenate([[np.uint64(0)], np.cumsum(BYTES[x] * up[: len(x)], dtype=np.uint64)])
+        first, last = edge[::2], edge[1::2]
+        hashes.append(mix((total[last] - total[first]) * down[first] + (last - first).astype(np.uint64)))
+        starts.append(at + first)
+        at = end
+    if not hashes:
+        return np.empty(0, np.uint64), np.zeros(len(texts), np.int64)
+    begins = np.cumsum([0, *(len(t) + 1 for t in texts)])
+    return np.concatenate(hashes), np.diff(np.searchsorted(np.concatenate(starts), begins))
+
+
 def filter_of(keys: DataFrame, key: str) -> np.ndarray:
     """A bit filter of a column of 64-bit hashes, two bits for each: 16 bits a key or FILTER_BITS, whichever is less. A fuller
     filter passes more keys that are not in it, never fewer that are."""

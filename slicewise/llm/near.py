@@ -11,8 +11,10 @@ three consequences that keep the join small:
 * collisions are then counted on the two signatures, and only pairs with `matches` or more are compared set with set.
 
 Lists are not expanded into all pairs. First every class meets its list's most central member; the links that hold give
-components. Then only classes outside their list's commonest component meet the members of other components, in blocks of
-bounded size, each pair in the first list that it shares. Links inside a component do not change it, so none is lost.
+components. Then only classes outside their list's commonest component meet the members of other components, in cells of
+bounded size, each pair in the first list that it shares. Links inside a component do not change it, so none is lost. A cell
+compares signatures alone and names the pairs that match, whose sets are then fetched; only a cell in which very many match is
+read again with the sets themselves, so that a pair's two sets are never sent for each of a group's many pairs.
 
 Defined cases: a null or wordless text has no shingles and no links; fewer words than `width` are one shingle; doc_id names a
 document, so rows that repeat one are linked through it; a row with null doc_id has a null component and is kept; an empty
@@ -21,6 +23,8 @@ table gives no rows.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
@@ -28,53 +32,51 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, as_bytes, map_batches, stored
+from .common import as_bytes, filter_of, map_batches, mix, passing, stored, word_hashes
 from .graph import components
 
 COORDINATES, MATCHES = 32, 14
-#: Classes on either side of a block of comparisons.
-BLOCK = 1024
-MEMO_WORDS = 500_000
-
-
-class WordHashes(dict):
-    """Remembers the hashes of words."""
+#: Classes on either side of a cell of comparisons, and how many pairs for each class in it make a cell dense.
+BLOCK, DENSE = 512, 4
+#: Rows of cells that are compared together.
+BUCKET = 2048
+#: Lower-cases A-Z and takes the white space that parts words to the space.
+WORDS = bytes(32 if 9 <= b <= 13 else b + 32 if 65 <= b <= 90 else b for b in range(256))
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > MEMO_WORDS:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word)
-        return h
 
-
-def mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+SEEDS = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+ODD = mix(SEEDS) | np.uint64(1)
 
 
-SEEDS = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+def shingle_sets(texts: list[bytes], width: int) -> list[np.ndarray]:
+    """Sorted hashes of the distinct shingles of each text, lower-cased. Fewer words than `width` are one shingle."""
+    words, many = word_hashes(texts, WORDS)
+    every = rolled(words, width) if len(words) >= width else words
+    out = []
+    for at, n in zip((np.cumsum(many) - many).tolist(), many.tolist(), strict=True):
+        out.append(np.unique(every[at : at + n - width + 1] if n >= width else rolled(words[at : at + n], n)[:1] if n else words[:0]))
+    return out
 
 
-def shingles(text: bytes, width: int, hashes: WordHashes) -> np.ndarray:
-    """Sorted hashes of the distinct shingles of a lower-cased text."""
-    words = text.translate(LOWER).split()
-    if not words:
-        return np.empty(0, np.uint64)
-    h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
-    k = min(width, len(words))
-    x = np.full(len(h) - k + 1, k, np.uint64)
+def rolled(h: np.ndarray, k: int) -> np.ndarray:
+    """The hash of k words from each place on; the last k - 1 places have none and repeat the last."""
+    n = len(h) - k + 1
+    x = np.full(n, k, np.uint64)
     for i in range(k):
-        x = mix(x * np.uint64(0x9E3779B97F4A7C15) + h[i : len(h) - k + 1 + i])
-    return np.unique(x)
+        x = mix(x * np.uint64(0x9E3779B97F4A7C15) + h[i : n + i])
+    return np.concatenate([x, np.repeat(x[-1:], k - 1)])
 
 
-def signature(s: np.ndarray, coordinates: int) -> np.ndarray:
-    """The least value of the set under each of so many mixings, 32 bits of it."""
-    out = np.empty(coordinates, np.uint64)
-    for k in range(coordinates):
-        out[k] = mix(s ^ SEEDS[k]).min() if len(s) else 0
-    return (out & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)
+def signatures(sets: list[np.ndarray], coordinates: int) -> np.ndarray:
+    """For each set its least value under each of so many hash functions, a row for each set; zeros for an empty one."""
+    size = np.array([len(s) for s in sets], np.int64)
+    out = np.zeros((len(sets), coordinates), np.uint64)
+    some = size > 0
+    if some.any():
+        flat, start = np.concatenate(sets), (np.cumsum(size) - size)[some]
+        for k in range(coordinates):
+            out[some, k] = np.minimum.reduceat((flat ^ SEEDS[k]) * ODD[k], start)
+    return out.view(np.int64)
 
 
 def set_digest(s: np.ndarray) -> tuple[int, int]:
@@ -86,31 +88,41 @@ def sketch(docs: DataFrame, width: int, coordinates: int, text: str, doc_id: str
     """(doc_id, n_shingles, f1, f2, sig): a row for each row of docs, without its text or set."""
 
     def make():
-        hashes = WordHashes()
-
         def run(batch: pa.RecordBatch) -> dict:
-            sets = [shingles(t, width, hashes) for t in batch.column(1).to_pylist()]
+            sets = shingle_sets(batch.column(1).to_pylist(), width)
             digests = [set_digest(s) for s in sets]
-            return {"doc_id": batch.column(0), "n_shingles": [len(s) for s in sets], "f1": [d[0] for d in digests], "f2": [d[1] for d in digests], "sig": [signature(s, coordinates) for s in sets]}
+            sig = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * coordinates, pa.int32()), pa.array(signatures(sets, coordinates).ravel()))
+            return {"doc_id": batch.column(0), "n_shingles": [len(s) for s in sets], "f1": [d[0] for d in digests], "f2": [d[1] for d in digests], "sig": sig}
 
         return run
 
-    return map_batches(docs.select(F.col(doc_id).cast("long").alias("doc_id"), as_bytes(text)), make, "doc_id long, n_shingles long, f1 long, f2 long, sig array<int>")
+    return map_batches(docs.select(F.col(doc_id).cast("long").alias("doc_id"), as_bytes(text)), make, "doc_id long, n_shingles long, f1 long, f2 long, sig array<long>")
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, width: int, text: str, doc_id: str) -> DataFrame:
-    """(node, set) of the wanted(node, f1, f2): their texts are read again, so that no table of all sets is kept."""
+    """(node, set) of the wanted(node, f1, f2): their texts are read again, so that no table of all sets is kept.
 
-    def make():
-        hashes = WordHashes()
+    Texts pass a filter before they are dealt out by document: while few are wanted, few are moved.
+    """
+    bits = filter_of(wanted.select(F.xxhash64("node").alias("k")), "k")
+
+    def filtered():
+        def run(batch: pa.RecordBatch) -> dict:
+            some = batch.filter(pa.array(passing(bits, batch["k"].to_numpy())))
+            return {"node": some["node"], "text": some["text"]}
+
+        return run
 
+    def make():
         def run(batch: pa.RecordBatch) -> dict:
-            out = [(node, s.tobytes()) for node, t, f1, f2 in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True) if set_digest(s := shingles(t, width, hashes)) == (f1, f2)]
+            sets = shingle_sets(batch["text"].to_pylist(), width)
+            out = [(node, s.tobytes()) for node, f1, f2, s in zip(*(batch[c].to_pylist() for c in ("node", "f1", "f2")), sets, strict=True) if set_digest(s) == (f1, f2)]
             return {"node": [x for x, _ in out], "set": [x for _, x in out]}
 
         return run
 
-    rows = docs.select(F.col(doc_id).cast("long").alias("node"), as_bytes(text)).join(wanted.select("node", "f1", "f2"), "node").select("node", text, "f1", "f2")
+    rows = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("node"), as_bytes(text).alias("text"))
+    rows = map_batches(rows.withColumn("k", F.xxhash64("node")), filtered, "node long, text binary").join(wanted.select("node", "f1", "f2"), "node").select("node", "text", "f1", "f2")
     return map_batches(rows, make, "node long, set binary").groupBy("node").agg(F.first("set").alias("set"))
 
 
@@ -139,55 +151,100 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return map_batches(full.select("a", "b", "x", "y"), make, "a long, b long")
 
 
-def block_links(left: dict, right: dict, percent: int, matches: int, key: int) -> list[tuple[int, int]]:
-    """Links between two blocks of one list, as many as join components; pairs whose first shared list is another are left to that one."""
-    up: dict[int, int] = {}
-
-    def top(x: int) -> int:
-        while (y := up.get(x, x)) != x:
-            up[x] = x = up.get(y, y)
-        return x
-
-    out = []
-    sig, n, label, prefix = np.stack(right["sig"]), np.array([len(s) for s in right["set"]]), right["label"], right["prefix"]
-    for i, a in enumerate(left["node"]):
-        x = left["set"][i]
-        near = (sig == left["sig"][i]).sum(1) >= matches
-        near &= (100 * np.minimum(n, len(x)) >= percent * np.maximum(n, len(x))) & (right["node"] != a)
-        own = left["prefix"][i]
-        for j in np.flatnonzero(near):
-            one, two = top(int(left["label"][i])), top(int(label[j]))
-            if one == two or next(p for p in own if p in prefix[j]) != key:
-                continue
-            if similar(x, right["set"][j], percent):
-                out.append((a, int(right["node"][j])))
+class Cells:
+    """Rows of some cells in order of cell and side."""
+
+    def __init__(self, group: pa.Table):
+        columns = {c: group[c].to_numpy() for c in ("key", "r", "c", "side", "node", "label", "n")}
+        order = np.lexsort([columns[c] for c in ("side", "c", "r", "key")])
+        self.key, self.r, self.c, self.side, self.node, self.label, self.n = (x[order] for x in columns.values())
+        sig = group["sig"].combine_chunks()
+        self.sig = sig.flatten().to_numpy().reshape(len(order), -1)[order]
+        self.prefix = group["prefix"].take(pa.array(order)).to_pylist()
+        self.set = group["set"].take(pa.array(order)).to_pylist() if "set" in group.column_names else []
+
+    def each(self) -> Iterator[tuple[int, int, int]]:
+        """(begin, begin of side 1, end) of each cell."""
+        new = np.flatnonzero(np.r_[True, (self.key[1:] != self.key[:-1]) | (self.r[1:] != self.r[:-1]) | (self.c[1:] != self.c[:-1])]).tolist()
+        for a, b in zip(new, [*new[1:], len(self.key)], strict=True):
+            yield a, a + int(np.searchsorted(self.side[a:b], 1)), b
+
+    def candidates(self, a: int, m: int, b: int, percent: int, matches: int) -> Iterator[tuple[int, int]]:
+        """Places of pairs between the two sides of a cell whose signatures match and whose components differ. Pairs whose first
+        shared list is another are left to that one."""
+        key, n, label, node, sig = int(self.key[a]), self.n[m:b], self.label[m:b], self.node[m:b], self.sig[m:b]
+        for i in range(a, m if m < b else a):
+            x, own = self.n[i], self.prefix[i]
+            near = np.flatnonzero((label != self.label[i]) & (node != self.node[i]) & (100 * np.minimum(n, x) >= percent * np.maximum(n, x)))
+            if len(near):
+                near = near[(sig[near] == self.sig[i]).sum(1) >= matches]
+            for j in near.tolist():
+                if next(p for p in own if p in self.prefix[m + j]) == key:
+                    yield i, m + j
+
+
+def matching(group: pa.Table, percent: int, matches: int) -> pa.Table:
+    """The candidates of cells; a cell that has many for each class in it is named instead."""
+    x, out = Cells(group), []
+    for a, m, b in x.each():
+        found = []
+        for i, j in x.candidates(a, m, b, percent, matches):
+            found.append((int(x.key[a]), int(x.r[a]), int(x.c[a]), int(x.node[i]), int(x.node[j])))
+            if len(found) > DENSE * (b - a):
+                found = [(*found[0][:3], None, None)]
+                break
+        out += found
+    return pa.Table.from_pylist([dict(zip(("key", "r", "c", "a", "b"), row, strict=True)) for row in out], pa.schema([("key", pa.int64()), ("r", pa.int32()), ("c", pa.int32()), ("a", pa.int64()), ("b", pa.int64())]))
+
+
+def linked(group: pa.Table, percent: int, matches: int) -> pa.Table:
+    """Links in cells that come with their sets, as many as join components."""
+    x, out = Cells(group), []
+    for a, m, b in x.each():
+        up: dict[int, int] = {}
+
+        def top(label: int, up: dict[int, int] = up) -> int:
+            while (y := up.get(label, label)) != label:
+                up[label] = label = up.get(y, y)
+            return label
+
+        for i, j in x.candidates(a, m, b, percent, matches):
+            one, two = top(int(x.label[i])), top(int(x.label[j]))
+            if one != two and similar(np.frombuffer(x.set[i], np.uint64), np.frombuffer(x.set[j], np.uint64), percent):
+                out.append({"a": int(x.node[i]), "b": int(x.node[j])})
                 up[max(one, two)] = min(one, two)
-    return out
+    return pa.Table.from_pylist(out, pa.schema([("a", pa.int64()), ("b", pa.int64())]))
 
 
-def link_rest(lists: DataFrame, labels: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int, matches: int) -> DataFrame:
-    """Links between components, from lists(key, node) in which two components meet."""
+def cells(lists: DataFrame, labels: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(bucket, key, r, c, side, node, label, sig, prefix, n): of each list in which components meet, those outside its commonest
+    component (side 0) against all (side 1), dealt over cells of BLOCK by BLOCK. A bucket has the rows of some cells, about BUCKET."""
     member = lists.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
     per = member.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
     per = per.groupBy("key").agg(F.max_by("label", F.struct("n", F.col("label"))).alias("most"), F.sum("n").alias("n"), (F.sum("n") - F.max("n")).alias("others")).where(F.col("others") > 0)
-    sides = per.select("key", "most", F.ceil(F.col("others") / BLOCK).cast("int").alias("rows"), F.ceil(F.col("n") / BLOCK).cast("int").alias("cols"))
-    member = member.join(sides, "key")
+    sides = stored(per.select("key", "most", "n", "others", F.ceil(F.col("others") / BLOCK).cast("int").alias("rows"), F.ceil(F.col("n") / BLOCK).cast("int").alias("cols")))
+    total = sides.agg(F.sum(F.col("others") * F.col("cols") + F.col("n") * F.col("rows"))).first()[0] or 0
+    member = member.join(sides.drop("n", "others"), "key")
     at = F.xxhash64("node")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     left = member.where(F.col("label") != F.col("most")).select("key", "node", "label", F.lit(0).alias("side"), F.pmod(at, F.col("rows")).cast("int").alias("r"), every("cols").alias("c"))
     right = member.select("key", "node", "label", F.lit(1).alias("side"), every("rows").alias("r"), F.pmod(at, F.col("cols")).cast("int").alias("c"))
-    full = left.union(right).join(nodes.select("node", "sig", "prefix"), "node").join(sets, "node")
+    bucket = F.pmod(F.xxhash64("key", "r", "c"), F.lit(total // BUCKET + 1)).alias("bucket")
+    return left.union(right).join(nodes.select("node", "sig", "prefix", "n"), "node").select(bucket, "key", "r", "c", "side", "node", "label", "sig", "prefix", "n")
 
-    def compare(key: tuple, group: pa.Table) -> pa.Table:
-        def side(k: int) -> dict:
-            t = group.filter(pa.compute.equal(group["side"], k))
-            return {"node": t["node"].to_numpy(), "label": t["label"].to_numpy(), "sig": [np.array(x) for x in t["sig"].to_pylist()], "prefix": t["prefix"].to_pylist(), "set": [np.frombuffer(x, np.uint64) for x in t["set"].to_pylist()]}
 
-        left, right = side(0), side(1)
-        links = block_links(left, right, percent, matches, key[0].as_py()) if len(left["node"]) and len(right["node"]) else []
-        return pa.table({"a": pa.array([int(a) for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
-
-    return full.select("key", "r", "c", "side", "node", "label", "sig", "prefix", "set").groupBy("key", "r", "c").applyInArrow(compare, "a long, b long")
+def link_rest(lists: DataFrame, labels: DataFrame, nodes: DataFrame, sets_for: Callable[[DataFrame], DataFrame], percent: int, matches: int) -> DataFrame:
+    """Links between components, from lists(key, node) in which two components meet."""
+    dealt = cells(lists, labels, nodes)
+    found = stored(dealt.groupBy("bucket").applyInArrow(lambda group: matching(group, percent, matches), "key long, r int, c int, a long, b long"))
+    pairs = found.where("a is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    links = verified(pairs, sets_for(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()), percent)
+    dense = found.where("a is null").select("key", "r", "c")
+    if dense.limit(1).count():
+        again = stored(dealt.join(dense, ["key", "r", "c"], "left_semi"))
+        full = again.join(sets_for(again.select("node").distinct()), "node")
+        links = links.union(full.groupBy("bucket").applyInArrow(lambda group: linked(group, percent, matches), "a long, b long"))
+    return links
 
 
 def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, coordinates: int = COORDINATES, matches: int = MATCHES, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -198,22 +255,24 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, coord
     rows = stored(sketch(docs, width, coordinates, text, doc_id))
     classes = stored(rows.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()).groupBy("f1", "f2").agg(F.min("doc_id").alias("node"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n")))
 
-    posted = classes.select("node", F.posexplode("sig").alias("k", "v"))
-    shared = posted.groupBy("k", "v").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
-    own = posted.join(shared, ["k", "v"]).groupBy("node").agg(F.sort_array(F.collect_list(F.struct("n", "k", "v"))).alias("own"), F.sum("n").alias("central")).where(F.size("own") >= matches)  # `coordinates` postings at most
-    key = lambda p: F.shiftleft(p["k"].cast("long"), 32).bitwiseOR(p["v"].cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))
-    prefix = F.transform(F.slice("own", F.lit(1), F.size("own") - matches + 1), key)
+    posted = classes.select("node", F.posexplode("sig")).select("node", F.xxhash64("pos", "col").alias("key"))
+    shared = posted.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
+    own = posted.join(shared, "key").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("n", "key"))).alias("own"), F.sum("n").alias("central")).where(F.size("own") >= matches)  # `coordinates` postings at most
+    prefix = F.transform(F.slice("own", F.lit(1), F.size("own") - matches + 1), lambda p: p["key"])
     nodes = stored(own.select("node", "central", prefix.alias("prefix")).join(classes, "node"))
-    sets = stored(sets_of(docs, nodes, width, text, doc_id))
+
+    def sets_for(wanted: DataFrame) -> DataFrame:
+        return stored(sets_of(docs, stored(nodes.join(wanted, "node", "left_semi").select("node", "f1", "f2")), width, text, doc_id))
 
     lists = nodes.select("node", "central", F.explode("prefix").alias("key"))
     centres = lists.groupBy("key").agg(F.max_by("node", F.struct("central", -F.col("node"))).alias("a"), F.count(F.lit(1)).alias("m")).where(F.col("m") > 1)
-    pairs = lists.join(centres, "key").where(F.col("node") != F.col("a")).select("a", F.col("node").alias("b")).distinct()
+    pairs = lists.join(centres, "key").where(F.col("node") != F.col("a")).select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
     side = lambda x: nodes.select(F.col("node").alias(x), F.col("sig").alias(f"sig_{x}"), F.col("n").alias(f"n_{x}"))
     pairs = pairs.join(side("a"), "a").join(side("b"), "b").where((100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & (alike("sig_a", "sig_b") >= matches))
-    links = stored(verified(pairs.select("a", "b"), sets, percent))
+    pairs = stored(pairs.select("a", "b"))
+    links = stored(verified(pairs, sets_for(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()), percent))
     labels = components(links)
-    more = stored(link_rest(lists.select("key", "node"), labels, nodes, sets, percent, matches))
+    more = stored(link_rest(lists.select("key", "node"), labels, nodes, sets_for, percent, matches))
     if more.limit(1).count():
         labels = components(links.union(more))
 
