@@ -1,33 +1,42 @@
 """Benchmark decontamination by a prefix-filtered set join.
 
-A benchmark item becomes windows of `window` consecutive words (an item of fewer words, but not none, is one window). Every
-window must occur in a document whole, so the overlap that is asked for is the window's full size and one token is the
-necessary prefix: its rarest word, by the number of documents that hold it. Only document words that are some window's
-prefix token are looked at; the token's place in the window and the document's length bound where the window can lie; then
-the words themselves are compared.
-
-The benchmark is taken in blocks of at most `block` distinct windows, each small enough to send to every task; a larger
-benchmark only means more blocks, and all of them meet all documents. Documents are never shuffled.
+A benchmark item becomes windows of `window` consecutive words (an item of fewer words, but not none, is one window). The
+tokens of a window are its shingles of `SHINGLE` words (a shorter window is one shingle). Every window must occur in a document
+whole, so all its tokens must, and one token is the necessary prefix: its rarest, by the number of documents that hold it; ties
+go to the smaller hash, so the choice is one order of all tokens. Documents and windows meet on that token alone. Where it
+stands in the window and how long the document is bound where the window can lie; then the words themselves are compared.
+
+At scale: documents are read twice. The first pass counts the windows' tokens, summed up by task; the second takes along each
+place of a prefix token with the words around it, and leaves the text behind. Which tokens these are, tasks know from a bit
+filter that grows with the benchmark up to a fixed size (beyond it more places are taken along, none is lost). Windows and places are
+joined on the token by a plain join, so that Spark may send a small benchmark to all tasks, and splits the places of a passage
+that very many documents hold. Windows keep their items in a table of their own, so that a window of many items is one row.
 
 Defined cases: a null or wordless text has no words and no hits; a null or wordless item has no windows; a null item_id marks
-words but is not listed; repeated items count once per item_id; an empty benchmark or document table gives no hits or no rows.
+words but is not listed; repeated items count once per item_id; rows that repeat get the same hits; a very long word or text is
+treated like others; an empty benchmark or document table gives no hits or no rows; columns of docs that bear an output's name
+are replaced.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import aside, map_batches, short_batches
+from .common import aside, filter_of, map_batches, pa_schema, passing, short_batches, stored, word_hashes
+from .near import rolled
 
 #: Fixed by the word definition [^\x00-\x2F\x3A-\x60\x7B-\x7F]+ of lower-cased text: all other bytes become spaces.
 WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
-BLOCK = 50_000
-OUTPUTS = "n_words long, n_hit long, item_ids array<string>, hits array<struct<start:int,end:int>>"
+#: Words of a token.
+SHINGLE = 3
+KEY = ["__row1", "__row2"]
+FOUND = "array<struct<token:long,pos:int,lead:int,around:binary>>"
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -35,7 +44,7 @@ def words_of(text: bytes | None) -> list[bytes]:
 
 
 def item_windows(benchmark: DataFrame, window: int, item_id: str, text: str) -> DataFrame:
-    """(key, words, items): each distinct window, its words joined by spaces, and the items that hold it."""
+    """(item, words): each distinct window of an item, its words joined by spaces."""
 
     def make():
         def run(batch: pa.RecordBatch) -> dict:
@@ -50,108 +59,150 @@ def item_windows(benchmark: DataFrame, window: int, item_id: str, text: str) ->
         return run
 
     rows = benchmark.select(F.col(item_id).cast("string").alias("item"), F.col(text).cast("binary").alias("words"))
-    return map_batches(rows, make, "item string, words binary").groupBy("words").agg(F.collect_set("item").alias("items"))
+    return map_batches(rows, make, "item string, words binary").distinct()
+
+
+def window_tokens(windows: DataFrame) -> DataFrame:
+    """(words, n, size, place, token) of each token of each window: how many words both have, and where it stands."""
+
+    def make():
+        def run(batch: pa.RecordBatch) -> dict:
+            out: dict[str, list] = {c: [] for c in ("words", "n", "size", "place", "token")}
+            for words in batch.column(0).to_pylist():
+                h, (n,) = word_hashes([words], WORD_BYTES)
+                size = min(SHINGLE, int(n))
+                for place, token in enumerate(rolled(h, size)[: int(n) - size + 1].view(np.int64).tolist()):
+                    for c, x in zip(out, (words, int(n), size, place, token), strict=True):
+                        out[c].append(x)
+            return out
+
+        return run
+
+    return map_batches(windows.select("words"), make, "words binary, n int, size int, place int, token long")
 
 
-def document_counts(docs: DataFrame, vocabulary: frozenset[bytes], text: str) -> dict[bytes, int]:
-    """For each word of the vocabulary, the number of documents with it, over all documents. At most one row per word comes back."""
+def tokens_in(texts: list[bytes | None], sizes: list[int], bits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(how many words each text has; text, place and token of each token that passes the filter)."""
+    h, many = word_hashes([t or b"" for t in texts], WORD_BYTES)
+    of, begin = np.repeat(np.arange(len(many)), many), np.cumsum(many) - many
+    out = [(np.empty(0, np.int64), np.empty(0, np.int64))]
+    for size in sizes:
+        if len(h) >= size:
+            x = rolled(h, size).view(np.int64)
+            at = np.flatnonzero(passing(bits, x))
+            at = at[at + size <= (begin + many)[of[at]]]
+            out.append((at, x[at]))
+    at, token = (np.concatenate(x) for x in zip(*out, strict=True))
+    return many, of[at], at - begin[of[at]], token
+
+
+def document_counts(docs: DataFrame, tokens: DataFrame, sizes: list[int], text: str) -> DataFrame:
+    """(token, count): the number of documents with each token of the windows, over all documents (and, rarely, of another one)."""
+    bits = filter_of(tokens.select("token").distinct(), "token")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = dict.fromkeys(vocabulary, 0)
         for batch in batches:
-            for t in batch.column(0).to_pylist():
-                for w in vocabulary.intersection(words_of(t)):
-                    seen[w] += 1
-        some = [(w, n) for w, n in seen.items() if n]
-        yield pa.RecordBatch.from_pydict({"w": pa.array([w for w, _ in some], pa.binary()), "n": pa.array([n for _, n in some], pa.int64())})
+            if batch.num_rows:
+                _, of, _, token = tokens_in(batch.column(0).to_pylist(), sizes, bits)
+                one = np.unique(np.stack([token, of]), axis=1)[0] if len(token) else token
+                token, n = np.unique(one, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(token, pa.int64()), pa.array(n, pa.int64())], names=["token", "n"])
 
     short_batches(docs.sparkSession)
-    rows = docs.select(F.col(text).cast("binary").alias("t")).mapInArrow(run, "w binary, n long").groupBy("w").agg(F.sum("n").alias("n"))
-    return {bytes(r.w): r.n for r in rows.collect()}
-
-
-def prefix_index(windows: list, counts: dict[bytes, int]) -> dict[bytes, list]:
-    """prefix token -> [(its place, the window's words, items)]. Ties in rarity go to the smaller word, so the choice is one order of all words."""
-    index: dict[bytes, list] = {}
-    for r in windows:
-        w = bytes(r["words"]).split(b" ")
-        place = min(range(len(w)), key=lambda i: (counts.get(w[i], 0), w[i]))
-        if all(counts.get(x) for x in w):  # else no document can hold it
-            index.setdefault(w[place], []).append((place, w, list(r["items"])))
-    return index
-
-
-def find(words: list[bytes], index: dict[bytes, list]) -> tuple[list[tuple[int, int]], set[str]]:
-    """The places of windows in a document's words, and the items."""
-    spans, items, n = [], set(), len(words)
-    for i, w in enumerate(words):
-        if w in index:
-            for place, window, ids in index[w]:
-                s, e = i - place, i - place + len(window)
-                if s >= 0 and e <= n and words[s:e] == window:
-                    spans.append((s, e))
-                    items.update(ids)
-    return spans, items
-
-
-def union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    out: list[list[int]] = []
-    for s, e in sorted(spans):
-        if out and s <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], e)
-        else:
-            out.append([s, e])
-    return [(s, e) for s, e in out]
-
-
-def decontaminate(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, text: str = "text", item_id: str = "item_id", item_text: str = "text", keep_text: bool = True, block: int = BLOCK) -> DataFrame:
-    """docs with n_words, n_hit (words inside a window's occurrence), item_ids, hits (merged word ranges) and contaminated.
+    return docs.select(F.col(text).cast("binary").alias("t")).mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("count"))
 
-    Columns of docs that bear one of these names are replaced. keep_text=False leaves the text behind in Python.
-    """
-    wins = item_windows(benchmark, window, item_id, item_text).persist()
-    try:
-        blocks = max(1, -(-wins.count() // block))
-        outputs = [f.name for f in T.StructType.fromDDL(OUTPUTS)] + ["contaminated"]
-        kept = [c for c in docs.columns if c not in outputs]
-        out = docs.select(*kept, F.lit(None).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<string>").alias("item_ids"), F.array().cast("array<struct<start:int,end:int>>").alias("hits"))
-        for b in range(blocks):
-            some = wins.where(F.pmod(F.xxhash64("words"), F.lit(blocks)) == b).collect()  # at most about `block` rows
-            vocabulary = frozenset(w for r in some for w in bytes(r["words"]).split(b" "))
-            index = prefix_index(some, document_counts(docs, vocabulary, text)) if some else {}
-            out = mark(out, index, text, keep_text or b < blocks - 1)
-        return out.withColumn("contaminated", F.col("n_hit") > 0)
-    finally:
-        wins.unpersist()
-
-
-def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The rows of docs without a window of the benchmark, with their own columns."""
-    free, back = aside(docs, ["n_words", "n_hit", "item_ids", "hits", "contaminated"])
-    return back(decontaminate(free, benchmark, **options).where(~F.col("contaminated")))
 
+def prefixes(tokens: DataFrame, counts: DataFrame) -> DataFrame:
+    """(words, n, token, place): each window's prefix token. A window with a token that no document holds occurs nowhere and goes."""
+    of = tokens.join(counts, "token", "left").groupBy("words", "n").agg(F.min(F.struct(F.coalesce("count", F.lit(0)).alias("count"), "token", "place")).alias("p"))
+    return of.where(F.col("p.count") > 0).select("words", "n", "p.token", "p.place")
 
-def mark(docs: DataFrame, index: dict[bytes, list], text: str, keep_text: bool) -> DataFrame:
-    """One pass with one block's index; hits add to those of earlier blocks."""
-    names = [c for c in docs.columns if keep_text or c != text]
-    ddl = T.StructType([f for f in docs.schema.fields if f.name in names])
+
+def taken_along(docs: DataFrame, kept: list[str], prefix: DataFrame, sizes: list[int], window: int, text: str) -> DataFrame:
+    """docs' kept columns with n_words, the row's key and found: each place of a prefix token with the words around it (lead before it)."""
+    bits = filter_of(prefix.select("token").distinct(), "token")
+    schema = T.StructType([*(docs.schema[c] for c in kept), *T.StructType.fromDDL(f"__row1 long, __row2 long, n_words long, found {FOUND}").fields])
+    found_type = pa_schema(docs.sparkSession, schema).field("found").type
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, hit, items, hits = [], [], [], []
-            old = zip(batch.column(batch.schema.get_field_index(text)).cast(pa.binary()).to_pylist(), batch["item_ids"].to_pylist(), batch["hits"].to_pylist(), strict=True)
-            for t, ids, spans in old:
-                words = words_of(t)
-                new, found = find(words, index)
-                new = union([*((x["start"], x["end"]) for x in spans), *new]) if new or spans else []
-                n.append(len(words))
-                hit.append(sum(e - s for s, e in new))
-                items.append(sorted({*ids, *found}))
-                hits.append([{"start": s, "end": e} for s, e in new])
-            made = {"n_words": n, "n_hit": hit, "item_ids": items, "hits": hits}
-            yield pa.RecordBatch.from_arrays([pa.array(made[c], batch.schema.field(c).type) if c in made else batch[c] for c in names], names=names)
-
-    return docs.mapInArrow(run, ddl)
+            texts = batch["__bytes"].to_pylist()
+            many, of, pos, token = tokens_in(texts, sizes, bits)
+            found: list[list] = [[] for _ in texts]
+            words: dict[int, list[bytes]] = {}
+            for d, p, t in zip(of.tolist(), pos.tolist(), token.tolist(), strict=True):
+                lead = min(p, window - 1)
+                if d not in words:
+                    words[d] = words_of(texts[d])
+                found[d].append((t, p, lead, b" ".join(words[d][p - lead : p + window])))
+            made = {"n_words": pa.array(many, pa.int64()), "found": pa.array(found, found_type)}
+            yield pa.RecordBatch.from_arrays([made[f.name] if f.name in made else batch[f.name] for f in schema], names=[f.name for f in schema])
+
+    short_batches(docs.sparkSession)
+    rows = docs.select(*kept, *(k.alias(c) for c, k in zip(KEY, keys_of(text), strict=True)), F.col(text).cast("binary").alias("__bytes"))
+    return rows.mapInArrow(run, schema)
+
+
+def keys_of(text: str, doc_id: str = "doc_id") -> tuple:
+    """128 bits that name a document: equal for rows of equal doc_id and text only."""
+    return F.xxhash64(doc_id, text), F.xxhash64(F.lit(1), text, doc_id)
+
+
+def hits_of(rows: DataFrame, prefix: DataFrame) -> DataFrame:
+    """(row's key, s, e, words): where each window occurs, from rows with found."""
+    at = rows.where(F.size("found") > 0).select(*KEY, "n_words", F.inline("found")).join(prefix, "token")
+    s = F.col("pos") - F.col("place")
+    at = at.where((F.col("place") <= F.col("lead")) & (s + F.col("n") <= F.col("n_words")))
+    own = F.slice(F.split(F.col("around").cast("string"), " "), F.col("lead") - F.col("place") + 1, F.col("n"))
+    return at.where(F.array_join(own, " ").cast("binary") == F.col("words")).select(*KEY, s.alias("s"), (s + F.col("n")).alias("e"), "words").distinct()
+
+
+def merged(hits: DataFrame) -> DataFrame:
+    """(row's key, n_hit, hits): the places of windows as runs of words that do not touch."""
+    spans = hits.select(*KEY, "s", "e").distinct()
+    order = Window.partitionBy(*KEY).orderBy("s", "e")
+    new = F.coalesce(F.col("s") > F.max("e").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True))
+    runs = spans.withColumn("new", new.cast("int")).withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = runs.groupBy(*KEY, "run").agg(F.min("s").alias("start"), F.max("e").alias("end"))
+    return runs.groupBy(*KEY).agg(F.sum(F.col("end") - F.col("start")).cast("long").alias("n_hit"), F.sort_array(F.collect_list(F.struct("start", "end"))).alias("hits"))
+
+
+def items_of(hits: DataFrame, windows: DataFrame) -> DataFrame:
+    """(row's key, item_ids): the items whose windows occur."""
+    pairs = hits.select(*KEY, "words").distinct().join(windows.where("item is not null"), "words").select(*KEY, "item").distinct()
+    return pairs.groupBy(*KEY).agg(F.array_sort(F.collect_list("item")).alias("item_ids"))
+
+
+def search(docs: DataFrame, benchmark: DataFrame, kept: list[str], window: int, text: str, item_id: str, item_text: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows: docs' kept columns with key and n_words; hits; the items' windows)."""
+    windows = stored(item_windows(benchmark, window, item_id, item_text))
+    tokens = stored(window_tokens(windows.select("words").distinct()))
+    sizes = sorted(r.size for r in tokens.select(F.col("size").alias("size")).distinct().collect())  # SHINGLE numbers at most
+    prefix = stored(prefixes(tokens, document_counts(docs, tokens, sizes, text)))
+    rows = stored(taken_along(docs, kept, prefix, sizes, window, text))
+    return rows.drop("found"), stored(hits_of(rows, prefix)), windows
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, text: str = "text", item_id: str = "item_id", item_text: str = "text", keep_text: bool = True) -> DataFrame:
+    """docs with n_words, n_hit (words inside a window's occurrence), item_ids, hits (merged word ranges) and contaminated.
+
+    Columns of docs that bear one of these names are replaced. keep_text=False leaves the text behind.
+    """
+    outputs = ["n_words", "n_hit", "item_ids", "hits", "contaminated"]
+    kept = [c for c in docs.columns if c not in outputs and (keep_text or c != text)]
+    rows, hits, windows = search(docs, benchmark, kept, window, text, item_id, item_text)
+    out = rows.join(merged(hits).join(items_of(hits, windows), KEY, "left"), KEY, "left")
+    none = lambda c, kind: F.coalesce(F.col(c), F.array().cast(kind)).alias(c)
+    return out.select(*kept, "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), none("item_ids", "array<string>"), none("hits", "array<struct<start:int,end:int>>"), F.col("n_hit").isNotNull().alias("contaminated"))
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The rows of docs without a window of the benchmark, with their own columns."""
+    _, hits, _ = search(docs, benchmark, [], window, text, item_id, item_text)
+    bad = hits.select(*KEY).distinct()
+    one, two = keys_of(text)
+    free, back = aside(docs, KEY)
+    return back(free.join(bad, (one == bad[KEY[0]]) & (two == bad[KEY[1]]), "left_anti"))
 
 
 def digest(df: DataFrame) -> DataFrame:
