@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import aside, short_batches
+from .common import aside, short_batches, smallest, stored
 
 #: The order of kinds in lists of spans.
 KINDS = ["email", "ip", "card", "phone", "secret", "identity"]
@@ -41,12 +41,21 @@ DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]+){3}")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-# Loose forms.
+# Loose forms. A label of a domain has at most 63 characters, a local part 64.
 SPELLED = re.compile(
     r"(?i)(?<=[A-Za-z0-9._%+-])[\s\[(]++(?:at|@)[\s\])]++(?:(?:[a-z0-9-]{1,63}+(?:[\s\[(]++dot[\s\])]++|[\s\[(]*+\.[\s\])]*+))+|[a-z0-9-]{1,60}?dot[\s\])]*+)(?:com|net|org|edu|gov|info|io|eu|uk|de|fr|es|it|nl|ch|at|us|ca|au|co|ai|dev|app)\b"
 )
 DIGIT = re.compile("[0-9]")
-NUMBERS = re.compile(r"(?<![0-9A-Za-z])[+(]?[0-9][0-9 ().-]{5,30}[0-9](?![0-9A-Za-z])")
+#: Groups of digits that may belong together; every run of groups that looks like a kind is a candidate, so candidates overlap.
+RUN = re.compile(r"(?<![0-9A-Za-z])[+(]?[0-9]++(?:[ ().-]{1,3}+[0-9]++)*+(?![A-Za-z])")
+GROUP = re.compile("[0-9]+")
+MOST_DIGITS = 19  # of a card, the longest kind
+SHAPES = [
+    ("ip", re.compile(r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}")),
+    ("card", re.compile(r"[0-9]{13,19}|(?:[0-9]{4}([ .-]{1,3})){3,4}[0-9]{1,4}|[0-9]{4}[ .-]{1,3}[0-9]{6}[ .-]{1,3}[0-9]{5}")),
+    ("identity", re.compile(r"[0-9]{3}-[0-9]{2}-[0-9]{4}")),
+    ("phone", re.compile(r"(?:\+[0-9]{1,3}[ .-]{0,3})?\(?[0-9]{2,5}\)?(?:[ .-]{1,3}[0-9]{2,5}){1,5}|\+?[0-9]{9,15}")),
+]
 SECRET = re.compile(r"(?<![A-Za-z0-9_+/-])(?=[A-Za-z_+/-]*+[0-9])[A-Za-z0-9_+/-]{16,}+={0,2}+(?![A-Za-z0-9_+/=-])")
 ASSIGNED = re.compile(r"(?i)(?:token|key|secret|passw(?:or)?d|credential)s?[\"']?\s*[=:]\s*[\"']?$")
 NAMED = {
@@ -62,6 +71,8 @@ BESIDE = 40
 #: Forms that tell what a number may be.
 IDENTITY = re.compile(r"(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}")
 NATIONAL = re.compile(r"(?!(?:19|20)[0-9]{2}[ .-][01]?[0-9][ .-][0-3]?[0-9]\b)\(?[0-9]{2,4}\)?(?:[ .-]{1,2}[0-9]{2,4}){2,4}")
+#: What may be drawn by lot: letters and digits in one alphabet of a key, without words put together.
+RANDOM = re.compile(r"(?=[a-z]*[0-9])(?=[0-9]*[a-f])[0-9a-f]{16,}|(?=[A-Za-z]*[0-9])(?=[a-z0-9+/]*[A-Z])(?=[A-Z0-9+/]*[a-z])[A-Za-z0-9+/]{16,}={0,2}")
 COUNTRY = re.compile(r"\+[0-9]{1,3}(?:[ .-]+|(?=\())")
 
 Span = tuple[int, int, str]
@@ -114,6 +125,21 @@ def ordered(spans: list[Span]) -> list[Span]:
     return sorted(spans, key=lambda x: (x[0], KINDS.index(x[2]), x[1]))
 
 
+def numbers(text: str, start: int, groups: list[tuple[int, int]]) -> Iterator[Span]:
+    """Candidates among digit groups that stand together: every run of them that has the look of a kind."""
+    for i, (s, _) in enumerate(groups):
+        while s > start and text[s - 1] in "+(":
+            s -= 1
+        digits = 0
+        for a, e in groups[i:]:
+            digits += e - a
+            if digits > MOST_DIGITS:
+                break
+            own = text[s:e]
+            if (digits >= 9 or "." in own) and (kind := next((k for k, shape in SHAPES if shape.fullmatch(own) and (k != "phone" or 9 <= digits <= 15)), None)):
+                yield s, e, kind
+
+
 def proposed(text: str) -> list[Span]:
     """Candidates of loose form."""
     out = []
@@ -124,11 +150,8 @@ def proposed(text: str) -> list[Span]:
         out.append((start, m.end(), "email"))
     if not DIGIT.search(text):
         return out
-    for m in NUMBERS.finditer(text):
-        d, s = sum(c.isdigit() for c in m[0]), m[0]
-        kind = "ip" if s.count(".") == 3 and d <= 12 and not re.search("[ ()-]", s) else "card" if d >= 13 else "identity" if re.fullmatch(r"\d{3}-\d{2}-\d{4}", s) else "phone" if d >= 9 else ""
-        if kind:
-            out.append((m.start(), m.end(), kind))
+    for m in RUN.finditer(text):
+        out += numbers(text, m.start(), [g.span() for g in GROUP.finditer(text, m.start(), m.end())])
     out += [(m.start(), m.end(), "secret") for m in SECRET.finditer(text)]
     return out
 
@@ -166,7 +189,7 @@ def teacher(text: str, span: Span, taken: list[Span]) -> bool | None:
     if kind == "card":
         d = re.sub("[^0-9]", "", text[s:e])
         return 14 <= len(d) <= 19 and luhn(d)
-    if kind == "email" or kind == "phone" and NATIONAL.fullmatch(text[s:e]) or kind == "identity" and IDENTITY.fullmatch(text[s:e]):
+    if kind == "email" or kind == "secret" and RANDOM.fullmatch(text[s:e]) or kind == "phone" and NATIONAL.fullmatch(text[s:e]) or kind == "identity" and IDENTITY.fullmatch(text[s:e]):
         return None
     return False
 
@@ -199,8 +222,8 @@ def rewritten(text: str, span: Span) -> Iterator[tuple[str, Span, bool]]:
 class Trees:
     """Boosted regression trees on binned features for a yes or no, with a calibration and a threshold for each kind."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, kind: np.ndarray, *, rounds: int = 40, depth: int = 3, rate: float = 0.3, bins: int = 24, precision: float = 0.97):
-        held = np.arange(len(x)) % 3 == 0
+    def __init__(self, x: np.ndarray, y: np.ndarray, kind: np.ndarray, held: np.ndarray, *, rounds: int = 40, depth: int = 3, rate: float = 0.3, bins: int = 24, precision: float = 0.97):
+        """held: the rows that calibrate; the others grow the trees."""
         self.edges = [np.unique(np.quantile(x[~held, k], np.linspace(0, 1, bins + 1)[1:-1])) for k in range(x.shape[1])]
         b = self.binned(x)
         self.base, self.trees = float(np.log((y[~held].mean() + 1e-3) / (1 - y[~held].mean() + 1e-3))), []
@@ -258,7 +281,7 @@ class Trees:
 
 
 def learn(docs: DataFrame, *, text: str = "text", sample: int = SAMPLE) -> Trees | None:
-    """Trees from the `sample` candidates of smallest hash; all texts are searched for candidates."""
+    """Trees from the `sample` distinct candidates of smallest hash; all texts are searched for candidates."""
     short_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -276,12 +299,13 @@ def learn(docs: DataFrame, *, text: str = "text", sample: int = SAMPLE) -> Trees
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), pa.array(y), pa.array(of)], names=["x", "y", "of"])
 
     found = docs.select(text).mapInArrow(run, "x array<double>, y boolean, of string")
-    rows = found.orderBy(F.xxhash64("of", "x"), "y").limit(sample).select("x", "y").collect()
+    # copies of a candidate count once, and all that look alike are on one side of the calibration
+    rows = smallest(stored(found.distinct().select(F.xxhash64("of").alias("h"), "x", "y")), F.col("h"), sample).collect()
     y = np.array([r.y for r in rows], float)
     if len(rows) < 30 or not 0 < y.sum() < len(y):
         return None
     x = np.array([r.x for r in rows])
-    return Trees(x, y, x[:, -1].astype(int))
+    return Trees(x, y, x[:, -1].astype(int), np.array([r.h % 3 == 0 for r in rows]))
 
 
 def spans_of(text: str, trees: Trees | None) -> tuple[list[Span], list[Span]]:
