@@ -7,6 +7,7 @@ import random
 import re
 import zlib
 
+import numpy as np
 import pytest
 
 random.seed(5)
@@ -110,12 +111,37 @@ def test_decontamination(results):
     same(results(2), expected)
 
 
-def test_decontamination_in_blocks(spark, tables):
-    from slicewise.llm import decontaminate
+def test_word_hashes(monkeypatch):
+    """Equal words have equal hashes wherever they stand, others have others; stretches and words of any length."""
+    from slicewise.llm import common
+    from slicewise.llm.decontaminate import WORD_BYTES, words_of
+
+    r = random.Random(3)
+    texts = [" ".join(r.choice(["a", "b", "ab", "ba", "Ab", "aab", "é", "z" * 90, "z" * 91, "\0", "", "x-y"]) for _ in range(r.randint(0, 60))).encode() for _ in range(50)] + [b"", b"  ", b"one"]
+    for stretch in (40, 1 << 20):
+        monkeypatch.setattr(common, "STRETCH", stretch)
+        h, many = common.word_hashes(texts, WORD_BYTES)
+        words = [w for t in texts for w in words_of(t)]
+        assert many.tolist() == [len(words_of(t)) for t in texts] and len(h) == len(words)
+        assert len(dict(zip(words, h.tolist(), strict=True))) == len(set(words)) == len(set(h.tolist())) == len(set(zip(words, h.tolist(), strict=True)))
+    assert common.word_hashes([], WORD_BYTES)[0].size == 0
+
+
+def test_decontamination_with_a_full_filter(spark, tables, monkeypatch):
+    """A filter that lets nearly all through changes nothing, nor does dropping the documents that are hit."""
+    from slicewise.llm import common, decontaminate
 
     docs, items = (spark.read.parquet(f"{tables[0]}/{x}.parquet") for x in ("documents", "benchmark"))
-    one = decontaminate.digest(decontaminate.decontaminate(docs, items)).collect()
-    same(decontaminate.digest(decontaminate.decontaminate(docs, items, block=5)).collect(), list(map(tuple, one)))
+    one = decontaminate.decontaminate(docs, items)
+    assert {*docs.columns, "n_words", "n_hit", "item_ids", "hits", "contaminated"} == set(one.columns)
+    rows = one.collect()
+    monkeypatch.setattr(common, "passing", lambda bits, keys: np.ones(len(keys), bool))
+    monkeypatch.setattr(decontaminate, "passing", lambda bits, keys: np.ones(len(keys), bool))
+    same(decontaminate.digest(decontaminate.decontaminate(docs, items)).collect(), list(map(tuple, decontaminate.digest(one).collect())))
+    clean = decontaminate.clean(docs, items)
+    assert clean.columns == docs.columns
+    same([(r.doc_id, r.text) for r in clean.collect()], [(r.doc_id, r.text) for r in rows if not r.contaminated])
+    assert all(sum(h.end - h.start for h in r.hits) == r.n_hit for r in rows)
 
 
 def test_byte_bpe(results):
@@ -139,10 +165,29 @@ def test_byte_bpe_of_random_texts():
 
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(p.path("byte_bpe_50k.tiktoken"), "rb"))}
     enc, own = tiktoken.Encoding("own", pat_str=p.PATTERN, mergeable_ranks=ranks, special_tokens={}), Replay(read_ranks(p.path("byte_bpe_50k.tiktoken")), p.PATTERN)
-    parts = ["a", "b", " ", "  ", "\n", "\x1c", "\x85", " ", "'s", "é", "日本", "😀", "1", "--", "aaaa", "the", " the", "\x00", "ſ", "​", "́"]
+    parts = ["a", "b", "es", "ation", " ", "  ", "\n", "\x1c", "\x85", " ", "'s", "é", "日本", "😀", "1", "--", "aaaa", "the", " the", "\x00", "ſ", "​", "́"]
     texts = ["".join(random.choice(parts) for _ in range(random.randint(0, 40))) for _ in range(500)]
-    assert own.encode_all(texts) == [enc.encode_ordinary(t) for t in texts]
-    assert [own.decode(x).decode() for x in own.encode_all(texts)] == texts
+    texts += ["a" * 5000, "=" * 777, "é" * 300, "日本" * 400, "", "".join(random.choice("aeinst") for _ in range(3000))]
+    pieces = [own.split(t) for t in texts]
+    distinct = list(dict.fromkeys(p for ps in pieces for p in ps))
+    flat, many = own.replay([x.encode() for x in distinct])
+    ids = dict(zip(distinct, (x.tolist() for x in np.split(flat, np.cumsum(many)[:-1])), strict=True))
+    assert [[i for x in ps for i in ids[x]] for ps in pieces] == [enc.encode_ordinary(t) for t in texts]
+    assert all(own.by_itself(x.encode()) == ids[x] for x in distinct if x.encode() not in own.rank)
+
+
+def test_merges_that_bring_up_a_smaller_rank(monkeypatch):
+    """A made-up vocabulary in which ab, of a large rank, becomes abc, of a small one."""
+    import tiktoken
+
+    from slicewise.llm.bpe import Replay
+
+    tokens = [bytes([b]) for b in range(256)] + [b"abc", b"cc", b"ab", b"abab", b"abcab", b"aa", b"aaa"]
+    own = Replay(tokens, r"\S+|\s+")
+    enc = tiktoken.Encoding("own", pat_str=r"\S+|\s+", mergeable_ranks={t: r for r, t in enumerate(tokens)}, special_tokens={})
+    words = list({"".join(random.choice("abc") for _ in range(random.randint(1, 14))) for _ in range(3000)})
+    flat, many = own.replay([w.encode() for w in words])
+    assert [x.tolist() for x in np.split(flat, np.cumsum(many)[:-1])] == [enc.encode_ordinary(w) for w in words]
 
 
 def test_encode_keeps_columns(spark, tables):
@@ -209,12 +254,15 @@ def test_pages(results):
     assert all(r.n_chars == len(r.text) for r in results(5))
 
 
-@pytest.mark.parametrize("most_sent", [0, 10**6])
+@pytest.mark.parametrize("most_sent", ["-1", "10m"])
 def test_template_text_goes(spark, most_sent):
     from slicewise.llm import template
 
     rows = [(k, f"http://t.example/{k}", f"<body><div>Subscribe to our paper today</div><div><p>{prose(40, 300 + k)}</p></div><div>All rights and wrongs</div></body>") for k in range(12)]
-    got = {r.page_id: r.text for r in template.extract(spark.createDataFrame(rows, "page_id long, url string, html string"), most_sent=most_sent).collect()}
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", most_sent)
+    got = {r.page_id: r.text for r in template.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert got == {k: prose(40, 300 + k) for k in range(12)}
 
 
@@ -348,8 +396,9 @@ def test_near_duplicates(results):
             assert (r.component_id, r.kept) == (None, True)
 
 
-def test_near_duplicates_in_a_hot_group(spark, monkeypatch):
-    """Edited copies of one text, linked and not, with blocks so small that a list needs many."""
+@pytest.mark.parametrize("dense", [0, 1000])
+def test_near_duplicates_in_a_hot_group(spark, monkeypatch, dense):
+    """Edited copies of one text, linked and not, with cells so small that a list needs many; all are dense or none is."""
     from slicewise.llm import near
 
     r = random.Random(9)
@@ -361,11 +410,23 @@ def test_near_duplicates_in_a_hot_group(spark, monkeypatch):
             w[r.randrange(len(w))] = f"new{r.randrange(10**6)}"
         rows.append((k, " ".join(w)))
     monkeypatch.setattr(near, "BLOCK", 16)
+    monkeypatch.setattr(near, "DENSE", dense)
     got = {x.doc_id: x.component_id for x in near.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=4).collect()}
     assert got == near_brute(rows, 4)[0]
     assert len(set(got.values())) > 1
 
 
+def test_a_chain_of_edited_texts_is_one_component(spark):
+    """300 texts, each like its neighbours only, with ids in no order."""
+    from slicewise.llm import near
+
+    words = [f"w{k}" for k in range(100 + 300 * 9)]
+    ids = random.Random(4).sample(range(1000), 300)
+    rows = [(d, " ".join(words[9 * k : 9 * k + 100])) for k, d in enumerate(ids)]
+    got = {x.doc_id: x.component_id for x in near.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=4).collect()}
+    assert got == near_brute(rows, 4)[0] and set(got.values()) == {min(ids)}
+
+
 def repeats_brute(rows, length=100):
     seen, out = set(), []
     for d, t in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)):
@@ -395,6 +456,35 @@ def test_repeats_across_small_blocks(spark, many):
     same(repeats.digest(repeats.repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), block_bytes=2000, stretch=700, many=many)).collect(), repeats_brute(rows))
 
 
+@pytest.mark.parametrize("length", [64, 65, 100, 113, 128, 160, 200, 257, 400])
+def test_repeats_of_any_length(spark, length):
+    """Texts that share stretches shorter and longer than the length, equal but for one byte anywhere."""
+    from slicewise.llm import repeats
+
+    r = random.Random(length)
+    base = "".join(r.choice("abcdefgh ") for _ in range(3 * length))
+    rows = []
+    for k in range(40):
+        cut, n = r.randrange(len(base)), r.randint(length // 2, 3 * length)
+        piece = list(base[cut : cut + n])
+        if piece and k % 2:
+            piece[r.randrange(len(piece))] = "é#"[k % 4 // 2]
+        rows.append((k, "".join(r.choice("xyz") for _ in range(r.randint(0, 30))) + "".join(piece)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    same(repeats.digest(repeats.repeats(docs, length=length, block_bytes=6 * length, stretch=2 * length, many=r.choice([0, 20_000]))).collect(), repeats_brute(rows, length))
+
+
+def test_suffix_ranks_against_a_sort():
+    from slicewise.llm.repeats import suffix_ranks
+
+    r = np.random.default_rng(4)
+    data = r.integers(0, 3, 400).astype(np.uint8)
+    for length in (1, 7, 8, 9, 64, 100):
+        at = r.choice(301, 150)
+        suffixes = [data[i : i + length].tobytes() for i in at]
+        assert suffix_ranks(data, at, length).tolist() == [sorted(suffixes).index(x) for x in suffixes]
+
+
 def test_classifier_on_held_out_labels(spark):
     """Half of the labels teach; the others must be told right."""
     from pyspark.sql import functions as F
