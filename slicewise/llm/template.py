@@ -1,17 +1,27 @@
 """Main text of web pages by equivalence-class template deduction.
 
-Tokens of a page are its tags (with their classes) and its text blocks. Over the distinct pages of a host, tokens that share
-their occurrence vector (how often each stands on each page) are an equivalence class. A class is valid if it is large and
-frequent enough and its tokens keep one order; valid classes nest by that order into the host's template. What lies between
-template tokens are the slots. A page's main text is all text of its article elements, if it has any, or else all text that
-the template does not explain. Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and comments are left
-out, as their elements say or, outside articles, because the template has their text on the host's other pages.
+Tokens of a page are its tags (start and end, with the elements that they stand in and their own class names) and its text
+blocks. Over the distinct pages of a host, tokens that share their occurrence vector (how often each stands on each page) are
+an equivalence class. A class is valid if it is large and frequent enough, its tokens keep one order wherever they stand, and
+it lies in one place of the class that stands once on the most pages (the root), so that valid classes nest into the host's
+template: the root's tokens in order, and between two of them the classes that repeat or are optional there. What follows a
+template token up to the next one is a slot, named by that token.
+
+The template decides which slots are main text, over all of the host's pages at once; element and class names are only features
+of a slot. Where most pages have text in article elements, the main slots are those whose text lies there for the greater part;
+else all whose text is for the greater part not in elements that surround an article (menus, headers, footers, sidebars, notices,
+adverts, forms, comments). A page's main text is the text in main slots and in its articles, without blocks that its own elements or,
+outside articles, the template's own texts explain. A page without any text in main slots is judged by its elements alone, and so is a
+host without a template.
 
 Occurrence vectors are never built: their fingerprint is an exclusive or over the pages, which Spark sums up partially on each
-executor, so a host of any size is counted without gathering its pages. Templates are as small as a page's skeleton.
+executor, so a host of any size is counted without gathering its pages; order, places and features of slots are minima, maxima
+and sums over pages too. Templates meet their pages by host; as they are small, Spark can send them to all tasks or split the
+pages of a large host.
 
 Defined cases: null html gives an empty text; a null or odd url is a host of its own kind (empty name); a host with fewer than
-`LEAST` distinct pages has no template and its pages are judged by their elements; repeated pages get the same text.
+`LEAST` distinct pages has no template; pages of one main text count once for the template, by the least of them; repeated rows
+get the same text; an empty table gives no rows; further columns of pages are left behind.
 """
 
 from __future__ import annotations
@@ -19,18 +29,20 @@ from __future__ import annotations
 import html
 import re
 from collections import Counter
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, stored
+from .common import map_batches, pa_schema, stored
 
 #: Distinct pages that a class must stand on, share of the host's distinct pages, and tokens in a class.
 LEAST, SHARE, CLASS = 3, 0.6, 2
-#: Tokens of templates (8 bytes each) that may be sent to every task; parts of a host beyond that.
-SENT_TOKENS, SALTS = 2_000_000, 16
+#: Hosts whose template a task remembers.
+MEMO = 1000
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template iframe svg textarea select title head object canvas".split())
@@ -56,52 +68,49 @@ def token_id(text: str) -> int:
     return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
+@lru_cache(100_000)
+def tag_id(tag: str) -> int:
+    return token_id(tag)
+
+
 class Element:
-    __slots__ = ("away", "inner", "names", "number", "tag")
+    __slots__ = ("away", "inner", "tag")
 
-    def __init__(self, tag: str, names: frozenset[str], away: bool, inner: int, number: int):
-        self.tag, self.names, self.away, self.inner, self.number = tag, names, away, inner, number
+    def __init__(self, tag: str, away: bool, inner: bool):
+        self.tag, self.away, self.inner = tag, away, inner
 
 
 class Piece:
-    """A text block: its text, whether its elements are left out, the article-like element that it lies in, its slot and the length of its links."""
+    """A text block: its text, whether its elements are left out, and whether it lies in an article-like element."""
 
-    __slots__ = ("away", "inner", "linked", "slot", "text")
+    __slots__ = ("away", "inner", "text")
 
-    def __init__(self, text: str, away: bool, inner: int, slot: int, linked: int):
-        self.text, self.away, self.inner, self.slot, self.linked = text, away, inner, slot, linked
+    def __init__(self, text: str, away: bool, inner: bool):
+        self.text, self.away, self.inner = text, away, inner
 
 
-def read(page: str, template: frozenset[int] = frozenset()) -> tuple[list[Piece], list[str]]:
-    """(text blocks, tag tokens in order). Tokens of the template, or else container elements, start new slots."""
-    pieces: list[Piece] = []
-    tags: list[str] = []
+def read(page: str) -> list[str | Piece]:
+    """Tag tokens and text blocks in order."""
+    events: list[str | Piece] = []
     stack: list[Element] = []
     run: list[str] = []
-    linked, links, slot, number, at = 0, 0, 0, 0, 0
-    inner = 0
+    at, size = 0, len(page)
 
     def flush() -> None:
-        nonlocal run, linked
         text = " ".join(html.unescape("".join(run)).split())
         if text:
-            pieces.append(Piece(text, any(e.away for e in stack), stack[-1].inner if stack else 0, slot, linked))
-        run, linked = [], 0
+            events.append(Piece(text, any(e.away for e in stack), bool(stack) and stack[-1].inner))
+        run.clear()
 
-    def say(text: str) -> None:
-        nonlocal linked
-        if text:
-            run.append(text)
-            if links:
-                linked += len(text)
+    def say(tag: str, names: frozenset[str] = frozenset()) -> None:
+        events.append("/".join([*(e.tag for e in stack if e.tag in BLOCK), tag]) + "".join(f".{n}" for n in sorted(names)))
 
-    size = len(page)
     while at < size:
         m = TOKEN.search(page, at)
         if not m:
-            say(page[at:])
+            run.append(page[at:])
             break
-        say(page[at : m.start()])
+        run.append(page[at : m.start()])
         at = m.end()
         tag = (m["tag"] or "").lower()
         if not tag:
@@ -111,18 +120,15 @@ def read(page: str, template: frozenset[int] = frozenset()) -> tuple[list[Piece]
             known = next((k for k in range(len(stack) - 1, -1, -1) if stack[k].tag == tag), None)
             if tag in BLOCK:
                 flush()
-                tags.append(f"/{tag}")
-            if tag == "a":
-                links = max(0, links - 1)
-            if known is not None:
-                if tag not in BLOCK and any(e.tag in BLOCK for e in stack[known:]):
-                    continue  # an inline end does not close blocks
+            if known is not None and (tag in BLOCK or not any(e.tag in BLOCK for e in stack[known:])):  # an inline end does not close blocks
                 del stack[known:]
+            if tag in BLOCK:
+                say(f"/{tag}")
             continue
         if tag in RAW and not rest.endswith("/"):
             close = re.compile(rf"</{re.escape(tag)}\s*>" if tag != "head" else r"</head\s*>|(?=<body\b)", re.I).search(page, at)
             flush()
-            tags.append(tag)
+            say(tag)
             at = close.end() if close else (size if tag in ("script", "style") else at)
             continue
         names = frozenset(w for a in ATTRIBUTE.finditer(rest) for w in re.split(r"\s+", (a[2] or a[3] or a[4] or "").lower()) if w) if rest else frozenset()
@@ -131,111 +137,206 @@ def read(page: str, template: frozenset[int] = frozenset()) -> tuple[list[Piece]
             if tag not in ("p", "li", "dt", "dd", "tr", "td", "th", "h1", "h2", "h3", "h4", "h5", "h6"):
                 while stack and stack[-1].tag in ("p", "b", "i", "em", "strong", "span", "a", "u", "font", "h1", "h2", "h3", "h4", "h5", "h6"):
                     stack.pop()
-                links = sum(e.tag == "a" for e in stack)
             elif tag == "p" or tag[0] == "h":
                 k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k].tag in BLOCK), None)
                 if k is not None and stack[k].tag == "p":
                     del stack[k:]
-            token = f"{tag}.{'.'.join(sorted(names))}"
-            tags.append(token)
-            if token_id(token) in template or not template and tag in ("div", "section", "article", "main", "td"):
-                slot += 1
+            say(tag, names)
         if tag in VOID or rest.endswith("/"):
             if tag == "br":
                 run.append(" ")
             continue
         words = frozenset(w for n in names for w in re.split(r"[-_]", n))
+        within = bool(stack) and stack[-1].inner
         is_inner = tag in INNER or (tag in ("div", "section", "td") and bool(names & INNER_NAMES))
-        away = tag in AWAY or bool(words & NAMES) or (("header" in words or tag == "header") and inner_of(stack) == 0)
+        away = tag in AWAY or bool(words & NAMES) or (("header" in words or tag == "header") and not within)
         if is_inner and tag in INNER and not away:  # an article does not lie in an advert that was left open
             while stack and any(e.away for e in stack):
                 stack.pop()
-        if is_inner and not away and inner_of(stack) == 0:
-            inner += 1
-            here = inner
-        else:
-            here = inner_of(stack)
-        number += 1
-        stack.append(Element(tag, names, away, here, number))
-        links += tag == "a"
+            within = bool(stack) and stack[-1].inner
+        stack.append(Element(tag, away, within or is_inner and not away))
     flush()
-    return pieces, tags
+    return events
 
 
-def inner_of(stack: list[Element]) -> int:
-    return stack[-1].inner if stack else 0
+class Template:
+    """What extraction needs of a host: the ids of its tag tokens, of the slots that are left out or taken, and of its texts."""
 
+    def __init__(self, tags: list[int] | None = None, main: list[int] | None = None, texts: list[int] | None = None):
+        self.tags, self.main, self.texts = frozenset(tags or ()), None if main is None else frozenset(main), frozenset(texts or ())
 
-def main_text(page: str, tags: frozenset[int] = frozenset(), texts: frozenset[int] = frozenset()) -> str:
-    """The main text, given the host's template: its tag tokens and its text blocks."""
-    pieces, _ = read(page, tags)
-    kept = [p for p in pieces if not p.away]
-    own = [p for p in kept if p.inner] or [p for p in kept if token_id(p.text) not in texts]
+
+def main_text(page: str, template: Template) -> str:
+    slot, found = 0, []
+    for e in read(page):
+        if isinstance(e, Piece):
+            if not e.away:
+                found.append((e, slot))
+        elif (t := tag_id(e)) in template.tags:
+            slot = t
+    explained = lambda p: not p.inner and token_id(p.text) in template.texts
+    own = [p for p, at in found if (at in template.main or p.inner) and not explained(p)] if template.main is not None else []
+    own = own or [p for p, _ in found if p.inner] or [p for p, _ in found if not explained(p)]
     return "\n\n".join(p.text for p in own)
 
 
-def tokens(pages: DataFrame) -> DataFrame:
-    """(host, page, token, is_text, n, place): the tokens of each distinct page of a host; pages of one main text count as one."""
+#: Of each token of a page: its id, the text's code points or -1 for a tag, 1 if in an article, 2 if left out by its elements.
+EVENTS = "token array<long>, chars array<int>, of array<int>"
+Events = tuple[list[int], list[int], list[int]]
+
+
+def distinct_pages(pages: DataFrame) -> DataFrame:
+    """(host, page, events): the tokens of each distinct page of a host; pages of one main text count as one, the least."""
 
     def make():
         def run(batch: pa.RecordBatch) -> dict:
-            out = {"host": batch.column(0), "page": [], "tokens": []}
+            out = {"host": batch.column(0), "page": [], "token": [], "chars": [], "of": []}
             for page in batch.column(1).to_pylist():
-                pieces, tags = read(page or "")
-                rows = {}
-                for place, (text, is_text) in enumerate([*((t, False) for t in tags), *((p.text, True) for p in pieces)]):
-                    key = token_id(text)
-                    n, first = rows.get((key, is_text), (0, place))
-                    rows[key, is_text] = (n + 1, first)
+                events = read(page or "")
+                pieces = [e for e in events if isinstance(e, Piece)]
                 out["page"].append(token_id("\n".join(p.text for p in pieces if p.inner) or "\n".join(p.text for p in pieces)))
-                out["tokens"].append([{"token": k, "is_text": t, "n": n, "place": at} for (k, t), (n, at) in rows.items()])
+                out["token"].append([token_id(e.text) if isinstance(e, Piece) else tag_id(e) for e in events])
+                out["chars"].append([len(e.text) if isinstance(e, Piece) else -1 for e in events])
+                out["of"].append([e.inner + 2 * e.away if isinstance(e, Piece) else 0 for e in events])
             return out
 
         return run
 
-    one = map_batches(pages.select(host_of(F.col("url")).alias("host"), "html"), make, "host string, page long, tokens array<struct<token:long,is_text:boolean,n:int,place:int>>")
-    one = one.groupBy("host", "page").agg(F.min_by("tokens", F.size("tokens")).alias("tokens"))
-    return one.select("host", "page", F.inline("tokens"))
+    one = map_batches(pages.select(host_of(F.col("url")).alias("host"), "html"), make, f"host string, page long, {EVENTS}")
+    least = F.min(F.struct(F.size("token").alias("n"), "token", "chars", "of")).alias("least")
+    return one.groupBy("host", "page").agg(least).select("host", "page", *(F.col(f"least.{c}").alias(c) for c in ("token", "chars", "of")))
+
+
+def classes(seen: DataFrame) -> DataFrame:
+    """(host, pages, tokens array<struct<vector, token, on, once, is_text>>): the frequent tokens of each host, by occurrence vector."""
+    counts = seen.select("host", "page", F.explode(F.arrays_zip("token", "chars")).alias("e")).groupBy("host", "page", "e.token").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("e.chars") >= 0).alias("is_text"))
+    tokens = counts.groupBy("host", "token").agg(F.count(F.lit(1)).alias("on"), F.bit_xor(F.xxhash64("page", "n")).alias("vector"), F.max("n").alias("most"), F.max("is_text").alias("is_text"))
+    many = seen.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
+    frequent = tokens.join(many, "host").where((F.col("on") >= LEAST) & (F.col("on") >= SHARE * F.col("pages")))
+    return frequent.groupBy("host").agg(F.first("pages").alias("pages"), F.sort_array(F.collect_list(F.struct("vector", "token", "on", (F.col("most") == 1).alias("once"), "is_text"))).alias("tokens"))
+
+
+def root_of(tokens: list[dict]) -> int | None:
+    """The class of tags that stands once on the most pages; of equal ones the larger."""
+    size = Counter((t["on"], t["vector"]) for t in tokens if t["once"] and not t["is_text"])
+    return max(((on, n, v) for (on, v), n in size.items()), default=(0, 0, None))[2]
+
+
+class Classes:
+    """A host's classes of tags, for a look at how they stand on a page."""
+
+    def __init__(self, tokens: list[dict]):
+        self.of = {t["token"]: t["vector"] for t in tokens if not t["is_text"]}
+        self.size, self.root = Counter(self.of.values()), root_of(tokens)
+
+    def standing(self, events: Events) -> Iterator[tuple[int, int, int, int, bool]]:
+        """For each tag token of a class on a page: (class, token, its place in the class's order, the root's token before it, whether
+        the class's tokens take turns and stay in one place of the root)."""
+        turns: dict[int, list[int]] = {}
+        slots: dict[int, set[int]] = {}
+        slot, of, root = 0, self.of, self.root
+        for e in events[0]:
+            v = of.get(e)
+            if v is not None:
+                turns.setdefault(v, []).append(e)
+                slots.setdefault(v, set()).add(0 if v == root else slot)
+                slot = e if v == root else slot
+        for v, seq in turns.items():
+            k = self.size[v]
+            good = len(slots[v]) == 1 and len(seq) % k == 0 and len(set(seq[:k])) == k and seq[k:] == seq[:-k]
+            for place, t in enumerate(dict.fromkeys(seq)):
+                yield v, t, place, min(slots[v]), good
+
+
+class Slots:
+    """A host's tag tokens and texts, for the features of its slots on a page."""
+
+    def __init__(self, tags: list[int] | None, texts: list[int] | None):
+        self.tags, self.texts = frozenset(tags or ()), frozenset(texts or ())
+
+    def of(self, events: Events) -> Iterator[tuple[int, int, int, int]]:
+        """For each slot of a page: (its token, code points that the template's texts do not explain, of these in articles, of these left out)."""
+        slot, out = 0, {}
+        for token, chars, of in zip(*events, strict=True):
+            if chars < 0:
+                slot = token if token in self.tags else slot
+            elif of & 1 or token not in self.texts:
+                x = out.setdefault(slot, [0, 0, 0])
+                x[0] += chars
+                x[1] += chars * (of == 1)
+                x[2] += chars * (of >= 2)
+        yield from ((s, *x) for s, x in out.items())
+
+
+class Memo(dict):
+    """What a function makes of a host's columns, made once for each host that a task meets; MEMO hosts at most."""
+
+    def __init__(self, make: Callable):
+        super().__init__()
+        self.make = make
+
+    def get(self, host: str, batch: pa.RecordBatch, row: int, columns: list[str]):
+        if host not in self:
+            if len(self) >= MEMO:
+                self.clear()
+            self[host] = self.make(*(batch[c][row].as_py() for c in columns))
+        return self[host]
+
+
+def per_page(seen: DataFrame, of_host: DataFrame, columns: list[str], of: Callable, rows: Callable[..., Iterator[tuple]], schema: str) -> DataFrame:
+    """(host, schema): the rows that a function gives for each page, from what `of` makes of its host's columns and from its tokens."""
+    names = [f.name for f in pa_schema(seen.sparkSession, schema)]
+
+    def make():
+        memo = Memo(of)
+
+        def run(batch: pa.RecordBatch) -> dict:
+            hosts, found = [], []
+            for k, (host, *events) in enumerate(zip(*(batch[c].to_pylist() for c in ("host", "token", "chars", "of")), strict=True)):
+                before = len(found)
+                found.extend(rows(memo.get(host, batch, k, columns), events))
+                hosts.extend([host] * (len(found) - before))
+            return {"host": hosts, **(dict(zip(names, zip(*found, strict=True), strict=True)) if found else {c: [] for c in names})}
+
+        return run
+
+    return map_batches(seen.join(of_host, "host").select("host", "token", "chars", "of", *columns), make, f"host string, {schema}")
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """(host, tags, texts): the tokens of each host's valid classes."""
-    seen = tokens(pages)
-    vectors = seen.groupBy("host", "token", "is_text").agg(
-        F.count(F.lit(1)).alias("on"), F.bit_xor(F.xxhash64("page", "n")).alias("vector"), F.min("place").alias("low"), F.max("place").alias("high")
-    )
-    many = seen.where(~F.col("is_text")).groupBy("host", "token").agg(F.count(F.lit(1)).alias("on")).groupBy("host").agg(F.max("on").alias("pages"))
-    frequent = vectors.join(many, "host").where((F.col("on") >= LEAST) & (F.col("on") >= SHARE * F.col("pages")))
-    # a class keeps one order if its tags' first and last places are in the same order; text blocks go with any frequent class
-    member = F.struct("low", "high", "token", "is_text", "on", "pages")
-    classes = frequent.groupBy("host", "vector").agg(F.count(F.lit(1)).alias("tokens"), F.sort_array(F.collect_list(member)).alias("members"))
-    high = F.transform(F.filter("members", lambda m: ~m["is_text"]), lambda m: m["high"])
-    texts = F.filter("members", lambda m: m["is_text"])
-    valid = F.when((F.col("tokens") >= CLASS) & (high == F.sort_array(high)), F.col("members")).otherwise(texts)
-    valid = classes.select("host", valid.alias("members")).select("host", F.inline("members"))
-    return valid.groupBy("host").agg(F.collect_list(F.when(~F.col("is_text"), F.col("token"))).alias("tags"), F.collect_list(F.when(F.col("is_text"), F.col("token"))).alias("texts"))
-
-
-def with_template(pages: DataFrame, known: DataFrame, most: int) -> DataFrame:
-    """pages with their host's template. Templates of at most `most` tokens in all are sent to every task, so that pages stay
-    where they are; more of them meet the pages by host and salt, so that a large host is dealt over many tasks."""
-    tokens = known.agg(F.sum(F.size("tags") + F.size("texts"))).first()[0] or 0
-    if tokens <= most:
-        return pages.join(F.broadcast(known), "host", "left")
-    known = known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return pages.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int")).join(known, ["host", "salt"], "left")
-
-
-def extract(pages: DataFrame, *, most_sent: int = SENT_TOKENS) -> DataFrame:
+    """(host, tags, main, texts): the tag tokens of each host's template, those that name its main slots, and its texts."""
+    seen = stored(distinct_pages(pages))
+    found = stored(classes(seen))
+    at = per_page(seen, found, ["tokens"], Classes, Classes.standing, "vector long, token long, place int, slot long, good boolean")
+    order = at.groupBy("host", "vector", "token").agg(F.min("place").alias("low"), F.max("place").alias("high"), F.min("slot").alias("first"), F.max("slot").alias("last"), F.every("good").alias("good"))
+    valid = order.groupBy("host", "vector").agg(F.every(F.col("good") & (F.col("low") == F.col("high")) & (F.col("first") == F.col("last"))).alias("good"), F.collect_list("token").alias("tokens"))
+    tags = valid.where(F.col("good") & (F.size("tokens") >= CLASS)).groupBy("host").agg(F.array_sort(F.flatten(F.collect_list("tokens"))).alias("tags"))
+    texts = F.transform(F.filter("tokens", lambda t: t["is_text"]), lambda t: t["token"])
+    shape = stored(found.select("host", "pages", texts.alias("texts")).join(tags, "host", "left"))
+
+    features = per_page(seen, shape, ["tags", "texts"], Slots, Slots.of, "slot long, chars long, inner long, away long")
+    slots = features.groupBy("host", "slot").agg(*(F.sum(c).alias(c) for c in ("chars", "inner", "away")), F.sum((F.col("inner") > 0).cast("long")).alias("on"))
+    whole = slots.groupBy("host").agg(F.max("on").alias("on"), F.collect_list(F.struct("slot", "chars", "inner", "away")).alias("slots"))
+    left = lambda x: x["chars"] - x["away"]
+    of_article, open_ = F.filter("slots", lambda x: 2 * x["inner"] > left(x)), F.filter("slots", lambda x: 2 * left(x) > x["chars"])
+    main = F.when(F.col("on") >= SHARE * F.col("pages"), of_article).otherwise(open_)
+    out = shape.where("tags is not null").join(whole, "host", "left").select("host", "tags", F.array_sort(F.transform(main, lambda x: x["slot"])).alias("main"), "texts")
+    return out.unionByName(shape.where("tags is null").select("host", "tags", F.lit(None).cast("array<long>").alias("main"), "texts"))
+
+
+def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars), a row for each row of pages."""
 
     def make():
+        memo = Memo(Template)
+
         def run(batch: pa.RecordBatch) -> dict:
-            ids, urls, bodies, *known = (batch.column(k).to_pylist() for k in range(5))
-            text = [main_text(b or "", *(frozenset(x or ()) for x in t)) for b, t in zip(bodies, zip(*known, strict=True), strict=True)]
-            return {"page_id": ids, "url": urls, "text": text, "n_chars": [len(t) for t in text]}
+            rows = enumerate(zip(batch["host"].to_pylist(), batch["html"].to_pylist(), strict=True))
+            text = [main_text(body or "", memo.get(host, batch, k, ["tags", "main", "texts"])) for k, (host, body) in rows]
+            return {"page_id": batch["page_id"], "url": batch["url"], "text": text, "n_chars": [len(t) for t in text]}
 
         return run
 
-    rows = with_template(pages.select("page_id", "url", "html").withColumn("host", host_of(F.col("url"))), stored(templates(pages)), most_sent)
-    return map_batches(rows.select("page_id", "url", "html", "tags", "texts"), make, "page_id long, url string, text string, n_chars long")
+    known = stored(templates(pages))
+    rows = pages.select("page_id", "url", "html").withColumn("host", host_of(F.col("url"))).join(known, "host", "left")
+    return map_batches(rows.select("page_id", "url", "html", "host", "tags", "main", "texts"), make, "page_id long, url string, text string, n_chars long")
