@@ -22,6 +22,7 @@ repeated rows count each; null doc_id is in no held-out set (its hash is of no t
 from __future__ import annotations
 
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,7 +37,7 @@ from .near import mix
 from .repeats import table_of
 
 #: Bytes of text in a block and for each bucket of words; words of one length that go through the recursion together.
-BLOCK_BYTES, BUCKET_BYTES, TOGETHER = 16 << 20, 16 << 20, 20_000
+BLOCK_BYTES, BUCKET_BYTES, TOGETHER = 32 << 20, 64 << 20, 20_000
 #: The mark before a word, as in the vocabulary's pieces.
 MARK = "▁"
 #: Words longer than this go through the recursion alone.
@@ -243,8 +244,12 @@ def tokenised(docs: DataFrame, held_out: Column, buckets: int, text: str, doc_id
             if out["kind"]:
                 yield from table_of(out, fields).to_batches()
 
-        number: dict[bytes, int] = {}
-        train: list[np.ndarray] = []
+        def numbered() -> dict[bytes, int]:
+            number: dict[bytes, int] = defaultdict()
+            number.default_factory = number.__len__
+            return number
+
+        number, train = numbered(), []
         size, k = 0, 0
         base = TaskContext.get().partitionId() << 32
         for batch in batches:
@@ -255,9 +260,9 @@ def tokenised(docs: DataFrame, held_out: Column, buckets: int, text: str, doc_id
                         yield from table_of(out, fields).to_batches()
                         out = empty()
                     yield from flush(number, train, base | k)
-                    number, train, size, k = {}, [], 0, k + 1
+                    number, train, size, k = numbered(), [], 0, k + 1
                 words = t.translate(LOWER).split()
-                ids = np.fromiter((number.setdefault(w, len(number)) for w in words), np.int32, len(words))
+                ids = np.fromiter(map(number.__getitem__, words), np.int32, len(words))
                 if not held:
                     train.append(ids)
                 add(out, kind=0, block=base | k, doc_id=doc, held_out=held, n_tokens=len(words) + 1, counts=packed(ids.tobytes()))
@@ -335,7 +340,7 @@ def score(docs: DataFrame, pieces_path: str, *, held_out: Column | None = None,
     spark = docs.sparkSession
     held_out = F.crc32(F.col(doc_id).cast("string").cast("binary")) % 7 == 2 if held_out is None else held_out
     pieces, of_byte = read_pieces(pieces_path)  # a vocabulary of fixed size
-    size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0  # a part of a block's list has as many words as a block has, by buckets
     tokens = stored(tokenised(docs, held_out, max(48, -(-size // BUCKET_BYTES)), text, doc_id), "kind")
     lists = tokens.where("kind = 1").select("block", "bucket", "words", "counts")
     n_docs = tokens.where("kind = 0 and not held_out").count()
@@ -384,3 +389,18 @@ def score(docs: DataFrame, pieces_path: str, *, held_out: Column | None = None,
 
     documents = tokens.where("kind = 0").select("block", "doc_id", "held_out", "n_tokens", "counts")
     return documents.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(add_up, schema)
+
+
+#: DuckDB: counts and the add-one score. The held-out rows go by CRC-32 of doc_id's digits, bit by bit.
+BASE_ORACLE = r"""
+WITH RECURSIVE k AS (SELECT DISTINCT doc_id FROM documents),
+c AS (SELECT doc_id, CAST(4294967295 AS BIGINT) AS crc, CAST(doc_id AS VARCHAR) AS s, 0 AS step FROM k
+ UNION ALL SELECT doc_id, CASE WHEN step % 9 = 0 THEN xor(crc, CAST(ord(s[step // 9 + 1]) AS BIGINT)) WHEN crc & 1 = 1 THEN xor(crc >> 1, CAST(3988292384 AS BIGINT)) ELSE crc >> 1 END, s, step + 1 FROM c WHERE step < 9 * length(s)),
+h AS (SELECT doc_id, xor(crc, CAST(4294967295 AS BIGINT)) % 7 = 2 AS held_out FROM c WHERE step = 9 * length(s)),
+d AS (SELECT doc_id, row_number() OVER () AS rid, coalesce(held_out, false) AS held_out, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents LEFT JOIN h USING (doc_id)),
+t AS (SELECT rid, held_out, unnest(list_append(w, '')) AS x FROM d),
+v AS (SELECT x, count(*) AS c FROM t WHERE NOT held_out GROUP BY x),
+n AS (SELECT CAST(sum(c) AS BIGINT) AS n, count(*) AS v FROM v),
+s AS (SELECT rid, count(*) AS n_tokens, count(c) AS n_known, sum(log10((coalesce(c, 0) + 1) / (n + v + 1))) AS base FROM t LEFT JOIN v USING (x), n GROUP BY rid)
+SELECT doc_id, held_out, n_tokens, n_known, n AS train_tokens, round(base, 3) AS base_score FROM d JOIN s USING (rid), n
+"""

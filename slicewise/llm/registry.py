@@ -5,13 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import bpe, decontaminate, lattice, near, pii, quality, repeats, rules, shards, template
 from .common import table
 
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("row_hash")
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,5 +58,23 @@ def op10_repeated_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.digest(repeats.repeats(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_classifier, op2_decontamination, op3_byte_bpe, op4_lattice_score, op5_html_template, op6_quality_rules, op7_sharding, op8_pii, op9_minhash_dedup, op10_repeated_spans)}
-ORACLES: dict[str, str] = {"op2_decontamination": decontaminate.ORACLE}
+def base_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op4 that SQL can say."""
+    return op4_lattice_score(spark, sf_dir).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 3).alias("base_score"))
+
+
+def base_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op6 that SQL can say."""
+    return op6_quality_rules(spark, sf_dir).drop("kept", "rule")
+
+
+def base_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts of op8, which SQL can say."""
+    return op8_pii(spark, sf_dir).select("doc_id", "n_email", "n_ip", "n_card", "n_phone")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (op1_quality_classifier, op2_decontamination, op3_byte_bpe, op4_lattice_score, op5_html_template, op6_quality_rules, op7_sharding, op8_pii, op9_minhash_dedup, op10_repeated_spans, base_lm_score, base_quality_rules, base_pii)
+}
+ORACLES: dict[str, str] = {"op2_decontamination": decontaminate.ORACLE, "op9_minhash_dedup": near.ORACLE, "base_lm_score": lattice.BASE_ORACLE, "base_quality_rules": rules.BASE_ORACLE, "base_pii": pii.BASE_ORACLE}

@@ -129,14 +129,13 @@ def test_word_hashes(monkeypatch):
 
 def test_decontamination_with_a_full_filter(spark, tables, monkeypatch):
     """A filter that lets nearly all through changes nothing, nor does dropping the documents that are hit."""
-    from slicewise.llm import common, decontaminate
+    from slicewise.llm import decontaminate
 
     docs, items = (spark.read.parquet(f"{tables[0]}/{x}.parquet") for x in ("documents", "benchmark"))
     one = decontaminate.decontaminate(docs, items)
     assert {*docs.columns, "n_words", "n_hit", "item_ids", "hits", "contaminated"} == set(one.columns)
     rows = one.collect()
-    monkeypatch.setattr(common, "passing", lambda bits, keys: np.ones(len(keys), bool))
-    monkeypatch.setattr(decontaminate, "passing", lambda bits, keys: np.ones(len(keys), bool))
+    monkeypatch.setattr(decontaminate, "filter_of", lambda keys, key: np.full(4096, 255, np.uint8))
     same(decontaminate.digest(decontaminate.decontaminate(docs, items)).collect(), list(map(tuple, decontaminate.digest(one).collect())))
     clean = decontaminate.clean(docs, items)
     assert clean.columns == docs.columns
@@ -485,6 +484,28 @@ def test_suffix_ranks_against_a_sort():
         assert suffix_ranks(data, at, length).tolist() == [sorted(suffixes).index(x) for x in suffixes]
 
 
+def test_strings_that_are_ordered_together(monkeypatch):
+    """Whatever the number that is ordered at a time, the same strings of a block are first."""
+    from slicewise.llm import repeats
+
+    r = random.Random(12)
+    base = "".join(r.choice("abc ") for _ in range(700))
+    texts = [(base[r.randrange(600) :] + base[: r.randrange(300)] + "x" * (k % 3)).encode() for k in range(12)]
+    row = {"ids": np.arange(12).tobytes(), "ends": np.cumsum([len(t) for t in texts]).tobytes(), "nulls": bytes(12), "data": __import__("zstandard").ZstdCompressor().compress(b"".join(texts))}
+    block, seen = repeats.Block(row, 100, 500), []
+    for most in (1, 60, 10**9):
+        monkeypatch.setattr(repeats, "TOGETHER", most)
+        starts, first = block.windows(np.arange(len(block.key)))
+        seen.append(sorted(zip(starts.tolist(), first.tolist(), strict=True)))
+        assert [x for a, b in repeats.together(np.array([1, 1, 2, 3, 3]), np.array([5, 50, 1, 70, 1])) for x in range(a, b)] == list(range(5))
+    data = block.data.tobytes()
+    known: dict[bytes, int] = {}
+    expected = []
+    for s, _ in seen[0]:
+        expected.append((s, known.setdefault(data[s : s + 100], s) == s))
+    assert seen[0] == seen[1] == seen[2] == expected
+
+
 def test_classifier_on_held_out_labels(spark):
     """Half of the labels teach; the others must be told right."""
     from pyspark.sql import functions as F
@@ -498,7 +519,7 @@ def test_classifier_on_held_out_labels(spark):
     good = (F.col("quality") == 1) & (F.col("toxic") == 0)
     low, toxic = F.col("quality") == 0, (F.col("quality") == 1) & (F.col("toxic") == 1)
     clean, low, toxic = test.agg(*(F.avg(F.when(x, F.col("kept").cast("int"))) for x in (good, low, toxic))).first()
-    assert clean > 0.98 and low < 0.05 and toxic < 0.25
+    assert clean > 0.99 and low < 0.05 and toxic < 0.1, (clean, low, toxic)
 
 
 def test_sparse_sites_are_shrunk(spark):
@@ -510,6 +531,33 @@ def test_sparse_sites_are_shrunk(spark):
     assert quality.strength(spark.createDataFrame([("h", 1000, 500.0), ("i", 1000, 500.0)], "host string, n long, s double"), 0.5) == 1e6
 
 
+def test_posteriors_against_plain_sums(spark, tables):
+    """Rates of paths and hosts and each document's odds, from the documents' own probabilities."""
+    from slicewise.llm import quality
+
+    docs, labels = (spark.read.parquet(f"{tables[0]}/{x}.parquet") for x in ("documents", "labels"))
+    got = quality.rated(quality.scored(docs, labels, ["doc_id"], None, None, 20_000)).collect()
+    sums = {"__host": collections.defaultdict(list), "__path": collections.defaultdict(list)}
+    for r in got:
+        assert math.isclose(r.p_document, 1 / (1 + math.exp(-r["__z"])))
+        for k, x in sums.items():
+            x[r[k]].append(r.p_document)
+    rate = sum(r.p_document for r in got) / len(got)
+
+    def weight(groups):
+        within = rate * (1 - rate)
+        between = sum(len(g) * (sum(g) / len(g) - rate) ** 2 for g in groups) / len(got) - within * len(groups) / len(got)
+        return max(1, within / between - 1) if between > within / 1e6 else 1e6
+
+    w = {k: weight(list(x.values())) for k, x in sums.items()}
+    for r in got:
+        h, p = sums["__host"][r["__host"]], sums["__path"][r["__path"]]
+        host = (sum(h) + w["__host"] * rate) / (len(h) + w["__host"])
+        path = (sum(p) + w["__path"] * host) / (len(p) + w["__path"])
+        odds = math.exp(r["__z"]) * path / (1 - path) * (1 - rate) / rate
+        assert math.isclose(r.host_rate, host, rel_tol=1e-6) and math.isclose(r.path_rate, path, rel_tol=1e-6) and math.isclose(r.p_bad, odds / (1 + odds), rel_tol=1e-6)
+
+
 def test_pipeline_stages(spark, tables):
     import corpus_pipeline
 
@@ -538,3 +586,52 @@ def test_pipeline_against_plain_stages(spark, tables, results):
     labels = spark.read.parquet(f"{tables[0]}/labels.parquet")
     good = {r.doc_id for r in quality.classify(docs, labels).where("kept").collect()}
     assert {r.doc_id for r in corpus_pipeline.quality_classifier(spark, docs, tables[0]).collect()} == good
+    import base64
+
+    import public_tokenizers as p
+    import tiktoken
+
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(p.path("byte_bpe_50k.tiktoken"), "rb"))}
+    enc = tiktoken.Encoding("own", pat_str=p.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    for r in corpus_pipeline.byte_bpe(spark, docs, tables[0]).collect():
+        texts = [t or "" for d, t in ROWS if d == r.doc_id]
+        assert (r.ids, r.n_tokens, r.decoded_sha256) in [(i, len(i), sha(t)) for t in texts for i in [enc.encode_ordinary(t)]] and r.ids_sha256 == sha(" ".join(map(str, r.ids)))
+
+
+def test_clashing_columns_of_every_table(spark, tables):
+    """Columns of labels, benchmark and pages that are named as an operator's own are in nobody's way."""
+    from pyspark.sql import functions as F
+
+    from slicewise.llm import decontaminate, quality, rules, template
+
+    docs, labels, items, pages = (spark.read.parquet(f"{tables[0]}/{x}.parquet") for x in ("documents", "labels", "benchmark", "pages"))
+    rows = lambda df: collections.Counter(map(str, df.collect()))
+    more = lambda df, *names: df.withColumns({c: F.lit("x") for c in names})
+    assert rows(template.extract(more(pages, "host", "tags", "main", "texts", "text", "n_chars", "token"))) == rows(template.extract(pages))
+    assert rows(decontaminate.digest(decontaminate.decontaminate(docs, more(items, "item", "words", "n", "token", "place")))) == rows(decontaminate.digest(decontaminate.decontaminate(docs, items)))
+    assert rows(quality.classify(more(docs, "host", "path", "z", "p_bad", "n", "s"), more(labels, "text", "low", "bad", "words", "shape"))) == rows(quality.classify(docs, labels))
+    assert rows(rules.quality_rules(more(docs, "t", "words", "n_words", "rule", "kept"), more(labels, "bad", "text", "n_words"))) == rows(rules.quality_rules(docs, labels))
+
+
+@pytest.mark.parametrize("number", [3, 4, 6, 8, 9, 10])
+def test_one_huge_word(spark, number, tmp_path):
+    """A text of one word of some ten thousand characters, next to its copy, is treated like any other."""
+    from slicewise.llm import registry
+
+    r = random.Random(1)
+    word = "".join(r.choice("abcdefghij0123456789") for _ in range(12_000))
+    docs = spark.createDataFrame([(1, word), (2, word), (3, "a few short words")], "doc_id long, text string")
+    docs.withColumn("lang", docs["text"].substr(1, 1)).withColumn("source", docs["text"].substr(1, 1)).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(3, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = {r.doc_id: r for r in next(f for n, f in registry.QUERIES.items() if n.startswith(f"op{number}_"))(spark, str(tmp_path)).collect()}
+    assert set(got) == {1, 2, 3}
+    if number == 3:
+        assert got[1].decoded_sha256 == got[2].decoded_sha256 == sha(word)
+    elif number == 4:
+        assert -1000 < got[1].score == got[2].score < 0
+    elif number == 6:
+        assert (got[1].n_words, got[1].word_chars, got[1].base_failed) == (1, 12_000, True)
+    elif number == 9:
+        assert (got[2].component_id, got[2].n_shingles, got[3].component_id) == (1, 1, 3)
+    elif number == 10:
+        assert (got[1].n_removed, got[2].n_removed) == (0, 12_000)
