@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as the next one's
 docs. All but the last return the columns of documents.
+
+Defined cases, by stage: rows with null doc_id or text pass the first four stages like others (a null text has no words, no
+shingles, no windows and no spans, and stays null); of rows that share a doc_id one stays after near_dedup, rows with null doc_id
+all stay; columns of documents that are named as an operator's own are kept; very long texts are taken whole; empty tables give
+no rows at every stage; without labels of both kinds, or without benchmark items, nothing is dropped for these.
 """
 
 from __future__ import annotations
