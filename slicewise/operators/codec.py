@@ -1,11 +1,10 @@
-"""Encoding and decoding of frames as Spark jobs at slice grain.
+"""Encoding and decoding of frames as Spark jobs.
 
-encode: frames -> planes -> slices (cut from the plane's bytes by expressions) -> residuals -> the plane's histogram, code
-lengths and packed slices -> frames.
-decode: packets -> slices (from the payload's own table) -> residuals and samples -> planes and frames.
-
-A slice is the unit of work; between the stages only residuals, packed planes or samples move. Errors are values
-beside the result, the one that comes first in plane and slice order, and fail no task.
+A frame is the unit of work: it is encoded or decoded where it lies, in one pass over Arrow batches, without a shuffle. For few
+frames of very many samples there is a second grain (by_slice): frames -> planes -> slices (cut by expressions) -> residuals ->
+the plane's histogram, code lengths and packed slices -> frames, and packets -> slices (from the payload's own table) -> samples
+-> frames. Both give the same bytes. Errors are values beside the result, the one that comes first in plane and slice order,
+and fail no task.
 """
 
 from __future__ import annotations
@@ -111,16 +110,27 @@ def assembled(planes: DataFrame) -> DataFrame:
     return frame.select(*KEY, *PARAMETERS, F.when(F.col("error").isNull(), chunk).alias("chunk"), "error")
 
 
-def encode(frames: DataFrame) -> DataFrame:
+def encode(frames: DataFrame, by_slice: bool = False) -> DataFrame:
     """(stream_id, frame_no, the stream's parameters, chunk, error) from frames(stream_id, frame_no, fourcc, width, height, predictor 0..3, num_slices, planes ARRAY<BINARY>).
 
-    Two shuffles: residuals meet by plane, packed planes by frame.
+    by_slice deals out slices instead of frames, with two shuffles: residuals meet by plane, packed planes by frame.
     """
     checked = frames.select(*KEY, *PARAMETERS, "predictor", "planes").withColumn("error", S.input_error(*(F.col(c) for c in ("fourcc", "width", "height", "num_slices", "planes"))))
-    cut = predicted(slices_of(rgb(checked, inverse=False)))
-    one = F.sort_array(F.collect_list(F.struct("slice_idx", "residual")))  # 256 slices at most
-    planes = cut.groupBy(*KEY, *PARAMETERS, "predictor", "plane_idx").agg(F.first("error").alias("error"), one.alias("slices"))
-    return assembled(packed(planes))
+    if by_slice:
+        cut = predicted(slices_of(rgb(checked, inverse=False)))
+        one = F.sort_array(F.collect_list(F.struct("slice_idx", "residual")))  # 256 slices at most
+        planes = cut.groupBy(*KEY, *PARAMETERS, "predictor", "plane_idx").agg(F.first("error").alias("error"), one.alias("slices"))
+        return assembled(packed(planes))
+    schema = plus(checked.select(*KEY, *PARAMETERS).schema, f"chunk binary, error {E.ERROR}")
+    names = [f.name for f in schema]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = zip(*(batch[c].to_pylist() for c in ("fourcc", "width", "height", "predictor", "num_slices", "planes")), batch["error"].is_null().to_pylist(), strict=True)
+            chunks = [encode_one(*row) if good else None for *row, good in rows]
+            yield pa.RecordBatch.from_arrays([pa.array(chunks, pa.binary()) if c == "chunk" else batch[c] for c in names], names=names)
+
+    return checked.mapInArrow(run, schema)
 
 
 def statistics(descriptor: np.ndarray) -> dict:
@@ -214,18 +224,31 @@ def encode_one(fourcc: str, width: int, height: int, predictor: int, num_slices:
     return b"".join([*out, (predictor << 8).to_bytes(4, "little")])
 
 
-def decode_one(chunk: bytes, fourcc: str, width: int, height: int, num_slices: int) -> tuple[list[bytes], int]:
-    """(planes, predictor) of one payload; raises what it fails by."""
-    layout, info = walk(chunk, fourcc, width, height, num_slices)
-    predictor, planes = info >> 8 & 3, []
-    for p in layout:
-        read, parts = kernels.unpacker(np.frombuffer(p["descriptor"], np.uint8)), []
-        for s in p["slices"]:
-            n = (s["row_end"] - s["row_start"]) * p["width"]
-            if n:
-                parts.append(kernels.restored(predictor, read(chunk[s["start"] : s["end"]], n)[0][None], p["width"]).tobytes())
-        planes.append(b"".join(parts))
-    return rgb_planes(fourcc, planes, inverse=True), predictor
+def decode_one(chunk: bytes | None, fourcc: str | None, width: int | None, height: int | None, num_slices: int | None, strict: bool = False) -> dict:
+    """planes, predictor, frame_info and error (the first, or None) of one payload."""
+    out = {"planes": None, "predictor": None, "frame_info": None, "error": None}
+    try:
+        if None in (chunk, fourcc, width, height, num_slices) or fourcc not in S.LAYOUTS:
+            raise kernels.CodecError("InvalidInput")
+        layout, info = walk(chunk, fourcc, width, height, num_slices)
+        out |= {"frame_info": info, "predictor": info >> 8 & 3}
+        planes = []
+        for p in layout:
+            read, parts, rows = kernels.unpacker(np.frombuffer(p["descriptor"], np.uint8)), [], []
+            for s in p["slices"]:
+                n, data = (s["row_end"] - s["row_start"]) * p["width"], chunk[s["start"] : s["end"]]
+                res, used = read(data, n) if n else (np.empty(0, np.uint8), 0)
+                if strict and n and (bit := kernels.padding_bit(data, used)) is not None:
+                    raise kernels.CodecError("NonZeroPadding", plane=p["plane_idx"], slice=s["slice_idx"], bit_position=bit)
+                rows.append(res)
+            for n in dict.fromkeys(map(len, rows)):  # slices of one shape go through the inverse together
+                parts.append((n, iter(kernels.restored(out["predictor"], np.stack([r for r in rows if len(r) == n]), p["width"]))))
+            of = dict(parts)
+            planes.append(b"".join(next(of[len(r)]).tobytes() for r in rows))
+        out["planes"] = rgb_planes(fourcc, planes, inverse=True)
+    except kernels.CodecError as e:
+        out["error"] = e.row()
+    return out
 
 
 def configured(packets: DataFrame, config: DataFrame | None) -> DataFrame:
@@ -268,14 +291,32 @@ def decoded_slices(slices: DataFrame, strict: bool) -> DataFrame:
     return slices.mapInArrow(run, schema)
 
 
-def decode(packets: DataFrame, config: DataFrame | None = None, strict: bool = False) -> DataFrame:
+def decode(packets: DataFrame, config: DataFrame | None = None, strict: bool = False, by_slice: bool = False) -> DataFrame:
     """(stream_id, frame_no, pts, fourcc, width, height, predictor, frame_info, planes, error) from packets(stream_id, frame_no, pts, chunk).
 
     config has a stream's fourcc, width, height and num_slices, unless packets carry them. strict: bits after a slice's last
-    code must be zero. A packet whose stream has no parameters gets an InvalidInput error. One shuffle: samples meet by frame.
+    code must be zero. A packet whose stream has no parameters gets an InvalidInput error. by_slice deals out slices instead of
+    frames, with one shuffle: samples meet by frame.
     """
-    ready = configured(packets, config)
-    read = parsed(ready.select(*KEY, "pts", *PARAMETERS, "chunk")).withColumnRenamed("error", "broken")
+    ready = configured(packets, config).select(*KEY, "pts", *PARAMETERS, "chunk")
+    return _by_slice(ready, strict) if by_slice else _by_frame(ready, strict)
+
+
+def _by_frame(packets: DataFrame, strict: bool) -> DataFrame:
+    schema = plus(packets.select(*KEY, "pts", "fourcc", "width", "height").schema, f"predictor int, frame_info bigint, planes array<binary>, error {E.ERROR}")
+    kinds = {"predictor": pa.int32(), "frame_info": pa.int64(), "planes": pa.list_(pa.binary()), "error": ERROR_ARROW}
+    names = [f.name for f in schema]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [decode_one(*row, strict) for row in zip(*(batch[c].to_pylist() for c in ("chunk", *PARAMETERS)), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in out], kinds[c]) if c in kinds else batch[c] for c in names], names=names)
+
+    return packets.mapInArrow(run, schema)
+
+
+def _by_slice(packets: DataFrame, strict: bool) -> DataFrame:
+    read = parsed(packets).withColumnRenamed("error", "broken")
     head = [*KEY, "pts", "fourcc", "width", "height", "frame_info"]
     planes = read.select(*head, "chunk", "broken", F.explode_outer("layout").alias("p"))
     slices = planes.select(*head, "chunk", "broken", "p.plane_idx", F.col("p.width").alias("pw"), "p.descriptor", F.explode_outer("p.slices").alias("s"))

@@ -71,13 +71,8 @@ def _encoded(fourcc: str, width: int, height: int, predictor: int, num_slices: i
 
 
 def _decoded(*row) -> dict:
-    try:
-        if None in row or row[1] not in S.LAYOUTS:
-            raise kernels.CodecError("InvalidInput")
-        planes, predictor = codec.decode_one(*row)
-        return {"planes": planes, "predictor": predictor, "variant": None}
-    except kernels.CodecError as e:
-        return {"planes": None, "predictor": None, "variant": e.variant}
+    out = codec.decode_one(*row)
+    return {"planes": out["planes"], "predictor": out["predictor"] if out["error"] is None else None, "variant": out["error"] and out["error"]["variant"]}
 
 
 def _layout(*row) -> list[dict] | None:

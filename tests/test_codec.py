@@ -149,8 +149,8 @@ def matrix(spark):
 def test_round_trip_of_all_formats(matrix):
     rows, packets, config = matrix
     sent = packets.select("stream_id", "frame_no", F.col("frame_no").alias("pts"), "chunk")
-    for strict in (False, True):
-        got = {r.frame_no: r for r in codec.decode(sent, config, strict).collect()}
+    for strict, by_slice in ((False, False), (True, False), (True, True)):
+        got = {r.frame_no: r for r in codec.decode(sent, config, strict, by_slice).collect()}
         for s, k, _, _, _, p, _, planes in rows:
             assert got[k].error is None and (got[k].stream_id, got[k].predictor, got[k].pts) == (s, p, k)
             assert [bytes(x) for x in got[k].planes] == planes
@@ -158,7 +158,7 @@ def test_round_trip_of_all_formats(matrix):
 
 def test_bytes_do_not_depend_on_partitions(spark, matrix):
     rows, packets, _ = matrix
-    again = codec.encode(spark.createDataFrame(rows, FRAME).repartition(7))
+    again = codec.encode(spark.createDataFrame(rows, FRAME).repartition(7), by_slice=True)
     assert {r.frame_no: bytes(r.chunk) for r in packets.collect()} == {r.frame_no: bytes(r.chunk) for r in again.collect()}
 
 
@@ -213,6 +213,9 @@ def test_padding(spark):
 def test_malformed_payloads(spark, chunk, variant, fields):
     e = decoded(spark, chunk, "ULY4", 4, 16, 4).error
     assert (e.variant, e.fields) == (variant, fields)
+    packets = spark.createDataFrame([("s", 0, None, chunk, "ULY4", 4, 16, 4)], "stream_id string, frame_no long, pts long, chunk binary, fourcc string, width int, height int, num_slices int")
+    e = codec.decode(packets, by_slice=True).first().error
+    assert (e.variant, e.fields) == (variant, fields)
 
 
 def test_inputs_that_cannot_be_encoded(spark):
