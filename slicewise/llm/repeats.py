@@ -7,17 +7,20 @@ tell which suffix of each class of equals comes first in corpus order, and the t
 
 * parse: for each trigger, blocks of documents send their phrase's digest and first place, grouped by the trigger's hash. A
   trigger with one phrase in the whole corpus needs nothing; equal phrases are all repeats but for the first;
-* dictionary: where a trigger stands in different phrases (at the ends of a repeated passage), the phrases' suffixes are
-  classed by their first `length` bytes, and all but the first of each class repeat. Phrases of one trigger that stand in one
-  block only are classed there; else the phrases meet in their trigger's group, and if a trigger has more than `MANY` phrases
-  each suffix goes to a group of its own class instead.
+* dictionary: where a trigger stands in different phrases (at the ends of a repeated passage), a suffix array of these phrases,
+  to a depth of `length` bytes, puts equal suffixes side by side; the parse's places give corpus order among them, and all but
+  the first repeat. Phrases of one trigger that stand in one block only are ordered there; else the phrases meet in their
+  trigger's group. If a trigger has more than `MANY` phrases each suffix goes to a group of its own class instead, by hashes.
 
 A block sends each trigger and each suffix class once, whatever the number of copies in it, so a group has at most one entry
 for each block and no copy is compared with another. What comes back to a block are its repeats. Blocks are stored compressed
 and read for each level.
 
+Digests of phrases, and the hashes of suffixes that are dealt out, cover every byte of them, whatever the length.
+
 Order: doc_id (null last), then block, then place. Defined cases: null text is empty; texts under `length` bytes have no
-repeats; repeated rows are repeats of the first; an empty table gives no rows.
+repeats; a very long text is a block of its own and is parsed by stretches; repeated rows are repeats of the first; rows of one
+doc_id count in the order of their blocks; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -45,6 +48,8 @@ SENT = "bucket int, block long, keys binary, digests binary, ids binary, starts
 BACK = "block long, level int, whole binary, mixed binary, hot binary"
 #: Phrases of a trigger that meet in one group; of more, the suffixes are dealt out.
 MANY = 20_000
+#: Strings that are ordered together.
+TOGETHER = 500_000
 
 
 def blocks_of(docs: DataFrame, text: str, doc_id: str, block_bytes: int) -> DataFrame:
@@ -111,7 +116,7 @@ class Block:
             e = np.flatnonzero(own & np.r_[turn[1:] | ~own[1:], True])
             t = (least[s] & LOW).astype(np.int64)
             size = e - s + length
-            digest = mix(long[s] * P + mix(long[s + (size - 64) // 2] * Q + mix(long[s + size - 64] + (size.astype(np.uint64) << np.uint64(32)) + (t - s).astype(np.uint64))))
+            digest = spanned(long, s, size, (size.astype(np.uint64) << np.uint64(32)) + (t - s).astype(np.uint64))
             for k, v in enumerate((at + s, at + e, mix(short[t]), digest)):
                 found[k].append(v)
         kinds = (np.int64, np.int64, np.uint64, np.uint64)
@@ -132,15 +137,16 @@ class Block:
             self.mixed[some] = different[group] > 1
             self.trigger[some] = some[np.flatnonzero(new_key)][group]  # the one that stands for its trigger
 
-    def windows(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Of the chosen phrases' strings: starts, two hashes, and whether each is the first of its kind in this block."""
-        starts, (a, b) = strings(self.data, self.first[chosen], self.last[chosen] - self.first[chosen] + self.length, self.length)
-        starts = starts + self.first[chosen][np.repeat(np.arange(len(chosen)), self.last[chosen] - self.first[chosen] + 1)] if len(chosen) else starts
-        first = np.ones(len(starts), bool)
-        some = repeated(a)
-        some = some[np.lexsort((starts[some], b[some], a[some]))]
-        first[some] = np.r_[True, (a[some][1:] != a[some][:-1]) | (b[some][1:] != b[some][:-1])][: len(some)]
-        return starts, a, b, first
+    def windows(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of the chosen phrases' strings, by trigger: starts, and whether each is the first of its kind in this block."""
+        chosen = chosen[np.argsort(self.key[chosen], kind="stable")]
+        starts, first = [np.empty(0, np.int64)], [np.empty(0, bool)]
+        for a, b in together(self.key[chosen], self.last[chosen] - self.first[chosen] + 1):
+            own = chosen[a:b]
+            offset, which = offsets(self.last[own] - self.first[own] + 1)
+            starts.append(self.first[own][which] + offset)
+            first.append(first_of_each(suffix_ranks(self.data, starts[-1], self.length), starts[-1]))
+        return np.concatenate(starts), np.concatenate(first)
 
     def place(self, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """doc_id and place in the document."""
@@ -203,22 +209,107 @@ def by_class(group: pa.Table, fields: pa.Schema) -> pa.Table:
     """Level 2: places of strings that repeat an earlier one, from strings' hashes and, where phrases are given, from theirs."""
     e = entries_of(group)
     has = np.repeat([x is not None for x in group["phrases"].to_pylist()], [len(x) // 8 for x in group["keys"].to_pylist()])
-    columns = {c: [e[c][~has]] for c in ("block", "keys", "digests", "ids", "starts", "ords")}
+    block, ords, again = [], [], []
+
+    def judge(c: dict[str, np.ndarray], *classes: np.ndarray) -> None:
+        """All but the first of each class in corpus order are repeats."""
+        order = np.lexsort((c["block"], c["starts"], c["ids"], *classes))
+        new = np.ones(len(order), bool)
+        if len(order):
+            new[1:] = np.logical_or.reduce([x[order][1:] != x[order][:-1] for x in classes])
+        block.append(c["block"][order])
+        ords.append(c["ords"][order])
+        again.append(~new)
+
+    hashed = {c: x[~has] for c, x in e.items()}
+    some = repeated(hashed["keys"])
+    hashed = {c: x[some] for c, x in hashed.items()}
+    judge(hashed, hashed["digests"], hashed["keys"])
     if has.any():
         data = np.frombuffer(b"".join(x for x in group["phrases"].to_pylist() if x is not None), np.uint8)
         size = e["counts"][has].astype(np.int64)  # here: bytes of the phrase
         length = int(e["digests"][has][0])  # here: bytes of a string
-        offset, (a, b) = strings(data, np.cumsum(size) - size, size, length)
-        which = np.repeat(np.arange(len(size)), size - length + 1)
-        for c, x in (("block", e["block"][has][which]), ("keys", a), ("digests", b), ("ids", e["ids"][has][which]), ("starts", e["starts"][has][which] + offset), ("ords", e["ords"][has][which] + offset)):
-            columns[c].append(x)
-    c = {k: np.concatenate(v) for k, v in columns.items()}
-    some = repeated(c["keys"])
-    c = {k: v[some] for k, v in c.items()}
-    order = np.lexsort((c["block"], c["starts"], c["ids"], c["digests"], c["keys"]))
-    k, d = c["keys"][order], c["digests"][order]
-    again = ~np.r_[True, (k[1:] != k[:-1]) | (d[1:] != d[:-1])][: len(order)]
-    return replies(2, c["block"][order], fields, whole=(again, c["ords"][order]))
+        begin, key = np.cumsum(size) - size, e["keys"][has]
+        order = np.argsort(key, kind="stable")
+        of = {c: e[c][has] for c in ("block", "ids", "starts", "ords")}
+        for a, b in together(key[order], size[order] - length + 1):
+            own = order[a:b]
+            offset, which = offsets(size[own] - length + 1)
+            ranks = suffix_ranks(data, begin[own][which] + offset, length)
+            some = shared_ranks(ranks)
+            which, offset = own[which[some]], offset[some]
+            judge({"block": of["block"][which], "ids": of["ids"][which], "starts": of["starts"][which] + offset, "ords": of["ords"][which] + offset}, ranks[some])
+    return replies(2, np.concatenate(block), fields, whole=(np.concatenate(again), np.concatenate(ords)))
+
+
+def together(keys: np.ndarray, many: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Runs of sorted keys, all of a key in one, with about TOGETHER strings or a single key: no others are equal."""
+    turns = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.empty(0, np.int64)
+    total, begin = np.concatenate([[0], np.cumsum(many)]), 0
+    for end in [*turns[1:].tolist(), len(keys)] if len(keys) else ():
+        if total[end] - total[begin] >= TOGETHER or end == len(keys):
+            yield begin, end
+            begin = end
+
+
+def offsets(many: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """0, 1, ... many[0] - 1, 0, 1, ... many[1] - 1 and so on, and which of them each belongs to."""
+    which = np.repeat(np.arange(len(many)), many)
+    return np.arange(len(which)) - np.repeat(np.cumsum(many) - many, many), which
+
+
+def suffix_ranks(data: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+    """The rank of the suffix at each place among all of them, ordered by their first `length` bytes; equal ones share a rank.
+
+    This is the inverse of the suffix array to that depth, built by refinement: a class of equal beginnings is ordered anew where
+    its next eight bytes differ, and what is alone in its class is done.
+    """
+    eight = np.lib.stride_tricks.sliding_window_view(np.concatenate([data, np.zeros(8, np.uint8)]), 8)
+    rank = np.zeros(len(at), np.int64)
+    active, own = np.arange(len(at)), rank  # in order; the class of each, named by its first place
+    for depth in range(0, length, 8):
+        if not len(active):
+            break
+        word = np.ascontiguousarray(eight[at[active] + depth]).view(">u8").ravel()
+        if length - depth < 8:
+            word = word >> np.uint64(8 * (8 - length + depth))
+        turn = np.r_[True, own[1:] != own[:-1]]
+        differs = ~turn & np.r_[False, word[1:] != word[:-1]]
+        if not differs.any():
+            continue
+        which = np.cumsum(turn) - 1
+        rows = np.flatnonzero((np.bincount(which[differs], minlength=which[-1] + 1) > 0)[which])
+        order = np.lexsort((word[rows].astype(np.uint64), own[rows]))
+        active[rows], word[rows] = active[rows[order]], word[rows[order]]
+        new = turn | np.r_[False, word[1:] != word[:-1]]
+        place = np.arange(len(active))
+        own = own + np.maximum.accumulate(np.where(new, place, 0)) - np.maximum.accumulate(np.where(turn, place, 0))
+        rank[active] = own
+        shared = ~(new & np.r_[new[1:], True])
+        active, own = active[shared], own[shared]
+    return rank
+
+
+def shared_ranks(ranks: np.ndarray) -> np.ndarray:
+    """The places of ranks that come more than once."""
+    return np.flatnonzero(np.bincount(ranks)[ranks] > 1) if len(ranks) else np.empty(0, np.int64)
+
+
+def first_of_each(ranks: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Whether each is the first, by start, of those of its rank."""
+    first = np.ones(len(ranks), bool)
+    some = shared_ranks(ranks)
+    some = some[np.lexsort((starts[some], ranks[some]))]
+    first[some[1:]] = ranks[some][1:] != ranks[some][:-1]
+    return first
+
+
+def spanned(long: np.ndarray, first: np.ndarray, size: np.ndarray, salt: np.ndarray) -> np.ndarray:
+    """A hash of the `size` bytes from `first` on, from the hashes of 64 bytes at each place: as many as cover all of them."""
+    out = mix(salt + P)
+    for k in range(-(-int(size.max(initial=64)) // 64)):
+        out = mix(out * Q + long[first + np.minimum(64 * k, size - 64)])
+    return out
 
 
 def repeated(keys: np.ndarray) -> np.ndarray:
@@ -229,15 +320,14 @@ def repeated(keys: np.ndarray) -> np.ndarray:
     return np.sort(order[like[:-1] | like[1:]]) if len(k) else order
 
 
-def strings(data: np.ndarray, first: np.ndarray, size: np.ndarray, length: int) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray]]:
-    """For each string of `length` bytes in the phrases that start at `first`: its place in its phrase, and two hashes of it."""
+def hashes(data: np.ndarray, first: np.ndarray, size: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each string of `length` bytes in the phrases that start at `first`: its start, and two hashes of it."""
     begin = np.cumsum(size) - size
     long = hash_of(data[np.arange(int(size.sum())) + np.repeat(first - begin, size)], 64)[0] if len(size) else np.empty(0, np.uint64)
-    many = size - length + 1
-    offset = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
-    at = np.repeat(begin, many) + offset
-    one, two = long[at], long[at + length - 64]
-    return offset, (mix(one * P + two), mix(one * Q ^ mix(two * P + ONE)))
+    offset, which = offsets(size - length + 1)
+    whole = np.full(len(which), length, np.int64)
+    at = begin[which] + offset
+    return first[which] + offset, *(spanned(long, at, whole, np.full(len(which), salt, np.uint64)) for salt in (1, 2))
 
 
 def hash_of(data: np.ndarray, *widths: int) -> list[np.ndarray]:
@@ -303,8 +393,9 @@ def repeats(docs: DataFrame, *, length: int = 100, text: str = "text", doc_id: s
                 data = [b.data[s:e].tobytes() for s, e in zip(b.first[own], ends, strict=True)]
                 parts.append(sent(rows[0]["block"], buckets, b.key[own], np.full(len(own), length, np.uint64), *b.place(b.first[own]), b.first[own], ends - b.first[own], data))
             if len(own := of_triggers(b, ords_of(right, 1, "hot"))):
-                starts, x, y, first = b.windows(own)
-                starts, x, y = starts[first], x[first], y[first]
+                own = own[np.argsort(b.key[own], kind="stable")]
+                _, first = b.windows(own)
+                starts, x, y = (z[first] for z in hashes(b.data, b.first[own], b.last[own] - b.first[own] + length, length))
                 parts.append(sent(rows[0]["block"], buckets, x, y, *b.place(starts), starts, np.ones(len(starts), np.int32)))
         return pa.concat_tables([table_of(x, fields) for x in parts] or [table_of({f.name: [] for f in fields}, fields)])
 
@@ -322,7 +413,7 @@ def repeats(docs: DataFrame, *, length: int = 100, text: str = "text", doc_id: s
         edge = np.zeros(len(b.data) + 1, np.int32)
         np.add.at(edge, b.first[whole], 1)
         np.add.at(edge, b.last[whole] + length, -1)
-        starts, _, _, first = b.windows(chosen(b, right))
+        starts, first = b.windows(chosen(b, right))
         again = np.concatenate([starts[~first], ords_of(right, 2, "whole").astype(np.int64)])
         np.add.at(edge, again, 1)
         np.add.at(edge, again + length, -1)
