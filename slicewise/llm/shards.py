@@ -4,8 +4,8 @@ Rows of equal text are one atomic group. Groups stand in one fixed order (by the
 order. The largest shard is as small as it can be: the least capacity is searched for, each candidate checked greedily (fill
 a shard until the next group does not fit), and the greedy cuts at the least feasible capacity are the shards.
 
-At scale: the order's running sums come from windows over digest ranges plus the ranges' totals, of which there are
-`ranges`. A greedy step asks for the last running sum below a point; as two neighbours differ by no more than the largest
+At scale: the order's running sums come from windows over digest ranges plus the ranges' totals; there are as many ranges as
+`ROWS_PER_RANGE` asks for. A greedy step asks for the last running sum below a point; as two neighbours differ by no more than the largest
 group, only sums within that distance are read. `WAYS` capacities are tried in each pass, so that a search over any size needs
 a few passes. Only those answers reach the driver. Slots are numbered by (group, salt): a group of copies is dealt over salts.
 
@@ -24,6 +24,8 @@ from .common import stored
 WAYS = 32
 #: Rows of a (group, salt) aimed at.
 ROWS_PER_SALT = 50_000
+#: Rows of a range of digests aimed at.
+ROWS_PER_RANGE = 500_000
 
 
 def least_capacity(groups: DataFrame, n_shards: int) -> tuple[int, list[int]]:
@@ -55,11 +57,12 @@ def least_capacity(groups: DataFrame, n_shards: int) -> tuple[int, list[int]]:
     return high, cuts([high])[0][: n_shards - 1]
 
 
-def shard(docs: DataFrame, n_shards: int = 8, *, text: str = "text", doc_id: str = "doc_id", ranges: int = 256) -> DataFrame:
+def shard(docs: DataFrame, n_shards: int = 8, *, text: str = "text", doc_id: str = "doc_id", ranges: int | None = None) -> DataFrame:
     """(doc_id, size, text_crc32, law, shard, slot, grown_shard), one row for each row of docs."""
     t = F.coalesce(F.col(text), F.lit("")).cast("binary")
     rows = stored(docs.select(F.col(doc_id).alias("doc_id"), (F.octet_length(t) + F.lit(1)).cast("long").alias("size"), F.crc32(t).alias("text_crc32"), F.md5(t).alias("g")))
-    salts = max(16, -(-rows.count() // ROWS_PER_SALT))
+    many = rows.count()
+    salts, ranges = max(16, -(-many // ROWS_PER_SALT)), ranges or max(256, -(-many // ROWS_PER_RANGE))
     rows = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)))
     cells = rows.groupBy("g", "salt").agg(F.count(F.lit(1)).alias("m"), F.min("size").alias("size"))
 
