@@ -368,3 +368,14 @@ def digest(found: DataFrame) -> DataFrame:
     count = lambda k: F.size(F.filter("strict_spans", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
     joined = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     return found.select("doc_id", *(count(k) for k in KINDS[:4]), F.sha2(joined("strict_spans"), 256).alias("base_sha256"), joined("spans").alias("spans"))
+
+
+#: DuckDB: how many spans of each strict kind. Luhn: from the right, every second digit is doubled, less 9 above 9.
+BASE_ORACLE = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+m AS (SELECT doc_id, len(regexp_extract_all(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+')) AS n_email, regexp_extract_all(t, '[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)') AS ips,
+ list_transform(regexp_extract_all(t, '[0-9](?:[\x20-]?[0-9])+'), lambda x: reverse(regexp_replace(x, '[\x20-]', '', 'g'))) AS cards, regexp_extract_all(t, '\+[0-9][\x20().0-9-]+[0-9]') AS phones FROM d)
+SELECT doc_id, CAST(n_email AS BIGINT) AS n_email, CAST(len(list_filter(ips, lambda x: list_max(list_transform(string_split(x, '.'), lambda y: CAST(y AS HUGEINT))) <= 255)) AS BIGINT) AS n_ip,
+ CAST(len(list_filter(cards, lambda x: length(x) BETWEEN 14 AND 19 AND list_sum(list_transform(range(1, length(x) + 1), lambda i: CASE WHEN i % 2 = 1 THEN CAST(x[i] AS INT) ELSE 2 * CAST(x[i] AS INT) - CASE WHEN CAST(x[i] AS INT) > 4 THEN 9 ELSE 0 END END)) % 10 = 0)) AS BIGINT) AS n_card,
+ CAST(len(list_filter(phones, lambda x: length(regexp_replace(x, '[^0-9]', '', 'g')) BETWEEN 10 AND 15)) AS BIGINT) AS n_phone FROM m
+"""
