@@ -19,25 +19,31 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import map_batches, short_batches, stored
+from .common import aside, map_batches, short_batches, smallest, stored
 
 #: At most so many labelled rows fit the classifier, and so many words are its features; a word needs so many of these rows.
 SAMPLE, WORDS, SUPPORT = 20_000, 8_000, 5
+#: The most telling words are features, as many as make so many to a row.
+PER_ROW = 40
+#: Bytes of a word's beginnings that are features too.
+STEMS = (5, 6, 7, 8)
 #: How many standard deviations off the global rate a word must be.
 TELLING = 5.0
 #: Shape statistics, and the quantiles that part each into bins, finer toward both ends.
 SHAPES, CUTS = 10, (0.02, 0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.98)
 BINS = len(CUTS) + 1
-#: Parts of a path when its documents meet its rate.
-SALTS = 16
 PLAIN = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 
 def look(text: bytes) -> tuple[set[bytes], list[float]]:
-    """Distinct words, without digits and marks, and shape statistics of a text."""
+    """Distinct words, without digits and marks, with their beginnings (marked, as words with one stem say the same), and shape
+    statistics of a text."""
     tokens = text.split()
     words, n, size = set(text.translate(PLAIN).split()), max(len(tokens), 1), max(len(text), 1)
+    long = {w[: STEMS[-1]] for w in words if len(w) > STEMS[0]}
+    words.update(w[:k] + b"~" for k in STEMS for w in long if len(w) >= k)
     upper = size - len(text.translate(None, b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"))
     symbols = size - len(text.translate(None, b"#*$%&|<>{}[]\\^~_="))
     return words, [
@@ -80,7 +86,7 @@ class Model:
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int) -> Model:
     known = labels.where(F.col("quality").isNotNull()).select("doc_id", (F.col("quality") == 0).alias("low"), (F.coalesce(F.col("toxic"), F.lit(0)) == 1).alias("toxic"))
-    chosen = F.broadcast(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample))  # `sample` rows at most
+    chosen = F.broadcast(smallest(known, F.xxhash64("doc_id"), sample))  # `sample` rows at most
 
     def make():
         def run(batch: pa.RecordBatch) -> dict:
@@ -97,7 +103,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int) -> Model:
     if not rates:
         return Model(np.zeros((SHAPES, BINS - 1)), [])
     off = {k: F.abs(F.col(k) - F.col("n") * r) / F.sqrt(F.col("n") * r * (1 - r)) for k, r in rates.items()}
-    words = {k: [bytes(r.w) for r in counts.where(x >= TELLING).orderBy(x.desc(), "w").limit(WORDS).collect()] for k, x in off.items()}
+    words = {}
+    for k, x in off.items():
+        best = counts.where(x >= TELLING).orderBy(x.desc(), "w").limit(WORDS).collect()  # WORDS rows at most
+        words[k] = [bytes(r.w) for r, seen_in in zip(best, np.cumsum([r.n for r in best]), strict=True) if seen_in <= PER_ROW * total]
     place = {w: k for k, w in enumerate(sorted({w for ws in words.values() for w in ws}))}
 
     def narrow():
@@ -151,39 +160,49 @@ def strength(groups: DataFrame, rate: float, most: float = 1e6) -> float:
     return min(most, max(1.0, within / between - 1)) if between > within / most else most
 
 
-def classify(docs: DataFrame, labels: DataFrame, *, host: Column | None = None, path: Column | None = None, sample: int = SAMPLE, threshold: float = 0.5) -> DataFrame:
-    """(doc_id, row_hash, p_document, host_rate, path_rate, p_bad, kept), a row per row of docs.
-
-    host and path name a document's site and the part of it; as given, its source and its source with its language.
-    """
+def scored(docs: DataFrame, labels: DataFrame, keep: list[str], host: Column | None, path: Column | None, sample: int) -> DataFrame:
+    """docs' columns `keep` with __host, __path and __z, the document's log odds of being bad."""
     host = F.col("source") if host is None else host
     path = F.concat_ws("/", "source", F.coalesce(F.col("lang"), F.lit("?"))) if path is None else path
     model = fit(docs, labels, sample)
     short_batches(docs.sparkSession)
+    schema = T.StructType([*(docs.schema[c] for c in keep), *T.StructType.fromDDL("__host string, __path string, __z double").fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            z = [model.logit(t) for t in batch["text"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(batch[c] for c in ("doc_id", "row_hash", "host", "path")), pa.array(z, pa.float64())], names=["doc_id", "row_hash", "host", "path", "z"])
+            z = [model.logit(t) for t in batch["__bytes"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(batch[f.name] for f in schema[:-1]), pa.array(z, pa.float64())], names=schema.names)
+
+    site = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    rows = docs.select(*keep, site(host).alias("__host"), site(path).alias("__path"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("__bytes"))
+    return stored(rows.mapInArrow(run, schema))
+
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row_hash"), F.coalesce(host.cast("string"), F.lit("")).alias("host"), F.coalesce(path.cast("string"), F.lit("")).alias("path"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
-    scored = stored(rows.mapInArrow(run, "doc_id long, row_hash long, host string, path string, z double")).withColumn("p_document", 1 / (1 + F.exp(-F.col("z"))))
-    paths = scored.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), F.sum("p_document").alias("s"))
-    hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
+def rated(rows: DataFrame) -> DataFrame:
+    """rows of `scored` with p_document, host_rate, path_rate and p_bad. Sites' rates are as many as paths; how they meet the
+    documents is left to Spark, which sends them where they are few and else splits the documents of a large path."""
+    rows = rows.withColumn("p_document", 1 / (1 + F.exp(-F.col("__z"))))
+    paths = rows.groupBy("__host", "__path").agg(F.count(F.lit(1)).alias("n"), F.sum("p_document").alias("s"))
+    hosts = paths.groupBy("__host").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
     n, s = hosts.agg(F.sum("n"), F.sum("s")).first()
     rate = min(max((s or 0.5) / (n or 1), 1e-6), 1 - 1e-6)
     of_host, of_path = strength(hosts, rate), strength(paths, rate)
-    hosts = hosts.select("host", ((F.col("s") + of_host * rate) / (F.col("n") + of_host)).alias("host_rate"))
-    paths = paths.join(hosts, "host").select("host", "path", "host_rate", ((F.col("s") + of_path * F.col("host_rate")) / (F.col("n") + of_path)).alias("path_rate"))
-    z = F.col("z") + logit(F.col("path_rate")) - F.lit(float(np.log(rate / (1 - rate))))
-    # a path may hold a third of all documents: it is dealt over salts
-    paths = paths.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    scored = scored.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
-    out = scored.join(paths, ["host", "path", "salt"]).withColumn("p_bad", 1 / (1 + F.exp(-z)))
-    return out.select("doc_id", "row_hash", "p_document", "host_rate", "path_rate", "p_bad", (F.col("p_bad") < threshold).alias("kept"))
+    hosts = hosts.select("__host", ((F.col("s") + of_host * rate) / (F.col("n") + of_host)).alias("host_rate"))
+    paths = stored(paths.join(hosts, "__host").select("__host", "__path", "host_rate", ((F.col("s") + of_path * F.col("host_rate")) / (F.col("n") + of_path)).alias("path_rate")))
+    z = F.col("__z") + logit(F.col("path_rate")) - F.lit(float(np.log(rate / (1 - rate))))
+    return rows.join(paths, ["__host", "__path"]).withColumn("p_bad", 1 / (1 + F.exp(-z)))
+
+
+def classify(docs: DataFrame, labels: DataFrame, *, host: Column | None = None, path: Column | None = None, sample: int = SAMPLE, threshold: float = 0.5) -> DataFrame:
+    """(doc_id, p_document, host_rate, path_rate, p_bad, kept), a row per row of docs.
+
+    host and path name a document's site and the part of it; as given, its source and its source with its language.
+    """
+    out = rated(scored(docs, labels, ["doc_id"], host, path, sample))
+    return out.select(F.col("doc_id").cast("long").alias("doc_id"), "p_document", "host_rate", "path_rate", "p_bad", (F.col("p_bad") < threshold).alias("kept"))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
+def keep_good(docs: DataFrame, labels: DataFrame, *, host: Column | None = None, path: Column | None = None, sample: int = SAMPLE, threshold: float = 0.5) -> DataFrame:
     """The rows of docs that the classifier keeps, with their columns."""
-    good = classify(docs, labels, **options).where("kept").select(F.col("doc_id").alias("__kept_id"), F.col("row_hash").alias("__kept_hash")).distinct()
-    return docs.join(good, F.col("doc_id").eqNullSafe(F.col("__kept_id")) & (F.xxhash64("text") == F.col("__kept_hash")), "left_semi")
+    free, back = aside(docs, ["p_document", "host_rate", "path_rate", "p_bad"])
+    return back(rated(scored(free, labels, free.columns, host, path, sample)).where(F.col("p_bad") < threshold))
