@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import smallest, stored
 
 SPACES = " \t\n\x0b\f\r"
 #: At most so many labelled rows teach the rules.
@@ -33,16 +33,10 @@ def count_of(t: Column, chars: str) -> Column:
     return (F.length(t) - F.length(F.translate(t, chars, ""))).cast("long")
 
 
-def repeated_words(words: Column, size: int = 8) -> Column:
-    """Words of an array column that lie in a run of `size` words found twice or more in it (size: a power of two)."""
-    n = F.size(words)
-    h = F.transform(words, lambda w: F.xxhash64(w))
-    width = 1
-    while width < size:  # a window's hash from the hashes of its halves
-        k = F.greatest(n - F.lit(2 * width - 1), F.lit(0))
-        h = F.zip_with(F.slice(h, F.lit(1), k), F.slice(h, F.lit(width + 1), k), lambda a, b: F.xxhash64(a, b))
-        width *= 2
-    return F.when(n >= size, h).otherwise(F.array().cast("array<bigint>"))
+def windows_of(words: Column, size: int = 8) -> Column:
+    """The hash of each run of `size` words of an array column."""
+    n = F.size(words) - size
+    return F.when(n >= 0, F.transform(F.sequence(F.lit(1), n + 1), lambda i: F.xxhash64(F.slice(words, i, F.lit(size))))).otherwise(F.array().cast("array<bigint>"))
 
 
 def covered(windows: Column, ordered: Column, size: int = 8) -> Column:
@@ -57,17 +51,18 @@ def covered(windows: Column, ordered: Column, size: int = 8) -> Column:
 def statistics(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, further counts), a row per document."""
     t = F.coalesce(F.col(text), F.lit(""))
-    one = docs.select(F.col(doc_id).alias("doc_id"), t.alias("t"))
-    lines = F.filter(F.split("t", "\n"), lambda x: F.translate(x, SPACES, "") != "")
+    # most characters are small letters, which nothing counts: without them the counts are of a short text
+    one = docs.select(F.col(doc_id).alias("doc_id"), t.alias("t"), F.translate(t, "abcdefghijklmnopqrstuvwxyz", "").alias("s"))
+    lines = F.filter(F.split("t", "\n"), lambda x: F.btrim(x, F.lit(SPACES)) != "")
     two = one.select(
         "doc_id",
         F.array_remove(F.split(F.translate("t", SPACES, " " * len(SPACES)), " "), "").alias("words"),
         lines.alias("lines"),
-        F.length(F.translate("t", SPACES, "")).cast("long").alias("word_chars"),
-        count_of(F.col("t"), "#*$%&|<>").alias("n_symbols"),
-        count_of(F.col("t"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ").alias("n_upper"),
-        count_of(F.col("t"), "0123456789").alias("n_digits"),
-        count_of(F.col("t"), "!?").alias("n_marks"),
+        (F.length("t") - count_of(F.col("s"), SPACES)).cast("long").alias("word_chars"),
+        count_of(F.col("s"), "#*$%&|<>").alias("n_symbols"),
+        count_of(F.col("s"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ").alias("n_upper"),
+        count_of(F.col("s"), "0123456789").alias("n_digits"),
+        count_of(F.col("s"), "!?").alias("n_marks"),
     )
     counts = ["word_chars", "n_symbols", "n_upper", "n_digits", "n_marks"]
     three = two.select(
@@ -76,7 +71,7 @@ def statistics(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id") -
         F.size("words").cast("long").alias("n_words"),
         F.size(F.array_distinct("words")).cast("long").alias("n_distinct"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        repeated_words(F.col("words")).alias("windows"),
+        windows_of(F.col("words")).alias("windows"),
     )
     # only texts in which some window repeats need their windows in order
     again = F.size(F.array_distinct("windows")) < F.size("windows")
@@ -174,9 +169,22 @@ def quality_rules(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, d
     """Statistics of each document with base_failed, rule (that rejects it, else null) and kept."""
     stats = stored(statistics(docs, text=text, doc_id=doc_id))
     known = labels.where(F.col("quality").isNotNull()).select(F.col(doc_id).alias("doc_id"), (F.col("quality") == 0).alias("bad"))
-    chosen = known.join(stats, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    seen = chosen.select("bad", *(c.alias(n) for n, c in features().items())).collect()  # `sample` rows at most
+    joined = stored(known.join(stats, "doc_id").select("doc_id", "bad", *(c.alias(n) for n, c in features().items())))
+    seen = smallest(joined, F.xxhash64("doc_id"), sample).collect()  # `sample` rows at most
     bad = np.array([r["bad"] for r in seen], bool)
     rules = learn(np.array([[float(r[n]) for n in FEATURES] for r in seen]), bad) if 0 < bad.sum() < len(bad) else []
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     return stats.withColumn("base_failed", failed).withColumn("rule", expression(rules)).withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull())
+
+
+#: DuckDB: the statistics of the base rule.
+BASE_ORACLE = r"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS rid, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+ln AS (SELECT rid, count(*) - count(DISTINCT x) AS n_dup_lines FROM (SELECT rid, unnest(string_split(t, chr(10))) AS x FROM d) WHERE regexp_matches(x, '[^\x20\x09-\x0D]') GROUP BY rid),
+wi AS (SELECT rid, i, array_to_string(w[i : i + 7], ' ') AS x FROM (SELECT rid, w, unnest(generate_series(1, len(w) - 7)) AS i FROM d WHERE len(w) >= 8)),
+tw AS (SELECT rid, i FROM wi JOIN (SELECT rid, x FROM wi GROUP BY rid, x HAVING count(*) > 1) USING (rid, x)),
+rp AS (SELECT rid, count(DISTINCT p) AS n_repeat_words FROM (SELECT rid, unnest(generate_series(i, i + 7)) AS p FROM tw) GROUP BY rid),
+q AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars, CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+ CAST(coalesce(n_dup_lines, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words FROM d LEFT JOIN ln USING (rid) LEFT JOIN rp USING (rid))
+SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM q
+"""
