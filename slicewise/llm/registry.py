@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, lattice, near, pii, quality, repeats, rules, search, shards, template, toxicity
+from . import bpe, decontaminate, divergence, lattice, near, pii, quality, repeats, rules, search, shards, template, toxicity
 from .common import table
 
 
@@ -58,6 +58,10 @@ def op10_repeated_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.digest(repeats.repeats(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -83,6 +87,6 @@ def base_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_quality_classifier, op2_decontamination, op3_byte_bpe, op4_lattice_score, op5_html_template, op6_quality_rules, op7_sharding, op8_pii, op9_minhash_dedup, op10_repeated_spans, op12_ranked_search, op13_toxicity, base_lm_score, base_quality_rules, base_pii)
+    for f in (op1_quality_classifier, op2_decontamination, op3_byte_bpe, op4_lattice_score, op5_html_template, op6_quality_rules, op7_sharding, op8_pii, op9_minhash_dedup, op10_repeated_spans, op11_source_divergence, op12_ranked_search, op13_toxicity, base_lm_score, base_quality_rules, base_pii)
 }
-ORACLES: dict[str, str] = {"op2_decontamination": decontaminate.ORACLE, "op9_minhash_dedup": near.ORACLE, "base_lm_score": lattice.BASE_ORACLE, "base_quality_rules": rules.BASE_ORACLE, "base_pii": pii.BASE_ORACLE, "op12_ranked_search": search.ORACLE}
+ORACLES: dict[str, str] = {"op2_decontamination": decontaminate.ORACLE, "op9_minhash_dedup": near.ORACLE, "base_lm_score": lattice.BASE_ORACLE, "base_quality_rules": rules.BASE_ORACLE, "base_pii": pii.BASE_ORACLE, "op11_source_divergence": divergence.ORACLE, "op12_ranked_search": search.ORACLE}
