@@ -161,12 +161,9 @@ def packed_bits(res: np.ndarray, descriptor: np.ndarray) -> bytes:
     return packer(descriptor)(res)
 
 
-def unpacker(descriptor: np.ndarray) -> Callable[[bytes, int], tuple[np.ndarray, int]]:
-    """Reads slices of one code: (data, samples) to (residuals, bits used); raises what a slice fails by.
-
-    At each bit of a stretch of CHUNK bits a table tells which code starts there and how long it is; the codes that do start
-    are found by stepping from one to the next. Memory is that of a stretch, whatever the slice.
-    """
+def reader(descriptor: np.ndarray) -> tuple[int | None, int, Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]]:
+    """(the only symbol or None, longest code, function): the function tells for each bit of big-endian bytes, but for the last 8
+    of them, which symbol's code starts there and how long it is."""
     symbols, lengths, codes, only = codebook(descriptor)
     most = int(lengths.max()) if len(symbols) else 0
     if 0 < most <= TABLE_BITS:
@@ -174,31 +171,47 @@ def unpacker(descriptor: np.ndarray) -> Callable[[bytes, int], tuple[np.ndarray,
         lookup = np.repeat(symbols, share).astype(np.uint8), np.repeat(lengths, share).astype(np.uint8)
     first = codes << (most - lengths) if most else codes
 
-    def entries(window: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def read(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        own = raw.astype(np.uint64)
+        ahead = np.zeros(len(own) - 8, np.uint64)
+        for k in range(8):
+            ahead = ahead << np.uint64(8) | own[k : len(own) - 8 + k]
+        window = np.empty(8 * len(ahead), np.int64)
+        for k in range(8):
+            window[k::8] = (ahead << np.uint64(k)) >> np.uint64(64 - most)
         if most <= TABLE_BITS:
             return lookup[0][window], lookup[1][window]
         k = np.searchsorted(first, window, side="right") - 1
         return symbols[k].astype(np.uint8), lengths[k].astype(np.uint8)
 
+    return only, most, read
+
+
+def big_endian(data: bytes) -> np.ndarray:
+    """The bytes of 32-bit little-endian words, the most significant first, and 8 zeros."""
+    return np.concatenate([np.frombuffer(data, "<u4").astype(">u4").view(np.uint8), np.zeros(8, np.uint8)])
+
+
+def unpacker(descriptor: np.ndarray) -> Callable[[bytes, int], tuple[np.ndarray, int]]:
+    """Reads slices of one code: (data, samples) to (residuals, bits used); raises what a slice fails by.
+
+    At each bit of a stretch of CHUNK bits a table tells which code starts there and how long it is; the codes that do start
+    are found by stepping from one to the next. Memory is that of a stretch, whatever the slice.
+    """
+    only, most, read = reader(descriptor)
+
     def unpack(data: bytes, count: int) -> tuple[np.ndarray, int]:
         if only is not None:
             return np.full(count, only, np.uint8), 0
         if not count:
             return np.empty(0, np.uint8), 0
-        if not len(symbols):
+        if not most:
             raise CodecError("HuffmanDecodeFailure", bit_position=0)
-        raw = np.concatenate([np.frombuffer(data, "<u4").astype(">u4").view(np.uint8), np.zeros(8, np.uint8)]).astype(np.uint64)
+        raw = big_endian(data)
         total, at, done, out = 8 * (len(raw) - 8), 0, 0, []
         for begin in range(0, total, CHUNK):
-            own = raw[begin // 8 : (begin + CHUNK) // 8 + 8]
-            ahead = np.zeros(len(own) - 8, np.uint64)
-            for k in range(8):
-                ahead = ahead << np.uint64(8) | own[k : len(own) - 8 + k]
-            window = np.empty(8 * len(ahead), np.int64)
-            for k in range(8):
-                window[k::8] = (ahead << np.uint64(k)) >> np.uint64(64 - most)
-            symbol, step = entries(window)
-            steps, places, here, end = step.tobytes(), [], at - begin, len(window)
+            symbol, step = read(raw[begin // 8 : (begin + CHUNK) // 8 + 8])
+            steps, places, here, end = step.tobytes(), [], at - begin, len(step)
             add = places.append
             while here < end:
                 add(here)

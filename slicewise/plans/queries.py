@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import errors as E
 from ..functions import formats as S
-from ..operators import codec, entropy, layout, predict
+from ..operators import codec, entropy, layout, predict, stretches
 from ..sources import planes as P
 
 SLICE = ["frame_no", "plane_idx", "slice_idx"]
@@ -329,6 +329,30 @@ def stream_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.pixels_of(spark.read.parquet(f"{folder}/out"), W)
 
 
+def slices_of_payloads(packets: DataFrame) -> DataFrame:
+    """(frame_no, plane_idx, slice_idx, descriptor, bytes, pixels) of packets that carry their stream's parameters."""
+    planes = codec.parsed(packets.select("frame_no", *codec.PARAMETERS, "chunk"), codes=False).select("frame_no", "chunk", F.explode("layout").alias("p"))
+    cut = planes.select("frame_no", "chunk", "p.plane_idx", "p.descriptor", F.col("p.width").alias("pw"), F.explode("p.slices").alias("s"))
+    data = F.substring("chunk", F.col("s.start").cast("int") + 1, (F.col("s.end") - F.col("s.start")).cast("int"))
+    return cut.select("frame_no", "plane_idx", "s.slice_idx", "descriptor", data.alias("bytes"), ((F.col("s.row_end") - F.col("s.row_start")).cast("bigint") * F.col("pw")).alias("pixels"))
+
+
+def stretch_query(predictor: str) -> Callable[[SparkSession, str], DataFrame]:
+    """The residuals of frames of one slice each, decoded by stretches of 4 kB in tasks of their own."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        slices = slices_of_payloads(coded(P.large_frames(spark, sf_dir, S.PREDICTORS.index(predictor))))
+        out = stretches.decoded(slices, SLICE, 4096)
+        return stretches.symbol_rows(out, ["frame_no", "plane_idx"])
+
+    return query
+
+
+LARGE = f"""lb0 AS (SELECT *, l_orderkey // {P.LARGE_ORDERS} AS frame_no FROM lineitem),
+lb1 AS (SELECT *, row_number() OVER (PARTITION BY frame_no ORDER BY {', '.join(P.LI_ORDER)}) - 1 AS i, count(*) OVER (PARTITION BY frame_no) AS n, CAST(floor(l_extendedprice * 100 + 0.5) AS BIGINT) AS cents FROM lb0),
+lp AS (SELECT frame_no, 0 AS plane_idx, i, CAST(floor(l_quantity) AS INT) & 255 AS v FROM lb1 UNION ALL SELECT frame_no, 1, i, CAST(cents & 255 AS INT) FROM lb1 UNION ALL SELECT frame_no, 2, i, CAST(bit_count((cents - 1) & ~cents) AS INT) FROM lb1
+ UNION ALL SELECT frame_no, unnest([0, 1, 2]), i, 0 FROM (SELECT frame_no, unnest(range(n, (n + {P.LARGE_WIDTH - 1}) // {P.LARGE_WIDTH} * {P.LARGE_WIDTH})) AS i FROM (SELECT DISTINCT frame_no, n FROM lb1)))"""
+LARGE_LAGS = f"{LARGE}, lg AS (SELECT frame_no, plane_idx, i, v, lag(v) OVER w AS a, lag(v, {P.LARGE_WIDTH}) OVER w AS bb, lag(v, {P.LARGE_WIDTH + 1}) OVER w AS d, i // {P.LARGE_WIDTH} AS rr, i % {P.LARGE_WIDTH} AS c FROM lp WINDOW w AS (PARTITION BY frame_no, plane_idx ORDER BY i))"
 PLANES_SQL = f"WITH {LI} SELECT frame_no, plane_idx, r, c, v FROM pl"
 ALPHA_SQL = f"WITH {LI} SELECT frame_no, plane_idx, r, c, v FROM pl UNION ALL SELECT frame_no, 3, r, c, g FROM px"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -336,6 +360,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     **{f"inverse_{p}": inverse_query(p) for p in ("none", "left", "gradient")},
     **{f.__name__: f for f in (residual_histogram, entropy_by_predictor, choose_predictor, rgb_forward, rgb_inverse, slice_partition, huffman_codes, huffman_cost, kraft_check, canonical_order, format_geometry, config_errors, extradata_fields, frame_info_predictor, sample_geometry)},
     **{f"roundtrip_{f.lower()}_{p}": roundtrip_query(f, p) for f, p in [("ULY4", "none"), ("ULY4", "left"), ("ULY4", "gradient"), ("ULY4", "median"), ("ULRG", "left"), ("ULRG", "gradient"), ("ULRG", "median"), ("ULRA", "median")]},
+    **{f"stretch_symbols_{p}": stretch_query(p) for p in ("none", "gradient")},
     **{f.__name__: f for f in (embeddings_roundtrip, layout_identities, slice_layout, malformed_taxonomy, stride_repack, stride_errors, wire_bytes, plane_statistics, slice_extents, stream_parameters, sql_roundtrip, stream_roundtrip)},
 }
 LITTLE = "substr({0}, 7, 2) || substr({0}, 5, 2) || substr({0}, 3, 2) || substr({0}, 1, 2)"
@@ -351,6 +376,7 @@ pp AS (SELECT *, CASE WHEN lo <> hi THEN '0101' || repeat('FF', 254) WHEN lo = 0
 ORACLES: dict[str, str] = {
     **{f"residual_{p}": f"WITH {LAGS} SELECT frame_no, plane_idx, CAST(slice_idx AS INT) AS slice_idx, CAST(i AS INT) AS i, (v - ({g})) & 255 AS residual FROM lg" for p, g in GUESS.items()},
     **{f"inverse_{p}": f"WITH {SLICED} SELECT frame_no, plane_idx, CAST(slice_idx AS INT) AS slice_idx, CAST(i AS INT) AS i, v FROM sl" for p in ("none", "left", "gradient")},
+    **{f"stretch_symbols_{p}": f"WITH {LARGE_LAGS} SELECT frame_no, plane_idx, i, (v - ({GUESS[p]})) & 255 AS symbol FROM lg" for p in ("none", "gradient")},
     "residual_histogram": f"WITH {LAGS} SELECT plane_idx, (v - ({GUESS['gradient']})) & 255 AS sym, count(*) AS n FROM lg GROUP BY ALL",
     "entropy_by_predictor": f"WITH {FIRST_ROWS} SELECT predictor, frame_no, plane_idx, round(bits, 4) AS bits FROM bits",
     "choose_predictor": f"""WITH {FIRST_ROWS}, p AS (PIVOT bits ON predictor IN ('none', 'left', 'gradient', 'median') USING first(bits)), q AS (SELECT *, CASE WHEN median + 1e-6 < gradient THEN 'median' ELSE 'gradient' END AS n1, CASE WHEN median + 1e-6 < gradient THEN median ELSE gradient END AS b1 FROM p),

@@ -31,6 +31,34 @@ def lineitem_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Width of a large frame and order keys in it.
+LARGE_WIDTH, LARGE_ORDERS = 64, 16384
+
+
+def large_frames(spark: SparkSession, sf_dir: str, predictor: int, n: int = 1) -> DataFrame:
+    """Frames of many samples, by default in one slice: quantities, the lowest byte of prices (equally frequent values), and how many
+    zeros end a price in binary, whose frequencies halve, so that their codes get long. Zeros fill up a last short row."""
+    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet").withColumn("frame_no", F.floor(F.col("l_orderkey") / LARGE_ORDERS).cast("bigint"))
+    cents = F.floor(F.col("l_extendedprice") * 100 + 0.5).cast("bigint")
+    li = li.select("frame_no", *LI_ORDER, F.floor("l_quantity").cast("int").alias("q"), cents.bitwiseAND(F.lit(255)).cast("int").alias("y"), F.bit_count((cents - 1).bitwiseAND(F.bitwise_not(cents))).alias("z"))
+    row = F.struct(*LI_ORDER, "q", "y", "z")
+    one = li.groupBy("frame_no").agg(F.array_sort(F.collect_list(row)).alias("s"))  # a frame's samples
+    plane = lambda c: F.transform("s", lambda x: x[c])
+    out = one.select("frame_no", F.ceil(F.size("s") / LARGE_WIDTH).cast("int").alias("h"), *(plane(c).alias(c) for c in "qyz"))
+    schema = plus(out.select("frame_no", "h").schema, "planes array<binary>")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            planes = []
+            for k, h in enumerate(batch["h"].to_pylist()):
+                own = [batch[c][k].values.to_numpy(zero_copy_only=False).astype(np.uint8) for c in "qyz"]
+                planes.append([np.pad(x, (0, h * LARGE_WIDTH - len(x))).tobytes() for x in own])
+            yield pa.RecordBatch.from_arrays([batch["frame_no"], batch["h"], pa.array(planes, pa.list_(pa.binary()))], names=["frame_no", "h", "planes"])
+
+    head = out.mapInArrow(run, schema)
+    return head.select(F.lit("large").alias("stream_id"), "frame_no", F.lit("ULY4").alias("fourcc"), F.lit(LARGE_WIDTH).alias("width"), F.col("h").alias("height"), F.lit(predictor).alias("predictor"), F.least(F.lit(n), "h").cast("int").alias("num_slices"), "planes")
+
+
 def planes_of(pixels: DataFrame) -> DataFrame:
     """(frame_no, plane_idx, r, c, h, v) from g, b, x."""
     return pixels.select("frame_no", "r", "c", "h", F.posexplode(F.array("g", "b", "x")).alias("plane_idx", "v"))
