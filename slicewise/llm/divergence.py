@@ -20,6 +20,7 @@ import heapq
 import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -38,40 +39,62 @@ PAIRS, SUMS = 1 << 20, 400_000
 #: a-z and bytes beyond ASCII make terms, A-Z as a-z; all else parts them.
 TERMS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
-#: A stretch of a run: keys are a term behind its hash's four bytes; a term's entries end at ends, and name their source by number.
-RUN = "run int, shard int, lang string, first binary, keys array<binary>, ends array<int>, sources array<string>, owners array<int>, tfs array<long>, dfs array<long>"
+#: A stretch of a run: its terms in order, where the entries of each end, and each entry's source by number, count and documents.
+RUN = "run int, shard int, lang string, first long, terms array<binary>, ends array<int>, sources array<string>, owners array<int>, tfs array<long>, dfs array<long>"
 FREQUENCIES = "lang string, term string, total long, sources array<string>, counts array<long>"
 
 
-class Packets:
-    """Makes rows of a run from entries in the order of their keys, cut at shards."""
-
-    def __init__(self, fields: pa.Schema, shards: int, run: int):
-        self.fields, self.shards, self.run, self.rows = fields, shards, run, []
-
-    def shard(self, key: bytes) -> int:
-        return int.from_bytes(key[:4], "big") * self.shards >> 32
-
-    def add(self, lang: str, entries: list[tuple[bytes, dict[str, tuple[int, int]]]]) -> None:
-        at = 0
-        while at < len(entries):
-            shard, end, size, names = self.shard(entries[at][0]), at, 0, {}
-            ends, owners, tfs, dfs = [], [], [], []
-            while end < len(entries) and size < ROW and self.shard(entries[end][0]) == shard:
-                for source, (tf, df) in entries[end][1].items():
-                    owners.append(names.setdefault(source, len(names)))
-                    tfs.append(tf)
-                    dfs.append(df)
-                size, end = len(owners), end + 1
-                ends.append(size)
-            keys = [k for k, _ in entries[at:end]]
-            self.rows.append((self.run, shard, lang, keys[0], keys, ends, list(names), owners, tfs, dfs))
-            at = end
-
-    def batches(self) -> Iterator[pa.RecordBatch]:
-        for k in range(0, len(self.rows), 64):
-            yield as_batch(dict(zip(self.fields.names, zip(*self.rows[k : k + 64], strict=True), strict=True)), self.fields)
-        self.rows = []
+class Entries:
+    """Entries of one language in the order of their terms (by hash, then bytes): the distinct terms with their hashes, how many entries
+    each has, and the entries' sources (numbers of names), counts and documents."""
+
+    def __init__(self, terms: list[bytes], hashes: np.ndarray, many: np.ndarray, owners: np.ndarray, tfs: np.ndarray, dfs: np.ndarray, names: list[str]):
+        self.terms, self.hashes, self.many, self.owners, self.tfs, self.dfs, self.names = terms, hashes, many, owners, tfs, dfs, names
+
+    @staticmethod
+    def of(terms: list[bytes], hashes: np.ndarray, many: np.ndarray, owners: np.ndarray, tfs: np.ndarray, dfs: np.ndarray, names: list[str]) -> Entries:
+        """From lists in any order, in which a term may come again; entries of one term and source are added up."""
+        order = np.argsort(hashes, kind="stable")
+        hashes = hashes[order]
+        some = [terms[k] for k in order.tolist()]
+        new = np.ones(len(some), bool)
+        new[1:] = hashes[1:] != hashes[:-1]
+        equal = np.flatnonzero(~new)
+        differ = np.array([some[k] != some[k - 1] for k in equal.tolist()], bool)
+        if differ.any():  # terms that share a hash
+            place = sorted(range(len(some)), key=lambda k: (hashes[k], some[k]))
+            some, order = [some[k] for k in place], order[place]
+            new[equal] = [some[k] != some[k - 1] for k in equal.tolist()]
+        group = np.empty(len(some), np.int64)
+        group[order] = np.cumsum(new) - 1  # of the lists as they came
+        code = np.repeat(group, many) * len(names) + owners
+        code, inverse = np.unique(code, return_inverse=True)
+        sums = [np.zeros(len(code), np.int64) for _ in range(2)]
+        np.add.at(sums[0], inverse, tfs)
+        np.add.at(sums[1], inverse, dfs)
+        first = np.flatnonzero(new)
+        return Entries([some[k] for k in first.tolist()], hashes[first], np.bincount(code // len(names), minlength=len(first)), code % len(names), *sums, names)
+
+    def rows(self, run: int, lang: str, shards: int) -> Iterator[tuple]:
+        """Rows of RUN: cut at shards, and where entries get many."""
+        ends = np.cumsum(self.many)
+        shard = self.hashes.astype(np.uint64) * np.uint64(shards) >> np.uint64(32)
+        full = (ends - self.many) // ROW
+        cuts = [0, *(np.flatnonzero((shard[1:] != shard[:-1]) | (full[1:] != full[:-1])) + 1).tolist(), len(ends)]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            if a < b:
+                low, high = int(ends[a] - self.many[a]), int(ends[b - 1])
+                own, owners = np.unique(self.owners[low:high], return_inverse=True)
+                yield run, int(shard[a]), lang, int(self.hashes[a]), self.terms[a:b], ends[a:b] - low, [self.names[k] for k in own.tolist()], owners, self.tfs[low:high], self.dfs[low:high]
+
+
+def hashed(terms: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(zlib.crc32, terms), np.int64, len(terms))
+
+
+def batched(rows: Iterator[tuple], fields: pa.Schema, n: int = 64) -> Iterator[pa.RecordBatch]:
+    while some := list(islice(rows, n)):
+        yield as_batch(dict(zip(fields.names, zip(*some, strict=True), strict=True)), fields)
 
 
 def runs(docs: DataFrame, shards: int, block: int) -> DataFrame:
@@ -79,17 +102,15 @@ def runs(docs: DataFrame, shards: int, block: int) -> DataFrame:
     short_batches(docs.sparkSession)
     fields = pa_schema(docs.sparkSession, RUN)
 
-    def spilled(tf: dict, df: dict) -> Iterator[pa.RecordBatch]:
-        out = Packets(fields, shards, TaskContext.get().partitionId())
+    def spilled(tf: dict, df: dict) -> Iterator[tuple]:
         for lang in sorted({g[0] for g in tf}):
-            terms: dict[bytes, dict] = defaultdict(dict)
-            for g in tf:
-                if g[0] == lang:
-                    own = df[g]
-                    for t, n in tf[g].items():
-                        terms[t][g[1]] = n, own[t]
-            out.add(lang, sorted((zlib.crc32(t).to_bytes(4, "big") + t, e) for t, e in terms.items()))
-        yield from out.batches()
+            own = [g for g in tf if g[0] == lang]
+            terms = [t for g in own for t in tf[g]]
+            if terms:
+                tfs = np.fromiter((n for g in own for n in tf[g].values()), np.int64, len(terms))
+                dfs = np.fromiter((n for g in own for n in map(df[g].__getitem__, tf[g])), np.int64, len(terms))
+                owners = np.repeat(np.arange(len(own)), [len(tf[g]) for g in own])
+                yield from Entries.of(terms, hashed(terms), np.ones(len(terms), np.int64), owners, tfs, dfs, [g[1] for g in own]).rows(TaskContext.get().partitionId(), lang, shards)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tf, df, size = defaultdict(Counter), defaultdict(Counter), 0
@@ -101,46 +122,59 @@ def runs(docs: DataFrame, shards: int, block: int) -> DataFrame:
                 df[lang, source].update(set(words))
                 size += len(own)
                 if size >= block:
-                    yield from spilled(tf, df)
+                    yield from batched(spilled(tf, df), fields)
                     tf, df, size = defaultdict(Counter), defaultdict(Counter), 0
-        yield from spilled(tf, df)
+        yield from batched(spilled(tf, df), fields)
 
     return docs.select(named("lang").alias("lang"), named("source").alias("source"), as_bytes()).mapInArrow(run, RUN)
 
 
-def stretches(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[tuple[tuple, dict]]:
-    for batch in batches:
-        for k in range(batch.num_rows):
-            row = {c: batch.column(c)[k].as_py() for c in batch.schema.names}
-            yield tuple(row[c] for c in by), row
-
-
-def merged(rows: Iterator[tuple[tuple, dict]]) -> Iterator[tuple[tuple, bytes, dict[str, tuple[int, int]]]]:
-    """(group, key, entries) in the order of rows, which come by group and first key; each open stretch has one place in the heap."""
-    heap: list[tuple[bytes, int, int, dict]] = []  # key, number of the stretch, place in it, the stretch
-
-    def least() -> tuple[bytes, dict]:
-        key, entries = heap[0][0], {}
-        while heap and heap[0][0] == key:
-            _, number, at, row = heap[0]
-            for e in range(row["ends"][at - 1] if at else 0, row["ends"][at]):
-                source = row["sources"][row["owners"][e]]
-                tf, df = entries.get(source, (0, 0))
-                entries[source] = tf + row["tfs"][e], df + row["dfs"][e]
-            if at + 1 < len(row["keys"]):
-                heapq.heapreplace(heap, (row["keys"][at + 1], number, at + 1, row))
-            else:
-                heapq.heappop(heap)
-        return key, entries
+class Open:
+    """A stretch that is being merged, and how far."""
+
+    def __init__(self, batch: pa.RecordBatch, row: int):
+        self.terms, self.names = batch["terms"][row].as_py(), batch["sources"][row].as_py()
+        ends, self.owners, self.tfs, self.dfs = (batch[c][row].values.to_numpy().astype(np.int64) for c in ("ends", "owners", "tfs", "dfs"))
+        self.ends, self.hashes, self.at = np.concatenate([[0], ends]), hashed(self.terms), 0
+        self.first, self.last = int(self.hashes[0]), int(self.hashes[-1])
+
+    def up_to(self, bound: int) -> tuple | None:
+        """What it has next, up to a hash, taken off."""
+        a, b = self.at, int(np.searchsorted(self.hashes, bound, side="right"))
+        self.at = max(a, b)
+        if a < b:
+            low, high = self.ends[a], self.ends[b]
+            return self.terms[a:b], self.hashes[a:b], np.diff(self.ends[a : b + 1]), self.owners[low:high], self.tfs[low:high], self.dfs[low:high]
+        return None
+
+
+def merged(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[tuple[tuple, Entries]]:
+    """(group, entries) in order, from rows that come by group and first hash. A heap of the open stretches' last hashes tells up to
+    where no later row can have a part; so far all open ones are merged."""
+    heap: list[tuple[int, int, Open]] = []
+
+    def least() -> Entries:
+        bound, names, parts = heap[0][0], {}, []
+        for _, _, stretch in heap:
+            if part := stretch.up_to(bound):
+                number = np.array([names.setdefault(s, len(names)) for s in stretch.names], np.int64)
+                parts.append((*part[:3], number[part[3]], *part[4:]))
+        while heap and heap[0][0] <= bound:
+            heapq.heappop(heap)
+        terms = [t for p in parts for t in p[0]]
+        return Entries.of(terms, *(np.concatenate([p[k] for p in parts]) for k in range(1, 6)), list(names))
 
     now: tuple | None = None
-    for number, (group, row) in enumerate(rows):
-        while heap and (group != now or heap[0][0] < row["first"]):
-            yield now, *least()
-        now = group
-        heapq.heappush(heap, (row["first"], number, 0, row))
+    number = 0
+    for batch in batches:
+        for row, group in enumerate(zip(*(batch[c].to_pylist() for c in by), strict=True)):
+            stretch = Open(batch, row)
+            while heap and (group != now or heap[0][0] < stretch.first):
+                yield now, least()
+            now, number = group, number + 1
+            heapq.heappush(heap, (stretch.last, number, stretch))
     while heap:
-        yield now, *least()
+        yield now, least()
 
 
 def longer(short: DataFrame, shards: int, tasks: int, some: int) -> DataFrame:
@@ -148,19 +182,7 @@ def longer(short: DataFrame, shards: int, tasks: int, some: int) -> DataFrame:
     fields = pa_schema(short.sparkSession, RUN)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, now = [], None
-        for group, key, entries in merged(stretches(batches, ["run", "shard", "lang"])):
-            if held and (group != now or len(held) == ROW):
-                out = Packets(fields, shards, now[0])
-                out.add(now[2], held)
-                yield from out.batches()
-                held = []
-            now = group
-            held.append((key, entries))
-        if held:
-            out = Packets(fields, shards, now[0])
-            out.add(now[2], held)
-            yield from out.batches()
+        yield from batched((row for group, entries in merged(batches, ["run", "shard", "lang"]) for row in entries.rows(group[0], group[2], shards)), fields)
 
     groups = short.withColumn("run", F.floor(F.col("run") / some).cast("int"))
     return groups.repartition(max(1, tasks // TASKS), "run", "shard").sortWithinPartitions("run", "shard", "lang", "first").mapInArrow(run, RUN)
@@ -177,19 +199,20 @@ def frequencies(docs: DataFrame, block: int = BLOCK, fan: int = FAN) -> DataFram
         found = runs(docs, shards, block)
     fields = pa_schema(docs.sparkSession, FREQUENCIES)
 
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for group, e in merged(batches, ["shard", "lang"]):
+            ends = np.cumsum(e.many)
+            begins = ends - e.many
+            spread, counted = np.add.reduceat(e.dfs, begins), np.add.reduceat(e.tfs, begins)
+            for k in np.flatnonzero(spread >= SUPPORT).tolist():
+                a, b = int(begins[k]), int(ends[k])
+                yield group[1], e.terms[k].decode(), int(counted[k]), [e.names[o] for o in e.owners[a:b].tolist()], e.tfs[a:b]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = []
-        for group, key, entries in merged(stretches(batches, ["shard", "lang"])):
-            if sum(df for _, df in entries.values()) >= SUPPORT:
-                counts = [tf for tf, _ in entries.values()]
-                rows.append((group[1], key[4:].decode(), sum(counts), list(entries), counts))
-                if len(rows) == ROW:
-                    yield as_batch(dict(zip(fields.names, zip(*rows, strict=True), strict=True)), fields)
-                    rows = []
-        if rows:
-            yield as_batch(dict(zip(fields.names, zip(*rows, strict=True), strict=True)), fields)
-
-    return stored(found.repartition(shards, "shard").sortWithinPartitions("shard", "lang", "first").mapInArrow(run, FREQUENCIES))
+        yield from batched(kept(batches), fields, ROW)
+
+    met = found.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "lang", "first")
+    return stored(met.mapInArrow(run, FREQUENCIES))
 
 
 def named(c: str) -> Column:
