@@ -291,19 +291,19 @@ def decoded_slices(slices: DataFrame, strict: bool) -> DataFrame:
     return slices.mapInArrow(run, schema)
 
 
-def decode(packets: DataFrame, config: DataFrame | None = None, strict: bool = False, by_slice: bool = False) -> DataFrame:
+def decode(packets: DataFrame, config: DataFrame | None = None, strict: bool = False, by_slice: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
     """(stream_id, frame_no, pts, fourcc, width, height, predictor, frame_info, planes, error) from packets(stream_id, frame_no, pts, chunk).
 
     config has a stream's fourcc, width, height and num_slices, unless packets carry them. strict: bits after a slice's last
     code must be zero. A packet whose stream has no parameters gets an InvalidInput error. by_slice deals out slices instead of
-    frames, with one shuffle: samples meet by frame.
+    frames, with one shuffle: samples meet by frame. keep: further columns of packets that frames have too, not with by_slice.
     """
-    ready = configured(packets, config).select(*KEY, "pts", *PARAMETERS, "chunk")
-    return _by_slice(ready, strict) if by_slice else _by_frame(ready, strict)
+    ready = configured(packets, config).select(*KEY, "pts", *PARAMETERS, "chunk", *keep)
+    return _by_slice(ready, strict) if by_slice else _by_frame(ready, strict, keep)
 
 
-def _by_frame(packets: DataFrame, strict: bool) -> DataFrame:
-    schema = plus(packets.select(*KEY, "pts", "fourcc", "width", "height").schema, f"predictor int, frame_info bigint, planes array<binary>, error {E.ERROR}")
+def _by_frame(packets: DataFrame, strict: bool, keep: tuple[str, ...] = ()) -> DataFrame:
+    schema = plus(packets.select(*KEY, "pts", "fourcc", "width", "height", *keep).schema, f"predictor int, frame_info bigint, planes array<binary>, error {E.ERROR}")
     kinds = {"predictor": pa.int32(), "frame_info": pa.int64(), "planes": pa.list_(pa.binary()), "error": ERROR_ARROW}
     names = [f.name for f in schema]
 

@@ -319,10 +319,7 @@ def stream_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Packets read as a stream and decoded batch by batch."""
     from ..streaming.session import encoded_packets, run_stream
 
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root and not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    folder = f"{root or tempfile.mkdtemp()}/{uuid.uuid4().hex}"
+    folder = shared_folder(spark)
     encoded_packets(li_frames(spark, sf_dir, "ULRG", 3)).withColumn("pts", F.col("frame_no")).write.parquet(f"{folder}/in")
     source = spark.readStream.schema(spark.read.parquet(f"{folder}/in").schema).parquet(f"{folder}/in")
     run_stream(source, codec.decode, f"{folder}/out", f"{folder}/check").awaitTermination()
@@ -353,6 +350,39 @@ lb1 AS (SELECT *, row_number() OVER (PARTITION BY frame_no ORDER BY {', '.join(P
 lp AS (SELECT frame_no, 0 AS plane_idx, i, CAST(floor(l_quantity) AS INT) & 255 AS v FROM lb1 UNION ALL SELECT frame_no, 1, i, CAST(cents & 255 AS INT) FROM lb1 UNION ALL SELECT frame_no, 2, i, CAST(bit_count((cents - 1) & ~cents) AS INT) FROM lb1
  UNION ALL SELECT frame_no, unnest([0, 1, 2]), i, 0 FROM (SELECT frame_no, unnest(range(n, (n + {P.LARGE_WIDTH - 1}) // {P.LARGE_WIDTH} * {P.LARGE_WIDTH})) AS i FROM (SELECT DISTINCT frame_no, n FROM lb1)))"""
 LARGE_LAGS = f"{LARGE}, lg AS (SELECT frame_no, plane_idx, i, v, lag(v) OVER w AS a, lag(v, {P.LARGE_WIDTH}) OVER w AS bb, lag(v, {P.LARGE_WIDTH + 1}) OVER w AS d, i // {P.LARGE_WIDTH} AS rr, i % {P.LARGE_WIDTH} AS c FROM lp WINDOW w AS (PARTITION BY frame_no, plane_idx ORDER BY i))"
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder that driver and executors share; a temporary one only in local mode, where the session names none."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return f"{root or tempfile.mkdtemp()}/{uuid.uuid4().hex}"
+
+
+#: Frames of one height make a stream of late_config; heights with this rest by 8 never get parameters.
+WITHOUT = 7
+
+
+def late_config(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packets that come before their streams' parameters: they wait in state over two restarts; some streams end without any, and
+    their frames are rows of plane -1."""
+    from ..streaming import keyed
+
+    folder = shared_folder(spark)
+    packets = coded(li_frames(spark, sf_dir, "ULY4", 1)).withColumn("stream_id", F.concat(F.lit("h"), F.col("height")))
+    packets.write.parquet(f"{folder}/packets")
+    packets = spark.read.parquet(f"{folder}/packets")
+    shape = packets.select("stream_id", "fourcc", "width", "height", S.build_extradata(F.col("fourcc"), F.col("num_slices")).alias("extradata"), F.lit(False).alias("ended")).distinct()
+    given = [shape.limit(0), shape.where(F.col("height") % 8 != WITHOUT), shape.withColumn("ended", F.lit(True))]
+    shape.limit(0).write.parquet(f"{folder}/params")
+    sources = [spark.readStream.schema(x.schema).parquet(f"{folder}/{name}") for name, x in (("packets", packets), ("params", shape))]
+    for params in given:
+        params.write.mode("append").parquet(f"{folder}/params")
+        keyed.run(spark, *sources, f"{folder}/out", f"{folder}/check").awaitTermination()
+    out = spark.read.parquet(f"{folder}/out")
+    bad = out.where("error.variant = 'InvalidInput'").select("frame_no", *(F.lit(k).alias(c) for c, k in (("plane_idx", -1), ("r", -1), ("c", -1), ("v", 0))))
+    return P.pixels_of(out, W).unionByName(bad)
+
+
 PLANES_SQL = f"WITH {LI} SELECT frame_no, plane_idx, r, c, v FROM pl"
 ALPHA_SQL = f"WITH {LI} SELECT frame_no, plane_idx, r, c, v FROM pl UNION ALL SELECT frame_no, 3, r, c, g FROM px"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -361,7 +391,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     **{f.__name__: f for f in (residual_histogram, entropy_by_predictor, choose_predictor, rgb_forward, rgb_inverse, slice_partition, huffman_codes, huffman_cost, kraft_check, canonical_order, format_geometry, config_errors, extradata_fields, frame_info_predictor, sample_geometry)},
     **{f"roundtrip_{f.lower()}_{p}": roundtrip_query(f, p) for f, p in [("ULY4", "none"), ("ULY4", "left"), ("ULY4", "gradient"), ("ULY4", "median"), ("ULRG", "left"), ("ULRG", "gradient"), ("ULRG", "median"), ("ULRA", "median")]},
     **{f"stretch_symbols_{p}": stretch_query(p) for p in ("none", "gradient")},
-    **{f.__name__: f for f in (embeddings_roundtrip, layout_identities, slice_layout, malformed_taxonomy, stride_repack, stride_errors, wire_bytes, plane_statistics, slice_extents, stream_parameters, sql_roundtrip, stream_roundtrip)},
+    **{f.__name__: f for f in (embeddings_roundtrip, layout_identities, slice_layout, malformed_taxonomy, stride_repack, stride_errors, wire_bytes, plane_statistics, slice_extents, stream_parameters, sql_roundtrip, stream_roundtrip, late_config)},
 }
 LITTLE = "substr({0}, 7, 2) || substr({0}, 5, 2) || substr({0}, 3, 2) || substr({0}, 1, 2)"
 #: Of two samples the larger has the bit 0; bits fill 32-bit words from the top, words are little-endian; an only sample has no bits.
@@ -377,6 +407,7 @@ ORACLES: dict[str, str] = {
     **{f"residual_{p}": f"WITH {LAGS} SELECT frame_no, plane_idx, CAST(slice_idx AS INT) AS slice_idx, CAST(i AS INT) AS i, (v - ({g})) & 255 AS residual FROM lg" for p, g in GUESS.items()},
     **{f"inverse_{p}": f"WITH {SLICED} SELECT frame_no, plane_idx, CAST(slice_idx AS INT) AS slice_idx, CAST(i AS INT) AS i, v FROM sl" for p in ("none", "left", "gradient")},
     **{f"stretch_symbols_{p}": f"WITH {LARGE_LAGS} SELECT frame_no, plane_idx, i, (v - ({GUESS[p]})) & 255 AS symbol FROM lg" for p in ("none", "gradient")},
+    "late_config": f"WITH {LI} SELECT frame_no, plane_idx, r, c, v FROM pl WHERE h % 8 <> {WITHOUT} UNION ALL SELECT DISTINCT frame_no, -1, -1, -1, 0 FROM px WHERE h % 8 = {WITHOUT}",
     "residual_histogram": f"WITH {LAGS} SELECT plane_idx, (v - ({GUESS['gradient']})) & 255 AS sym, count(*) AS n FROM lg GROUP BY ALL",
     "entropy_by_predictor": f"WITH {FIRST_ROWS} SELECT predictor, frame_no, plane_idx, round(bits, 4) AS bits FROM bits",
     "choose_predictor": f"""WITH {FIRST_ROWS}, p AS (PIVOT bits ON predictor IN ('none', 'left', 'gradient', 'median') USING first(bits)), q AS (SELECT *, CASE WHEN median + 1e-6 < gradient THEN 'median' ELSE 'gradient' END AS n1, CASE WHEN median + 1e-6 < gradient THEN median ELSE gradient END AS b1 FROM p),
