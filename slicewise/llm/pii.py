@@ -1,17 +1,18 @@
 """Personal data: candidate generators and gradient boosted trees.
 
 High-recall generators propose spans, which may overlap: e-mail addresses (also spelled out), IP addresses, card and phone
-numbers with loose punctuation, identity numbers and secrets. Spans that obey a kind's strict form are always taken, and so are
-candidates beside words that name their kind (an assignment for secrets). The others are judged by boosted trees on their
+numbers with loose punctuation, identity numbers and secrets. Spans that obey a kind's strict form are always taken. The others are judged by boosted trees on their
 format (lengths, digit groups, checksums, entropy) and the characters beside them; the naming words are kept from the trees.
 These learn from at most `sample` candidates of the corpus: the naming words, the strict form and checksums teach, candidates
 that none of these decides are left out, and each strict span is written in other ways that teach too (an e-mail spelled out, a
 phone number without its country, a card with other punctuation, digits as an identity number, and wrong ones of each). A third
-set, for each kind, the lowest threshold on the calibrated probability that gives the asked precision. Candidates above it are
+set, for each kind, the lowest threshold on the calibrated probability that gives the asked precision. A naming word counts as prior
+odds of NAMED_ODDS, if the candidate is plausible beside it (no pronoun as local part, no date as a number). Candidates above the threshold are
 added where no taken span lies over them; a secret may hold smaller ones (a run of its digits can be a card number).
 
-Defined cases: null text is empty; without candidates of both sorts the trees add nothing; rows that repeat get the same spans;
-an empty table gives no rows. Spans count code points, their end is exclusive.
+Defined cases: null text is empty; a text is taken whole, in time that grows with its length; without candidates of both sorts only
+plausible candidates beside a naming word are added; of candidates that lie over each other the likelier is taken, of equal ones
+the first; rows that repeat get the same spans; an empty table gives no rows. Spans count code points, their end is exclusive.
 """
 
 from __future__ import annotations
@@ -43,13 +44,13 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 # Loose forms. A label of a domain has at most 63 characters, a local part 64.
 SPELLED = re.compile(
-    r"(?i)(?<=[A-Za-z0-9._%+-])[\s\[(]++(?:at|@)[\s\])]++(?:(?:[a-z0-9-]{1,63}+(?:[\s\[(]++dot[\s\])]++|[\s\[(]*+\.[\s\])]*+))+|[a-z0-9-]{1,60}?dot[\s\])]*+)(?:com|net|org|edu|gov|info|io|eu|uk|de|fr|es|it|nl|ch|at|us|ca|au|co|ai|dev|app)\b"
+    r"(?i)(?<=[A-Za-z0-9._%+-])(?:[\s\[(]++(?:at|@)[\s\])]++)(?:(?:[a-z0-9-]{1,63}+(?:[\s\[(]++dot[\s\])]++|[\[(]\.[\])]|\.))+|[a-z0-9-]{1,60}?dot)[a-z]{2,24}+(?![A-Za-z0-9-])"
 )
 DIGIT = re.compile("[0-9]")
 #: Groups of digits that may belong together; every run of groups that looks like a kind is a candidate, so candidates overlap.
 RUN = re.compile(r"(?<![0-9A-Za-z])[+(]?[0-9]++(?:[ ().-]{1,3}+[0-9]++)*+(?![A-Za-z])")
 GROUP = re.compile("[0-9]+")
-MOST_DIGITS = 19  # of a card, the longest kind
+MOST_DIGITS, MOST_GROUPS = 19, 7  # of a card, the longest kind, and of a phone number, which has the most groups
 SHAPES = [
     ("ip", re.compile(r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}")),
     ("card", re.compile(r"[0-9]{13,19}|(?:[0-9]{4}([ .-]{1,3})){3,4}[0-9]{1,4}|[0-9]{4}[ .-]{1,3}[0-9]{6}[ .-]{1,3}[0-9]{5}")),
@@ -66,8 +67,11 @@ NAMED = {
         "identity": "ssn|social security|passport|identity|tax id|tin",
     }.items()
 }
-#: Characters before a candidate in which such words are looked for.
-BESIDE = 40
+#: Characters before a candidate in which such words are looked for, and the odds that they add (as a logarithm).
+BESIDE, NAMED_ODDS = 40, 4.0
+#: What is no phone number: a date in front. What a spelled address needs: a mark in its local part or its dots or at spelled out.
+DATED = re.compile(r"[+(]?(?:19|20)[0-9]{2}[ .-]+[01]?[0-9][ .-]+[0-3]?[0-9](?![0-9])|[+(]?[0-3]?[0-9][ .-]+[01]?[0-9][ .-]+(?:19|20)[0-9]{2}(?![0-9])")
+MARKED = re.compile(r"(?i)^[a-z]*+[0-9._%+-]|[\s\])]dot[\s\[(]|[\[(]")
 #: Forms that tell what a number may be.
 IDENTITY = re.compile(r"(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}")
 NATIONAL = re.compile(r"(?!(?:19|20)[0-9]{2}[ .-][01]?[0-9][ .-][0-3]?[0-9]\b)\(?[0-9]{2,4}\)?(?:[ .-]{1,2}[0-9]{2,4}){2,4}")
@@ -130,16 +134,41 @@ def numbers(text: str, start: int, groups: list[tuple[int, int]]) -> Iterator[Sp
     for i, (s, _) in enumerate(groups):
         while s > start and text[s - 1] in "+(":
             s -= 1
-        digits = 0
-        for a, e in groups[i:]:
+        digits, short = 0, 0
+        for k in range(i, min(i + MOST_GROUPS, len(groups))):
+            a, e = groups[k]
             digits += e - a
-            if digits > MOST_DIGITS:
+            short += k > i and e - a < 2
+            if digits > MOST_DIGITS or short > 1 and k >= i + 4:  # only addresses of four groups have several of one digit
                 break
             own = text[s:e]
-            if (digits >= 9 or "." in own) and (kind := next((k for k, shape in SHAPES if shape.fullmatch(own) and (k != "phone" or 9 <= digits <= 15)), None)):
+            if (digits >= 9 and not (short > 1 and k != i + 3) or k == i + 3 and "." in own) and (kind := next((k for k, shape in SHAPES if shape.fullmatch(own) and (k != "phone" or 9 <= digits <= 15)), None)):
                 yield s, e, kind
 
 
+class Taken:
+    """Spans by the stretches of text that they lie on."""
+
+    WIDE = 64
+
+    def __init__(self, spans: list[Span] = ()):
+        self.on: dict[int, list[Span]] = {}
+        for span in spans:
+            self.add(span)
+
+    def add(self, span: Span) -> None:
+        for k in range(span[0] // self.WIDE, (span[1] - 1) // self.WIDE + 1):
+            self.on.setdefault(k, []).append(span)
+
+    def over(self, span: Span) -> Iterator[Span]:
+        """The spans that lie over a part of this one; some come more than once."""
+        s, e, _ = span
+        for k in range(s // self.WIDE, (e - 1) // self.WIDE + 1):
+            for own in self.on.get(k, ()):
+                if own[0] < e and own[1] > s:
+                    yield own
+
+
 def proposed(text: str) -> list[Span]:
     """Candidates of loose form."""
     out = []
@@ -174,17 +203,19 @@ def describe(text: str, span: Span) -> list[float]:
 
 
 def named(text: str, span: Span) -> bool:
-    """Whether the words before a candidate say what it is."""
-    left = text[max(0, span[0] - BESIDE) : span[0]]
+    """Whether the words before a candidate say what it is, and it may be that."""
+    left, own = text[max(0, span[0] - BESIDE) : span[0]], text[span[0] : min(span[1], span[0] + 400)]
     if span[2] == "secret":
         return bool(ASSIGNED.search(left[-24:]))
+    if span[2] == "email" and not MARKED.search(own) or span[2] == "phone" and DATED.match(own):
+        return False
     return span[2] in NAMED and bool(NAMED[span[2]].search(left))
 
 
-def teacher(text: str, span: Span, taken: list[Span]) -> bool | None:
+def teacher(text: str, span: Span, taken: Taken) -> bool | None:
     """Whether a candidate is of its kind; None where neither words, form nor checksum decide."""
     s, e, kind = span
-    if named(text, span) or any(k == kind and a < e and b > s for a, b, k in taken):
+    if named(text, span) or any(k == kind for _, _, k in taken.over(span)):
         return True
     if kind == "card":
         d = re.sub("[^0-9]", "", text[s:e])
@@ -289,7 +320,8 @@ def learn(docs: DataFrame, *, text: str = "text", sample: int = SAMPLE) -> Trees
             x, y, of = [], [], []
             for t in batch.column(0).to_pylist():
                 taken = strict(t) if t else []
-                known = [(t, s, teacher(t, s, taken)) for s in proposed(t)] if t else []
+                lying = Taken(taken)
+                known = [(t, s, teacher(t, s, lying)) for s in proposed(t)] if t else []
                 for at, s, good in (*known, *(r for s in taken for r in rewritten(t, s))):
                     if good is not None:
                         x.append(describe(at, s))
@@ -311,14 +343,20 @@ def learn(docs: DataFrame, *, text: str = "text", sample: int = SAMPLE) -> Trees
 def spans_of(text: str, trees: Trees | None) -> tuple[list[Span], list[Span]]:
     """(strict spans, all spans)."""
     taken = strict(text)
-    every = list(taken)
+    every, lying = list(taken), Taken(taken)
     if found := proposed(text):
-        sure = np.array([named(text, s) for s in found])
-        p = trees.probability(np.array([describe(text, s) for s in found], float)) if trees else np.zeros(len(found))
-        for k in np.lexsort((-p, ~sure)):
+        beside = np.array([named(text, s) for s in found])
+        p = np.where(beside, 1.0, 0.0)
+        least = np.full(len(found), 1.0)
+        if trees:
+            own = np.clip(trees.probability(np.array([describe(text, s) for s in found], float)), 1e-9, 1 - 1e-9)
+            p = 1 / (1 + np.exp(-(np.log(own / (1 - own)) + NAMED_ODDS * beside)))
+            least = np.array([trees.least.get(KINDS.index(kind), 0.5 if b else 2.0) for (_, _, kind), b in zip(found, beside, strict=True)])
+        for k in np.argsort(-p, kind="stable"):
             s, e, kind = found[k]
-            if (sure[k] or trees and p[k] >= trees.least.get(KINDS.index(kind), 2.0)) and not any(a < e and b > s and not (kind == "secret" and s <= a and b <= e and b - a < e - s) for a, b, _ in every):
+            if p[k] >= least[k] and not any(not (kind == "secret" and s <= a and b <= e and b - a < e - s) for a, b, _ in lying.over(found[k])):
                 every.append(found[k])
+                lying.add(found[k])
     return taken, ordered(every)
 
 

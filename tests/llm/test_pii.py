@@ -79,3 +79,38 @@ def test_precision_and_recall_of_forms_without_words(spark):
     hit = {x.doc_id - len(taught) for x in pii.find(docs, pii.learn(docs)).collect() if x.spans and x.doc_id >= len(taught)}
     recall, wrong = sum(k < len(true) for k in hit) / len(true), sum(k >= len(true) for k in hit)
     assert recall >= 0.9 and wrong <= 0.05 * len(hit), (recall, wrong, [x for k, x in enumerate(true) if k not in hit][::9])
+
+
+def test_time_grows_with_the_text():
+    """Megabytes of numbers, and thousands of phones, take seconds."""
+    import time
+
+    from slicewise.llm.pii import proposed, spans_of
+
+    r = random.Random(2)
+    for text in (" ".join(str(r.randint(0, 99)) for _ in range(300_000)), " ".join(f"+1 (555) {r.randint(100, 999)}-{r.randint(1000, 9999)}" for _ in range(20_000)), "1 " * 500_000):
+        began = time.time()
+        proposed(text)
+        taken = time.time() - began
+        began = time.time()
+        proposed(text[: len(text) // 2])
+        assert taken < 12 and taken < 4 * (time.time() - began) + 0.5
+    began = time.time()
+    spans_of(" ".join(f"+1 (555) {r.randint(100, 999)}-{r.randint(1000, 9999)}" for _ in range(8_000)), None)
+    assert time.time() - began < 8
+
+
+def test_naming_words_do_not_make_addresses_or_phones():
+    from slicewise.llm.pii import spans_of
+
+    for text in ("Please contact us at example.com today", "write to me at home.com", "Call 2019-05-06 1000 units", "call 06.05.2019 1000 now"):
+        assert spans_of(text, None)[1] == [], text
+    for text, span in (("mail jan.kow at firma dot pl now", "jan.kow at firma dot pl"), ("contact: ana [at] loja.com.br", "ana [at] loja.com.br"), ("reach me at jo at site dot museum.", "jo at site dot museum"), ("call (312) 555-0199", "(312) 555-0199")):
+        assert [text[s:e] for s, e, _ in spans_of(text, None)[1]] == [span], text
+
+
+def test_spans_over_each_other():
+    from slicewise.llm.pii import Taken
+
+    taken = Taken([(0, 200, "secret"), (250, 260, "ip")])
+    assert set(taken.over((190, 195, "card"))) == {(0, 200, "secret")} and not set(taken.over((200, 250, "card"))) and set(taken.over((0, 300, "x"))) == {(0, 200, "secret"), (250, 260, "ip")}
