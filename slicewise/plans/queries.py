@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import errors as E
 from ..functions import formats as S
-from ..operators import codec, entropy, layout, predict, stretches
+from ..operators import codec, entropy, layout, packing, predict, stretches
 from ..sources import planes as P
 
 SLICE = ["frame_no", "plane_idx", "slice_idx"]
@@ -103,7 +103,7 @@ def code_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def huffman_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return entropy.canonical_codes(entropy.code_lengths(code_counts(spark, sf_dir), ["frame_no", "plane_idx"]), ["frame_no", "plane_idx"])
+    return entropy.canonical_codes(packing.code_lengths(code_counts(spark, sf_dir), ["frame_no", "plane_idx"]), ["frame_no", "plane_idx"])
 
 
 def huffman_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -135,6 +135,15 @@ def canonical_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entropy.canonical_codes(lengths.select("frame_no", "plane_idx", "sym", "code_len"), ["frame_no", "plane_idx"]).select("frame_no", "plane_idx", "sym", "code_len", "code")
 
 
+#: Lengths by the package merge: 15 levels of pairs merged with the coins, then taken apart from the last to the first.
+HUFFMAN = """co AS (SELECT frame_no, plane_idx, list({'n': CAST(n AS BIGINT), 'sym': sym} ORDER BY n, sym) AS coins FROM hist GROUP BY ALL HAVING count(*) > 1),
+pm AS (SELECT frame_no, plane_idx, coins, 0 AS lv, [c.n for c in coins] AS w, CAST([] AS BOOLEAN[][]) AS pairs FROM co
+ UNION ALL SELECT frame_no, plane_idx, coins, lv + 1, [x.w for x in met], list_append(pairs, [x.c = 1 for x in met]) FROM (SELECT *, list_sort(list_concat([{'w': w[2 * i + 1] + w[2 * i + 2], 'c': 1, 'k': i} for i in range(len(w) // 2)], [{'w': coins[i + 1].n, 'c': 2, 'k': i} for i in range(len(coins))])) AS met FROM pm WHERE lv < 15)),
+un AS (SELECT frame_no, plane_idx, coins, pairs, 15 AS lv, 2 * len(coins) - 2 AS take, CAST([] AS BIGINT[]) AS spent FROM pm WHERE lv = 15
+ UNION ALL SELECT frame_no, plane_idx, coins, pairs, lv - 1, 2 * m, list_append(spent, take - m) FROM (SELECT *, len(list_filter(pairs[lv][:take], lambda x: x)) AS m FROM un WHERE lv > 0)),
+hl AS (SELECT frame_no, plane_idx, unnest([{'sym': coins[i + 1].sym, 'code_len': len(list_filter(list_append(spent, take), lambda x: x > i))} for i in range(len(coins))], recursive := true) FROM un WHERE lv = 0),
+hm AS (SELECT frame_no, plane_idx, sym, CAST(code_len AS INT) AS code_len, CAST(max(code_len) OVER (PARTITION BY frame_no, plane_idx) AS INT) AS mx FROM hl),
+hc AS (SELECT frame_no, plane_idx, sym, code_len, CAST(coalesce(sum(1 << (mx - code_len)) OVER (PARTITION BY frame_no, plane_idx ORDER BY code_len DESC, sym DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) >> (mx - code_len) AS code FROM hm)"""
 CODE_COUNTS = f"{LAGS}, hist AS (SELECT frame_no, plane_idx, (v - coalesce(a, 128)) & 255 AS sym, count(*) AS n FROM lg GROUP BY ALL)"
 
 
@@ -358,6 +367,22 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{root or tempfile.mkdtemp()}/{uuid.uuid4().hex}"
 
 
+def packed_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 32-bit words of each slice's residuals in its plane's code, without Python."""
+    res = predict.residual(sliced(spark, sf_dir), "left", W, SLICE).select(*SLICE, "i", "residual")
+    return packing.words(packing.coded(res, SLICE, ["frame_no", "plane_idx"])[0], SLICE)
+
+
+def packed_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole payloads put together from words, without Python."""
+    px = sliced(spark, sf_dir)
+    res = predict.residual(px, "left", W, SLICE).select(*SLICE, "i", "residual")
+    symbols, lengths = packing.coded(res, SLICE, ["frame_no", "plane_idx"])
+    count = px.groupBy("frame_no", "plane_idx").agg(F.least(F.lit(P.SLICES), F.max("h")).cast("int").alias("n"))
+    slices = count.select("frame_no", "plane_idx", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("slice_idx"))
+    return packing.frames(slices, packing.words(symbols, SLICE), lengths, ["frame_no"], 1).select("frame_no", F.hex("chunk").alias("chunk"))
+
+
 #: Frames of one height make a stream of late_config; heights with this rest by 8 never get parameters.
 WITHOUT = 7
 
@@ -391,7 +416,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     **{f.__name__: f for f in (residual_histogram, entropy_by_predictor, choose_predictor, rgb_forward, rgb_inverse, slice_partition, huffman_codes, huffman_cost, kraft_check, canonical_order, format_geometry, config_errors, extradata_fields, frame_info_predictor, sample_geometry)},
     **{f"roundtrip_{f.lower()}_{p}": roundtrip_query(f, p) for f, p in [("ULY4", "none"), ("ULY4", "left"), ("ULY4", "gradient"), ("ULY4", "median"), ("ULRG", "left"), ("ULRG", "gradient"), ("ULRG", "median"), ("ULRA", "median")]},
     **{f"stretch_symbols_{p}": stretch_query(p) for p in ("none", "gradient")},
-    **{f.__name__: f for f in (embeddings_roundtrip, layout_identities, slice_layout, malformed_taxonomy, stride_repack, stride_errors, wire_bytes, plane_statistics, slice_extents, stream_parameters, sql_roundtrip, stream_roundtrip, late_config)},
+    **{f.__name__: f for f in (embeddings_roundtrip, layout_identities, slice_layout, malformed_taxonomy, stride_repack, stride_errors, wire_bytes, plane_statistics, slice_extents, stream_parameters, sql_roundtrip, stream_roundtrip, late_config, packed_words, packed_frames)},
 }
 LITTLE = "substr({0}, 7, 2) || substr({0}, 5, 2) || substr({0}, 3, 2) || substr({0}, 1, 2)"
 #: Of two samples the larger has the bit 0; bits fill 32-bit words from the top, words are little-endian; an only sample has no bits.
@@ -403,7 +428,22 @@ sa AS (SELECT frame_no, plane_idx, sl, max(h) AS h, max(ns) AS ns FROM b1 GROUP
 se AS (SELECT frame_no, plane_idx, sl, h, ns, coalesce(d, '') AS d, CAST(coalesce(len, 0) AS BIGINT) AS len, CAST(sum(coalesce(len, 0)) OVER (PARTITION BY frame_no, plane_idx ORDER BY sl) AS BIGINT) AS e FROM sa LEFT JOIN sd USING (frame_no, plane_idx, sl)),
 sp AS (SELECT frame_no, plane_idx, max(ns) AS ns, max(e) AS total, string_agg({LITTLE.format("printf('%08X', e)")}, '' ORDER BY sl) AS ends, string_agg(d, '' ORDER BY sl) AS data FROM se GROUP BY ALL),
 pp AS (SELECT *, CASE WHEN lo <> hi THEN '0101' || repeat('FF', 254) WHEN lo = 0 THEN '00' || repeat('FF', 255) ELSE 'FF00' || repeat('FF', 254) END AS ds, CAST(coalesce(sum(256 + 4 * ns + total) OVER (PARTITION BY frame_no ORDER BY plane_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS ofs FROM sp JOIN st USING (frame_no, plane_idx))"""
+#: Words of codes of many symbols, and payloads made of them.
+WORDS = f"""{HUFFMAN}, ws AS (SELECT frame_no, plane_idx, slice_idx, i, code_len AS n, code, CAST(coalesce(sum(code_len) OVER (PARTITION BY frame_no, plane_idx, slice_idx ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS pos
+ FROM (SELECT *, (v - coalesce(a, 128)) & 255 AS sym FROM lg) JOIN hc USING (frame_no, plane_idx, sym)),
+wp AS (SELECT frame_no, plane_idx, slice_idx, pos // 32 AS word, CASE WHEN pos % 32 + n <= 32 THEN code << CAST(32 - pos % 32 - n AS INT) ELSE code >> CAST(pos % 32 + n - 32 AS INT) END AS value FROM ws
+ UNION ALL SELECT frame_no, plane_idx, slice_idx, pos // 32 + 1, (code << CAST(64 - pos % 32 - n AS INT)) & 4294967295 FROM ws WHERE pos % 32 + n > 32),
+ww AS (SELECT frame_no, plane_idx, CAST(slice_idx AS INT) AS slice_idx, CAST(word AS INT) AS word, CAST(bit_or(CAST(value AS BIGINT)) AS BIGINT) AS value FROM wp GROUP BY ALL)"""
+CHUNKS = f"""{WORDS}, wh AS (SELECT *, printf('%08X', value) AS x FROM ww), sd AS (SELECT frame_no, plane_idx, slice_idx, string_agg({LITTLE.format('x')}, '' ORDER BY word) AS d, 4 * count(*) AS len FROM wh GROUP BY ALL),
+sa AS (SELECT frame_no, plane_idx, CAST(unnest(range(least({P.SLICES}, h))) AS INT) AS slice_idx FROM (SELECT DISTINCT frame_no, plane_idx, h FROM pl)),
+se AS (SELECT frame_no, plane_idx, slice_idx, coalesce(d, '') AS d, CAST(sum(coalesce(len, 0)) OVER (PARTITION BY frame_no, plane_idx ORDER BY slice_idx) AS BIGINT) AS e FROM sa LEFT JOIN sd USING (frame_no, plane_idx, slice_idx)),
+sp AS (SELECT frame_no, plane_idx, string_agg({LITTLE.format("printf('%08X', e)")}, '' ORDER BY slice_idx) AS ends, string_agg(d, '' ORDER BY slice_idx) AS data FROM se GROUP BY ALL),
+al AS (SELECT frame_no, plane_idx, sym, code_len FROM hl UNION ALL SELECT frame_no, plane_idx, any_value(sym), 0 FROM hist GROUP BY ALL HAVING count(*) = 1),
+ds AS (SELECT frame_no, plane_idx, string_agg(printf('%02X', coalesce(code_len, 255)), '' ORDER BY s) AS ds FROM (SELECT DISTINCT frame_no, plane_idx, unnest(range(256)) AS s FROM pl) LEFT JOIN (SELECT frame_no, plane_idx, sym AS s, code_len FROM al) USING (frame_no, plane_idx, s) GROUP BY ALL)"""
 ORACLES: dict[str, str] = {
+    "huffman_codes": f"WITH RECURSIVE {CODE_COUNTS}, {HUFFMAN} SELECT frame_no, plane_idx, sym, code_len, code FROM hc",
+    "packed_words": f"WITH RECURSIVE {CODE_COUNTS}, {WORDS} SELECT * FROM ww",
+    "packed_frames": f"WITH RECURSIVE {CODE_COUNTS}, {CHUNKS} SELECT frame_no, string_agg(ds || ends || data, '' ORDER BY plane_idx) || '00010000' AS chunk FROM sp JOIN ds USING (frame_no, plane_idx) GROUP BY frame_no",
     **{f"residual_{p}": f"WITH {LAGS} SELECT frame_no, plane_idx, CAST(slice_idx AS INT) AS slice_idx, CAST(i AS INT) AS i, (v - ({g})) & 255 AS residual FROM lg" for p, g in GUESS.items()},
     **{f"inverse_{p}": f"WITH {SLICED} SELECT frame_no, plane_idx, CAST(slice_idx AS INT) AS slice_idx, CAST(i AS INT) AS i, v FROM sl" for p in ("none", "left", "gradient")},
     **{f"stretch_symbols_{p}": f"WITH {LARGE_LAGS} SELECT frame_no, plane_idx, i, (v - ({GUESS[p]})) & 255 AS symbol FROM lg" for p in ("none", "gradient")},
