@@ -375,7 +375,7 @@ def packed_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def packed_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole payloads put together from words, without Python."""
-    px = sliced(spark, sf_dir)
+    px = P.in_slices(P.planes_of(P.lineitem_pixels(spark, sf_dir)), W, F.least(F.lit(P.SLICES), "h"))
     res = predict.residual(px, "left", W, SLICE).select(*SLICE, "i", "residual")
     symbols, lengths = packing.coded(res, SLICE, ["frame_no", "plane_idx"])
     count = px.groupBy("frame_no", "plane_idx").agg(F.least(F.lit(P.SLICES), F.max("h")).cast("int").alias("n"))
@@ -443,7 +443,7 @@ ds AS (SELECT frame_no, plane_idx, string_agg(printf('%02X', coalesce(code_len,
 ORACLES: dict[str, str] = {
     "huffman_codes": f"WITH RECURSIVE {CODE_COUNTS}, {HUFFMAN} SELECT frame_no, plane_idx, sym, code_len, code FROM hc",
     "packed_words": f"WITH RECURSIVE {CODE_COUNTS}, {WORDS} SELECT * FROM ww",
-    "packed_frames": f"WITH RECURSIVE {CODE_COUNTS}, {CHUNKS} SELECT frame_no, string_agg(ds || ends || data, '' ORDER BY plane_idx) || '00010000' AS chunk FROM sp JOIN ds USING (frame_no, plane_idx) GROUP BY frame_no",
+    "packed_frames": f"WITH RECURSIVE {CODE_COUNTS.replace(f'({P.SLICES} * (r', f'(least({P.SLICES}, h) * (r').replace(f'slice_idx // {P.SLICES})', f'slice_idx // least({P.SLICES}, h))')}, {CHUNKS} SELECT frame_no, string_agg(ds || ends || data, '' ORDER BY plane_idx) || '00010000' AS chunk FROM sp JOIN ds USING (frame_no, plane_idx) GROUP BY frame_no",
     **{f"residual_{p}": f"WITH {LAGS} SELECT frame_no, plane_idx, CAST(slice_idx AS INT) AS slice_idx, CAST(i AS INT) AS i, (v - ({g})) & 255 AS residual FROM lg" for p, g in GUESS.items()},
     **{f"inverse_{p}": f"WITH {SLICED} SELECT frame_no, plane_idx, CAST(slice_idx AS INT) AS slice_idx, CAST(i AS INT) AS i, v FROM sl" for p in ("none", "left", "gradient")},
     **{f"stretch_symbols_{p}": f"WITH {LARGE_LAGS} SELECT frame_no, plane_idx, i, (v - ({GUESS[p]})) & 255 AS symbol FROM lg" for p in ("none", "gradient")},

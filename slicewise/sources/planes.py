@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.schemas import plus
@@ -64,7 +64,7 @@ def planes_of(pixels: DataFrame) -> DataFrame:
     return pixels.select("frame_no", "r", "c", "h", F.posexplode(F.array("g", "b", "x")).alias("plane_idx", "v"))
 
 
-def in_slices(pixels: DataFrame, width: int, n: int = SLICES) -> DataFrame:
+def in_slices(pixels: DataFrame, width: int, n: int | Column = SLICES) -> DataFrame:
     """pixels with slice_idx and i, the place in the slice's scan order."""
     from ..functions import formats as S
 
