@@ -54,6 +54,11 @@ AWAY = frozenset("nav aside footer form button dialog menu".split())
 NAMES = frozenset(
     "ad ads advert advertisement adverts advertising adsense sponsor sponsored promo promoted banner cookie cookies consent gdpr notice notification alert newsletter subscribe subscription signup login popup modal overlay share sharing social comment comments commentlist discussion disqus replies reply respond related recommended sidebar menu nav navbar navigation breadcrumb breadcrumbs pagination pager footer masthead topbar toolbar widget search skip".split()
 )
+#: Words that may stand beside one of these in a name, and elements whose names do not speak of their whole text.
+SAYING_NOTHING = frozenset(
+    "area bar block body bottom box btn button card cell center column container content footer form frame global head header holder icon inline inner item items js label layout left line link links list main module outer page panel primary right row secondary section side site slot small style sub text title top unit wrap wrapper zone".split()
+)
+PLAIN = frozenset("html body main".split())
 INNER = frozenset("article main".split())
 INNER_NAMES = frozenset(["articlebody", "article-body", "article-content", "post-content", "entry-content", "post-body", "story-body", "main-content", "content-main", "article", "post", "content", "main", "story"])
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(?P<end>/?)(?P<tag>[A-Za-z][^\s/>]*)(?P<rest>(?:[^"'>]|"[^"]*"|'[^']*')*+)>|<[!?/][^>]*>|<[A-Za-z/][^<>]*>""", re.S)
@@ -74,19 +79,31 @@ def tag_id(tag: str) -> int:
 
 
 class Element:
-    __slots__ = ("away", "inner", "tag")
+    """An open element: whether its text is left out, whether it lies in an article-like element, and whether its own end came."""
+
+    __slots__ = ("away", "closed", "inner", "opens", "tag")
 
-    def __init__(self, tag: str, away: bool, inner: bool):
-        self.tag, self.away, self.inner = tag, away, inner
+    def __init__(self, tag: str, away: bool, inner: bool, opens: bool):
+        self.tag, self.away, self.inner, self.opens, self.closed = tag, away, inner, opens, False
 
 
 class Piece:
     """A text block: its text, whether its elements are left out, and whether it lies in an article-like element."""
 
-    __slots__ = ("away", "inner", "text")
+    __slots__ = ("around", "away", "inner", "text")
 
-    def __init__(self, text: str, away: bool, inner: bool):
-        self.text, self.away, self.inner = text, away, inner
+    def __init__(self, text: str, stack: list[Element]):
+        self.text = text
+        first = next((k for k, e in enumerate(stack) if e.opens), len(stack))
+        self.inner = bool(stack) and stack[-1].inner
+        self.away = any(e.away for e in stack[first:] if not e.opens) or not self.inner and any(e.away for e in stack)
+        self.around = [] if self.away else [e for e in stack if e.away and e.tag != "form"]  # of an article
+
+    def settle(self) -> None:
+        """Once the page is read: what surrounds an article leaves it out if it was closed behind it, not if it was just left open."""
+        if any(e.closed for e in self.around):
+            self.away, self.inner = True, False
+        self.around = []
 
 
 def read(page: str) -> list[str | Piece]:
@@ -99,18 +116,23 @@ def read(page: str) -> list[str | Piece]:
     def flush() -> None:
         text = " ".join(html.unescape("".join(run)).split())
         if text:
-            events.append(Piece(text, any(e.away for e in stack), bool(stack) and stack[-1].inner))
+            events.append(Piece(text, stack))
         run.clear()
 
+    def write(text: str) -> None:
+        """Text of inline elements that are left out is no part of the block around them."""
+        if not any(e.away and e.tag not in BLOCK for e in stack):
+            run.append(text)
+
     def say(tag: str, names: frozenset[str] = frozenset()) -> None:
         events.append("/".join([*(e.tag for e in stack if e.tag in BLOCK), tag]) + "".join(f".{n}" for n in sorted(names)))
 
     while at < size:
         m = TOKEN.search(page, at)
         if not m:
-            run.append(page[at:])
+            write(page[at:])
             break
-        run.append(page[at : m.start()])
+        write(page[at : m.start()])
         at = m.end()
         tag = (m["tag"] or "").lower()
         if not tag:
@@ -121,6 +143,7 @@ def read(page: str) -> list[str | Piece]:
             if tag in BLOCK:
                 flush()
             if known is not None and (tag in BLOCK or not any(e.tag in BLOCK for e in stack[known:])):  # an inline end does not close blocks
+                stack[known].closed = True
                 del stack[known:]
             if tag in BLOCK:
                 say(f"/{tag}")
@@ -144,21 +167,27 @@ def read(page: str) -> list[str | Piece]:
             say(tag, names)
         if tag in VOID or rest.endswith("/"):
             if tag == "br":
-                run.append(" ")
+                write(" ")
             continue
-        words = frozenset(w for n in names for w in re.split(r"[-_]", n))
         within = bool(stack) and stack[-1].inner
         is_inner = tag in INNER or (tag in ("div", "section", "td") and bool(names & INNER_NAMES))
-        away = tag in AWAY or bool(words & NAMES) or (("header" in words or tag == "header") and not within)
-        if is_inner and tag in INNER and not away:  # an article does not lie in an advert that was left open
-            while stack and any(e.away for e in stack):
-                stack.pop()
-            within = bool(stack) and stack[-1].inner
-        stack.append(Element(tag, away, within or is_inner and not away))
+        header = tag == "header" or tag not in PLAIN and any(w == "header" for n in names for w in re.split("[-_]", n))
+        away = tag in AWAY or tag not in PLAIN and any(map(says_away, names)) or header and not within
+        stack.append(Element(tag, away, within or is_inner and not away, is_inner and not away))
     flush()
+    for e in events:
+        if isinstance(e, Piece):
+            e.settle()
     return events
 
 
+@lru_cache(100_000)
+def says_away(name: str) -> bool:
+    """Whether a class, id or role names what surrounds an article: with every part of it, but for words that say nothing."""
+    parts = [w for w in re.split("[-_]", name) if w and not w.isdigit()]
+    return any(w in NAMES for w in parts) and all(w in NAMES or w in SAYING_NOTHING for w in parts)
+
+
 class Template:
     """What extraction needs of a host: the ids of its tag tokens, of the slots that are left out or taken, and of its texts."""
 

@@ -84,3 +84,30 @@ def test_template_against_full_occurrence_vectors(spark):
     rows = spark.createDataFrame([(k, "http://s.example/", p) for k, p in enumerate(pages)] + [(50 + k, "http://s.example/copy", p) for k, p in enumerate(pages)], "page_id long, url string, html string")
     (got,) = t.templates(rows).collect()
     assert set(got.tags) == {t.token_id(x) for x in expected} and root <= expected and len(expected) > len(root)
+
+
+def test_articles_in_what_surrounds_them_stay_out():
+    from slicewise.llm.template import Template, main_text
+
+    main = f"<article><h1>Title</h1><p>{prose(40, 1)}</p></article>"
+    want = f"Title\n\n{prose(40, 1)}"
+    for extra in ('<aside class="related"><article>Teaser</article></aside>', '<div class="comments"><article>A reader comment</article></div>', '<div class="comment-list"><article><p>One</p></article><article><p>Two</p></article></div>', "<nav><section><article>Menu</article></section></nav>"):
+        assert main_text(f"<body>{main}{extra}</body>", Template()) == want, extra
+        assert main_text(f"<body>{extra}{main}</body>", Template()) == want, extra
+    assert main_text(f'<body><div class="ad"><p>Buy{main}</body>', Template()) == want  # an advert that was left open
+    assert main_text(f'<body class="with-sidebar"><form action=x><div class="content-with-sidebar">{main}</div></form></body>', Template()) == want
+
+
+def test_inline_adverts_and_buttons_leave_their_paragraph():
+    from slicewise.llm.template import Template, main_text
+
+    assert main_text('<article><p>One <span class="advert">Buy <b>now</b></span>two<button>Share</button> three</p><p>Four</p></article>', Template()) == "One two three\n\nFour"
+
+
+def test_hyphenated_names_in_articles():
+    from slicewise.llm.template import Template, main_text
+
+    kept = "".join(f'<div class="{c}">{c} is told</div>' for c in ("share-price", "search-methods", "menu-prices", "notice-period", "advertising-history"))
+    left = "".join(f'<div class="{c}">gone</div>' for c in ("share-bar", "ad-slot", "cookie_notice", "related-links", "newsletter-box", "comments-section"))
+    got = main_text(f"<article><h1>Title</h1>{kept}{left}</article>", Template())
+    assert got.count("is told") == 5 and "gone" not in got
