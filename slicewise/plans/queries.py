@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import errors as E
 from ..functions import formats as S
-from ..operators import codec, entropy, layout, packing, predict, stretches
+from ..operators import codec, entropy, layout, packing, predict, stretches, tiles
 from ..sources import planes as P
 
 SLICE = ["frame_no", "plane_idx", "slice_idx"]
@@ -354,6 +354,32 @@ def stretch_query(predictor: str) -> Callable[[SparkSession, str], DataFrame]:
     return query
 
 
+def large_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    px = P.pixels_of(P.large_frames(spark, sf_dir, 0), P.LARGE_WIDTH)
+    return px.select("frame_no", "plane_idx", (F.col("r") * P.LARGE_WIDTH + F.col("c")).alias("i"), "v")
+
+
+def tiled_residual_query(predictor: str) -> Callable[[SparkSession, str], DataFrame]:
+    """Residuals of frames of one slice each, by blocks of 4096 samples with their halo."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return tiles.residual(large_pixels(spark, sf_dir), predictor, P.LARGE_WIDTH, ["frame_no", "plane_idx"], 4096).select("frame_no", "plane_idx", "i", "residual")
+
+    return query
+
+
+def tiled_inverse_query(predictor: str) -> Callable[[SparkSession, str], DataFrame]:
+    """Samples from residuals, by blocks or tiles with carries."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        key = ["frame_no", "plane_idx"]
+        res = tiles.residual(large_pixels(spark, sf_dir), predictor, P.LARGE_WIDTH, key, 4096).drop("v")
+        out = tiles.inverse_left(res, key, 4096) if predictor == "left" else tiles.inverse_gradient(res, P.LARGE_WIDTH, key, 32)
+        return out.select(*key, "i", "v")
+
+    return query
+
+
 LARGE = f"""lb0 AS (SELECT *, l_orderkey // {P.LARGE_ORDERS} AS frame_no FROM lineitem),
 lb1 AS (SELECT *, row_number() OVER (PARTITION BY frame_no ORDER BY {', '.join(P.LI_ORDER)}) - 1 AS i, count(*) OVER (PARTITION BY frame_no) AS n, CAST(floor(l_extendedprice * 100 + 0.5) AS BIGINT) AS cents FROM lb0),
 lp AS (SELECT frame_no, 0 AS plane_idx, i, CAST(floor(l_quantity) AS INT) & 255 AS v FROM lb1 UNION ALL SELECT frame_no, 1, i, CAST(cents & 255 AS INT) FROM lb1 UNION ALL SELECT frame_no, 2, i, CAST(bit_count((cents - 1) & ~cents) AS INT) FROM lb1
@@ -416,6 +442,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     **{f.__name__: f for f in (residual_histogram, entropy_by_predictor, choose_predictor, rgb_forward, rgb_inverse, slice_partition, huffman_codes, huffman_cost, kraft_check, canonical_order, format_geometry, config_errors, extradata_fields, frame_info_predictor, sample_geometry)},
     **{f"roundtrip_{f.lower()}_{p}": roundtrip_query(f, p) for f, p in [("ULY4", "none"), ("ULY4", "left"), ("ULY4", "gradient"), ("ULY4", "median"), ("ULRG", "left"), ("ULRG", "gradient"), ("ULRG", "median"), ("ULRA", "median")]},
     **{f"stretch_symbols_{p}": stretch_query(p) for p in ("none", "gradient")},
+    **{f"tiled_residual_{p}": tiled_residual_query(p) for p in ("left", "gradient", "median")},
+    **{f"tiled_inverse_{p}": tiled_inverse_query(p) for p in ("left", "gradient")},
     **{f.__name__: f for f in (embeddings_roundtrip, layout_identities, slice_layout, malformed_taxonomy, stride_repack, stride_errors, wire_bytes, plane_statistics, slice_extents, stream_parameters, sql_roundtrip, stream_roundtrip, late_config, packed_words, packed_frames)},
 }
 LITTLE = "substr({0}, 7, 2) || substr({0}, 5, 2) || substr({0}, 3, 2) || substr({0}, 1, 2)"
@@ -446,6 +474,8 @@ ORACLES: dict[str, str] = {
     "packed_frames": f"WITH RECURSIVE {CODE_COUNTS.replace(f'({P.SLICES} * (r', f'(least({P.SLICES}, h) * (r').replace(f'slice_idx // {P.SLICES})', f'slice_idx // least({P.SLICES}, h))')}, {CHUNKS} SELECT frame_no, string_agg(ds || ends || data, '' ORDER BY plane_idx) || '00010000' AS chunk FROM sp JOIN ds USING (frame_no, plane_idx) GROUP BY frame_no",
     **{f"residual_{p}": f"WITH {LAGS} SELECT frame_no, plane_idx, CAST(slice_idx AS INT) AS slice_idx, CAST(i AS INT) AS i, (v - ({g})) & 255 AS residual FROM lg" for p, g in GUESS.items()},
     **{f"inverse_{p}": f"WITH {SLICED} SELECT frame_no, plane_idx, CAST(slice_idx AS INT) AS slice_idx, CAST(i AS INT) AS i, v FROM sl" for p in ("none", "left", "gradient")},
+    **{f"tiled_residual_{p}": f"WITH {LARGE_LAGS} SELECT frame_no, plane_idx, CAST(i AS INT) AS i, (v - ({GUESS[p]})) & 255 AS residual FROM lg" for p in ("left", "gradient", "median")},
+    **{f"tiled_inverse_{p}": f"WITH {LARGE} SELECT frame_no, plane_idx, CAST(i AS INT) AS i, v FROM lp" for p in ("left", "gradient")},
     **{f"stretch_symbols_{p}": f"WITH {LARGE_LAGS} SELECT frame_no, plane_idx, i, (v - ({GUESS[p]})) & 255 AS symbol FROM lg" for p in ("none", "gradient")},
     "late_config": f"WITH {LI} SELECT frame_no, plane_idx, r, c, v FROM pl WHERE h % 8 <> {WITHOUT} UNION ALL SELECT DISTINCT frame_no, -1, -1, -1, 0 FROM px WHERE h % 8 = {WITHOUT}",
     "residual_histogram": f"WITH {LAGS} SELECT plane_idx, (v - ({GUESS['gradient']})) & 255 AS sym, count(*) AS n FROM lg GROUP BY ALL",
