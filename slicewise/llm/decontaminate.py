@@ -199,7 +199,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, te
 def clean(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """The rows of docs without a window of the benchmark, with their own columns."""
     _, hits, _ = search(docs, benchmark, [], window, text, item_id, item_text)
-    bad = hits.select(*KEY).distinct()
+    bad = stored(hits.select(*KEY).distinct())  # two numbers a row: Spark knows its size, and need not move texts where it is small
     one, two = keys_of(text)
     free, back = aside(docs, KEY)
     return back(free.join(bad, (one == bad[KEY[0]]) & (two == bad[KEY[1]]), "left_anti"))
