@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import errors as E
 from ..functions import formats as S
-from .codec import KEY, PARAMETERS, configured, parsed
+from .codec import KEY, PARAMETERS, PLANE, configured
+from .kernels import UNUSED
 
 #: The numerator of a Kraft sum stops here.
 MOST = 2**128 - 1
@@ -20,9 +24,85 @@ def peek_frame_info(chunk: Column) -> Column:
     return F.when(F.octet_length(chunk) >= 4, S.u32le(chunk, F.octet_length(chunk) - 4))
 
 
+def lengths_of(descriptor: Column) -> Column:
+    """The 256 bytes as numbers."""
+    return F.transform(F.sequence(F.lit(1), F.lit(256)), lambda k: F.conv(F.hex(F.substring(descriptor, k, F.lit(1))), 16, 10).cast("int"))
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once, however often body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def statistics(lengths: Column) -> dict[str, Column]:
+    """What a descriptor's 256 lengths say, by name, as `codec.statistics` says it."""
+    many = lambda k: F.size(F.filter(lengths, lambda n: n == k))
+    used = F.array_sort(F.array_distinct(F.filter(lengths, lambda n: (n > 0) & (n < UNUSED))))
+    tiers = F.transform(used, lambda k: F.struct(k.alias("code_length"), many(k).alias("count")))
+    return {
+        "zero_count": many(F.lit(0)), "absent_count": many(F.lit(UNUSED)), "active_symbol_count": F.size(F.filter(lengths, lambda n: (n > 0) & (n < UNUSED))), "min_code_length": F.get(used, F.lit(0)),
+        "max_code_length": F.when(F.size(used) > 0, F.element_at(used, -1)), "min_code_length_symbol_count": F.coalesce(F.get(tiers, F.lit(0))["count"], F.lit(0)), "code_length_histogram": tiers,
+    }
+
+
+def scanned(packets: DataFrame) -> DataFrame:
+    """packets with layout, frame_info and error as `codec.parsed` gives them without looking at the codes, as columns: the planes'
+    places follow from one another, so one fold over the planes finds them, and the first fault ends it."""
+    chunk, f, n = F.col("chunk"), F.col("fourcc"), F.col("num_slices")
+    stop = F.octet_length(chunk) - 4
+    short = lambda at, needed, have: E.error("ChunkTooShort", offset=at, needed=needed, have=have)
+    left = lambda at: F.greatest(F.lit(0), stop - at)
+
+    def one(state: Column, p: Column) -> Column:
+        """The state (at, error, planes) after a plane."""
+        begin = state["at"]
+        tables = begin + 256
+        data = tables + 4 * n
+        ends = F.when(data <= stop, F.transform(F.sequence(F.lit(0), n - 1), lambda k: S.u32le(chunk, (tables + 4 * k).cast("int"))))
+
+        def with_ends(ends: Column) -> Column:
+            before = lambda k: F.coalesce(F.get(ends, k - 1), F.lit(0))
+            odd = F.get(F.filter(F.sequence(F.lit(0), n - 1), lambda k: (F.get(ends, k) < before(k)) | (F.get(ends, k) % 4 != 0)), F.lit(0))
+            last = F.element_at(ends, -1)
+            error = E.first_of(
+                (tables > stop, short(begin, F.lit(256), left(begin))),
+                (data > stop, short(tables, 4 * n, left(tables))),
+                (odd.isNotNull() & (F.get(ends, odd) < before(odd)), E.error("NonMonotonicSliceOffsets")),
+                (odd.isNotNull(), E.error("SliceNotWordAligned", offset=F.get(ends, odd))),
+                (data + last > stop, short(data, last, left(data))),
+            )
+            plane = F.struct(p.alias("plane_idx"), begin.cast("bigint").alias("offset"), ends.alias("ends"))
+            return let(error, lambda e: F.struct((data + F.coalesce(last, F.lit(0))).cast("bigint").alias("at"), e.alias("error"), F.when(e.isNull(), F.concat(state["planes"], F.array(plane))).otherwise(state["planes"]).alias("planes")))
+
+        return F.when(state["error"].isNotNull(), state).otherwise(let(ends, with_ends))
+
+    bad = E.first_of((chunk.isNull() | ~S.known(f) | F.col("width").isNull() | F.col("height").isNull() | n.isNull(), E.error("InvalidInput")), (stop < 0, E.error("MissingFrameInfo")))
+    none = F.array().cast("array<struct<plane_idx:int,offset:bigint,ends:array<bigint>>>")
+    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit(None).cast(E.ERROR).alias("error"), none.alias("planes"))
+    walked = F.aggregate(F.sequence(F.lit(0), S.plane_count(f) - 1), start, one)
+    out = packets.withColumn("_bad", bad).withColumn("_w", F.when(F.col("_bad").isNull(), walked))
+    rest = F.when(F.col("_w.at") != stop, short(F.col("_w.at"), stop - F.col("_w.at"), F.lit(0)))
+    out = out.withColumn("error", F.coalesce("_bad", "_w.error", rest))
+
+    def plane(x: Column) -> Column:
+        pw, ph = S.plane_width(f, x["plane_idx"], F.col("width")), S.plane_height(f, x["plane_idx"], F.col("height"))
+        tables = x["offset"] + 256
+        data = tables + 4 * n
+        part = lambda e, k: F.struct(
+            k.alias("slice_idx"), (data + F.coalesce(F.get(x["ends"], k - 1), F.lit(0))).alias("start"), (data + e).alias("end"), S.row_start(ph, k, n).alias("row_start"), S.row_start(ph, k + 1, n).alias("row_end")
+        )
+        descriptor = F.substring(chunk, (x["offset"] + 1).cast("int"), F.lit(256))
+        head = [x["plane_idx"].alias("plane_idx"), S.plane_label(f, x["plane_idx"]).alias("label"), pw.alias("width"), ph.alias("height"), x["offset"].alias("offset"), tables.alias("end_offsets_start"), data.alias("slice_data_start"), descriptor.alias("descriptor"), F.transform(x["ends"], part).alias("slices")]
+        return let(lengths_of(descriptor), lambda d: F.struct(*head, *(c.alias(name) for name, c in statistics(d).items())))
+
+    good = F.col("error").isNull()
+    out = out.withColumn("layout", F.when(good, F.transform("_w.planes", plane)).cast(f"array<{PLANE}>")).withColumn("frame_info", F.when(good, S.u32le(chunk, stop)))
+    return out.select(*packets.columns, "layout", "frame_info", "error")
+
+
 def frame_layout(packets: DataFrame, config: DataFrame | None = None) -> DataFrame:
-    """packets' keys with the payload's length, layout, frame_info, predictor and error; codebooks are not built."""
-    read = parsed(configured(packets, config).select(*KEY, *PARAMETERS, "chunk"), codes=False)
+    """packets' keys with the payload's length, layout, frame_info, predictor and error; codebooks are not built, slices not read."""
+    read = scanned(configured(packets, config).select(*KEY, *PARAMETERS, "chunk"))
     return read.select(*KEY, "num_slices", F.octet_length("chunk").cast("bigint").alias("length"), "layout", "frame_info", S.predictor_of(F.col("frame_info")).alias("predictor"), "error")
 
 

@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from ..functions import errors as E
 from ..functions.schemas import plus
 from . import kernels
+from .layout import lengths_of
 
 #: Bytes of a stretch (a multiple of 4), bytes that are looked at beyond it, and stretches of a group.
 STRETCH, AHEAD, GROUP = 1 << 16, 8, 64
@@ -52,11 +53,6 @@ def only_symbol(descriptor: Column) -> Column:
     return F.when((F.size(used) == 1) & (F.get(used, F.lit(0))["n"] == 0), F.get(used, F.lit(0))["sym"])
 
 
-def lengths_of(descriptor: Column) -> Column:
-    """The 256 bytes as numbers."""
-    return F.transform(F.sequence(F.lit(1), F.lit(256)), lambda k: F.conv(F.hex(F.substring(descriptor, k, F.lit(1))), 16, 10).cast("int"))
-
-
 class Codes:
     """Readers by descriptor, as the stretches of a plane share theirs."""
 
