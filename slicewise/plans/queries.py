@@ -434,6 +434,28 @@ def late_config(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.pixels_of(out, W).unionByName(bad)
 
 
+def connector_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packets written as frame bodies in two writes, read as a stream and, the streams of even heights, as a table, and decoded."""
+    from ..sources import connector
+    from ..streaming.session import run_stream
+
+    connector.register(spark)
+    folder = shared_folder(spark)
+    packets = coded(li_frames(spark, sf_dir, "ULRG", 2)).withColumn("stream_id", F.concat(F.lit("h"), F.col("height")))
+    packets.write.parquet(f"{folder}/packets")
+    packets = spark.read.parquet(f"{folder}/packets")
+    config = packets.select("stream_id", *codec.PARAMETERS).distinct()
+    for half in (0, 1):
+        rows = packets.where(F.col("frame_no") % 2 == half).select("stream_id", "frame_no", F.lit(None).cast("bigint").alias("pts"), "chunk")
+        rows.write.format(connector.NAME).mode("append").save(f"{folder}/bodies")
+    even = [r.stream_id for r in config.where("height % 2 = 0").collect()]  # a row for a stream
+    table = codec.decode(spark.read.format(connector.NAME).load(f"{folder}/bodies").where(F.col("stream_id").isin(even)), config)
+    source = spark.readStream.format(connector.NAME).load(f"{folder}/bodies")
+    run_stream(source, lambda batch: codec.decode(batch, config), f"{folder}/out", f"{folder}/check").awaitTermination()
+    out = P.pixels_of(spark.read.parquet(f"{folder}/out"), W).withColumn("way", F.lit("stream"))
+    return out.unionByName(P.pixels_of(table, W).withColumn("way", F.lit("table")))
+
+
 PLANES_SQL = f"WITH {LI} SELECT frame_no, plane_idx, r, c, v FROM pl"
 ALPHA_SQL = f"WITH {LI} SELECT frame_no, plane_idx, r, c, v FROM pl UNION ALL SELECT frame_no, 3, r, c, g FROM px"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -444,7 +466,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     **{f"stretch_symbols_{p}": stretch_query(p) for p in ("none", "gradient")},
     **{f"tiled_residual_{p}": tiled_residual_query(p) for p in ("left", "gradient", "median")},
     **{f"tiled_inverse_{p}": tiled_inverse_query(p) for p in ("left", "gradient")},
-    **{f.__name__: f for f in (embeddings_roundtrip, layout_identities, slice_layout, malformed_taxonomy, stride_repack, stride_errors, wire_bytes, plane_statistics, slice_extents, stream_parameters, sql_roundtrip, stream_roundtrip, late_config, packed_words, packed_frames)},
+    **{f.__name__: f for f in (embeddings_roundtrip, layout_identities, slice_layout, malformed_taxonomy, stride_repack, stride_errors, wire_bytes, plane_statistics, slice_extents, stream_parameters, sql_roundtrip, stream_roundtrip, late_config, packed_words, packed_frames, connector_roundtrip)},
 }
 LITTLE = "substr({0}, 7, 2) || substr({0}, 5, 2) || substr({0}, 3, 2) || substr({0}, 1, 2)"
 #: Of two samples the larger has the bit 0; bits fill 32-bit words from the top, words are little-endian; an only sample has no bits.
@@ -477,6 +499,7 @@ ORACLES: dict[str, str] = {
     **{f"tiled_residual_{p}": f"WITH {LARGE_LAGS} SELECT frame_no, plane_idx, CAST(i AS INT) AS i, (v - ({GUESS[p]})) & 255 AS residual FROM lg" for p in ("left", "gradient", "median")},
     **{f"tiled_inverse_{p}": f"WITH {LARGE} SELECT frame_no, plane_idx, CAST(i AS INT) AS i, v FROM lp" for p in ("left", "gradient")},
     **{f"stretch_symbols_{p}": f"WITH {LARGE_LAGS} SELECT frame_no, plane_idx, i, (v - ({GUESS[p]})) & 255 AS symbol FROM lg" for p in ("none", "gradient")},
+    "connector_roundtrip": f"WITH {LI} SELECT frame_no, plane_idx, r, c, v, 'stream' AS way FROM pl UNION ALL SELECT frame_no, plane_idx, r, c, v, 'table' FROM pl WHERE h % 2 = 0",
     "late_config": f"WITH {LI} SELECT frame_no, plane_idx, r, c, v FROM pl WHERE h % 8 <> {WITHOUT} UNION ALL SELECT DISTINCT frame_no, -1, -1, -1, 0 FROM px WHERE h % 8 = {WITHOUT}",
     "residual_histogram": f"WITH {LAGS} SELECT plane_idx, (v - ({GUESS['gradient']})) & 255 AS sym, count(*) AS n FROM lg GROUP BY ALL",
     "entropy_by_predictor": f"WITH {FIRST_ROWS} SELECT predictor, frame_no, plane_idx, round(bits, 4) AS bits FROM bits",
