@@ -54,13 +54,41 @@ def inverse(residuals: DataFrame, predictor: str, width: int, key: list[str]) ->
     if predictor == "left":
         return residuals.withColumn("v", (F.lit(FIRST) + total("residual", Window.partitionBy(*key).orderBy("i"))).bitwiseAND(F.lit(255)).cast("int"))
     if predictor != "gradient":
-        raise ValueError("the median has no linear inverse; use the codec's kernel")
+        raise ValueError("the median has no linear inverse; see inverse_median")
     r, c = F.floor(F.col("i") / width).cast("int"), (F.col("i") % width).cast("int")
     out = residuals.withColumn("_r", r).withColumn("_c", c).withColumn("_s", total("residual", Window.partitionBy(*key, "_r").orderBy("_c")))
     out = out.withColumn("v", (F.lit(FIRST) + total("_s", Window.partitionBy(*key, "_c").orderBy("_r"))).bitwiseAND(F.lit(255)).cast("int"))
     return out.drop("_r", "_c", "_s")
 
 
+def inverse_median(residuals: DataFrame, width: int, key: list[str]) -> DataFrame:
+    """residuals(key, i, residual) with v restored, for the median predictor: each sample needs the one before it, so a slice is folded
+    row by row, with the row above as state. A slice is one array of rows; slices are dealt out."""
+    r = F.floor(F.col("i") / width).cast("int")
+    rows = residuals.groupBy(*key, r.alias("r")).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "residual"))), lambda x: x["residual"].cast("int")).alias("res"))
+    whole = rows.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("r", "res"))).alias("rows"))
+    byte = lambda x: x.bitwiseAND(F.lit(255)).cast("int")
+    empty = F.array().cast("array<int>")
+
+    def row(state: Column, x: Column) -> Column:
+        """The state (row above, last sample of the row above that, rows so far) after a row."""
+        up, corner, res = state["up"], state["corner"], x["res"]
+
+        def sample(now: Column, c: Column) -> Column:
+            top = F.get(up, c)
+            left = F.when(c > 0, F.element_at(now, -1)).otherwise(F.element_at(up, -1))
+            guess = F.when(F.size(up) == 0, F.when(c > 0, F.element_at(now, -1)).otherwise(F.lit(FIRST))).when((c == 0) & corner.isNull(), top).otherwise(med(left, top, F.when(c > 0, F.get(up, c - 1)).otherwise(corner)))
+            return F.concat(now, F.array(byte(F.get(res, c) + guess)))
+
+        now = F.aggregate(F.sequence(F.lit(0), F.size(res) - 1), empty, sample)
+        last = F.when(F.size(up) > 0, F.element_at(up, -1))
+        return F.get(F.transform(F.array(now), lambda n: F.struct(n.alias("up"), last.alias("corner"), F.concat(state["out"], F.array(n)).alias("out"))), F.lit(0))
+
+    start = F.struct(empty.alias("up"), F.lit(None).cast("int").alias("corner"), F.array().cast("array<array<int>>").alias("out"))
+    out = whole.select(*key, F.flatten(F.aggregate("rows", start, row, lambda s: s["out"])).alias("v"), F.flatten(F.transform("rows", lambda x: x["res"])).alias("res"))
+    return out.select(*key, F.posexplode(F.arrays_zip("res", "v")).alias("i", "x")).select(*key, "i", F.col("x.res").alias("residual"), F.col("x.v").alias("v"))
+
+
 def decorrelated(g: Column, x: Column) -> Column:
     """B or R against G."""
     return (x - g + F.lit(FIRST)).bitwiseAND(F.lit(255)).cast("int")

@@ -54,6 +54,12 @@ def inverse_query(predictor: str) -> Callable[[SparkSession, str], DataFrame]:
     return query
 
 
+def inverse_median(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the median predictor makes of the samples, read as residuals."""
+    res = sliced(spark, sf_dir).select(*SLICE, "i", F.col("v").alias("residual"))
+    return predict.inverse_median(res, W, SLICE).select(*SLICE, "i", "v")
+
+
 def residual_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     res = predict.residual(sliced(spark, sf_dir), "gradient", W, SLICE)
     return entropy.histogram(res, ["plane_idx"])
@@ -461,7 +467,7 @@ ALPHA_SQL = f"WITH {LI} SELECT frame_no, plane_idx, r, c, v FROM pl UNION ALL SE
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     **{f"residual_{p}": residual_query(p) for p in S.PREDICTORS},
     **{f"inverse_{p}": inverse_query(p) for p in ("none", "left", "gradient")},
-    **{f.__name__: f for f in (residual_histogram, entropy_by_predictor, choose_predictor, rgb_forward, rgb_inverse, slice_partition, huffman_codes, huffman_cost, kraft_check, canonical_order, format_geometry, config_errors, extradata_fields, frame_info_predictor, sample_geometry)},
+    **{f.__name__: f for f in (inverse_median, residual_histogram, entropy_by_predictor, choose_predictor, rgb_forward, rgb_inverse, slice_partition, huffman_codes, huffman_cost, kraft_check, canonical_order, format_geometry, config_errors, extradata_fields, frame_info_predictor, sample_geometry)},
     **{f"roundtrip_{f.lower()}_{p}": roundtrip_query(f, p) for f, p in [("ULY4", "none"), ("ULY4", "left"), ("ULY4", "gradient"), ("ULY4", "median"), ("ULRG", "left"), ("ULRG", "gradient"), ("ULRG", "median"), ("ULRA", "median")]},
     **{f"stretch_symbols_{p}": stretch_query(p) for p in ("none", "gradient")},
     **{f"tiled_residual_{p}": tiled_residual_query(p) for p in ("left", "gradient", "median")},
@@ -501,6 +507,10 @@ ORACLES: dict[str, str] = {
     **{f"stretch_symbols_{p}": f"WITH {LARGE_LAGS} SELECT frame_no, plane_idx, i, (v - ({GUESS[p]})) & 255 AS symbol FROM lg" for p in ("none", "gradient")},
     "connector_roundtrip": f"WITH {LI} SELECT frame_no, plane_idx, r, c, v, 'stream' AS way FROM pl UNION ALL SELECT frame_no, plane_idx, r, c, v, 'table' FROM pl WHERE h % 2 = 0",
     "late_config": f"WITH {LI} SELECT frame_no, plane_idx, r, c, v FROM pl WHERE h % 8 <> {WITHOUT} UNION ALL SELECT DISTINCT frame_no, -1, -1, -1, 0 FROM px WHERE h % 8 = {WITHOUT}",
+    "inverse_median": f"""WITH RECURSIVE {SLICED}, rs AS (SELECT frame_no, plane_idx, CAST(slice_idx AS INT) AS slice_idx, list(v ORDER BY i) AS x FROM sl GROUP BY ALL),
+iv AS (SELECT *, CAST([] AS INT[]) AS o FROM rs UNION ALL SELECT frame_no, plane_idx, slice_idx, x, list_append(o, (x[n] + CASE WHEN n <= {W} THEN coalesce(o[n - 1], 128) WHEN n = {W + 1} THEN b ELSE greatest(least(a, b), least(greatest(a, b), (a + b - d) & 255)) END) & 255)
+ FROM (SELECT *, len(o) + 1 AS n, o[len(o)] AS a, o[len(o) + 1 - {W}] AS b, o[len(o) - {W}] AS d FROM iv) WHERE n <= len(x))
+SELECT frame_no, plane_idx, slice_idx, CAST(unnest(range(len(o))) AS INT) AS i, unnest(o) AS v FROM iv WHERE len(o) = len(x)""",
     "residual_histogram": f"WITH {LAGS} SELECT plane_idx, (v - ({GUESS['gradient']})) & 255 AS sym, count(*) AS n FROM lg GROUP BY ALL",
     "entropy_by_predictor": f"WITH {FIRST_ROWS} SELECT predictor, frame_no, plane_idx, round(bits, 4) AS bits FROM bits",
     "choose_predictor": f"""WITH {FIRST_ROWS}, p AS (PIVOT bits ON predictor IN ('none', 'left', 'gradient', 'median') USING first(bits)), q AS (SELECT *, CASE WHEN median + 1e-6 < gradient THEN 'median' ELSE 'gradient' END AS n1, CASE WHEN median + 1e-6 < gradient THEN median ELSE gradient END AS b1 FROM p),

@@ -43,3 +43,12 @@ def test_no_rows(spark):
 
     none = spark.createDataFrame([], "s int, i int, v int")
     assert tiles.residual(none, "median", 5, ["s"]).count() == 0 and tiles.inverse_gradient(none.withColumnRenamed("v", "residual"), 5, ["s"]).count() == 0
+
+
+@pytest.mark.parametrize(("width", "heights"), [(9, (1, 2, 30)), (1, (1, 2, 40)), (50, (17, 3))])
+def test_the_medians_inverse_as_a_fold(spark, width, heights):
+    from slicewise.operators import predict
+
+    px = pixels(spark, [(width, h) for h in heights])
+    res = predict.residual(px, "median", width, ["s"]).drop("v")
+    assert sorted(map(tuple, predict.inverse_median(res, width, ["s"]).select("s", "i", "v").collect())) == sorted(map(tuple, px.collect()))
