@@ -75,6 +75,12 @@ def plane_width(fourcc: Column, idx: Column, width: Column) -> Column:
     return F.when(~fourcc.isin("ULY0", "ULY2") | (idx == 0), width).when(idx > 2, F.lit(0)).otherwise(F.shiftright(width, 1)).cast("int")
 
 
+def plane_size(fourcc: str, idx: int, width: int, height: int) -> tuple[int, int]:
+    """Width and height of a plane of a known layout."""
+    shift = LAYOUTS[fourcc][1] if idx in (1, 2) else (0, 0)
+    return width >> shift[0], height >> shift[1]
+
+
 def plane_height(fourcc: Column, idx: Column, height: Column) -> Column:
     return F.when(~fourcc.isin("ULY0", "ULY2") | (idx == 0), height).when(idx > 2, F.lit(0)).when(fourcc == "ULY0", F.shiftright(height, 1)).otherwise(height).cast("int")
 

@@ -440,6 +440,26 @@ def late_config(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.pixels_of(out, W).unionByName(bad)
 
 
+LATERAL = "SELECT frame_no, x.* FROM {packets}, LATERAL %s(chunk, fourcc, width, height, num_slices) x"
+
+
+def slices_lateral(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Slices of payloads by a table function."""
+    from ..streaming.session import register
+
+    register(spark)
+    out = spark.sql(LATERAL % "frame_slices", packets=coded(li_frames(spark, sf_dir, "ULY4", 1)))
+    return out.select("frame_no", "plane_idx", "slice_idx", "row_start", "row_end", F.col("pixels").alias("pixel_count"))
+
+
+def pixels_lateral(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Samples of payloads by a table function."""
+    from ..streaming.session import register
+
+    register(spark)
+    return spark.sql(LATERAL % "frame_pixels", packets=coded(li_frames(spark, sf_dir, "ULRG", 3)))
+
+
 def connector_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Packets written as frame bodies in two writes, read as a stream and, the streams of even heights, as a table, and decoded."""
     from ..sources import connector
@@ -472,7 +492,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     **{f"stretch_symbols_{p}": stretch_query(p) for p in ("none", "gradient")},
     **{f"tiled_residual_{p}": tiled_residual_query(p) for p in ("left", "gradient", "median")},
     **{f"tiled_inverse_{p}": tiled_inverse_query(p) for p in ("left", "gradient")},
-    **{f.__name__: f for f in (embeddings_roundtrip, layout_identities, slice_layout, malformed_taxonomy, stride_repack, stride_errors, wire_bytes, plane_statistics, slice_extents, stream_parameters, sql_roundtrip, stream_roundtrip, late_config, packed_words, packed_frames, connector_roundtrip)},
+    **{f.__name__: f for f in (embeddings_roundtrip, layout_identities, slice_layout, malformed_taxonomy, stride_repack, stride_errors, wire_bytes, plane_statistics, slice_extents, stream_parameters, sql_roundtrip, stream_roundtrip, late_config, packed_words, packed_frames, connector_roundtrip, slices_lateral, pixels_lateral)},
 }
 LITTLE = "substr({0}, 7, 2) || substr({0}, 5, 2) || substr({0}, 3, 2) || substr({0}, 1, 2)"
 #: Of two samples the larger has the bit 0; bits fill 32-bit words from the top, words are little-endian; an only sample has no bits.
@@ -535,10 +555,10 @@ CASE m WHEN 1 THEN 'ExtradataTruncated' WHEN 2 THEN 'InvalidFrameInfoSize' WHEN
 SELECT o_orderkey, CASE WHEN good THEN data END AS data, CASE WHEN good THEN variant END AS variant, CASE WHEN good THEN version ELSE -1 END AS version, CASE WHEN good THEN num_slices ELSE -1 END AS num_slices FROM r""",
     "frame_info_predictor": "SELECT o_orderkey, CAST(((o_orderkey * 12345 % 4294967296) >> 8) & 3 AS INT) AS predictor, CAST((((o_orderkey * 12345 % 4294967296) >> 8) & 3) << 8 AS BIGINT) AS frame_info FROM orders",
     "sample_geometry": SAMPLE_GEOMETRY,
-    **{q: ALPHA_SQL if "ulra" in q else PLANES_SQL for q in QUERIES if q.startswith("roundtrip_") or q in ("stream_roundtrip", "sql_roundtrip")},
+    **{q: ALPHA_SQL if "ulra" in q else PLANES_SQL for q in QUERIES if q.startswith("roundtrip_") or q in ("stream_roundtrip", "sql_roundtrip", "pixels_lateral")},
     "embeddings_roundtrip": f"WITH {EMB} SELECT frame_no, k AS plane_idx, r, c, v FROM ep, (SELECT unnest([0, 1, 2]) AS k)",
     "layout_identities": f"WITH {LI} SELECT frame_no, CAST(count(*) * 3 AS BIGINT) AS total_pixels, true AS size_is_length, true AS complete FROM px GROUP BY frame_no",
-    "slice_layout": f"WITH {LI}, f AS (SELECT DISTINCT frame_no, h, least({P.SLICES}, h) AS n FROM px), s AS (SELECT frame_no, h, n, unnest(range(n)) AS s FROM f), p AS (SELECT frame_no, unnest([0, 1, 2]) AS plane_idx, CAST(s AS INT) AS slice_idx, CAST(h * s // n AS INT) AS row_start, CAST(h * (s + 1) // n AS INT) AS row_end FROM s) SELECT *, CAST((row_end - row_start) * {W} AS BIGINT) AS pixel_count FROM p",
+    **dict.fromkeys(("slice_layout", "slices_lateral"), f"WITH {LI}, f AS (SELECT DISTINCT frame_no, h, least({P.SLICES}, h) AS n FROM px), s AS (SELECT frame_no, h, n, unnest(range(n)) AS s FROM f), p AS (SELECT frame_no, unnest([0, 1, 2]) AS plane_idx, CAST(s AS INT) AS slice_idx, CAST(h * s // n AS INT) AS row_start, CAST(h * (s + 1) // n AS INT) AS row_end FROM s) SELECT *, CAST((row_end - row_start) * {W} AS BIGINT) AS pixel_count FROM p"),
     "malformed_taxonomy": f"WITH {LI}, f AS (SELECT DISTINCT frame_no FROM px), v AS (SELECT frame_no, CASE frame_no % 6 WHEN 0 THEN 'MissingFrameInfo' WHEN 1 THEN 'ChunkTooShort' WHEN 2 THEN 'MultipleSingleSymbolSentinels' WHEN 3 THEN 'SliceNotWordAligned' WHEN 4 THEN 'ChunkTooShort' END AS variant FROM f) SELECT frame_no, variant, CASE WHEN variant IS NOT NULL THEN 'MalformedStream' END AS category, CASE frame_no % 6 WHEN 0 THEN 'the payload is too short for the word that ends it' WHEN 1 THEN 'the payload ends early: 256 bytes are due at 0, 196 are left' WHEN 2 THEN 'more than one symbol claims to be the only one' WHEN 3 THEN 'a slice ends at byte 1, which is not a whole number of 32-bit words' END AS message FROM v",
     "wire_bytes": f"WITH {BITS} SELECT frame_no, string_agg(ds || ends || data, '' ORDER BY plane_idx) || '00000000' AS chunk FROM pp GROUP BY frame_no",
     "plane_statistics": f"""WITH {BITS} SELECT frame_no, plane_idx, ofs AS descriptor_start, ofs + 256 AS end_offsets_start, ofs + 256 + 4 * ns AS slice_data_start, total AS slice_data_total, CAST(lo = hi AS INT) AS zero_count, CASE WHEN lo = hi THEN 255 ELSE 254 END AS absent_count,

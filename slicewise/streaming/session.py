@@ -6,7 +6,7 @@ session objects keep the send, receive and flush order of a codec for callers th
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -42,12 +42,16 @@ def register(spark: SparkSession) -> dict:
 
     frame_info_predictor(x), encode_frame(fourcc, width, height, predictor, num_slices, planes), decode_frame(chunk, fourcc,
     width, height, num_slices), which gives planes, predictor and the variant of its error, and payload_layout of the same.
-    A frame that cannot be encoded, and a payload without a layout, give null.
+    A frame that cannot be encoded, and a payload without a layout, give null. Beside them the table functions frame_slices and
+    frame_pixels of a payload's five arguments, for LATERAL joins: a row for each slice, and for each sample; a payload that cannot be
+    read has none.
     """
     spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION frame_info_predictor(x BIGINT) RETURNS INT RETURN CAST(shiftright(x, 8) & 3 AS INT)")
     for name, (one, ddl) in FUNCTIONS.items():
         spark.udf.register(name, _by_row(spark, one, ddl))
-    return CODEC | {"functions": ["frame_info_predictor", *FUNCTIONS]}
+    for name, (handler, ddl) in TABLES.items():
+        spark.udtf.register(name, F.udtf(handler, returnType=ddl, useArrow=True))  # Spark does not join Arrow table functions laterally
+    return CODEC | {"functions": ["frame_info_predictor", *FUNCTIONS, *TABLES]}
 
 
 def _by_row(spark: SparkSession, one: Callable, ddl: str):
@@ -89,6 +93,30 @@ FUNCTIONS = {
 }
 
 
+class FrameSlices:
+    """Table function: a payload's slices, from its own table; their bits are not read."""
+
+    def eval(self, chunk: bytes, fourcc: str, width: int, height: int, num_slices: int) -> Iterator[tuple]:
+        for p in _layout(chunk, fourcc, width, height, num_slices) or ():
+            for s in p["slices"]:
+                yield p["plane_idx"], s["slice_idx"], s["start"], s["end"], s["row_start"], s["row_end"], (s["row_end"] - s["row_start"]) * p["width"]
+
+
+class FramePixels:
+    """Table function: a payload's samples, plane by plane."""
+
+    def eval(self, chunk: bytes, fourcc: str, width: int, height: int, num_slices: int) -> Iterator[tuple]:
+        for k, plane in enumerate(codec.decode_one(chunk, fourcc, width, height, num_slices)["planes"] or ()):
+            wide = max(1, S.plane_size(fourcc, k, width, height)[0])
+            yield from ((k, *divmod(at, wide), v) for at, v in enumerate(plane))
+
+
+TABLES = {
+    "frame_slices": (FrameSlices, "plane_idx int, slice_idx int, start bigint, end bigint, row_start int, row_end int, pixels bigint"),
+    "frame_pixels": (FramePixels, "plane_idx int, r int, c int, v int"),
+}
+
+
 def decoder_parameters(params: DataFrame) -> DataFrame | None:
     """(stream_id, fourcc, width, height, num_slices) of the streams that are complete, or None if none is; raises the message of
     parameters that contradict each other. params: (stream_id, fourcc, width, height, extradata), or with num_slices as they are."""
@@ -187,7 +215,9 @@ class EncoderSession(Session):
         if self._pending is not None:
             raise RuntimeError("receive must be called before sending again")
         if self._params is not None:
-            frames = frames.drop(*codec.PARAMETERS).join(self._params.select("stream_id", *codec.PARAMETERS), "stream_id")
+            frames = frames.drop(*codec.PARAMETERS).join(self._params.select("stream_id", *codec.PARAMETERS), "stream_id", "left")
+            if bad := frames.where(F.col("fourcc").isNull()).select("stream_id").first():
+                raise ValueError(f"stream {bad[0]} has no parameters")
         if "strides" in frames.columns:
             frames = repacked(frames)
             _refuse(frames, "stride_error")

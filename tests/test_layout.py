@@ -35,3 +35,35 @@ def test_no_python_in_the_scan(spark):
 
     plan = layout.frame_layout(damaged(spark))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_table_functions(spark):
+    """LATERAL rows of slices and of samples; a payload that cannot be read has none."""
+    from slicewise.operators import codec
+    from slicewise.streaming.session import register
+
+    assert {"frame_slices", "frame_pixels"} <= set(register(spark)["functions"])
+    packets = damaged(spark)
+    slices = spark.sql("SELECT frame_no, x.* FROM {p}, LATERAL frame_slices(chunk, fourcc, width, height, num_slices) x", p=packets).collect()
+    want = {r.frame_no: r.layout for r in codec.parsed(packets, codes=False).where("error is null").collect()}
+    assert sorted((r.frame_no, r.plane_idx, r.slice_idx, r.start, r.end, r.pixels) for r in slices) == sorted((k, p.plane_idx, s.slice_idx, s.start, s.end, (s.row_end - s.row_start) * p.width) for k, ps in want.items() for p in ps for s in p.slices)
+    pixels = spark.sql("SELECT frame_no, x.* FROM {p}, LATERAL frame_pixels(chunk, fourcc, width, height, num_slices) x", p=packets.where("frame_no % 100 = 0")).collect()
+    got = {}
+    for r in sorted(pixels, key=lambda r: (r.frame_no, r.plane_idx, r.r, r.c)):
+        got.setdefault((r.frame_no, r.plane_idx), bytearray()).append(r.v)
+    for r in codec.decode(packets.where("frame_no % 100 = 0").selectExpr("*", "0L AS pts")).where("error is null").collect():
+        assert [bytes(got[r.frame_no, k]) for k in range(len(r.planes))] == [bytes(p) for p in r.planes]
+
+
+def test_frames_of_unknown_streams_are_refused(spark):
+    import pytest
+
+    from slicewise.streaming.session import EncoderSession
+
+    params = spark.createDataFrame([("a", "ULY4", None, 4, 2, None)], "stream_id string, tag string, pixel_format string, width int, height int, extradata binary")
+    frames = spark.createDataFrame([("a", 1, [b"\0" * 8] * 3), ("b", 2, [b"\0" * 8] * 3)], "stream_id string, frame_no long, planes array<binary>")
+    with pytest.raises(ValueError, match="stream b has no parameters"):
+        EncoderSession(2, params).send_frame(frames)
+    session = EncoderSession(2, params)
+    session.send_frame(frames.where("frame_no = 1"))
+    assert session.receive_packet().count() == 1
