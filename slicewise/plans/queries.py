@@ -440,6 +440,40 @@ def late_config(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.pixels_of(out, W).unionByName(bad)
 
 
+#: Slices (plane, slice) of a payload whose last word gets its lowest bit set, by the frame's number modulo 3.
+DAMAGED = [[], [(1, 2)], [(2, 1), (0, 3)]]
+
+
+def strict_padding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Payloads of two-valued planes with set bits behind the codes of one slice or two, decoded strictly by slices: the first error."""
+    packets = binary_packets(spark, sf_dir).select(*codec.KEY, "pts", *codec.PARAMETERS, "chunk")
+    slices = layout.slice_layout(layout.frame_layout(packets)).where("len > 0")
+    hit = F.lit(False)
+    for k, some in enumerate(DAMAGED):
+        for p, x in some:
+            hit = hit | ((F.col("frame_no") % 3 == k) & (F.col("plane_idx") == p) & (F.col("slice_idx") == x))
+    at = slices.where(hit).groupBy(*codec.KEY).agg(F.collect_list((F.col("end") - 4).cast("int")).alias("at"))  # two places
+    put = lambda x, k: F.concat(F.substring(x, F.lit(1), k), F.lit(b"\1"), F.substring(x, k + 2, F.octet_length(x)))
+    bad = packets.join(at, codec.KEY, "left").withColumn("chunk", F.when(F.col("at").isNull(), F.col("chunk")).otherwise(F.aggregate("at", F.col("chunk"), put)))
+    e = F.col("error")
+    return codec.decode(bad.drop("at"), strict=True, by_slice=True).select("frame_no", e["variant"].alias("variant"), *(F.coalesce(e["fields"][c], F.lit(-1)).alias(c) for c in ("plane", "slice", "bit_position")))
+
+
+def kraft_incomplete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first plane's code of one bit for each of two symbols, with a longer code for one of them, or a third symbol of one bit."""
+    x, k = F.col("chunk"), F.col("frame_no") % 3
+    two = F.substring(x, 1, 2) == F.lit(b"\1\1")
+    bad = F.when(two & (k == 1), F.concat(F.lit(b"\1\2"), F.substring(x, F.lit(3), F.octet_length(x)))).when(two & (k == 2), F.concat(F.lit(b"\1\1\1"), F.substring(x, F.lit(4), F.octet_length(x)))).otherwise(x)
+    planes = layout.plane_layout(layout.frame_layout(binary_packets(spark, sf_dir).withColumn("chunk", bad))).where("plane_idx = 0")
+    return planes.select("frame_no", "kraft_numerator", "is_kraft_complete", "active_symbol_count", F.coalesce("max_code_length", F.lit(0)).alias("max_code_length"))
+
+
+def slices_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Large frames of 16 slices, encoded and decoded slice by slice."""
+    packets = codec.encode(P.large_frames(spark, sf_dir, 3, 16), by_slice=True).withColumn("pts", F.col("frame_no"))
+    return P.pixels_of(codec.decode(packets, strict=True, by_slice=True), P.LARGE_WIDTH)
+
+
 LATERAL = "SELECT frame_no, x.* FROM {packets}, LATERAL %s(chunk, fourcc, width, height, num_slices) x"
 
 
@@ -492,7 +526,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     **{f"stretch_symbols_{p}": stretch_query(p) for p in ("none", "gradient")},
     **{f"tiled_residual_{p}": tiled_residual_query(p) for p in ("left", "gradient", "median")},
     **{f"tiled_inverse_{p}": tiled_inverse_query(p) for p in ("left", "gradient")},
-    **{f.__name__: f for f in (embeddings_roundtrip, layout_identities, slice_layout, malformed_taxonomy, stride_repack, stride_errors, wire_bytes, plane_statistics, slice_extents, stream_parameters, sql_roundtrip, stream_roundtrip, late_config, packed_words, packed_frames, connector_roundtrip, slices_lateral, pixels_lateral)},
+    **{f.__name__: f for f in (embeddings_roundtrip, layout_identities, slice_layout, malformed_taxonomy, stride_repack, stride_errors, wire_bytes, plane_statistics, slice_extents, stream_parameters, sql_roundtrip, stream_roundtrip, late_config, packed_words, packed_frames, connector_roundtrip, slices_lateral, pixels_lateral, strict_padding, kraft_incomplete, slices_roundtrip)},
 }
 LITTLE = "substr({0}, 7, 2) || substr({0}, 5, 2) || substr({0}, 3, 2) || substr({0}, 1, 2)"
 #: Of two samples the larger has the bit 0; bits fill 32-bit words from the top, words are little-endian; an only sample has no bits.
@@ -517,6 +551,13 @@ sp AS (SELECT frame_no, plane_idx, string_agg({LITTLE.format("printf('%08X', e)"
 al AS (SELECT frame_no, plane_idx, sym, code_len FROM hl UNION ALL SELECT frame_no, plane_idx, any_value(sym), 0 FROM hist GROUP BY ALL HAVING count(*) = 1),
 ds AS (SELECT frame_no, plane_idx, string_agg(printf('%02X', coalesce(code_len, 255)), '' ORDER BY s) AS ds FROM (SELECT DISTINCT frame_no, plane_idx, unnest(range(256)) AS s FROM pl) LEFT JOIN (SELECT frame_no, plane_idx, sym AS s, code_len FROM al) USING (frame_no, plane_idx, s) GROUP BY ALL)"""
 ORACLES: dict[str, str] = {
+    "strict_padding": f"""WITH {BITS}, dm AS (SELECT * FROM (VALUES {', '.join(f'({k}, {p}, {x})' for k, some in enumerate(DAMAGED) for p, x in some)}) AS t(k, plane_idx, sl)),
+nn AS (SELECT frame_no, plane_idx, sl, count(*) AS n FROM b1 GROUP BY ALL), er AS (SELECT frame_no, plane_idx AS plane, sl AS slice, (n // 32) * 32 + 31 AS bit_position FROM nn JOIN st USING (frame_no, plane_idx) JOIN dm USING (plane_idx, sl) WHERE frame_no % 3 = k AND lo <> hi AND n % 32 <> 0),
+fe AS (SELECT frame_no, unnest(min({{'plane': plane, 'slice': slice, 'bit_position': bit_position}})) FROM er GROUP BY frame_no)
+SELECT f.frame_no, CASE WHEN plane IS NOT NULL THEN 'NonZeroPadding' END AS variant, CAST(coalesce(plane, -1) AS BIGINT) AS plane, CAST(coalesce(slice, -1) AS BIGINT) AS slice, CAST(coalesce(bit_position, -1) AS BIGINT) AS bit_position FROM (SELECT DISTINCT frame_no FROM px) f LEFT JOIN fe USING (frame_no)""",
+    "kraft_incomplete": f"""WITH {BITS}, k0 AS (SELECT frame_no, CASE WHEN lo = hi THEN -1 ELSE frame_no % 3 END AS k FROM st WHERE plane_idx = 0)
+SELECT frame_no, CASE k WHEN -1 THEN '0' WHEN 0 THEN '2' ELSE '3' END AS kraft_numerator, k <= 0 AS is_kraft_complete, CAST(CASE k WHEN -1 THEN 0 WHEN 2 THEN 3 ELSE 2 END AS INT) AS active_symbol_count, CAST(CASE k WHEN -1 THEN 0 WHEN 1 THEN 2 ELSE 1 END AS INT) AS max_code_length FROM k0""",
+    "slices_roundtrip": f"WITH {LARGE} SELECT frame_no, plane_idx, CAST(i // {P.LARGE_WIDTH} AS INT) AS r, CAST(i % {P.LARGE_WIDTH} AS INT) AS c, v FROM lp",
     "huffman_codes": f"WITH RECURSIVE {CODE_COUNTS}, {HUFFMAN} SELECT frame_no, plane_idx, sym, code_len, code FROM hc",
     "packed_words": f"WITH RECURSIVE {CODE_COUNTS}, {WORDS} SELECT * FROM ww",
     "packed_frames": f"WITH RECURSIVE {CODE_COUNTS.replace(f'({P.SLICES} * (r', f'(least({P.SLICES}, h) * (r').replace(f'slice_idx // {P.SLICES})', f'slice_idx // least({P.SLICES}, h))')}, {CHUNKS} SELECT frame_no, string_agg(ds || ends || data, '' ORDER BY plane_idx) || '00010000' AS chunk FROM sp JOIN ds USING (frame_no, plane_idx) GROUP BY frame_no",
