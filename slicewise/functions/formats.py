@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -152,14 +154,26 @@ def stream_config(params: DataFrame) -> DataFrame:
     return out.withColumn("num_slices", F.when(~missing & F.col("error").isNull(), slice_count(extradata(x)["flags"])))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once, however often body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def encoder_config(params: DataFrame) -> DataFrame:
     """Encoder parameters (tag, pixel_format, width, height, extradata): the tag wins, empty extradata means one slice."""
+    w, h, given = (F.col(c) for c in ("width", "height", "extradata"))
+
+    def of(f: Column) -> Column:
+        data = F.when(given.isNull() | (F.octet_length(given) == 0), build_extradata(f, F.lit(1))).otherwise(given)
+        return let(data, lambda x: let(error(f, x), lambda e: F.struct(f.alias("fourcc"), x.alias("extradata"), e.alias("error"), F.when(e.isNull(), slice_count(u32le(x, 12))).alias("num_slices"))))
+
+    def error(f: Column, x: Column) -> Column:
+        return F.when(f.isNull() | w.isNull() | h.isNull(), E.error("InvalidInput")).otherwise(config_error(f, w, h, x))
+
     fourcc = F.coalesce(F.when(known(F.col("tag")), F.col("tag")), pick(F.col("pixel_format"), PIXEL_FORMATS))
-    data = F.when(F.col("extradata").isNull() | (F.octet_length("extradata") == 0), build_extradata(F.col("fourcc"), F.lit(1))).otherwise(F.col("extradata"))
-    out = params.withColumn("fourcc", fourcc).withColumn("extradata", data)
-    missing = F.col("fourcc").isNull() | F.col("width").isNull() | F.col("height").isNull()
-    out = out.withColumn("error", F.when(missing, E.error("InvalidInput")).otherwise(config_error(F.col("fourcc"), F.col("width"), F.col("height"), F.col("extradata"))))
-    return out.withColumn("num_slices", F.when(F.col("error").isNull(), slice_count(extradata(F.col("extradata"))["flags"])))
+    out = params.withColumn("_c", let(fourcc, of))
+    names = [*params.columns, *(c for c in ("fourcc", "error", "num_slices") if c not in params.columns)]
+    return out.select(*(F.col(f"_c.{c}").alias(c) if c in ("fourcc", "extradata", "error", "num_slices") else F.col(c) for c in names))
 
 
 def row_start(height: Column, slice_idx: Column, n: Column) -> Column:

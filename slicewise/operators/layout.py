@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,11 +27,6 @@ def lengths_of(descriptor: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.lit(256)), lambda k: F.conv(F.hex(F.substring(descriptor, k, F.lit(1))), 16, 10).cast("int"))
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body of a value that is computed once, however often body names it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def statistics(lengths: Column) -> dict[str, Column]:
     """What a descriptor's 256 lengths say, by name, as `codec.statistics` says it."""
     many = lambda k: F.size(F.filter(lengths, lambda n: n == k))
@@ -72,9 +65,9 @@ def scanned(packets: DataFrame) -> DataFrame:
                 (data + last > stop, short(data, last, left(data))),
             )
             plane = F.struct(p.alias("plane_idx"), begin.cast("bigint").alias("offset"), ends.alias("ends"))
-            return let(error, lambda e: F.struct((data + F.coalesce(last, F.lit(0))).cast("bigint").alias("at"), e.alias("error"), F.when(e.isNull(), F.concat(state["planes"], F.array(plane))).otherwise(state["planes"]).alias("planes")))
+            return S.let(error, lambda e: F.struct((data + F.coalesce(last, F.lit(0))).cast("bigint").alias("at"), e.alias("error"), F.when(e.isNull(), F.concat(state["planes"], F.array(plane))).otherwise(state["planes"]).alias("planes")))
 
-        return F.when(state["error"].isNotNull(), state).otherwise(let(ends, with_ends))
+        return F.when(state["error"].isNotNull(), state).otherwise(S.let(ends, with_ends))
 
     bad = E.first_of((chunk.isNull() | ~S.known(f) | F.col("width").isNull() | F.col("height").isNull() | n.isNull(), E.error("InvalidInput")), (stop < 0, E.error("MissingFrameInfo")))
     none = F.array().cast("array<struct<plane_idx:int,offset:bigint,ends:array<bigint>>>")
@@ -93,7 +86,7 @@ def scanned(packets: DataFrame) -> DataFrame:
         )
         descriptor = F.substring(chunk, (x["offset"] + 1).cast("int"), F.lit(256))
         head = [x["plane_idx"].alias("plane_idx"), S.plane_label(f, x["plane_idx"]).alias("label"), pw.alias("width"), ph.alias("height"), x["offset"].alias("offset"), tables.alias("end_offsets_start"), data.alias("slice_data_start"), descriptor.alias("descriptor"), F.transform(x["ends"], part).alias("slices")]
-        return let(lengths_of(descriptor), lambda d: F.struct(*head, *(c.alias(name) for name, c in statistics(d).items())))
+        return S.let(lengths_of(descriptor), lambda d: F.struct(*head, *(c.alias(name) for name, c in statistics(d).items())))
 
     good = F.col("error").isNull()
     out = out.withColumn("layout", F.when(good, F.transform("_w.planes", plane)).cast(f"array<{PLANE}>")).withColumn("frame_info", F.when(good, S.u32le(chunk, stop)))

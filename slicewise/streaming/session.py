@@ -137,8 +137,9 @@ def encoder_parameters(params: DataFrame) -> DataFrame:
 
 
 def _refuse(rows: DataFrame, error: str = "error") -> None:
-    if bad := rows.where(F.col(error).isNotNull()).select(E.message(F.col(error))).first():
-        raise ValueError(bad[0])
+    if bad := rows.where(F.col(error).isNotNull()).select(F.col(error).cast(E.ERROR).alias("error")).first():
+        one = rows.sparkSession.createDataFrame([bad], f"error {E.ERROR}")  # its text is made apart: together the expressions outgrow a class
+        raise ValueError(one.select(E.message(F.col("error"))).first()[0])
 
 
 class NeedMore(Exception):
