@@ -61,6 +61,8 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dic
         for batch in batches:
             if batch.num_rows and (out := f(batch)) is not None:
                 yield as_batch(out, fields)
+            batch = out = None
+        pa.default_memory_pool().release_unused()  # workers stay for later stages
 
     return df.mapInArrow(run, schema)
 
