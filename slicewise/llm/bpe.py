@@ -13,7 +13,7 @@ piece travels once per block, not once per occurrence, so a very common one is n
 than a block's share of one part.
 
 Defined cases: null or empty text gives no ids; a very long piece (a text without a break) is one piece like others; rows that
-repeat are encoded each; an empty table gives no rows; other columns of the input are kept by `encode` (which replaces those
+repeat are encoded each; of equal ranks (a file has none) the leftmost pair is merged first; an empty table gives no rows; other columns of the input are kept by `encode` (which replaces those
 named as its outputs) and by `decode`; a rank file that lacks a byte is refused.
 """
 

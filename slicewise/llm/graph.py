@@ -1,4 +1,8 @@
-"""Connected components of a table of links."""
+"""Connected components of a table of links.
+
+Defined cases: a link to itself makes a node of its own; repeated links count once; a link with a null end joins nothing, null is then a node
+without label; no links give no nodes.
+"""
 
 from __future__ import annotations
 

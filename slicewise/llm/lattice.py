@@ -16,7 +16,8 @@ distinct word once and answers each block. So a word travels once per block that
 are no different from others. The driver sees the vocabulary's probabilities (as many as pieces) and corpus totals.
 
 Defined cases: null text is only an end; a table without training documents gives uniform pieces and base scores of log10(1);
-repeated rows count each; null doc_id is in no held-out set (its hash is of no text, so it trains); an empty table gives no rows.
+repeated rows count each; null doc_id is in no held-out set (its hash is of no text, so it trains); very long texts are taken whole; only doc_id and text are read of
+documents; an empty table gives no rows.
 """
 
 from __future__ import annotations

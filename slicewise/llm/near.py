@@ -17,8 +17,9 @@ compares signatures alone and names the pairs that match, whose sets are then fe
 read again with the sets themselves, so that a pair's two sets are never sent for each of a group's many pairs.
 
 Defined cases: a null or wordless text has no shingles and no links; fewer words than `width` are one shingle; doc_id names a
-document, so rows that repeat one are linked through it; a row with null doc_id has a null component and is kept; an empty
-table gives no rows.
+document, so rows that repeat one are linked through it; a row with null doc_id has a null component and is kept; very long texts
+are taken whole; a pair just at the threshold is linked; `one_of_each` keeps columns that bear an output's name; an empty table
+gives no rows.
 """
 
 from __future__ import annotations

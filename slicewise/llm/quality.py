@@ -8,7 +8,9 @@ and a host's toward the global rate; how strongly is estimated from the spread o
 odds are then multiplied by its path's posterior odds over the global odds.
 
 Defined cases: null text has no words; null host or path is a site of its own; without labels of both kinds the evidence is
-neutral and nothing is rejected; repeated rows are scored alike; an empty table gives no rows.
+neutral and nothing is rejected; repeated rows are scored alike; very long texts are taken whole; words that tell equally much are taken
+in their order, a document just at the threshold is rejected; columns of documents that bear an output's name are kept by `keep_good` and not
+read by `classify`; an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -20,7 +20,7 @@ Digests of phrases, and the hashes of suffixes that are dealt out, cover every b
 
 Order: doc_id (null last), then block, then place. Defined cases: null text is empty; texts under `length` bytes have no
 repeats; a very long text is a block of its own and is parsed by stretches; repeated rows are repeats of the first; rows of one
-doc_id count in the order of their blocks; an empty table gives no rows.
+doc_id count in the order of their blocks; only doc_id and text are read of documents; an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -8,7 +8,8 @@ ordered conditional expression (CASE WHEN rule THEN its number ...), which Spark
 Rules are learned from at most `sample` labelled rows, those of smallest hash of doc_id; all else covers all rows.
 
 Defined cases: a null or wordless text has zeros and fails the base rule; without labels of both kinds there are no rules and
-the base rule alone decides; labels that are null are not used; an empty table gives no rows.
+the base rule alone decides; labels that are null are not used; very long texts are taken whole; of rules that cover a document the
+first counts, repeated rows are judged alike; only doc_id and text are read of documents; an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -10,7 +10,8 @@ group, only sums within that distance are read. `WAYS` capacities are tried in e
 a few passes. Only those answers reach the driver. Slots are numbered by (group, salt): a group of copies is dealt over salts.
 
 Defined cases: null text has size 1 and stands with empty texts; rows that repeat get slots of their own; an empty table gives
-no rows; fewer groups than shards leave the last shards empty.
+no rows; fewer groups than shards leave the last shards empty; texts of any length count whole; rows of one text and doc_id take slots in
+any order; only doc_id and text are read of documents.
 """
 
 from __future__ import annotations

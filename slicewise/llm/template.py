@@ -21,7 +21,9 @@ pages of a large host.
 
 Defined cases: null html gives an empty text; a null or odd url is a host of its own kind (empty name); a host with fewer than
 `LEAST` distinct pages has no template; pages of one main text count once for the template, by the least of them; repeated rows
-get the same text; an empty table gives no rows; further columns of pages are left behind.
+get the same text; very long pages are read whole; an empty table gives no rows; further columns of pages are left behind. An article in a
+closed aside, comment list or the like stays out, one behind an element that was just left open does not; inline adverts and buttons leave their
+paragraph.
 """
 
 from __future__ import annotations
