@@ -34,6 +34,8 @@ SAMPLE, FOLDS, WINDOWS = 20_000, 5, 40_000
 SUPPORT, TELLING = 3, 4.5
 #: Bytes of the dictionaries of toxic and of ordinary text, words of a stretch that trains them.
 TOXIC_BYTES, ORDINARY_BYTES, STRETCH_WORDS = 8192, 32_768, 16
+#: Bytes of the segments and of their parts that the toxic dictionary is covered by; zstandard's own search for them ends with a smaller dictionary.
+COVER = {"k": 48, "d": 8}
 #: Most bytes of a window, times that it is laid down, and windows whose cells a task remembers.
 STRETCH, LAID, MEMORY = 30, 3, 400_000
 #: Lengths in a cell end here; a cell that fewer documents have says nothing.
@@ -56,10 +58,10 @@ def windows(text: bytes) -> set[bytes]:
     return words
 
 
-def trained(samples: list[bytes], size: int) -> bytes:
+def trained(samples: list[bytes], size: int, **how: int) -> bytes:
     """A dictionary of at most size bytes; the end of the samples themselves where they are too few to train on."""
     try:
-        return zstandard.train_dictionary(size, samples).as_bytes()
+        return zstandard.train_dictionary(size, samples, **how).as_bytes()
     except zstandard.ZstdError:
         return b"".join(samples)[-size:]
 
@@ -153,7 +155,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     toxic_text, ordinary_text = stretches(marked), stretches(seen.where("toxic = 0").select("words"))
     if not toxic_text or not ordinary_text:
         return Model(share)
-    model = Model(share, trained(toxic_text, TOXIC_BYTES), trained(ordinary_text, ORDINARY_BYTES))
+    model = Model(share, trained(toxic_text, TOXIC_BYTES, **COVER), trained(ordinary_text, ORDINARY_BYTES))
 
     def in_cells():
         distance = Distance(model.toxic, model.ordinary)
