@@ -2,9 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql.types import StructField, StructType
 
+#: Rows of frames or slices that Arrow functions take from a batch at a time.
+ROWS = 256
+
 
 def plus(schema: StructType, ddl: str, without: tuple[str, ...] = ()) -> StructType:
     """A new schema: the fields of one, but for some, and then those of a DDL string."""
     return StructType([StructField(f.name, f.dataType, True) for f in schema if f.name not in without] + StructType.fromDDL(ddl).fields)
+
+
+def few(batches: Iterator[pa.RecordBatch], rows: int = ROWS) -> Iterator[pa.RecordBatch]:
+    """The batches in stretches of some rows, so that what is made of them as Python objects stays small."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)

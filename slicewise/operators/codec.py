@@ -9,6 +9,7 @@ and fail no task.
 
 from __future__ import annotations
 
+import struct
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -19,8 +20,8 @@ from pyspark.sql import functions as F
 
 from ..functions import errors as E
 from ..functions import formats as S
-from ..functions.schemas import plus
-from . import kernels
+from ..functions.schemas import few, plus
+from . import kernels, together
 
 KEY = ["stream_id", "frame_no"]
 ERROR_ARROW = pa.struct([("variant", pa.string()), ("fields", pa.map_(pa.string(), pa.int64()))])
@@ -48,7 +49,7 @@ def rgb(frames: DataFrame, inverse: bool) -> DataFrame:
     """frames with their planes put through `rgb_planes`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in few(batches):
             out = [rgb_planes(f, p, inverse) for f, p in zip(batch["fourcc"].to_pylist(), batch["planes"].to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.binary())) if c == "planes" else batch[c] for c in batch.schema.names], names=batch.schema.names)
 
@@ -74,7 +75,7 @@ def predicted(slices: DataFrame) -> DataFrame:
     names = [f.name for f in schema]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in few(batches):
             res = [None if x is None else kernels.residuals(p, np.frombuffer(x, np.uint8), w).tobytes() for p, x, w in zip(*(batch[c].to_pylist() for c in ("predictor", "samples", "pw")), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(res, pa.binary()) if c == "residual" else batch[c] for c in names], names=names)
 
@@ -88,14 +89,28 @@ def plane_blob(residuals: list[np.ndarray]) -> bytes:
     return b"".join([d.tobytes(), np.cumsum([len(x) for x in data]).astype("<u4").tobytes(), *data])
 
 
+def plane_blobs(planes: list[list[bytes]]) -> list[bytes]:
+    """`plane_blob` of each; small planes are packed together."""
+    size = [sum(map(len, x)) for x in planes]
+    own = [n <= together.SMALL and all(map(len, x)) for n, x in zip(size, planes, strict=True)]
+    out = [None if few_ else plane_blob([np.frombuffer(r, np.uint8) for r in x]) for few_, x in zip(own, planes, strict=True)]
+    small = [k for k, few_ in enumerate(own) if few_]
+    for some in together.groups([size[k] for k in small]) if small else ():
+        slices = [(p, r) for p, i in enumerate(some) for r in planes[small[i]]]
+        made = together.blobs(np.frombuffer(b"".join(r for _, r in slices), np.uint8), np.array([len(r) for _, r in slices]), np.array([p for p, _ in slices]), len(some))
+        for i, x in zip(some, made, strict=True):
+            out[small[i]] = x
+    return out
+
+
 def packed(planes: DataFrame) -> DataFrame:
     """planes with blob in place of their slices."""
     schema = plus(planes.schema, "blob binary", without=("slices",))
     names = [f.name for f in schema]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            blobs = [plane_blob([np.frombuffer(s["residual"] or b"", np.uint8) for s in slices]) for slices in batch["slices"].to_pylist()]
+        for batch in few(batches):
+            blobs = plane_blobs([[s["residual"] or b"" for s in slices] for slices in batch["slices"].to_pylist()])
             yield pa.RecordBatch.from_arrays([pa.array(blobs, pa.binary()) if c == "blob" else batch[c] for c in names], names=names)
 
     return planes.mapInArrow(run, schema)
@@ -125,9 +140,11 @@ def encode(frames: DataFrame, by_slice: bool = False) -> DataFrame:
     names = [f.name for f in schema]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in few(batches):
             rows = zip(*(batch[c].to_pylist() for c in ("fourcc", "width", "height", "predictor", "num_slices", "planes")), batch["error"].is_null().to_pylist(), strict=True)
-            chunks = [encode_one(*row) if good else None for *row, good in rows]
+            rows = list(rows)
+            made = iter(encode_many([row for *row, good in rows if good]))
+            chunks = [next(made) if good else None for *_, good in rows]
             yield pa.RecordBatch.from_arrays([pa.array(chunks, pa.binary()) if c == "chunk" else batch[c] for c in names], names=names)
 
     return checked.mapInArrow(run, schema)
@@ -194,7 +211,7 @@ def parsed(packets: DataFrame, codes: bool = True) -> DataFrame:
     kind = to_arrow_schema(schema).field("layout").type
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in few(batches):
             layout, info, errors = [], [], []
             for row in zip(*(batch[c].to_pylist() for c in ("chunk", "fourcc", "width", "height", "num_slices")), strict=True):
                 try:
@@ -224,6 +241,99 @@ def encode_one(fourcc: str, width: int, height: int, predictor: int, num_slices:
     return b"".join([*out, (predictor << 8).to_bytes(4, "little")])
 
 
+def samples_in(fourcc: str, width: int, height: int) -> list[tuple[int, int]]:
+    """(width, height) of a frame's planes."""
+    labels, shift, _ = S.LAYOUTS[fourcc]
+    return [(width >> shift[0], height >> shift[1]) if p in (1, 2) else (width, height) for p in range(len(labels))]
+
+
+def encode_many(frames: list[tuple]) -> list[bytes]:
+    """`encode_one` of each; small frames are encoded together."""
+    size = [sum(map(len, f[5])) for f in frames]
+    out = [encode_one(*f) if n > together.SMALL else None for f, n in zip(frames, size, strict=True)]
+    small = [k for k, x in enumerate(out) if x is None]
+    for some in together.groups([size[k] for k in small]) if small else ():
+        slices, sizes, plane, planes, alike = [], [], [], 0, defaultdict(list)
+        for k in (small[i] for i in some):
+            fourcc, width, height, predictor, n, given = frames[k]
+            for (pw, ph), x in zip(samples_in(fourcc, width, height), rgb_planes(fourcc, list(given), inverse=False), strict=True):
+                rows = [ph * s // n * pw for s in range(n + 1)]
+                for a, b in zip(rows, rows[1:], strict=False):
+                    alike[predictor, pw].append(len(slices))
+                    slices.append(x[a:b])
+                    sizes.append(b - a)
+                plane += [planes] * n
+                planes += 1
+        sizes = np.array(sizes)
+        begins = np.cumsum(sizes) - sizes
+        res = np.frombuffer(b"".join(slices), np.uint8).copy()
+        for (predictor, pw), own in alike.items():
+            if predictor:
+                n = sizes[own]
+                at = np.arange(n.sum()) + np.repeat(begins[own] - (np.cumsum(n) - n), n)
+                res[at] = together.residuals(predictor, res[at], pw, np.cumsum(n) - n)
+        made = iter(together.blobs(res, sizes, np.array(plane), planes))
+        for k in (small[i] for i in some):
+            out[k] = b"".join([*(next(made) for _ in S.LAYOUTS[frames[k][0]][0]), (frames[k][3] << 8).to_bytes(4, "little")])
+    return out
+
+
+def cut_up(chunk: bytes | None, fourcc: str | None, width: int | None, height: int | None, num_slices: int | None) -> list[tuple[bytes, list[bytes]]] | None:
+    """Each plane's descriptor and its slices' bytes, or None for what `walk` may refuse."""
+    if None in (chunk, fourcc, width, height, num_slices) or fourcc not in S.LAYOUTS or len(chunk) < 4 or not 1 <= num_slices <= 256:
+        return None
+    planes = samples_in(fourcc, width, height)
+    if min(h for _, h in planes) < num_slices or min(w for w, _ in planes) < 1 or sum(w * h for w, h in planes) > together.SMALL:
+        return None
+    at, stop, out = 0, len(chunk) - 4, []
+    for _ in planes:
+        data = at + 256 + 4 * num_slices
+        if data > stop:
+            return None
+        ends = [0, *struct.unpack_from(f"<{num_slices}I", chunk, at + 256)]
+        if any(b < a or b % 4 for a, b in zip(ends, ends[1:], strict=False)) or data + ends[-1] > stop:
+            return None
+        out.append((chunk[at : at + 256], [chunk[data + a : data + b] for a, b in zip(ends, ends[1:], strict=False)]))
+        at = data + ends[-1]
+    return out if at == stop else None
+
+
+def decode_many(packets: list[tuple], strict: bool = False) -> list[dict]:
+    """`decode_one` of each; small frames are decoded together, but for those that have anything wrong."""
+    cut = [cut_up(*x) for x in packets]
+    out: list[dict | None] = [None] * len(packets)
+    small = [k for k, x in enumerate(cut) if x is not None]
+    for some in together.groups([packets[k][2] * packets[k][3] * len(cut[k]) for k in small]) if small else ():
+        data, sizes, plane, descriptors, places, alike = [], [], [], [], [], defaultdict(list)
+        for k in (small[i] for i in some):
+            chunk, fourcc, width, height, n = packets[k]
+            info = int.from_bytes(chunk[-4:], "little")
+            places.append((k, info, len(data)))
+            for (pw, ph), (d, slices) in zip(samples_in(fourcc, width, height), cut[k], strict=True):
+                rows = [ph * s // n * pw for s in range(n + 1)]
+                for a, b, x in zip(rows, rows[1:], slices, strict=False):
+                    alike[info >> 8 & 3, pw, b - a].append(len(data))
+                    data.append(x)
+                    sizes.append(b - a)
+                plane += [len(descriptors)] * n
+                descriptors.append(d)
+        sizes = np.array(sizes)
+        begins = np.cumsum(sizes) - sizes
+        v, good = together.read(data, sizes, np.array(plane), np.frombuffer(b"".join(descriptors), np.uint8).reshape(-1, 256), strict)
+        for (predictor, pw, n), own in alike.items():
+            if predictor:
+                at = begins[own][:, None] + np.arange(n)
+                v[at] = kernels.restored(predictor, v[at], pw)
+        for k, info, s in places:
+            _, fourcc, width, height, n = packets[k]
+            dims = samples_in(fourcc, width, height)
+            if good[s : s + n * len(dims)].all():
+                at = np.cumsum([begins[s], *(w * h for w, h in dims)]).tolist()
+                planes = [v[a:b].tobytes() for a, b in zip(at, at[1:], strict=False)]
+                out[k] = {"planes": rgb_planes(fourcc, planes, inverse=True), "predictor": info >> 8 & 3, "frame_info": info, "error": None}
+    return [decode_one(*x, strict) if o is None else o for x, o in zip(packets, out, strict=True)]
+
+
 def decode_one(chunk: bytes | None, fourcc: str | None, width: int | None, height: int | None, num_slices: int | None, strict: bool = False) -> dict:
     """planes, predictor, frame_info and error (the first, or None) of one payload."""
     out = {"planes": None, "predictor": None, "frame_info": None, "error": None}
@@ -258,20 +368,39 @@ def configured(packets: DataFrame, config: DataFrame | None) -> DataFrame:
     return packets.drop(*PARAMETERS).join(config.select("stream_id", "fourcc", "width", "height", "num_slices"), "stream_id", "left")
 
 
+def read_many(slices: list[tuple[bytes, bytes, int] | None], strict: bool) -> list[np.ndarray | None]:
+    """Residuals of slices (bytes, descriptor, samples) that are read together; None for those that have anything wrong."""
+    out: list[np.ndarray | None] = [None] * len(slices)
+    own = [k for k, x in enumerate(slices) if x is not None]
+    for some in together.groups([slices[k][2] for k in own]) if own else ():
+        of: dict[bytes, int] = {}
+        plane = np.array([of.setdefault(slices[own[i]][1], len(of)) for i in some])
+        sizes = np.array([slices[own[i]][2] for i in some])
+        res, good = together.read([slices[own[i]][0] for i in some], sizes, plane, np.frombuffer(b"".join(of), np.uint8).reshape(-1, 256), strict)
+        for i, x, g in zip(some, np.split(res, np.cumsum(sizes)[:-1]), good.tolist(), strict=True):
+            out[own[i]] = x if g else None
+    return out
+
+
 def decoded_slices(slices: DataFrame, strict: bool) -> DataFrame:
     """slices with samples or error. Slices of one shape in a batch go through the median's inverse together."""
     schema = plus(slices.schema, f"samples binary, error {E.ERROR}", without=("bytes", "descriptor", "pw", "rows"))
     names = [f.name for f in schema]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in few(batches):
             samples: list[bytes | None] = [None] * batch.num_rows
             errors: list[dict | None] = [None] * batch.num_rows
             alike: dict[tuple, list] = defaultdict(list)
             codes: dict[bytes, object] = {}  # slices of a plane share their code
-            for k, (data, d, rows, width, p, plane, s) in enumerate(zip(*(batch[c].to_pylist() for c in ("bytes", "descriptor", "rows", "pw", "predictor", "plane_idx", "slice_idx")), strict=True)):
+            rows_ = list(zip(*(batch[c].to_pylist() for c in ("bytes", "descriptor", "rows", "pw", "predictor", "plane_idx", "slice_idx")), strict=True))
+            done = read_many([(data, d, rows * width) if data is not None and 0 < rows * width <= together.SMALL else None for data, d, rows, width, *_ in rows_], strict)
+            for k, (data, d, rows, width, p, plane, s) in enumerate(rows_):
                 if data is None:
                     continue
+                if done[k] is not None:
+                    alike[p, width, rows * width].append((k, done[k]))
+                    continue
                 try:
                     n = rows * width
                     if d not in codes:
@@ -308,8 +437,8 @@ def _by_frame(packets: DataFrame, strict: bool, keep: tuple[str, ...] = ()) -> D
     names = [f.name for f in schema]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = [decode_one(*row, strict) for row in zip(*(batch[c].to_pylist() for c in ("chunk", *PARAMETERS)), strict=True)]
+        for batch in few(batches):
+            out = decode_many(list(zip(*(batch[c].to_pylist() for c in ("chunk", *PARAMETERS)), strict=True)), strict)
             yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in out], kinds[c]) if c in kinds else batch[c] for c in names], names=names)
 
     return packets.mapInArrow(run, schema)
@@ -336,7 +465,7 @@ def put_together(frames: DataFrame) -> DataFrame:
     names = [f.name for f in schema]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in few(batches):
             out = []
             for fourcc, slices, error in zip(*(batch[c].to_pylist() for c in ("fourcc", "s", "error")), strict=True):
                 if error is not None or fourcc not in S.LAYOUTS:

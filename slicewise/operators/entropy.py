@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.schemas import plus
+from ..functions.schemas import few, plus
 from . import kernels
 
 #: Rows of a plane that predictor choice looks at.
@@ -75,7 +75,7 @@ def chosen_predictors(planes: DataFrame, width: str, height: str, samples: str)
     """planes with predictor (0..3), from the entropies of the first rows as one slice; a plane without samples gets gradient."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in few(batches):
             out = []
             for w, h, x in zip(*(batch[c].to_pylist() for c in (width, height, samples)), strict=True):
                 x, best, pick = np.frombuffer(x or b"", np.uint8)[: (w or 0) * min(SAMPLE_ROWS, h or 0)], None, 2

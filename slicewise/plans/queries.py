@@ -215,10 +215,10 @@ SELECT o_orderkey, variant, CASE WHEN variant IN ('UnknownFourcc', 'DimensionCon
 
 
 def li_frames(spark: SparkSession, sf_dir: str, fourcc: str, predictor: int) -> DataFrame:
-    px = P.lineitem_pixels(spark, sf_dir)
-    columns = ["g", "b", "x", "g"] if fourcc == "ULRA" else ["g", "b", "x"]
-    px = px.withColumn("a", F.col("g")) if fourcc == "ULRA" else px
-    return P.frames(px, "li", fourcc, predictor, P.SLICES, columns[:3] + (["a"] if fourcc == "ULRA" else []), W)
+    rows = P.lineitem_rows(spark, sf_dir)
+    columns = ["g", "b", "x", "a"] if fourcc == "ULRA" else ["g", "b", "x"]
+    rows = rows.withColumn("a", F.col("g")) if fourcc == "ULRA" else rows
+    return P.shaped(P.row_frames(rows, P.LI_ORDER, columns, W), "li", fourcc, predictor, P.SLICES, W)
 
 
 def coded(frames: DataFrame) -> DataFrame:
@@ -293,8 +293,8 @@ def stride_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def binary_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Payloads of planes with the samples 0 and 1 alone, whose every bit is known: they share a code of one bit."""
-    px = P.lineitem_pixels(spark, sf_dir)
-    return coded(P.frames(px.withColumns({c: F.col(c) % 2 for c in "gbx"}), "bits", "ULY4", 0, P.SLICES, ["g", "b", "x"], W))
+    rows = P.lineitem_rows(spark, sf_dir).withColumns({c: F.col(c) % 2 for c in "gbx"})
+    return coded(P.shaped(P.row_frames(rows, P.LI_ORDER, ["g", "b", "x"], W), "bits", "ULY4", 0, P.SLICES, W))
 
 
 def wire_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,6 +17,7 @@ null chunk go on like others; a null stream_id is a stream of its own; an end wi
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -27,8 +28,8 @@ from ..functions import errors as E
 from ..functions import formats as S
 from ..operators import codec
 
-#: Keys to which the packets of one stream are dealt.
-SALTS = 8
+#: Keys to which the packets of one stream are dealt, and packets that go into state, and out of it, together.
+SALTS, TOGETHER = 32, 256
 PACKET, PARAMETERS, END = 0, 1, 2
 HEAD = "frame_no bigint, pts bigint, chunk binary"
 CONFIG = "fourcc string, width int, height int, num_slices int, variant string"
@@ -48,8 +49,9 @@ class Waiting(StatefulProcessor):
         self._packets = handle.getListState("packets", HEAD)
 
     def _released(self, key: tuple, config: tuple) -> Iterator[pd.DataFrame]:
-        for frame, pts, chunk in self._packets.get():
-            yield self._rows(key, [(frame, pts, chunk)], config)
+        waiting = iter(self._packets.get())
+        while some := list(islice(waiting, TOGETHER)):
+            yield self._rows(key, some, config)
         self._packets.clear()
 
     @staticmethod
@@ -66,17 +68,16 @@ class Waiting(StatefulProcessor):
             for r in batch.itertuples(index=False):
                 if r.kind == PACKET:
                     packet = (*(None if pd.isna(x) else int(x) for x in (r.frame_no, r.pts)), r.chunk)
-                    if config is None:
-                        self._packets.appendValue(packet)
-                    else:
-                        ready.append(packet)
+                    ready.append(packet)
                 elif r.kind == PARAMETERS:
                     given = (r.fourcc, *(None if pd.isna(x) else int(x) for x in (r.width, r.height, r.num_slices)), r.variant)
                 else:
                     ended = True
-            if ready:
+            if config is not None and ready:
                 yield self._rows(key, ready, config)
-                ready = []
+            for k in range(0, len(ready) if config is None else 0, TOGETHER):
+                self._packets.appendList(ready[k : k + TOGETHER])
+            ready = []
         if given is not None:
             if given != config:
                 self._config.update(given)
@@ -125,4 +126,10 @@ def run(spark: SparkSession, packets: DataFrame, params: DataFrame, folder: str,
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
     out = decoded(with_parameters(packets, params, wait_ms))
     writer = out.writeStream.format("parquet").option("path", folder).option("checkpointLocation", checkpoint)
-    return (writer.trigger(availableNow=True) if wait_ms is None else writer.trigger(processingTime="1 second")).start()
+    # each task of state starts a Python process of its own, so no more of them than two for each core; a checkpoint keeps its number
+    usual = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    spark.conf.set("spark.sql.shuffle.partitions", str(min(usual, 2 * spark.sparkContext.defaultParallelism)))
+    try:
+        return (writer.trigger(availableNow=True) if wait_ms is None else writer.trigger(processingTime="1 second")).start()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", str(usual))
