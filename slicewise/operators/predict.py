@@ -21,10 +21,10 @@ def med(a: Column, b: Column, c: Column) -> Column:
     return median3(a, b, (a + b - c).bitwiseAND(F.lit(255)))
 
 
-def guesses(width: int, key: list[str]) -> dict[str, Column]:
-    """What each predictor expects, all over one window."""
+def guesses(width: int, key: list[str], v: str = "v") -> dict[str, Column]:
+    """What each predictor expects of column v, all over one window."""
     w = Window.partitionBy(*key).orderBy("i")
-    a, b, d = F.lag("v", 1).over(w), F.lag("v", width).over(w), F.lag("v", width + 1).over(w)
+    a, b, d = F.lag(v, 1).over(w), F.lag(v, width).over(w), F.lag(v, width + 1).over(w)
     r, c = F.floor(F.col("i") / width), F.col("i") % width
     left = F.coalesce(a, F.lit(FIRST))
     return {
@@ -40,6 +40,12 @@ def residual(pixels: DataFrame, predictor: str, width: int, key: list[str]) -> D
     return pixels.withColumn("residual", (F.col("v") - guesses(width, key)[predictor]).bitwiseAND(F.lit(255)).cast("int"))
 
 
+def residual_of_planes(pixels: DataFrame, predictor: str, width: int, key: list[str], planes: tuple[str, ...] = ("g", "b", "x")) -> DataFrame:
+    """(key, i, and each plane's residual under its name) of pixels(key, i, planes): one sort serves all planes."""
+    own = {p: (F.col(p) - guesses(width, key, p)[predictor]).bitwiseAND(F.lit(255)).cast("int").alias(p) for p in planes}
+    return pixels.select(*key, "i", *own.values())
+
+
 def residuals_of_all(pixels: DataFrame, width: int, key: list[str]) -> DataFrame:
     """A row for each pixel and predictor, with residual: one sort serves all predictors."""
     every = [F.struct(F.lit(p).alias("predictor"), (F.col("v") - g).bitwiseAND(F.lit(255)).cast("int").alias("residual")) for p, g in guesses(width, key).items()]

@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import errors as E
@@ -39,6 +39,13 @@ def sliced(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.in_slices(P.planes_of(P.lineitem_pixels(spark, sf_dir)), W)
 
 
+def sliced_residuals(spark: SparkSession, sf_dir: str, predictor: str, n: int | Column = P.SLICES) -> DataFrame:
+    """(SLICE, i, residual), predicted with a frame's three planes side by side."""
+    px = P.in_slices(P.lineitem_pixels(spark, sf_dir), W, n)
+    wide = predict.residual_of_planes(px, predictor, W, ["frame_no", "slice_idx"])
+    return wide.select("frame_no", "slice_idx", "i", F.posexplode(F.array("g", "b", "x")).alias("plane_idx", "residual")).select(*SLICE, "i", "residual")
+
+
 def residual_query(predictor: str) -> Callable[[SparkSession, str], DataFrame]:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         return predict.residual(sliced(spark, sf_dir), predictor, W, SLICE).select(*SLICE, "i", "residual")
@@ -104,8 +111,7 @@ def slice_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def code_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    res = predict.residual(sliced(spark, sf_dir), "left", W, SLICE)
-    return entropy.histogram(res, ["frame_no", "plane_idx"])
+    return entropy.histogram(sliced_residuals(spark, sf_dir, "left"), ["frame_no", "plane_idx"])
 
 
 def huffman_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -401,18 +407,18 @@ def shared_folder(spark: SparkSession) -> str:
 
 def packed_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 32-bit words of each slice's residuals in its plane's code, without Python."""
-    res = predict.residual(sliced(spark, sf_dir), "left", W, SLICE).select(*SLICE, "i", "residual")
-    return packing.words(packing.coded(res, SLICE, ["frame_no", "plane_idx"])[0], SLICE)
+    blocks, _ = packing.blocks(sliced_residuals(spark, sf_dir, "left"), SLICE, ["frame_no", "plane_idx"])
+    return packing.words_of(blocks, SLICE)
 
 
 def packed_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole payloads put together from words, without Python."""
-    px = P.in_slices(P.planes_of(P.lineitem_pixels(spark, sf_dir)), W, F.least(F.lit(P.SLICES), "h"))
-    res = predict.residual(px, "left", W, SLICE).select(*SLICE, "i", "residual")
-    symbols, lengths = packing.coded(res, SLICE, ["frame_no", "plane_idx"])
-    count = px.groupBy("frame_no", "plane_idx").agg(F.least(F.lit(P.SLICES), F.max("h")).cast("int").alias("n"))
-    slices = count.select("frame_no", "plane_idx", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("slice_idx"))
-    return packing.frames(slices, packing.words(symbols, SLICE), lengths, ["frame_no"], 1).select("frame_no", F.hex("chunk").alias("chunk"))
+    res = sliced_residuals(spark, sf_dir, "left", F.least(F.lit(P.SLICES), "h"))
+    blocks, lengths = packing.blocks(res, SLICE, ["frame_no", "plane_idx"])
+    rows = P.lineitem_rows(spark, sf_dir).groupBy("frame_no").agg(F.ceil(F.count(F.lit(1)) / W).cast("int").alias("h"))
+    slices = rows.select("frame_no", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("plane_idx"), F.least(F.lit(P.SLICES), "h").alias("n"))
+    slices = slices.select("frame_no", "plane_idx", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("slice_idx"))
+    return packing.frames(slices, packing.words_of(blocks, SLICE), lengths, ["frame_no"], 1).select("frame_no", F.hex("chunk").alias("chunk"))
 
 
 #: Frames of one height make a stream of late_config; heights with this rest by 8 never get parameters.
