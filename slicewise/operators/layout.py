@@ -23,24 +23,36 @@ def peek_frame_info(chunk: Column) -> Column:
 
 
 def lengths_of(descriptor: Column) -> Column:
-    """The 256 bytes as numbers."""
-    return F.transform(F.sequence(F.lit(1), F.lit(256)), lambda k: F.conv(F.hex(F.substring(descriptor, k, F.lit(1))), 16, 10).cast("int"))
+    """The 256 bytes as numbers, read four at a time."""
+    part = lambda x, by: F.call_function("shiftright", x, F.lit(by)).bitwiseAND(F.lit(255)).cast("int")
+    four = lambda k: S.let(F.conv(F.hex(F.substring(descriptor, 4 * k + 1, F.lit(4))), 16, 10).cast("bigint"), lambda x: F.array(*(part(x, by) for by in (24, 16, 8, 0))))
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(63)), four))
 
 
 def statistics(lengths: Column) -> dict[str, Column]:
     """What a descriptor's 256 lengths say, by name, as `codec.statistics` says it."""
-    many = lambda k: F.size(F.filter(lengths, lambda n: n == k))
-    used = F.array_sort(F.array_distinct(F.filter(lengths, lambda n: (n > 0) & (n < UNUSED))))
-    tiers = F.transform(used, lambda k: F.struct(k.alias("code_length"), many(k).alias("count")))
-    return {
-        "zero_count": many(F.lit(0)), "absent_count": many(F.lit(UNUSED)), "active_symbol_count": F.size(F.filter(lengths, lambda n: (n > 0) & (n < UNUSED))), "min_code_length": F.get(used, F.lit(0)),
-        "max_code_length": F.when(F.size(used) > 0, F.element_at(used, -1)), "min_code_length_symbol_count": F.coalesce(F.get(tiers, F.lit(0))["count"], F.lit(0)), "code_length_histogram": tiers,
-    }
+    coded = F.sort_array(F.array_remove(F.array_remove(lengths, F.lit(0)), F.lit(UNUSED)))
+
+    def of(some: Column) -> Column:
+        used = F.array_distinct(some)
+        begin = F.transform(used, lambda k: F.array_position(some, k).cast("int"))
+        return S.let(begin, lambda at: F.transform(at, lambda b, i: F.struct(F.get(some, b - 1).alias("code_length"), (F.coalesce(F.get(at, i + 1), F.size(some) + 1) - b).alias("count"))))
+
+    tiers = S.let(coded, of)
+    count = lambda n: F.size(lengths) - F.size(F.array_remove(lengths, F.lit(n)))
+    parts = {"zero_count": count(0), "absent_count": count(UNUSED), "active_symbol_count": F.size(coded)}
+    ends = lambda t: F.struct(
+        F.get(t, F.lit(0))["code_length"].alias("min_code_length"), F.when(F.size(t) > 0, F.element_at(t, -1)["code_length"]).alias("max_code_length"),
+        F.coalesce(F.get(t, F.lit(0))["count"], F.lit(0)).alias("min_code_length_symbol_count"), t.alias("code_length_histogram"),
+    )
+    rest = S.let(tiers, ends)
+    return parts | {"rest": rest}
 
 
-def scanned(packets: DataFrame) -> DataFrame:
+def scanned(packets: DataFrame, codes: bool = True) -> DataFrame:
     """packets with layout, frame_info and error as `codec.parsed` gives them without looking at the codes, as columns: the planes'
-    places follow from one another, so one fold over the planes finds them, and the first fault ends it."""
+    places follow from one another, so one fold over the planes finds them, and the first fault ends it. codes: with the descriptors'
+    statistics, else these are null."""
     chunk, f, n = F.col("chunk"), F.col("fourcc"), F.col("num_slices")
     stop = F.octet_length(chunk) - 4
     short = lambda at, needed, have: E.error("ChunkTooShort", offset=at, needed=needed, have=have)
@@ -86,16 +98,23 @@ def scanned(packets: DataFrame) -> DataFrame:
         )
         descriptor = F.substring(chunk, (x["offset"] + 1).cast("int"), F.lit(256))
         head = [x["plane_idx"].alias("plane_idx"), S.plane_label(f, x["plane_idx"]).alias("label"), pw.alias("width"), ph.alias("height"), x["offset"].alias("offset"), tables.alias("end_offsets_start"), data.alias("slice_data_start"), descriptor.alias("descriptor"), F.transform(x["ends"], part).alias("slices")]
-        return S.let(lengths_of(descriptor), lambda d: F.struct(*head, *(c.alias(name) for name, c in statistics(d).items())))
+        if not codes:
+            return F.struct(*head, *(F.lit(None).alias(name) for name in STATISTICS))
+
+        def whole(d: Column) -> Column:
+            said = statistics(d)
+            return S.let(said.pop("rest"), lambda rest: F.struct(*head, *(c.alias(name) for name, c in said.items()), *(rest[name].alias(name) for name in STATISTICS if name not in said)))
+
+        return S.let(lengths_of(descriptor), whole)
 
     good = F.col("error").isNull()
     out = out.withColumn("layout", F.when(good, F.transform("_w.planes", plane)).cast(f"array<{PLANE}>")).withColumn("frame_info", F.when(good, S.u32le(chunk, stop)))
     return out.select(*packets.columns, "layout", "frame_info", "error")
 
 
-def frame_layout(packets: DataFrame, config: DataFrame | None = None) -> DataFrame:
+def frame_layout(packets: DataFrame, config: DataFrame | None = None, codes: bool = True) -> DataFrame:
     """packets' keys with the payload's length, layout, frame_info, predictor and error; codebooks are not built, slices not read."""
-    read = scanned(configured(packets, config).select(*KEY, *PARAMETERS, "chunk"))
+    read = scanned(configured(packets, config).select(*KEY, *PARAMETERS, "chunk"), codes)
     return read.select(*KEY, "num_slices", F.octet_length("chunk").cast("bigint").alias("length"), "layout", "frame_info", S.predictor_of(F.col("frame_info")).alias("predictor"), "error")
 
 
