@@ -5,7 +5,7 @@ or task grows with it. Residuals look back at most a row and a sample in scan or
 block before it, its halo, and no more. The inverse of `left` is a running sum: within blocks, plus the sum of the blocks before.
 The inverse of `gradient` is a running sum in two dimensions: a sample is the sum of its own tile up to it, of the tiles to the left
 up to its row, of those above up to its column, and of all tiles above and to the left; the last three are running sums over tiles of
-sums of rows, of columns and of whole tiles, and come by joins.
+sums of rows, of columns and of whole tiles, and stand in front of the tile's own rows and columns.
 
 Rows are (key columns, i, v or residual) as in `predict`; i counts a slice's samples in scan order. Tables without rows give none.
 """
@@ -52,17 +52,22 @@ def inverse_left(residuals: DataFrame, key: list[str], block: int = BLOCK) -> Da
 
 
 def inverse_gradient(residuals: DataFrame, width: int, key: list[str], tile: int = TILE) -> DataFrame:
-    """residuals(key, i, residual) with v restored."""
+    """residuals(key, i, residual) with v restored. What lies to the left of a tile, above it and in both comes to it as a column, a row and
+    a corner of further residuals in front of its own, so that the samples are dealt out once, by tile."""
     r, c = F.floor(F.col("i") / width).cast("int"), (F.col("i") % width).cast("int")
-    cut = residuals.withColumns({"_r": r, "_c": c, "_tr": F.floor(r / tile).cast("int"), "_tc": F.floor(c / tile).cast("int")})
+    others = [x for x in residuals.columns if x != "residual"]
+    cut = residuals.withColumns({"_r": r, "_c": c, "_tr": F.floor(r / tile).cast("int"), "_tc": F.floor(c / tile).cast("int"), "_n": F.col("residual").cast("bigint")})
     of = [*key, "_tr", "_tc"]
-    rows = cut.groupBy(*of, "_r").agg(F.sum("residual").alias("_n"))
-    columns = cut.groupBy(*of, "_c").agg(F.sum("residual").alias("_n"))
+    rows = cut.groupBy(*of, "_r").agg(F.sum("_n").alias("_n"))
+    columns = cut.groupBy(*of, "_c").agg(F.sum("_n").alias("_n"))
     # tiles above and to the left: running sums of whole tiles along one axis, then along the other
     whole = rows.groupBy(*of).agg(F.sum("_n").alias("_n")).withColumn("_left", running("_n", [*key, "_tr"], "_tc", own=False))
-    whole = whole.withColumn("_corner", running("_left", [*key, "_tc"], "_tr", own=False)).select(*of, "_corner")
-    left = rows.withColumn("_up_to", running("_n", of, "_r")).withColumn("_left", running("_up_to", [*key, "_r"], "_tc", own=False)).join(whole, of).select(*of, "_r", (F.col("_left") + F.col("_corner")).alias("_left"))
-    above = columns.withColumn("_up_to", running("_n", of, "_c")).withColumn("_above", running("_up_to", [*key, "_tc", "_c"], "_tr", own=False)).select(*of, "_c", "_above")
-    own = cut.withColumn("_own", running("residual", [*of, "_r"], "_c")).withColumn("_own", running("_own", [*of, "_c"], "_r"))
-    out = own.join(left, [*of, "_r"]).join(above, [*of, "_c"])
-    return out.withColumn("v", (F.lit(FIRST) + F.col("_own") + F.col("_left") + F.col("_above")).bitwiseAND(F.lit(255)).cast("int")).select(*residuals.columns, "v")
+    corner = whole.withColumn("_n", running("_left", [*key, "_tc"], "_tr", own=False)).withColumns({"_r": F.lit(-1), "_c": F.lit(-1)})
+    left = rows.withColumn("_n", running("_n", [*key, "_r"], "_tc", own=False)).withColumn("_c", F.lit(-1))
+    above = columns.withColumn("_n", running("_n", [*key, "_tc", "_c"], "_tr", own=False)).withColumn("_r", F.lit(-1))
+    all_ = cut.select(*of, "_r", "_c", "_n", *(x for x in others if x not in key), "residual")
+    for more in (left, above, corner):
+        all_ = all_.unionByName(more.select(*of, "_r", "_c", "_n"), allowMissingColumns=True)
+    own = all_.repartition(*of).withColumn("_n", running("_n", [*of, "_r"], "_c")).withColumn("_n", running("_n", [*of, "_c"], "_r"))
+    out = own.where((F.col("_r") >= 0) & (F.col("_c") >= 0))
+    return out.withColumn("v", (F.lit(FIRST) + F.col("_n")).bitwiseAND(F.lit(255)).cast("int")).select(*residuals.columns, "v")

@@ -55,8 +55,11 @@ def residual_query(predictor: str) -> Callable[[SparkSession, str], DataFrame]:
 
 def inverse_query(predictor: str) -> Callable[[SparkSession, str], DataFrame]:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        res = predict.residual(sliced(spark, sf_dir), predictor, W, SLICE).select(*SLICE, "i", "residual")
-        return predict.inverse(res, predictor, W, SLICE).select(*SLICE, "i", "v")
+        key = ["frame_no", "slice_idx"]
+        wide = predict.residual_of_planes(P.in_slices(P.lineitem_pixels(spark, sf_dir), W), predictor, W, key)
+        for plane in "gbx":  # side by side, so that a row stands for three samples
+            wide = predict.inverse(wide.withColumnRenamed(plane, "residual"), predictor, W, key).drop("residual").withColumnRenamed("v", plane)
+        return wide.select("frame_no", "slice_idx", "i", F.posexplode(F.array("g", "b", "x")).alias("plane_idx", "v")).select(*SLICE, "i", "v")
 
     return query
 
@@ -258,7 +261,7 @@ def layout_identities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def slice_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return layout.slice_layout(layout.frame_layout(coded(li_frames(spark, sf_dir, "ULY4", 1)))).select("frame_no", "plane_idx", "slice_idx", "row_start", "row_end", "pixel_count")
+    return layout.slice_layout(layout.frame_layout(coded(li_frames(spark, sf_dir, "ULY4", 1)), codes=False)).select("frame_no", "plane_idx", "slice_idx", "row_start", "row_end", "pixel_count")
 
 
 def malformed_taxonomy(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -315,7 +318,7 @@ def plane_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def slice_extents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return layout.slice_layout(layout.frame_layout(binary_packets(spark, sf_dir))).select("frame_no", "plane_idx", "slice_idx", "start", "end", "len", "is_empty", "row_count")
+    return layout.slice_layout(layout.frame_layout(binary_packets(spark, sf_dir), codes=False)).select("frame_no", "plane_idx", "slice_idx", "start", "end", "len", "is_empty", "row_count")
 
 
 def stream_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -453,7 +456,7 @@ DAMAGED = [[], [(1, 2)], [(2, 1), (0, 3)]]
 def strict_padding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Payloads of two-valued planes with set bits behind the codes of one slice or two, decoded strictly by slices: the first error."""
     packets = binary_packets(spark, sf_dir).select(*codec.KEY, "pts", *codec.PARAMETERS, "chunk")
-    slices = layout.slice_layout(layout.frame_layout(packets)).where("len > 0")
+    slices = layout.slice_layout(layout.frame_layout(packets, codes=False)).where("len > 0")
     hit = F.lit(False)
     for k, some in enumerate(DAMAGED):
         for p, x in some:
