@@ -7,8 +7,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql.types import StructField, StructType
 
-#: Rows of frames or slices that Arrow functions take from a batch at a time.
-ROWS = 256
+#: Rows of frames or slices that Arrow functions take from a batch at a time, and their bytes, which one row alone may exceed.
+ROWS, BYTES = 256, 4 << 20
 
 
 def plus(schema: StructType, ddl: str, without: tuple[str, ...] = ()) -> StructType:
@@ -17,7 +17,12 @@ def plus(schema: StructType, ddl: str, without: tuple[str, ...] = ()) -> StructT
 
 
 def few(batches: Iterator[pa.RecordBatch], rows: int = ROWS) -> Iterator[pa.RecordBatch]:
-    """The batches in stretches of some rows, so that what is made of them as Python objects stays small."""
+    """The batches in stretches of some rows and bytes, so that what is made of them as Python objects stays small."""
     for batch in batches:
-        for k in range(0, batch.num_rows, rows):
-            yield batch.slice(k, rows)
+        k = 0
+        while k < batch.num_rows:
+            part = batch.slice(k, rows)
+            while part.num_rows > 1 and part.nbytes > BYTES:
+                part = part.slice(0, part.num_rows // 2)
+            yield part
+            k += part.num_rows

@@ -61,3 +61,15 @@ def test_planes_packed_together_are_the_same(some):
 
     planes = [[p[: len(p) // 3], p[len(p) // 3 :]] for f in some for p in f[5]] + [[b"", b"ab"], [b""]]
     assert codec.plane_blobs(planes) == [codec.plane_blob([np.frombuffer(x, np.uint8) for x in p]) for p in planes]
+
+
+def test_large_rows_are_taken_few_at_a_time():
+    import pyarrow as pa
+
+    from slicewise.functions.schemas import BYTES, ROWS, few
+
+    sizes = [100_000] * 300 + [BYTES + 1, 5] + [0] * (ROWS + 1)
+    batch = pa.RecordBatch.from_arrays([pa.array([bytes(n) for n in sizes])], names=["x"])
+    parts = list(few(iter([batch, batch.slice(0, 0)])))
+    assert [len(x) for p in parts for x in p["x"].to_pylist()] == sizes
+    assert all(p.num_rows <= ROWS and (p.num_rows == 1 or p.nbytes <= BYTES) for p in parts)
