@@ -224,10 +224,9 @@ SELECT o_orderkey, variant, CASE WHEN variant IN ('UnknownFourcc', 'DimensionCon
 
 
 def li_frames(spark: SparkSession, sf_dir: str, fourcc: str, predictor: int) -> DataFrame:
-    rows = P.lineitem_rows(spark, sf_dir)
-    columns = ["g", "b", "x", "a"] if fourcc == "ULRA" else ["g", "b", "x"]
-    rows = rows.withColumn("a", F.col("g")) if fourcc == "ULRA" else rows
-    return P.shaped(P.row_frames(rows, P.LI_ORDER, columns, W), "li", fourcc, predictor, P.SLICES, W)
+    samples = P.lineitem_samples()
+    samples |= {"a": samples["g"]} if fourcc == "ULRA" else {}
+    return P.shaped(P.row_frames(P.lineitem_rows(spark, sf_dir), P.LI_SORT, samples, W), "li", fourcc, predictor, P.SLICES, W)
 
 
 def coded(frames: DataFrame) -> DataFrame:
@@ -302,8 +301,8 @@ def stride_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def binary_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Payloads of planes with the samples 0 and 1 alone, whose every bit is known: they share a code of one bit."""
-    rows = P.lineitem_rows(spark, sf_dir).withColumns({c: F.col(c) % 2 for c in "gbx"})
-    return coded(P.shaped(P.row_frames(rows, P.LI_ORDER, ["g", "b", "x"], W), "bits", "ULY4", 0, P.SLICES, W))
+    samples = {name: c % 2 for name, c in P.lineitem_samples().items()}
+    return coded(P.shaped(P.row_frames(P.lineitem_rows(spark, sf_dir), P.LI_SORT, samples, W), "bits", "ULY4", 0, P.SLICES, W))
 
 
 def wire_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
