@@ -20,6 +20,8 @@ from .predict import guesses
 
 #: Samples of a block, at least a row and a sample; rows and columns of a tile.
 BLOCK, TILE = 1 << 14, 128
+#: Samples of a task.
+TASK = 1 << 19
 
 
 def with_halo(pixels: DataFrame, width: int, block: int) -> DataFrame:
@@ -30,9 +32,20 @@ def with_halo(pixels: DataFrame, width: int, block: int) -> DataFrame:
     return pixels.select(*pixels.columns, F.inline(both))
 
 
-def residual(pixels: DataFrame, predictor: str, width: int, key: list[str], block: int = BLOCK) -> DataFrame:
-    """pixels with residual, as `predict.residual` gives it."""
+def tasks(samples: int, at_least: int) -> int:
+    """How many tasks so many samples are dealt to."""
+    return max(at_least, -(-samples // TASK))
+
+
+def residual(pixels: DataFrame, predictor: str, width: int, key: list[str], block: int = BLOCK, partitions: int | None = None) -> DataFrame:
+    """pixels with residual, as `predict.residual` gives it.
+
+    partitions (see `tasks`): blocks are dealt to so many tasks, which then sort a bounded number of samples. Otherwise Spark puts tasks
+    together by compressed bytes, and samples compress well.
+    """
     cut = with_halo(pixels, width, max(block, width + 1))
+    if partitions:
+        cut = cut.repartition(partitions, *key, "block")
     guess = guesses(width, [*key, "block"])[predictor]
     return cut.withColumn("residual", (F.col("v") - guess).bitwiseAND(F.lit(255)).cast("int")).where(~F.col("halo")).select(*pixels.columns, "residual")
 

@@ -373,11 +373,16 @@ def large_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return px.select("frame_no", "plane_idx", (F.col("r") * P.LARGE_WIDTH + F.col("c")).alias("i"), "v")
 
 
+def large_tasks(spark: SparkSession, sf_dir: str) -> int:
+    """Tasks for the samples of `large_pixels`; the table's own row count tells how many there are."""
+    return tiles.tasks(3 * spark.read.parquet(f"{sf_dir}/lineitem.parquet").count(), spark.sparkContext.defaultParallelism)
+
+
 def tiled_residual_query(predictor: str) -> Callable[[SparkSession, str], DataFrame]:
     """Residuals of frames of one slice each, by blocks of 4096 samples with their halo."""
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return tiles.residual(large_pixels(spark, sf_dir), predictor, P.LARGE_WIDTH, ["frame_no", "plane_idx"], 4096).select("frame_no", "plane_idx", "i", "residual")
+        return tiles.residual(large_pixels(spark, sf_dir), predictor, P.LARGE_WIDTH, ["frame_no", "plane_idx"], 4096, large_tasks(spark, sf_dir)).select("frame_no", "plane_idx", "i", "residual")
 
     return query
 
@@ -387,7 +392,7 @@ def tiled_inverse_query(predictor: str) -> Callable[[SparkSession, str], DataFra
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         key = ["frame_no", "plane_idx"]
-        res = tiles.residual(large_pixels(spark, sf_dir), predictor, P.LARGE_WIDTH, key, 4096).drop("v")
+        res = tiles.residual(large_pixels(spark, sf_dir), predictor, P.LARGE_WIDTH, key, 4096, large_tasks(spark, sf_dir)).drop("v")
         out = tiles.inverse_left(res, key, 4096) if predictor == "left" else tiles.inverse_gradient(res, P.LARGE_WIDTH, key, 32)
         return out.select(*key, "i", "v")
 

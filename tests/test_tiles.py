@@ -52,3 +52,13 @@ def test_the_medians_inverse_as_a_fold(spark, width, heights):
     px = pixels(spark, [(width, h) for h in heights])
     res = predict.residual(px, "median", width, ["s"]).drop("v")
     assert sorted(map(tuple, predict.inverse_median(res, width, ["s"]).select("s", "i", "v").collect())) == sorted(map(tuple, px.collect()))
+
+
+def test_blocks_are_dealt_to_as_many_tasks_as_the_samples_need(spark):
+    from slicewise.operators import tiles
+
+    assert [tiles.tasks(n, 4) for n in (0, tiles.TASK, 100 * tiles.TASK + 1)] == [4, 4, 101]
+    px = spark.range(6000).selectExpr("id DIV 3000 AS k", "CAST(id % 3000 AS INT) AS i", "CAST(id * id % 251 AS INT) AS v")
+    out = tiles.residual(px, "median", 16, ["k"], 64, partitions=9)
+    assert out.rdd.getNumPartitions() == 9
+    assert sorted(out.collect()) == sorted(tiles.residual(px, "median", 16, ["k"], 64).collect())
