@@ -7,6 +7,7 @@ session objects keep the send, receive and flush order of a codec for callers th
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import repeat
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -108,7 +109,8 @@ class FramePixels:
     def eval(self, chunk: bytes, fourcc: str, width: int, height: int, num_slices: int) -> Iterator[tuple]:
         for k, plane in enumerate(codec.decode_one(chunk, fourcc, width, height, num_slices)["planes"] or ()):
             wide = max(1, S.plane_size(fourcc, k, width, height)[0])
-            yield from ((k, *divmod(at, wide), v) for at, v in enumerate(plane))
+            for r, at in enumerate(range(0, len(plane), wide)):
+                yield from zip(repeat(k), repeat(r), range(wide), plane[at : at + wide], strict=False)
 
 
 TABLES = {
