@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql.types import StructField, StructType
@@ -16,13 +16,13 @@ def plus(schema: StructType, ddl: str, without: tuple[str, ...] = ()) -> StructT
     return StructType([StructField(f.name, f.dataType, True) for f in schema if f.name not in without] + StructType.fromDDL(ddl).fields)
 
 
-def few(batches: Iterator[pa.RecordBatch], rows: int = ROWS) -> Iterator[pa.RecordBatch]:
+def few(batches: Iterable[pa.RecordBatch], rows: int = ROWS, size: int = BYTES) -> Iterator[pa.RecordBatch]:
     """The batches in stretches of some rows and bytes, so that what is made of them as Python objects stays small."""
     for batch in batches:
         k = 0
         while k < batch.num_rows:
             part = batch.slice(k, rows)
-            while part.num_rows > 1 and part.nbytes > BYTES:
+            while part.num_rows > 1 and part.nbytes > size:
                 part = part.slice(0, part.num_rows // 2)
             yield part
             k += part.num_rows

@@ -517,10 +517,11 @@ def connector_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     packets = coded(li_frames(spark, sf_dir, "ULRG", 2)).withColumn("stream_id", F.concat(F.lit("h"), F.col("height")))
     packets.write.parquet(f"{folder}/packets")
     packets = spark.read.parquet(f"{folder}/packets")
-    config = packets.select("stream_id", *codec.PARAMETERS).distinct()
+    packets.select("stream_id", *codec.PARAMETERS).distinct().write.parquet(f"{folder}/config")
+    config = spark.read.parquet(f"{folder}/config")  # of known size, so that it is sent to the packets: by stream few tasks have all
     for half in (0, 1):
         rows = packets.where(F.col("frame_no") % 2 == half).select("stream_id", "frame_no", F.lit(None).cast("bigint").alias("pts"), "chunk")
-        rows.write.format(connector.NAME).mode("append").save(f"{folder}/bodies")
+        rows.write.format(connector.NAME).option("packed", True).mode("append").save(f"{folder}/bodies")
     even = [r.stream_id for r in config.where("height % 2 = 0").collect()]  # a row for a stream
     table = codec.decode(spark.read.format(connector.NAME).load(f"{folder}/bodies").where(F.col("stream_id").isin(even)), config)
     source = spark.readStream.format(connector.NAME).load(f"{folder}/bodies")
